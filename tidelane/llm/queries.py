@@ -11,6 +11,9 @@ from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .packing import best_fit_pack
+from .quality import quality_scores
+from .simhash import simhash_groups
+from .toxicity import toxicity_scores
 
 
 def tokenizer_file(name: str) -> str:
@@ -27,6 +30,10 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(documents(spark, sf_dir))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup(documents(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_dropped", sha256("text").alias("kept_sha256"))
@@ -36,8 +43,16 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op6_line_dedup, op7_exact_dedup)
+    f.__name__: f for f in (op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
