@@ -13,6 +13,8 @@ from .line_dedup import line_dedup
 from .packing import best_fit_pack
 from .quality import quality_scores
 from .simhash import simhash_groups
+from .substring_dedup import substring_dedup
+from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
 
 
@@ -26,6 +28,14 @@ def sha256(text) -> F.Column:
     return F.sha2(F.col(text).cast("binary"), 256)
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
+
+
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(documents(spark, sf_dir), tokenizer_file("byte_bpe_50k.json"))
 
@@ -52,7 +62,7 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier)
+    f.__name__: f for f in (op1_substring_dedup, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier)
 }
 
 ORACLE_SQL: dict[str, str] = {
