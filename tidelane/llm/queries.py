@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ball_tree import top_k
 from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
@@ -61,11 +62,27 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier)
+    f.__name__: f for f in (op1_substring_dedup, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier, op10_exact_top_k)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op10_exact_top_k": """
+        WITH x AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, c -> CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, c -> c IS NULL OR NOT isfinite(c))) = 0),
+        scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   CAST(coalesce(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])), 0) AS BIGINT) AS score
+            FROM x q JOIN x c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v))
+        SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
+            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+        WHERE rank <= 5""",
     "op6_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
