@@ -151,8 +151,8 @@ def top_k(
         first = stage(_search_shards(packed.withColumn("key", home).withColumn("floors", F.lit(None).cast("map<long,double>")).join(trees, "key"), k), "first-hits")
         kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").cast("double").alias("kth")).where(F.col("c") >= k)
         by_block = kth.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks))).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("floors"))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)), lambda s: s != home)
-        rest = packed.join(by_block, "block", "left").withColumn("key", F.explode(others).cast("long"))
+        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"), lambda s: s != home)
+        rest = packed.join(by_block, "block", "left").withColumn("key", F.explode(others))
         out.append(_best(first.unionByName(_search_shards(rest.join(trees, "key"), k)), k))
     found = None
     for part in out:
