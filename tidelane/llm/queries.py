@@ -13,6 +13,7 @@ from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .packing import best_fit_pack
 from .quality import quality_scores
+from .sentencepiece_scan import sentencepiece_decode, sentencepiece_encode
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -33,6 +34,14 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", sha256("kept").alias("kept_sha256"))
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text, and the text they decode to, as digests."""
+    path = tokenizer_file("piece_bpe_32k.model")
+    encoded = sentencepiece_encode(documents(spark, sf_dir), path)
+    out = sentencepiece_decode(encoded, path, keep=("ids",))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), sha256("text").alias("decoded_sha256"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(documents(spark, sf_dir)).select("doc_id", "n_bytes", "n_removed", "n_spans", sha256("kept").alias("kept_sha256"))
 
@@ -67,7 +76,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier, op10_exact_top_k)
+    f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier, op10_exact_top_k)
 }
 
 ORACLE_SQL: dict[str, str] = {
