@@ -106,12 +106,20 @@ def _repeated(doc, lo, off, n, seg, length: int):
 
 
 def _compared(segments: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n) of single windows that repeat, and boundary windows with their digest."""
+    """(doc_id, start, n): stretches of windows that repeat."""
 
-    def rows(doc, start, digest=None):
+    def rows(doc, start, n=None, digest=None):
         k = len(doc)
-        columns = [pa.array(np.asarray(doc, np.int64)), pa.array(np.asarray(start, np.int64)), pa.array(digest or [None] * k, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "digest"])
+        n = np.ones(k, np.int64) if n is None else n
+        columns = [*(pa.array(np.asarray(c, np.int64)) for c in (doc, start, n)), pa.array(digest or [None] * k, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n", "digest"])
+
+    def stretches(doc, lo, run, start):
+        """Windows of runs that follow each other become one row."""
+        order = np.lexsort((start, run))
+        run, start = run[order], start[order]
+        first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1)))) if len(run) else run
+        return rows(doc[run[first]], lo[run[first]] + start[first], np.diff(np.append(first, len(run))))
 
     def sort_runs(columns):
         lead, doc, lo, off, n, seg = columns
@@ -136,38 +144,32 @@ def _compared(segments: DataFrame, length: int) -> DataFrame:
                     continue
                 if o is None:
                     run, start = _repeated(doc[at], lo[at], off[at], n[at], seg[a:b], length)
-                    yield rows(doc[at[run]], lo[at[run]] + start)
+                    yield stretches(doc[at], lo[at], run, start)
                 else:
                     first = off[at] - o
                     run, _ = _repeated(doc[at], lo[at] + first, off[at], np.ones(len(at), np.int64), [seg[i][f : f + length] for i, f in zip(at, first)], length)
                     yield rows(doc[at[run]], (lo[at] + first)[run])
             k = j
 
-    def at_boundary(lead, doc, lo, n, seg):
-        for d, p, count, s in zip(doc, lo, n, seg):
-            digests = [hashlib.blake2b(s[i : i + length], digest_size=16).digest() for i in range(count)]
-            yield rows([d] * count, [p + i for i in range(count)], digests)
+    def at_boundary(kept):
+        """One row for each distinct window: its first place in this bucket; its other places here are settled."""
+        least: dict[bytes, tuple[int, int]] = {}
+        for _, d, p, count, s in kept:
+            for i in range(count):
+                digest = hashlib.blake2b(s[i : i + length], digest_size=16).digest()
+                here = (d, p + i)
+                if digest not in least or here < least[digest]:
+                    least[digest] = here
+        if least:
+            yield rows(*zip(*least.values()), digest=list(least))
 
     def run(batches):
-        first, held = None, None  # the first leading string, and the rows of the last one seen
-        kept: list[list] = []
-
-        def handle(columns):
-            nonlocal first, held
-            lead = columns[0]
-            if first is None:
-                first = lead[0].as_py()
-            yield from sort_runs(columns)
-
-        for piece in by_sorted_key(batches_with_edges(batches, kept), 6, last_key_start, handle):
-            yield piece
-        edge = {kept[0][0], kept[-1][0]} if kept else set()
-        for lead, doc, lo, n, seg in kept:
-            if lead in edge:
-                yield from at_boundary(lead, [doc], [lo], [n], [seg])
+        kept: list[tuple] = []
+        yield from by_sorted_key(batches_with_edges(batches, kept), 6, last_key_start, sort_runs)
+        yield from at_boundary(kept)
 
     def batches_with_edges(batches, kept):
-        """Passes batches on; keeps the rows of the first leading string and of the latest one."""
+        """Passes batches on; keeps the runs of the first leading string and of the latest one."""
         first = None
         for batch in batches:
             for lead, doc, lo, n, seg in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
@@ -178,11 +180,11 @@ def _compared(segments: DataFrame, length: int) -> DataFrame:
             yield batch
 
     ranged = segments.repartitionByRange("lead", "seg").sortWithinPartitions("lead", "seg", "doc_id", "lo")
-    out = stage(ranged.mapInArrow(run, "doc_id long, start long, digest binary"), "windows")
+    out = stage(ranged.mapInArrow(run, "doc_id long, start long, n long, digest binary"), "windows")
     edges = out.where("digest is not null")
     least = edges.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("c")).where("c > 1")
     across = edges.join(least, "digest").where(F.struct("doc_id", "start") > F.col("least"))
-    return out.where("digest is null").select("doc_id", "start").unionByName(across.select("doc_id", "start")).withColumn("n", F.lit(1).cast("long"))
+    return out.where("digest is null").select("doc_id", "start", "n").unionByName(across.select("doc_id", "start", "n"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
