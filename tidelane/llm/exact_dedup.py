@@ -22,9 +22,11 @@ BLOCK_BYTES = 8192
 
 
 def _named(parts: DataFrame, keys: list[str], label: str) -> DataFrame:
-    """Distinct ``keys`` with ``name``: their place in a range-partitioned sort."""
-    ranged = parts.select(*keys).distinct().repartitionByRange(*keys).sortWithinPartitions(*keys)
-    return stage(ranged.withColumn("name", F.monotonically_increasing_id()), label)
+    """Distinct ``keys`` with ``name``: their place in a range-partitioned sort by (hash, content). The hash comes
+    first so that the splitters, which the driver samples, are numbers and not blocks."""
+    distinct = parts.select(*keys).distinct().withColumn("_h", F.xxhash64(*keys))
+    ranged = distinct.repartitionByRange("_h").sortWithinPartitions("_h", *keys)
+    return stage(ranged.drop("_h").withColumn("name", F.monotonically_increasing_id()), label)
 
 
 def _gathered(rows: DataFrame) -> DataFrame:
