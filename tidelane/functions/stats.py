@@ -90,9 +90,9 @@ def passes_gate(q: Column, consistency: Column, folds: Column, max_q: float = 0.
 
 
 def directional_consistency(full: Column, fold: Column) -> tuple[Column, Column]:
-    """(share, folds) over the folds that have a statistic: a zero fold agrees with nothing; a zero or unknown full
+    """(share, folds), to aggregate by pair, over the folds that have a statistic (``full`` is one value a pair): a zero fold agrees with nothing; a zero or unknown full
     statistic has no direction."""
     known = F.count(fold)
-    share = F.count_if(fold.isNotNull() & (F.signum(fold) == F.signum(F.first(full)))) / known
-    directed = F.first(full).isNotNull() & (F.first(full) != 0) & (known > 0)
+    share = F.count_if(fold.isNotNull() & (F.signum(fold) == F.signum(full))) / known
+    directed = F.max(full).isNotNull() & (F.max(full) != 0) & (known > 0)
     return F.when(directed, share), F.when(directed, known)

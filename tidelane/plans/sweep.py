@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -79,35 +77,30 @@ def in_regimes(aligned: DataFrame, series: DataFrame) -> DataFrame:
     return aligned.join(dates, [*keys, "fdate"])
 
 
-def fold_blocks(rows: DataFrame, keys: list[str], week: str, horizon: Column | None, horizons: tuple[int, ...], n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
-    """keys, week, fold: the test weeks of walk-forward folds.
+def with_folds(rows: DataFrame, keys: list[str], week: str, horizon: Column, horizons: tuple[int, ...], n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
+    """Adds ``fold``, the walk-forward test block of a row, NULL before testing starts; a key has a week once.
 
     Testing starts at the first week with ``min_train`` weeks more than a horizon before it; the weeks from there
-    make ``n_folds`` equal blocks, the last taking the remainder. Too few weeks give no rows.
+    make ``n_folds`` equal blocks, the last taking the remainder. Too few weeks give no fold. A range frame needs a
+    literal bound, so the few horizons are frames of one window, and a row takes its own.
     """
-    out = []
-    for h in horizons:  # a range frame needs a literal bound: one pass for each of the few horizons
-        mine = rows if horizon is None else rows.where(horizon == h)
-        weeks = mine.select(*keys, week).distinct().withColumn("_d", F.unix_date(week).cast("long"))
-        by_day = Window.partitionBy(*keys).orderBy("_d")
-        weeks = weeks.withColumns({
-            "_train": F.count("*").over(by_day.rangeBetween(Window.unboundedPreceding, -(h + 1))),
-            "_ord": F.row_number().over(by_day) - 1,
-            "_n": F.count("*").over(Window.partitionBy(*keys)),
-        })
-        weeks = weeks.withColumn("_first", F.min(F.when(F.col("_train") >= min_train, F.col("_ord"))).over(Window.partitionBy(*keys)))
-        block = F.floor((F.col("_n") - F.col("_first")) / n_folds)
-        fold = F.least(F.floor((F.col("_ord") - F.col("_first")) / F.when(block > 0, block)), F.lit(n_folds - 1))
-        out.append(weeks.where((F.col("_ord") >= F.col("_first")) & (block > 0)).select(*keys, week, fold.cast("int").alias("fold"), F.lit(h).alias("_horizon")))
-    return reduce(DataFrame.unionByName, out)
-
-
-def folds(rows: DataFrame, keys: list[str], week: str, horizon: Column | None, horizons: tuple[int, ...], n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
-    """keys, fold, train_start, train_end, n_train, test_start, test_end, n_test."""
-    blocks = fold_blocks(rows, keys, week, horizon, horizons, n_folds, min_train)
-    tests = blocks.groupBy(*keys, "_horizon", "fold").agg(F.min(week).alias("test_start"), F.max(week).alias("test_end"), F.count("*").alias("n_test"))
-    weeks = rows.select(*keys, F.col(week).alias("_w")).distinct()
-    train = tests.join(weeks, keys).where(F.col("_w") < F.date_sub("test_start", F.col("_horizon")))
+    by_day = Window.partitionBy(*keys).orderBy("_d")
+    whole = Window.partitionBy(*keys)
+    train = F.coalesce(*[F.when(horizon == h, F.count("*").over(by_day.rangeBetween(Window.unboundedPreceding, -(h + 1)))) for h in horizons])
+    out = rows.withColumn("_d", F.unix_date(week).cast("long"))
+    out = out.withColumns({"_train": train, "_ord": F.row_number().over(by_day) - 1, "_n": F.count("*").over(whole)})
+    out = out.withColumn("_first", F.min(F.when(F.col("_train") >= min_train, F.col("_ord"))).over(whole))
+    block = F.floor((F.col("_n") - F.col("_first")) / n_folds)
+    fold = F.least(F.floor((F.col("_ord") - F.col("_first")) / F.when(block > 0, block)), F.lit(n_folds - 1))
+    return out.withColumn("fold", F.when(F.col("_ord") >= F.col("_first"), fold).cast("int")).drop("_d", "_train", "_ord", "_n", "_first")
+
+
+def folds(rows: DataFrame, keys: list[str], week: str, horizon: str, horizons: tuple[int, ...], n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
+    """keys (the horizon among them), fold, train_start, train_end, n_train, test_start, test_end, n_test."""
+    weeks = rows.select(*keys, week).distinct()
+    blocks = with_folds(weeks, keys, week, F.col(horizon), horizons, n_folds, min_train).where("fold IS NOT NULL")
+    tests = blocks.groupBy(*keys, "fold").agg(F.min(week).alias("test_start"), F.max(week).alias("test_end"), F.count("*").alias("n_test"))
+    train = tests.join(weeks.withColumnRenamed(week, "_w"), keys).where(F.col("_w") < F.date_sub("test_start", F.col(horizon)))
     return train.groupBy(*keys, "fold", "test_start", "test_end", "n_test").agg(F.min("_w").alias("train_start"), F.max("_w").alias("train_end"), F.count("*").alias("n_train"))
 
 
@@ -118,13 +111,13 @@ def leaking(folds_: DataFrame, horizon: Column) -> DataFrame:
 
 def measurements(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
     """One row for each pair with aligned rows: status, statistic, p, n, effective n, folds, consistency."""
+    rows = with_folds(rows, PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)  # the one shuffle by pair
     full = rows.groupBy(*PAIR).agg(pearson("x", "y").alias("_r"), F.count("*").alias("n_observations"))
     full = full.withColumn("_n_eff", effective_n(F.col("n_observations"), F.col("horizon_days")))
     measured = F.col("_r").isNotNull() & (F.col("_n_eff") > MIN_EFFECTIVE)
     full = full.withColumns({"statistic": F.when(measured, F.col("_r")), "n_effective": F.when(measured, F.col("_n_eff"))}).drop("_r", "_n_eff")
     full = full.withColumn("p_value", p_value(F.col("statistic"), F.col("n_effective")))
-    blocks = fold_blocks(rows, PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train).drop("_horizon")
-    by_fold = rows.join(blocks, [*PAIR, "week"]).groupBy(*PAIR, "fold").agg(pearson("x", "y").alias("_fold_r"))
+    by_fold = rows.where("fold IS NOT NULL").groupBy(*PAIR, "fold").agg(pearson("x", "y").alias("_fold_r"))
     share, known = directional_consistency(F.col("statistic"), F.col("_fold_r"))
     tested = by_fold.join(full.select(*PAIR, "statistic"), PAIR).groupBy(*PAIR).agg(share.alias("directional_consistency"), F.coalesce(known, F.count("*")).cast("int").alias("_folds"))
     out = full.join(tested, PAIR, "left")

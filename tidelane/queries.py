@@ -310,25 +310,25 @@ def _means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return daily(spark, sf_dir).select("site_id", "date", F.col("value_mean").alias("value"))
 
 
-@query(f"WITH {CLIMATE} SELECT site_id, CAST(doy AS INTEGER) AS doy, round(baseline, 4) AS baseline, CAST(n_years AS INTEGER) AS n_years FROM climate")
+@query(f"WITH {CLIMATE} SELECT site_id, CAST(doy AS INTEGER) AS doy, round(baseline, 6) AS baseline, CAST(n_years AS INTEGER) AS n_years FROM climate")
 def climatology(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(seasonal.climatology(_means(spark, sf_dir), ["site_id"]), "baseline")
+    return rounded(seasonal.climatology(_means(spark, sf_dir), ["site_id"]), "baseline", digits=6)
 
 
 def _anomaly_sql(years: int) -> str:
-    return f"""WITH {CLIMATE} SELECT site_id, date, round(value, 4) AS value, round(CASE WHEN n_years >= {years} THEN value - baseline END, 4) AS anomaly,
+    return f"""WITH {CLIMATE} SELECT site_id, date, round(value, 6) AS value, round(CASE WHEN n_years >= {years} THEN value - baseline END, 6) AS anomaly,
         CAST(coalesce(n_years, 0) AS INTEGER) AS climatology_n_years FROM d LEFT JOIN climate USING (site_id, doy)"""
 
 
 @query(_anomaly_sql(5))
 def anomalies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(seasonal.anomalies(_means(spark, sf_dir), ["site_id"], min_years=5), "value", "anomaly")
+    return rounded(seasonal.anomalies(_means(spark, sf_dir), ["site_id"], min_years=5), "value", "anomaly", digits=6)
 
 
 @query(_anomaly_sql(8))
 def anomaly_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Seven calendar years are below the default of eight: every anomaly is NULL and keeps its year count."""
-    return rounded(seasonal.anomalies(_means(spark, sf_dir), ["site_id"]), "value", "anomaly")
+    return rounded(seasonal.anomalies(_means(spark, sf_dir), ["site_id"]), "value", "anomaly", digits=6)
 
 
 @query(f"WITH {LOWS} SELECT site_id, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 4) AS p{p:02d}" for p in (5, 10, 20)) + " FROM lows GROUP BY 1")
@@ -419,7 +419,7 @@ def _fold_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT t.location, t.horizon_days, fold, test_start, test_end, n_test, min(w.week) AS train_start, max(w.week) AS train_end, count(*) AS n_train
     FROM t JOIN fw w ON w.location = t.location AND w.horizon_days = t.horizon_days AND w.week < test_start - t.horizon_days GROUP BY ALL""")
 def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.folds(_fold_rows(spark, sf_dir), ["location", "horizon_days"], "week", F.col("horizon_days"), (7, 14, 21))
+    return sweep.folds(_fold_rows(spark, sf_dir), ["location", "horizon_days"], "week", "horizon_days", (7, 14, 21))
 
 
 @query("SELECT CAST(0 AS BIGINT) AS n_leaking")
@@ -443,7 +443,7 @@ def bh_qvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _grid_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Five features at each site and one site without rows."""
-    return _sites(spark, sf_dir), feature_table(spark, sf_dir)
+    return _sites(spark, sf_dir), feature_table(spark, sf_dir).persist()  # columns, regimes and as-of matches read it
 
 
 @query(f"""WITH {SITES}, n(feature_name) AS (VALUES ('discharge_mean'), ('discharge_min'), ('days_below_p05'), ('days_below_p10'), ('days_below_p20'))
@@ -584,9 +584,13 @@ OUTCOME = f"""{EVENTS}, {WEEKLY}, r AS (SELECT week_ending, CASE WHEN week(week_
 
 @query(f"WITH {OUTCOME} SELECT site_id, event_start, reason, round(CASE WHEN reason = 'complete' THEN ln(r1 / r0) END, 8) AS log_return FROM o3")
 def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_event_outcomes(spark, sf_dir), "log_return", digits=8)
+
+
+def _event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = analogs.collapse(analogs.detections(_run_values(spark, sf_dir), ["site_id"], "date", "value", 1), ["site_id"], "date", 30).select("site_id", "event_start")
     rates = weekly(spark, sf_dir).where("location = 'N'").withColumn("rate", F.when(F.weekofyear("week_ending") % 9 != 0, F.col("rate")))
-    return rounded(analogs.outcomes(events, rates, "week_ending", "rate", 21), "log_return", digits=8)
+    return analogs.outcomes(events, rates, "week_ending", "rate", 21)
 
 
 @query(f"""WITH {OUTCOME}, g AS (SELECT site_id AS query_id, count(*) AS sel, count(*) FILTER (WHERE reason = 'complete') AS com,
@@ -595,7 +599,7 @@ def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
            com AS n_analogs, CASE WHEN sel > com THEN 0 ELSE greatest(up, down) END AS n_consistent, sel - com AS n_incomplete FROM g""")
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A verdict by site over its events, some of them restricted to earlier years."""
-    rows = event_outcomes(spark, sf_dir).where("year(event_start) < 1999 OR site_id < '3'").withColumnRenamed("site_id", "query_id")
+    rows = _event_outcomes(spark, sf_dir).where("year(event_start) < 1999 OR site_id < '3'").withColumnRenamed("site_id", "query_id")
     summary = rows.select("query_id").distinct().withColumn("query_start", F.lit(Date(2001, 1, 1)))
     verdicts = analogs.gate(summary, rows, replace(P30, min_consistency=0.5))
     return verdicts.select("query_id", "verdict", "n_analogs", "n_consistent", "n_incomplete")
@@ -604,14 +608,15 @@ def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {OUTCOME} SELECT site_id AS query_id, round((exp(median(ln(r1 / r0))) - 1) * 100, 6) AS median_pct, round((exp(min(ln(r1 / r0))) - 1) * 100, 6) AS low_pct, round((exp(max(ln(r1 / r0))) - 1) * 100, 6) AS high_pct
     FROM o3 WHERE reason = 'complete' GROUP BY 1""")
 def outcome_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = event_outcomes(spark, sf_dir).where("reason = 'complete'").withColumnRenamed("site_id", "query_id")
+    rows = _event_outcomes(spark, sf_dir).where("reason = 'complete'").withColumnRenamed("site_id", "query_id")
     passed = rows.select("query_id").distinct().withColumn("verdict", F.lit("passed"))
     return rounded(analogs.estimates(passed, rows), "median_pct", "low_pct", "high_pct", digits=6)
 
 
 def _answers(spark: SparkSession, sf_dir: str, p: analogs.Parameters) -> analogs.Answers:
     rates = weekly(spark, sf_dir).where("location = 'N'")
-    return analogs.answer(_queries(spark, sf_dir), feature_table(spark, sf_dir), rates, "week_ending", "rate", p)
+    table_ = feature_table(spark, sf_dir).persist()  # read by five stages of the answer
+    return analogs.answer(_queries(spark, sf_dir), table_, rates, "week_ending", "rate", p)
 
 
 def _named_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -642,10 +647,11 @@ def conclusions_no_event(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {CLIMATE.replace('value_mean AS value', 'value_min AS value')}, q AS (SELECT site_id || '/' || CAST(date AS VARCHAR) AS query_id, site_id, date AS as_of FROM daily WHERE year(date) >= 1999 AND day(date) = 15)
-    SELECT query_id, round(n.value - p.value, 4) AS change, round(CASE WHEN n_years >= 5 THEN n.value - baseline END, 4) AS anomaly, CAST(n_years AS INTEGER) AS n_years
+    SELECT query_id, round(n.value - p.value, 4) AS change, round(CASE WHEN n_years >= 5 THEN n.value - baseline END, 6) AS anomaly, CAST(n_years AS INTEGER) AS n_years
     FROM q LEFT JOIN d n ON n.site_id = q.site_id AND n.date = q.as_of LEFT JOIN climate c ON c.site_id = n.site_id AND c.doy = n.doy LEFT JOIN d p ON p.site_id = q.site_id AND p.date = q.as_of - 14""")
 def current_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(analogs.condition(_queries(spark, sf_dir), feature_table(spark, sf_dir), P30), "change", "anomaly")
+    out = analogs.condition(_queries(spark, sf_dir), feature_table(spark, sf_dir), P30)
+    return rounded(rounded(out, "change"), "anomaly", digits=6)
 
 
 # --- readers, reports and quality -----------------------------------------------------------------------------
