@@ -92,7 +92,8 @@ def with_folds(rows: DataFrame, keys: list[str], week: str, horizon: Column, hor
     out = out.withColumn("_first", F.min(F.when(F.col("_train") >= min_train, F.col("_ord"))).over(whole))
     block = F.floor((F.col("_n") - F.col("_first")) / n_folds)
     fold = F.least(F.floor((F.col("_ord") - F.col("_first")) / F.when(block > 0, block)), F.lit(n_folds - 1))
-    return out.withColumn("fold", F.when(F.col("_ord") >= F.col("_first"), fold).cast("int")).drop("_d", "_train", "_ord", "_n", "_first")
+    testing = (F.col("_ord") >= F.col("_first")) & (block > 0)
+    return out.withColumn("fold", F.when(testing, fold).cast("int")).drop("_d", "_train", "_ord", "_n", "_first")
 
 
 def folds(rows: DataFrame, keys: list[str], week: str, horizon: str, horizons: tuple[int, ...], n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:

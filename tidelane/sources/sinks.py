@@ -37,17 +37,16 @@ def write_merge(spark: SparkSession, path: str, source: DataFrame, keys: list[st
     Only partitions with a change are rewritten, from a staged copy, so no job reads what it overwrites; a rerun
     changes 0 rows and writes nothing.
     """
-    target = spark.read.schema(source.select(*keys, *values, partition).schema).parquet(path) if _exists(spark, path) else source.limit(0)
-    delta = changes(target, source, keys, values)
-    if partition not in [*keys, *values]:
-        delta = delta.join(source.select(*keys, partition), keys)
+    carried = [c for c in dict.fromkeys([*values, partition]) if c not in keys]
+    source = source.select(*keys, *carried)
+    target = spark.read.schema(source.schema).parquet(path) if _exists(spark, path) else source.limit(0)
+    delta = changes(target, source, keys, carried)
     delta = delta.persist()
     try:
         n = delta.count()
         if n:
             touched = delta.select(partition).distinct()
             part = target.join(F.broadcast(touched), partition, "left_semi")
-            carried = [c for c in [*values, partition] if c not in keys]
             staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
             merged(part, delta, keys, carried).write.parquet(staged)
             rows = spark.read.parquet(staged)
