@@ -21,7 +21,7 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, texts
@@ -191,18 +191,17 @@ def bucket_links(key: np.ndarray, own: np.ndarray, fp: np.ndarray, tau: int, lar
     return np.concatenate(left or [np.zeros(0, np.int64)]), np.concatenate(right or [np.zeros(0, np.int64)])
 
 
+def _buckets(k: int, mask: int, t: int) -> list[Column]:
+    """Arrays of (part, value, own): the fingerprint's own bucket in partition k, and those within t bits of it."""
+    value = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
+    flips = [_signed(sum(1 << i for i in c)) for d in range(1, t + 1) for c in combinations(_bits(mask), d)]
+    near = F.transform(F.array(*[F.lit(x).cast("long") for x in flips]), lambda x: F.struct(F.lit(k).alias("part"), value.bitwiseXOR(x).alias("value"), F.lit(False).alias("own")))
+    return [F.array(F.struct(F.lit(k).alias("part"), value.alias("value"), F.lit(True).alias("own"))), *([near] if flips else [])]
+
+
 def fingerprint_links(prints: DataFrame, scheme: Scheme, tau: int = DISTANCE) -> DataFrame:
     """(u, v): links between representatives, from (rep, fp) with distinct fp; connects all that is within tau."""
-    buckets = []
-    for k, (mask, t) in enumerate(zip(scheme.masks, scheme.thresholds)):
-        if t < 0:
-            continue
-        value = F.col("fp").bitwiseAND(F.lit(_signed(mask)))
-        flips = [sum(1 << i for i in c) for d in range(1, t + 1) for c in combinations(_bits(mask), d)]
-        buckets.append(F.array(F.struct(F.lit(k).alias("part"), value.alias("value"), F.lit(True).alias("own"))))
-        if flips:
-            near = F.transform(F.lit([_signed(x) for x in flips]), lambda x, v=value: v.bitwiseXOR(x))
-            buckets.append(F.transform(near, lambda v, k=k: F.struct(F.lit(k).alias("part"), v.alias("value"), F.lit(False).alias("own"))))
+    buckets = [b for k, (mask, t) in enumerate(zip(scheme.masks, scheme.thresholds)) if t >= 0 for b in _buckets(k, mask, t)]
 
     def run(batches):
         held = None
