@@ -133,11 +133,11 @@ def top_k(
 
     ``is_query`` is a condition on ``vec_id``. Components are floor(scale * x); scores are exact integer inner products (components times
     dimensions have to stay below 2**53). Candidates are all rows but the query's own id; fewer than k give fewer
-    rows. Vectors that are null or hold null or non-finite components take no part, nor do rows without an id;
+    rows. Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id;
     rows that repeat an id and vector count once. Vectors of different lengths are searched among their own length.
     """
     prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")) & (F.size("v") > 0))
     rows = stage(rows.select("vec_id", scaled(F.col("v"), scale).cast("array<double>").alias("v")).distinct().withColumn("dim", F.size("v")), "vectors")
     sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each vector length
     out = []

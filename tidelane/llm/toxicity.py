@@ -136,7 +136,7 @@ def build_index(table: pa.Table, sizes: dict[int, int], terms: np.ndarray, idf:
     ids = table["doc_id"].to_numpy()
     column = table["text"].combine_chunks()
     held = {c: max(int((y == c).sum()), 1) for c in (0, 1)}
-    total = max(sum(sizes.values()), 1)
+    total = sum(sizes.values())
     weight = np.where(y == 1, sizes[1] / held[1], sizes[0] / held[0])
     out = Index(terms, idf, prior=(sizes[1] + 0.5) / (total + 1))
     vectors: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -152,11 +152,10 @@ def build_index(table: pa.Table, sizes: dict[int, int], terms: np.ndarray, idf:
     out.postings = np.zeros((len(terms), max(blocks, 1) * BLOCK), np.float32)
     for at, r in enumerate(rows):
         out.postings[vectors[r][0], at] = vectors[r][1]
-    out.block_max = out.postings.reshape(len(terms), -1, BLOCK).max(2)
+    out.block_max = out.postings.reshape(len(terms), max(blocks, 1), BLOCK).max(2)
     bare = np.ones(len(y), bool)
     bare[rows] = False
-    rate = lambda m: (weight[m] @ y[m] + 0.5 * out.prior) / (weight[m].sum() + 0.5)
-    out.empty = float(rate(bare))
+    out.empty = float((weight[bare] @ y[bare] + 0.5 * out.prior) / (weight[bare].sum() + 0.5))
     raw = np.array([out.vote(*out.nearest(*vectors[r], k, without=at)) for at, r in enumerate(rows)])
     if len(rows):
         out.slope, out.shift = _platt(raw, out.y, out.weight / out.weight.mean())
