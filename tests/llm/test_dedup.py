@@ -156,8 +156,10 @@ def test_suffixes(spark, monkeypatch, length, gram, windows):
         assert (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) == expected[r.doc_id], r.doc_id
 
 
-def test_one_leading_string_over_many_buckets(spark):
-    """A passage in every document, with other words around it: its runs fill several range buckets."""
+@pytest.mark.parametrize("most", [7, 100_000])
+def test_one_leading_string_over_many_parts(spark, monkeypatch, most):
+    """A passage in every document, with other words around it: its runs are dealt over several parts."""
+    monkeypatch.setattr(suffix_dedup, "SPLIT_RUNS", most)
     r = random.Random(6)
     word = lambda: "".join(r.choices("abcdefgh", k=9))
     line = " ".join(word() for _ in range(9))

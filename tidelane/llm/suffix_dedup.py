@@ -3,9 +3,10 @@
 Of all suffixes only those at anchors take part (see ``anchors``): every string of the given length holds one. The
 suffixes that are still open after equal runs are settled are range-partitioned by their leading bytes with
 splitters sampled from them; each bucket sorts the window-length suffixes of its runs by multikey quicksort on
-8-byte keys, level by level, and equal neighbours in that order are repeats. A bucket's first and last leading
-strings may go on in the next bucket, so their windows are compared across boundaries by a second, much smaller
-aggregation; a leading string that fills many buckets is spread over all of them that way.
+8-byte keys, level by level, and equal neighbours in that order are repeats. Splitters fall between leading
+strings, so a window has all its equals in its own bucket, with one exception: a leading string with more runs than
+a task should take is dealt over several parts. The distinct windows of its parts are then compared across their
+boundaries by an aggregation on digests.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .subwords import slices
 LENGTH, GRAM = 100, 32
 _SAME = np.arange(256, dtype=np.uint8)
 SORTED_WINDOWS = 100_000  # windows sorted at once
+SPLIT_RUNS = 100_000  # runs of one leading string that a task takes; more are dealt to several
 
 
 def byte_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -122,11 +124,11 @@ def _compared(segments: DataFrame, length: int) -> DataFrame:
         return rows(doc[run[first]], lo[run[first]] + start[first], np.diff(np.append(first, len(run))))
 
     def sort_runs(columns):
-        lead, doc, lo, off, n, seg = columns
+        key, doc, lo, off, n, seg, split = columns
         doc, lo, off, n = (c.to_numpy().astype(np.int64) for c in (doc, lo, off, n))
         seg = seg.to_pylist()
-        # whole leading strings, in chunks of bounded size; a larger one goes by the anchor's place in the window
-        marks = lead.to_pylist()
+        # whole keys, in chunks of bounded size; a larger one goes by the anchor's place in the window
+        marks = key.to_pylist()
         edge = [0, *(i for i in range(1, len(marks)) if marks[i] != marks[i - 1]), len(marks)]
         total = np.concatenate(([0], np.cumsum(n)))
         k = 0
@@ -150,36 +152,33 @@ def _compared(segments: DataFrame, length: int) -> DataFrame:
                     run, _ = _repeated(doc[at], lo[at] + first, off[at], np.ones(len(at), np.int64), [seg[i][f : f + length] for i, f in zip(at, first)], length)
                     yield rows(doc[at[run]], (lo[at] + first)[run])
             k = j
+        over = np.flatnonzero(split.to_numpy(zero_copy_only=False))
+        if len(over):
+            yield from at_boundary(doc[over], lo[over], n[over], [seg[i] for i in over])
 
-    def at_boundary(kept):
-        """One row for each distinct window: its first place in this bucket; its other places here are settled."""
+    def at_boundary(doc, lo, n, seg):
+        """One row for each distinct window: its first place in this part; its other places here are settled."""
         least: dict[bytes, tuple[int, int]] = {}
-        for _, d, p, count, s in kept:
+        for d, p, count, s in zip(doc, lo, n, seg):
             for i in range(count):
                 digest = hashlib.blake2b(s[i : i + length], digest_size=16).digest()
-                here = (d, p + i)
+                here = (int(d), int(p) + i)
                 if digest not in least or here < least[digest]:
                     least[digest] = here
         if least:
             yield rows(*zip(*least.values()), digest=list(least))
 
     def run(batches):
-        kept: list[tuple] = []
-        yield from by_sorted_key(batches_with_edges(batches, kept), 6, last_key_start, sort_runs)
-        yield from at_boundary(kept)
-
-    def batches_with_edges(batches, kept):
-        """Passes batches on; keeps the runs of the first leading string and of the latest one."""
-        first = None
-        for batch in batches:
-            for lead, doc, lo, n, seg in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2, 4, 5))):
-                first = lead if first is None else first
-                while kept and kept[-1][0] not in (first, lead):
-                    kept.pop()
-                kept.append((lead, doc, lo, n, seg))
-            yield batch
-
-    ranged = segments.repartitionByRange("lead", "seg").sortWithinPartitions("lead", "seg", "doc_id", "lo")
+        yield from by_sorted_key(batches, 7, last_key_start, sort_runs)
+
+    counts = segments.groupBy("lead").agg(F.count("*").alias("runs")).where(F.col("runs") > SPLIT_RUNS)
+    if counts.isEmpty():
+        parts = segments.withColumns({"key": F.col("lead"), "split": F.lit(False)})
+    else:
+        part = F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("runs") / SPLIT_RUNS))
+        parts = segments.join(counts, "lead", "left").withColumn("split", F.col("runs").isNotNull())
+        parts = parts.withColumn("key", F.when(F.col("split"), F.concat("lead", F.unhex(F.lpad(F.hex(part), 16, "0")))).otherwise(F.col("lead")))
+    ranged = parts.select("key", "doc_id", "lo", "off", "n", "seg", "split").repartitionByRange("key").sortWithinPartitions("key", "doc_id", "lo")
     out = stage(ranged.mapInArrow(run, "doc_id long, start long, n long, digest binary"), "windows")
     edges = out.where("digest is not null")
     least = edges.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("c")).where("c > 1")
