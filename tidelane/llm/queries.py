@@ -38,8 +38,9 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the text they decode to, as digests."""
     path = tokenizer_file("piece_bpe_32k.model")
     encoded = sentencepiece_encode(documents(spark, sf_dir), path)
-    out = sentencepiece_decode(encoded, path, keep=("ids",))
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.sha2(F.array_join("ids", " ").cast("binary"), 256).alias("ids_sha256"), sha256("text").alias("decoded_sha256"))
+    encoded = encoded.withColumns({"n_ids": F.size("ids").cast("long"), "ids_xxh64": F.xxhash64("ids")})
+    out = sentencepiece_decode(encoded, path, keep=("n_ids", "ids_xxh64"))
+    return out.select("doc_id", "n_ids", "ids_xxh64", sha256("text").alias("decoded_sha256"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,7 +15,7 @@ only state is 0.
 from __future__ import annotations
 
 import re
-from functools import lru_cache
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage, texts
+from .subwords import row_ranges
 
 MARK = "▁"
 CHUNK, NEAR = 1 << 16, 2048
-WORD_CACHE = 400_000  # segmented words that a task remembers
+WORD_CACHE = 250_000  # segmented words that a task remembers
 _LOW = -(1 << 60)
 
 
@@ -57,13 +58,13 @@ class Model:
                 self.ids[p.piece] = i
         self.longest = max(map(len, self.ids), default=1)
         self.unknown = min((self.scores[i] for i in self.ids.values()), default=0) - 10
-        # words can be cut off before a space unless a piece has one behind something else
+        # words are cut before spaces and where letters, digits and other characters meet, if every piece lies within
+        # one such word; else before spaces only, or not at all
         self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        inside = {c for p in self.ids for c in p}
-        lone = "".join(re.escape(c) for c in "\n\t\r" if c not in inside)
-        word = f"[^{MARK}{lone}]"
-        self.words = re.compile(f"{MARK}+{word}*|{word}+" + (f"|[{lone}]" if lone else "")) if self.by_word else re.compile(r"(?s).+")
-        self.encode_word = lru_cache(WORD_CACHE)(self._encode_word)
+        fine = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*[^{MARK}\w]+|{MARK}*[\d_]+|{MARK}+", re.DOTALL)
+        coarse = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.words = (fine if all(map(fine.fullmatch, self.ids)) else coarse) if self.by_word else re.compile(r"(?s).+")
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def forward(self, s: str, entry: dict[int, float], end: int) -> tuple[list[float], list[int]]:
         """Best score and start of the last piece at positions 0 to end; entry gives the scores to begin from.
@@ -72,19 +73,35 @@ class Model:
         score, start = [_LOW] * (n + 1), [-1] * (n + 1)
         for p, v in entry.items():
             score[p] = v
-        ids, scores, longest, unknown = self.ids, self.scores, self.longest, self.unknown
+        ids, root, unknown = self.ids, self.trie, self.unknown
         for a in range(min(end, n)):
             base = score[a]
             if base <= _LOW:
                 continue
             if s[a] not in ids and base + unknown > score[a + 1]:
                 score[a + 1], start[a + 1] = base + unknown, a
-            for b in range(a + 1, min(n, a + longest) + 1):
-                i = ids.get(s[a:b])
-                if i is not None and base + scores[i] > score[b]:
-                    score[b], start[b] = base + scores[i], a
+            node, b = root, a
+            while b < n:
+                node = node.get(s[b])
+                if node is None:
+                    break
+                b += 1
+                hit = node.get(0)
+                if hit is not None and base + hit[0] > score[b]:
+                    score[b], start[b] = base + hit[0], a
         return score, start
 
+    @cached_property
+    def trie(self) -> dict:
+        """Nested dicts by character; 0 holds (score, id) of the piece that ends there."""
+        root: dict = {}
+        for piece, i in self.ids.items():
+            node = root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[0] = (self.scores[i], i)
+        return root
+
     def path(self, s: str, start: list[int], end: int, begin: int) -> list[int]:
         """Ids of the best path that ends at ``end``, back to ``begin``."""
         cuts = [end]
@@ -97,17 +114,130 @@ class Model:
         return out
 
     def _encode_word(self, s: str) -> tuple[int, ...]:
-        i = self.ids.get(s) if len(s) == 1 else None
-        return (i,) if i is not None else tuple(self.path(s, self.forward(s, {0: 0.0}, len(s))[1], len(s), 0))
-
-    def encode(self, normal: str) -> list[int]:
-        """Ids of a normalised text, word by word (whole, if the model has no word boundaries)."""
+        """The best segmentation of a whole word; ``forward`` and ``path`` in one pass."""
+        n = len(s)
+        best, start, piece = [0.0] + [_LOW] * n, [0] * (n + 1), [-1] * (n + 1)
+        root = self.trie
+        for a in range(n):
+            base = best[a]
+            node = root.get(s[a])
+            if (node is None or 0 not in node) and base + self.unknown > best[a + 1]:
+                best[a + 1], start[a + 1], piece[a + 1] = base + self.unknown, a, -1
+            b = a
+            while node is not None:
+                b += 1
+                hit = node.get(0)
+                if hit is not None:
+                    value = base + hit[0]
+                    if value > best[b]:
+                        best[b], start[b], piece[b] = value, a, hit[1]
+                if b == n:
+                    break
+                node = node.get(s[b])
         out: list[int] = []
-        word = self.encode_word
-        for w in self.words.findall(normal):
-            out.extend(word(w))
+        while n:
+            a = start[n]
+            if piece[n] >= 0:
+                out.append(piece[n])
+            else:
+                out.extend(self.byte_ids[x] for x in reversed(s[a:n].encode()))
+            n = a
+        return tuple(out[::-1])
+
+    def encode_many(self, normal: list[str]) -> list[list[int]]:
+        """Ids of normalised texts. Words are segmented once and remembered; new ones all at the same time."""
+        split = [self.words.findall(s) for s in normal]
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        known = self.known
+        self._learn([w for w in set().union(*split) if w not in known])
+        out = []
+        for words in split:
+            ids: list[int] = []
+            for w in words:
+                ids += known[w]
+            out.append(ids)
         return out
 
+    def encode(self, normal: str) -> list[int]:
+        return self.encode_many([normal])[0]
+
+    @cached_property
+    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The trie as sorted (node << 21 | character) keys and children, and score and id of each node."""
+        keys, children, scores, ids = [], [], [-np.inf], [-1]
+        todo = [(0, self.trie)]
+        for number, node in todo:
+            for c, child in node.items():
+                if c == 0:
+                    continue
+                keys.append(number << 21 | ord(c))
+                children.append(len(scores))
+                score, i = child.get(0, (-np.inf, -1))
+                scores.append(score)
+                ids.append(i)
+                todo.append((children[-1], child))
+        order = np.argsort(np.array(keys, np.int64))
+        return np.array(keys, np.int64)[order], np.array(children)[order], np.array(scores), np.array(ids)
+
+    def _learn(self, words: list[str]) -> None:
+        """Segments words side by side: trie steps for all their characters at once, then the dynamic program by
+        position, then all backtraces. Long words and those with unknown characters go one by one."""
+        keys, children, scores, ids = self._arrays
+        lone = [w for w in words if len(w) > 64]
+        words = [w for w in words if len(w) <= 64]
+        if words:
+            code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
+            size = np.array([len(w) for w in words])
+            end = np.cumsum(size)
+            word = np.repeat(np.arange(len(words)), size)
+            place = np.arange(len(code)) - np.repeat(end - size, size)
+            at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
+            edges = []
+            for d in range(1, self.longest + 1):
+                go = at + d <= end[word[at]]
+                at, node = at[go], node[go]
+                key = node << 21 | code[at + d - 1]
+                k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[k] == key
+                at, node = at[hit], children[k[hit]]
+                if not len(at):
+                    break
+                full = ids[node] >= 0
+                edges.append((at[full], np.full(full.sum(), d), scores[node[full]], ids[node[full]]))
+            first, d, score, piece = (np.concatenate(x) for x in zip(*edges)) if edges else [np.zeros(0, np.int64)] * 4
+            base = first + word[first]  # every word has one state more than characters
+            step = (place[first] + d) * 32 + 31 - d  # by end, the longest piece first
+            order = np.argsort(step, kind="stable")
+            first, d, score, piece, base, step = (x[order] for x in (first, d, score, piece, base, step))
+            best, back, used = np.full(len(code) + len(words), -np.inf), np.zeros(len(code) + len(words), np.int64), np.full(len(code) + len(words), -1)
+            best[(end - size) + np.arange(len(words))] = 0
+            cuts = np.flatnonzero(np.diff(step)) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(step)]):
+                if a == b:
+                    continue
+                to, value = base[a:b] + d[a:b], best[base[a:b]] + score[a:b]
+                better = value > best[to]
+                to = to[better]
+                best[to], back[to], used[to] = value[better], base[a:b][better], piece[a:b][better]
+            last = end + np.arange(len(words))
+            fine = np.isfinite(best[last])
+            lone += [words[i] for i in np.flatnonzero(~fine)]
+            row, state, found = np.flatnonzero(fine), last[fine], []
+            while len(row):
+                found.append((row, used[state]))
+                state = back[state]
+                more = state > (end - size)[row] + row
+                row, state = row[more], state[more]
+            if found:
+                depth = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
+                row, piece = (np.concatenate(x) for x in zip(*found))
+                order = np.lexsort((-depth, row))
+                row, flat = row[order], piece[order].tolist()
+                edge = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
+                self.known.update((words[i], tuple(flat[a:b])) for i, a, b in zip(row[edge[:-1]].tolist(), edge, edge[1:]))
+        self.known.update((w, self._encode_word(w)) for w in lone)
+
     def decode(self, ids) -> str:
         """Text of ids, without the dummy space."""
         raw = b"".join(map(self.pieces.__getitem__, ids))
@@ -166,7 +296,7 @@ def combine(matrices: list[np.ndarray]) -> list[int]:
     return states[::-1]
 
 
-def _ids_batch(keys: dict[str, pa.Array], ids: list[list[int]]) -> pa.RecordBatch:
+def _ids_batch(keys: dict[str, pa.Array], ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*keys.values(), pa.array(ids, pa.list_(pa.int32()))], names=[*keys, "ids"])
 
 
@@ -181,7 +311,9 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, i
     def short(batches):
         m = model(model_path)
         for batch in batches:
-            yield _ids_batch({"doc_id": batch.column(0)}, [m.encode(m.normal(t.as_py())) for t in batch.column(1)])
+            for lo, hi in row_ranges(batch.column(1)):
+                part = batch.slice(lo, hi - lo)
+                yield _ids_batch({"doc_id": part.column(0)}, [np.array(x, np.int32) for x in m.encode_many([m.normal(t) for t in part.column(1).to_pylist()])])
 
     def cut(batches):
         m = model(model_path)
@@ -230,7 +362,8 @@ def sentencepiece_decode(encoded: DataFrame, model_path: str, keep: tuple[str, .
         m = model(model_path)
         for batch in batches:
             names = ["doc_id", *keep]
-            text = pa.array([m.decode(ids or ()) for ids in batch.column("ids").to_pylist()], pa.string())
+            ids = batch.column("ids")
+            text = pa.array([m.decode(x.values.to_numpy().tolist() if x.is_valid else ()) for x in ids], pa.string())
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), text], names=[*names, "text"])
 
     schema = encoded.select("doc_id", *keep, F.lit("").alias("text")).schema

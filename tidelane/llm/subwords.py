@@ -28,18 +28,24 @@ class Slice:
     lengths: np.ndarray
 
 
+def row_ranges(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(lo, hi) of consecutive rows whose texts have about ``limit`` bytes."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    lo = 0
+    while lo < len(total):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + limit, side="right")))
+        yield lo, hi
+        lo = hi
+
+
 def slices(column: pa.Array, table: np.ndarray = SPACED, limit: int = SLICE_BYTES) -> Iterator[Slice]:
     """The texts of a string column, mapped by ``table``, in slices of about ``limit`` bytes."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    total = np.cumsum(sizes)
-    lo = 0
-    while lo < len(sizes):
-        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + limit, side="right")))
+    for lo, hi in row_ranges(column, limit):
         part = column.slice(lo, hi - lo).to_pylist()
         raw = b" " + b" ".join([(x or "").encode() for x in part]) + b" "
         lengths = sizes[lo:hi]
         yield Slice(lo, hi, table[np.frombuffer(raw, np.uint8)], 1 + np.cumsum(lengths + 1) - lengths - 1, lengths)
-        lo = hi
 
 
 def grams(buf: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
