@@ -33,7 +33,7 @@ def test_asof_backward_against_a_loop(spark):
 def test_asof_lagged_reads_known_values_only(spark):
     weeks = spark.createDataFrame([("a", D)], "k string, w date")
     rows = spark.createDataFrame([("a", D - timedelta(days=8), 1.0), ("a", D - timedelta(days=7), None), ("a", D + timedelta(days=6), 9.0)], "k string, d date, x double")
-    lags = spark.createDataFrame([(7,), (-7,), (30,)], "lag_days int")
+    lags = [7, -7, 30]
     out = {r.lag_days: (r.d, r.x) for r in asof.asof_lagged(weeks, rows, ["k"], "w", "d", "x", lags).collect()}
     assert out == {7: (D - timedelta(days=8), 1.0), -7: (D + timedelta(days=6), 9.0)}
 

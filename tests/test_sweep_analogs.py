@@ -81,7 +81,7 @@ def test_sweep_writes_every_cell(spark):
     weekly = [(D + timedelta(days=7 * i), h, (13 * i) % 29 / 100 - 0.14) for i in range(125) for h in (7, 14)]
     targets = spark.createDataFrame(weekly, "week_ending date, horizon_days int, value double")
     sites = spark.createDataFrame([("s1",), ("s2",), ("silent",)], "site_id string")
-    out = sweep.sweep(features, targets, sites, ["days_below_p10", "discharge_mean"], sweep.lag_axis(spark, -1, 1), 5, (7, 14)).toPandas()
+    out = sweep.sweep(features, targets, sites, ["days_below_p10", "discharge_mean"], sweep.lag_axis(-1, 1), 5, (7, 14)).toPandas()
     assert len(out) == 3 * 2 * 2 * 3 * 3
     assert set(out[out.site_id == "silent"].status) == {"insufficient_observations"}
     assert set(out[(out.feature_name == "discharge_mean") & (out.site_id != "silent")].series_column) == {"anomaly"}
@@ -93,7 +93,7 @@ def test_sweep_writes_every_cell(spark):
     cell = out[(out.site_id == "s1") & (out.feature_name == "days_below_p10") & (out.lag_days == 0) & (out.regime == "all") & (out.horizon_days == 7)].iloc[0]
     assert cell.statistic == pytest.approx(np.corrcoef(x, y)[0, 1]) and cell.n_observations == 125 and cell.folds == 5
     with pytest.raises(ValueError):
-        sweep.lag_axis(spark, 3, 1)
+        sweep.lag_axis(3, 1)
 
 
 def runs(spans, total, start):

@@ -6,10 +6,12 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from ..session import importable
+
 PERIOD_DAYS, MIN_EFFECTIVE = 7, 2.0
 
 
@@ -66,6 +68,7 @@ def _p_value(r: pd.Series, n_effective: pd.Series) -> pd.Series:
 def p_value(r: Column, n_effective: Column) -> Column:
     """Two-tailed p of a correlation, NULL unless the effective n exceeds 2; exactly 0 for |r| = 1. One vectorised
     call for a batch of rows: Spark has no log-gamma function."""
+    importable(SparkSession.getActiveSession())
     return _p_value(r, n_effective)
 
 

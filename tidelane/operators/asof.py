@@ -39,12 +39,12 @@ def asof_backward(
     return carried.select("_left.*", F.col(f"{name}._at").alias(matched), *[F.col(f"{name}.{c}").alias(c) for c in values])
 
 
-def asof_lagged(weeks: DataFrame, series: DataFrame, keys: list[str], week: str, date: str, value: str, lags: DataFrame) -> DataFrame:
+def asof_lagged(weeks: DataFrame, series: DataFrame, keys: list[str], week: str, date: str, value: str, lags: list[int]) -> DataFrame:
     """The series as of ``week - lag_days`` for every week and lag; a negative lag reads after the week.
 
-    Lags (a short table, column lag_days) multiply the weeks, the smaller side, before the join. Rows of the
+    Lags multiply the weeks, the smaller side, before the join (as ``lag_days``). Rows of the
     series without a value are no candidates, and weeks without a match are dropped.
     """
-    anchored = weeks.join(F.broadcast(lags)).withColumn("_anchor", F.date_sub(F.col(week), F.col("lag_days").cast("int")))
+    anchored = weeks.withColumn("lag_days", F.explode(F.array(*map(F.lit, lags)))).withColumn("_anchor", F.date_sub(F.col(week), F.col("lag_days").cast("int")))
     known = series.where(F.col(value).isNotNull())
     return asof_backward(anchored, known, keys, "_anchor", date, [value], keep_unmatched=False).drop("_anchor")

@@ -114,12 +114,13 @@ def k_nearest(vecs: DataFrame, candidates: DataFrame, p: Parameters) -> DataFram
 
 def outcomes(events: DataFrame, rates: DataFrame, week: str, rate: str, window_days: int, keys: list[str] | None = None) -> DataFrame:
     """Adds reason and log_return: the move from the last week at or before event_start to the last at or before its
-    end. A week without a rate is matched, not skipped. The series' reach is judged first, on all weeks."""
+    end. A week without a rate is matched, not skipped. The series' reach is judged first, on all weeks.
+    One rate series may serve any number of events, so both are dealt by year."""
     keys = keys or []
     one = rates.withColumn("_all", F.lit(1))
     rows = events.withColumns({"_all": F.lit(1), "_end": F.date_add("event_start", window_days)})
-    first = asof_backward(rows, one.select("_all", *keys, week, F.col(rate).alias("_r0")), ["_all", *keys], "event_start", week, ["_r0"]).drop(week)
-    both = asof_backward(first, one.select("_all", *keys, week, F.col(rate).alias("_r1")), ["_all", *keys], "_end", week, ["_r1"]).drop(week)
+    first = asof_backward(rows, one.select("_all", *keys, week, F.col(rate).alias("_r0")), ["_all", *keys], "event_start", week, ["_r0"], bucket="year(t)").drop(week)
+    both = asof_backward(first, one.select("_all", *keys, week, F.col(rate).alias("_r1")), ["_all", *keys], "_end", week, ["_r1"], bucket="year(t)").drop(week)
     reach = one.groupBy("_all", *keys).agg(F.max(week).alias("_reach"))
     joined = both.join(F.broadcast(reach), ["_all", *keys], "left")
     reason = (

@@ -15,10 +15,10 @@ FOLDS, MIN_TRAIN = 5, 26
 PAIR = ["feature_name", "site_id", "horizon_days", "lag_days", "regime"]
 
 
-def lag_axis(spark: SparkSession, low: int = -21, high: int = 21) -> DataFrame:
+def lag_axis(low: int = -21, high: int = 21) -> list[int]:
     if low > high:
         raise ValueError("the lag range is inverted")
-    return spark.range(low, high + 1).select(F.col("id").cast("int").alias("lag_days"))
+    return list(range(low, high + 1))
 
 
 def single_observation(daily: DataFrame, keys: list[str]) -> DataFrame:
@@ -38,7 +38,7 @@ def skips(spark: SparkSession, single: DataFrame, features: tuple[Feature, ...])
 
 
 def build_grid(
-    sites: DataFrame, names: list[str], columns: DataFrame, lags: DataFrame, horizons: tuple[int, ...] = HORIZONS, regimes: tuple[str, ...] = REGIMES, skipped: DataFrame | None = None,
+    sites: DataFrame, names: list[str], columns: DataFrame, lags: list[int], horizons: tuple[int, ...] = HORIZONS, regimes: tuple[str, ...] = REGIMES, skipped: DataFrame | None = None,
 ) -> DataFrame:
     """One row for each cell; sites without rows stay, to be recorded as such. The axes are short tables that are
     exploded along the sites, the only side that grows."""
@@ -47,8 +47,7 @@ def build_grid(
     if skipped is not None:
         cells = cells.join(skipped.select("site_id", "feature_name"), ["site_id", "feature_name"], "left_anti")
     cells = cells.join(columns, ["feature_name", "site_id"], "left").withColumn("series_column", F.coalesce("series_column", F.lit("value")))
-    cells = cells.select("*", axis(horizons, "horizon_days")).select("*", axis(regimes, "regime"))
-    return cells.join(F.broadcast(lags))
+    return cells.select("*", axis(horizons, "horizon_days")).select("*", axis(regimes, "regime")).select("*", axis(lags, "lag_days"))
 
 
 def chosen_series(features: DataFrame, columns: DataFrame) -> DataFrame:
@@ -57,7 +56,7 @@ def chosen_series(features: DataFrame, columns: DataFrame) -> DataFrame:
     return picked.select("feature_name", "site_id", "date", F.when(F.col("series_column") == "anomaly", F.col("anomaly")).otherwise(F.col("value")).alias("value"))
 
 
-def align(series: DataFrame, targets: DataFrame, lags: DataFrame) -> DataFrame:
+def align(series: DataFrame, targets: DataFrame, lags: list[int]) -> DataFrame:
     """feature_name, site_id, horizon_days, lag_days, week, fdate, x, y.
 
     Weeks and lags are matched to a series once, for all horizons; the targets join by week afterwards. Weeks whose
@@ -112,7 +111,8 @@ def leaking(folds_: DataFrame, horizon: Column) -> DataFrame:
 
 def measurements(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
     """One row for each pair with aligned rows: status, statistic, p, n, effective n, folds, consistency."""
-    rows = with_folds(rows, PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)  # the one shuffle by pair
+    if "fold" not in rows.columns:
+        rows = with_folds(rows, PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)
     full = rows.groupBy(*PAIR).agg(pearson("x", "y").alias("_r"), F.count("*").alias("n_observations"))
     full = full.withColumn("_n_eff", effective_n(F.col("n_observations"), F.col("horizon_days")))
     measured = F.col("_r").isNotNull() & (F.col("_n_eff") > MIN_EFFECTIVE)
@@ -140,12 +140,13 @@ def adjusted(grid: DataFrame, measured: DataFrame, run_id: int) -> DataFrame:
     return rows.withColumns({"n_tests_adjusted": F.coalesce(F.max("n_tests_adjusted").over(total), F.lit(0).cast("long")), "passes_gate": passes_gate(F.col("q_value"), F.col("directional_consistency"), F.col("folds"))})
 
 
-def sweep(features: DataFrame, targets: DataFrame, sites: DataFrame, names: list[str], lags: DataFrame, run_id: int, horizons: tuple[int, ...] = HORIZONS, skipped: DataFrame | None = None, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
-    """The whole scan: one row for each cell of the grid."""
+def sweep(features: DataFrame, targets: DataFrame, sites: DataFrame, names: list[str], lags: list[int], run_id: int, horizons: tuple[int, ...] = HORIZONS, skipped: DataFrame | None = None, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
+    """The whole scan: one row for each cell of the grid. Aligned rows stay cached until ``clearCache`` or eviction."""
     columns = series_columns(features)
     grid = build_grid(sites, names, columns, lags, horizons, skipped=skipped)
     series = chosen_series(features, columns)
-    rows = in_regimes(align(series, targets, lags), series)
+    rows = with_folds(in_regimes(align(series, targets, lags), series), PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)
+    rows = rows.select(*PAIR, "week", "fold", "x", "y").persist()  # read for the pairs and for their folds; partitioned by pair
     return adjusted(grid, measurements(rows, horizons, n_folds, min_train), run_id)
 
 

@@ -263,7 +263,7 @@ def asof_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT l.site_id, l.week_ending, l.lag_days, d.date, d.value_min FROM lagged l ASOF JOIN days d ON l.site_id = d.site_id AND l.anchor >= d.date""")
 def asof_lagged(spark: SparkSession, sf_dir: str) -> DataFrame:
     weeks, days = _weeks_and_days(spark, sf_dir)
-    lags = spark.range(-21, 22, 7).select(F.col("id").cast("int").alias("lag_days"))
+    lags = list(range(-21, 22, 7))
     return asof.asof_lagged(weeks, days, ["site_id"], "week_ending", "date", "value_min", lags)
 
 
@@ -385,7 +385,7 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Run lengths of every site against forward returns, at weekly lags."""
     rows = _run_values(spark, sf_dir).withColumns({"feature_name": F.lit("days_below_p10"), "value": F.col("value").cast("double")})
-    lags = spark.range(-21, 22, 7).select(F.col("id").cast("int").alias("lag_days"))
+    lags = list(range(-21, 22, 7))
     return sweep.in_regimes(sweep.align(rows, _targets(spark, sf_dir), lags), rows)
 
 
@@ -453,7 +453,7 @@ def _grid_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
 def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, rows = _grid_parts(spark, sf_dir)
     names = [f.name for f in features.registry()]
-    grid = sweep.build_grid(sites, names, sweep.series_columns(rows), sweep.lag_axis(spark))
+    grid = sweep.build_grid(sites, names, sweep.series_columns(rows), sweep.lag_axis())
     return grid.select("site_id", "feature_name", "horizon_days", "regime", "lag_days", "series_column")
 
 
@@ -466,7 +466,7 @@ def single_observation_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, rows = _grid_parts(spark, sf_dir)
-    lags = spark.range(-21, 22, 7).select(F.col("id").cast("int").alias("lag_days"))
+    lags = list(range(-21, 22, 7))
     return sweep.sweep(rows, _targets(spark, sf_dir), sites, ["discharge_min", "days_below_p10"], lags, run_id=1)
 
 
@@ -475,7 +475,7 @@ def full_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell of all five features, 43 lags, three horizons and three regimes."""
     sites, rows = _grid_parts(spark, sf_dir)
     names = [f.name for f in features.registry()]
-    return sweep.sweep(rows, _targets(spark, sf_dir), sites, names, sweep.lag_axis(spark), run_id=1)
+    return sweep.sweep(rows, _targets(spark, sf_dir), sites, names, sweep.lag_axis(), run_id=1)
 
 
 FOLDS_OF_PAIRS = """a AS (SELECT DISTINCT site_id, horizon_days, lag_days, regime, week FROM aligned),

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
+_ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -20,3 +24,12 @@ def session(app: str = "tidelane", **more: str) -> SparkSession:
     for key, value in (SETTINGS | more).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def importable(spark: SparkSession | None) -> None:
+    """Let Python workers import this package from where the driver has it."""
+    if spark is None:
+        return
+    env = spark.sparkContext.environment
+    if _ROOT not in env.get("PYTHONPATH", "").split(":"):
+        env["PYTHONPATH"] = ":".join(filter(None, [_ROOT, env.get("PYTHONPATH", "")]))
