@@ -27,7 +27,8 @@ from .subwords import row_ranges
 
 MARK = "▁"
 CHUNK, NEAR = 1 << 16, 2048
-WORD_CACHE = 250_000  # segmented words that a task remembers
+TEXT_AT_ONCE = 1 << 19  # bytes of short texts whose new words are segmented together
+WORD_CACHE = 100_000  # segmented words that a task remembers
 _LOW = -(1 << 60)
 
 
@@ -73,34 +74,39 @@ class Model:
         score, start = [_LOW] * (n + 1), [-1] * (n + 1)
         for p, v in entry.items():
             score[p] = v
-        ids, root, unknown = self.ids, self.trie, self.unknown
+        (child, scores, ids), unknown = self.trie, self.unknown
         for a in range(min(end, n)):
             base = score[a]
             if base <= _LOW:
                 continue
-            if s[a] not in ids and base + unknown > score[a + 1]:
+            if s[a] not in self.ids and base + unknown > score[a + 1]:
                 score[a + 1], start[a + 1] = base + unknown, a
-            node, b = root, a
+            node, b = 0, a
             while b < n:
-                node = node.get(s[b])
+                node = child.get(node << 21 | ord(s[b]))
                 if node is None:
                     break
                 b += 1
-                hit = node.get(0)
-                if hit is not None and base + hit[0] > score[b]:
-                    score[b], start[b] = base + hit[0], a
+                if ids[node] >= 0 and base + scores[node] > score[b]:
+                    score[b], start[b] = base + scores[node], a
         return score, start
 
     @cached_property
-    def trie(self) -> dict:
-        """Nested dicts by character; 0 holds (score, id) of the piece that ends there."""
-        root: dict = {}
+    def trie(self) -> tuple[dict[int, int], list[float], list[int]]:
+        """(child of node << 21 | character, score of each node, id of each node or -1)."""
+        child: dict[int, int] = {}
+        scores, ids = [0.0], [-1]
         for piece, i in self.ids.items():
-            node = root
+            node = 0
             for c in piece:
-                node = node.setdefault(c, {})
-            node[0] = (self.scores[i], i)
-        return root
+                key = node << 21 | ord(c)
+                node = child.get(key, -1)
+                if node < 0:
+                    node = child[key] = len(ids)
+                    scores.append(0.0)
+                    ids.append(-1)
+            scores[node], ids[node] = self.scores[i], i
+        return child, scores, ids
 
     def path(self, s: str, start: list[int], end: int, begin: int) -> list[int]:
         """Ids of the best path that ends at ``end``, back to ``begin``."""
@@ -114,35 +120,7 @@ class Model:
         return out
 
     def _encode_word(self, s: str) -> tuple[int, ...]:
-        """The best segmentation of a whole word; ``forward`` and ``path`` in one pass."""
-        n = len(s)
-        best, start, piece = [0.0] + [_LOW] * n, [0] * (n + 1), [-1] * (n + 1)
-        root = self.trie
-        for a in range(n):
-            base = best[a]
-            node = root.get(s[a])
-            if (node is None or 0 not in node) and base + self.unknown > best[a + 1]:
-                best[a + 1], start[a + 1], piece[a + 1] = base + self.unknown, a, -1
-            b = a
-            while node is not None:
-                b += 1
-                hit = node.get(0)
-                if hit is not None:
-                    value = base + hit[0]
-                    if value > best[b]:
-                        best[b], start[b], piece[b] = value, a, hit[1]
-                if b == n:
-                    break
-                node = node.get(s[b])
-        out: list[int] = []
-        while n:
-            a = start[n]
-            if piece[n] >= 0:
-                out.append(piece[n])
-            else:
-                out.extend(self.byte_ids[x] for x in reversed(s[a:n].encode()))
-            n = a
-        return tuple(out[::-1])
+        return tuple(self.path(s, self.forward(s, {0: 0.0}, len(s))[1], len(s), 0))
 
     def encode_many(self, normal: list[str]) -> list[list[int]]:
         """Ids of normalised texts. Words are segmented once and remembered; new ones all at the same time."""
@@ -164,21 +142,11 @@ class Model:
 
     @cached_property
     def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The trie as sorted (node << 21 | character) keys and children, and score and id of each node."""
-        keys, children, scores, ids = [], [], [-np.inf], [-1]
-        todo = [(0, self.trie)]
-        for number, node in todo:
-            for c, child in node.items():
-                if c == 0:
-                    continue
-                keys.append(number << 21 | ord(c))
-                children.append(len(scores))
-                score, i = child.get(0, (-np.inf, -1))
-                scores.append(score)
-                ids.append(i)
-                todo.append((children[-1], child))
-        order = np.argsort(np.array(keys, np.int64))
-        return np.array(keys, np.int64)[order], np.array(children)[order], np.array(scores), np.array(ids)
+        """The trie as sorted keys and their children, and score and id of each node."""
+        child, scores, ids = self.trie
+        keys = np.fromiter(child, np.int64, len(child))
+        order = np.argsort(keys)
+        return keys[order], np.fromiter(child.values(), np.int64, len(child))[order], np.array(scores), np.array(ids)
 
     def _learn(self, words: list[str]) -> None:
         """Segments words side by side: trie steps for all their characters at once, then the dynamic program by
@@ -311,7 +279,7 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, i
     def short(batches):
         m = model(model_path)
         for batch in batches:
-            for lo, hi in row_ranges(batch.column(1)):
+            for lo, hi in row_ranges(batch.column(1), TEXT_AT_ONCE):
                 part = batch.slice(lo, hi - lo)
                 yield _ids_batch({"doc_id": part.column(0)}, [np.array(x, np.int32) for x in m.encode_many([m.normal(t) for t in part.column(1).to_pylist()])])
 
