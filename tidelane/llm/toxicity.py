@@ -49,7 +49,7 @@ def term_counts(column: pa.Array, terms: np.ndarray):
 
 def choose_terms(column: pa.Array, y: np.ndarray, limit: int = MAX_TERMS) -> np.ndarray:
     """The grams whose share of examples differs between the classes, strongest first, then sorted."""
-    held = []
+    terms, a, b = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)  # examples of either class that hold each gram
     for sl in slices(column, FOLDED):
         keys, usable = grams(sl.buf, GRAM)
         at = np.flatnonzero(usable)
@@ -58,13 +58,11 @@ def choose_terms(column: pa.Array, y: np.ndarray, limit: int = MAX_TERMS) -> np.
         k, d = keys[at][order], doc[order]
         first = np.ones(len(k), bool)
         first[1:] = (k[1:] != k[:-1]) | (d[1:] != d[:-1])
-        held.append((k[first], y[sl.lo + d[first]]))
-    if not held:
-        return np.zeros(0, np.uint64)
-    keys, label = (np.concatenate(x) for x in zip(*held))
-    terms, where = np.unique(keys, return_inverse=True)
+        toxic = y[sl.lo + d[first]] == 1
+        terms, where = np.unique(np.concatenate((terms, k[first])), return_inverse=True)
+        a = np.bincount(where, np.concatenate((a, toxic)), len(terms))
+        b = np.bincount(where, np.concatenate((b, ~toxic)), len(terms))
     n1, n0 = max(int((y == 1).sum()), 1), max(int((y == 0).sum()), 1)
-    a, b = np.bincount(where, label == 1, len(terms)), np.bincount(where, label == 0, len(terms))
     p1, p0, p = a / n1, b / n0, (a + b) / (n1 + n0)
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     ratio = np.maximum((p1 + 0.5 / n1) / (p0 + 0.5 / n0), (p0 + 0.5 / n0) / (p1 + 0.5 / n1))
