@@ -4,7 +4,7 @@ Terms are the 5-byte grams of folded words, edges of words included, that the la
 (chi-square and a ratio of shares). Their document frequencies are counted over all documents. Labelled examples
 that hold any term form the index: postings by term in blocks of examples, with the largest weight of each term
 in each block. A document visits blocks in the order of their upper bound and stops when no block can reach its
-k-th best cosine, so the neighbours are exact. Votes are weighted by cosine and calibrated on the sample itself,
+k-th best cosine, so the neighbours are exact. Votes are weighted by squared cosine and calibrated on the sample itself,
 each example scored without its own vote.
 
 The index is bounded by the parameters (examples a class, terms), so it goes to every task.
@@ -26,6 +26,7 @@ from .subwords import FOLDED, grams, mixed, slices
 GRAM = 5
 EXAMPLES_PER_CLASS, MAX_TERMS, NEIGHBOURS, BLOCK = 3000, 2048, 15, 64
 MIN_Z, MIN_RATIO, MIN_EXAMPLES = 6.0, 3.0, 3
+PRIOR_MASS = 3.0  # close neighbours that the prior counts as
 
 
 def _doc_of(sl, at: np.ndarray) -> np.ndarray:
@@ -107,8 +108,9 @@ class Index:
         return best, score
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
-        w = cosines * self.weight[rows]
-        return float((w @ self.y[rows] + 0.1 * self.prior) / (w.sum() + 0.1))
+        """Toxic share of the neighbours, weighted by squared cosine; far neighbours leave the prior in place."""
+        w = cosines**2 * self.weight[rows]
+        return float((w @ self.y[rows] + PRIOR_MASS * self.prior) / (w.sum() + PRIOR_MASS))
 
     def calibrated(self, raw: float) -> float:
         raw = min(max(raw, 1e-4), 1 - 1e-4)
