@@ -225,8 +225,10 @@ def answer(queries: DataFrame, features: DataFrame, rates: DataFrame, week: str,
     """All queries at once; refusals are answers too."""
     p = p or Parameters()
     events, summary = query_events(queries, features, p)
-    near = k_nearest(vectors(queries, features, p.features), eligible(events, summary, p.window_days).select("query_id", "event_start"), p)
-    measured = outcomes(near, rates, week, rate, p.window_days)
+    # each of these is read by several later stages; they stay cached until ``clearCache`` or eviction
+    events, summary, vecs = events.persist(), summary.persist(), vectors(queries, features, p.features).persist()
+    near = k_nearest(vecs, eligible(events, summary, p.window_days).select("query_id", "event_start"), p)
+    measured = outcomes(near, rates, week, rate, p.window_days).persist()
     verdicts = gate(summary, measured, p)
     return Answers(verdicts, measured, estimates(verdicts, measured), condition(queries, features, p))
 
