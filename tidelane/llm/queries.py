@@ -13,7 +13,8 @@ from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .packing import best_fit_pack
 from .quality import quality_scores
-from .sentencepiece_scan import sentencepiece_decode, sentencepiece_encode
+from .sentencepiece_bpe import bpe_encode
+from .sentencepiece_scan import sentencepiece_decode
 from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
@@ -37,7 +38,7 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every text, and the text they decode to, as digests."""
     path = tokenizer_file("piece_bpe_32k.model")
-    encoded = sentencepiece_encode(documents(spark, sf_dir), path)
+    encoded = bpe_encode(documents(spark, sf_dir), path)
     encoded = encoded.withColumns({"n_ids": F.size("ids").cast("long"), "ids_xxh64": F.xxhash64("ids")})
     out = sentencepiece_decode(encoded, path, keep=("n_ids", "ids_xxh64"))
     return out.select("doc_id", "n_ids", "ids_xxh64", sha256("text").alias("decoded_sha256"))
