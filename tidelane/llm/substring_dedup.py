@@ -1,7 +1,10 @@
 """Repeated passages of words by suffix automata.
 
 The reference is what earlier documents (smaller ids) hold, sharded by anchor (see ``anchors``): a shard has the
-runs of words around one anchor, one run for each distinct content, so it stays small although the corpus grows.
+runs of words around one anchor, one run for each distinct content. An anchor with more runs than a task should
+take (a line that stands in many documents, each time between other words) is dealt over several shards, whose
+distinct windows are then compared by an aggregation on digests.
+
 Where runs meet in their shard, documents are streamed in order of their ids through the shard's suffix automaton:
 its matching statistics give, at each word, the longest string ending there that an earlier document has; windows
 that reach the threshold are repeats, and their union are the maximal spans to remove. Then the document's own
@@ -10,6 +13,8 @@ runs are added to the automaton.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,6 +25,7 @@ from .common import stage, texts
 from .subwords import slices, word_hashes, words
 
 WINDOW, GRAM = 50, 16
+SPLIT_RUNS = 2000  # runs of one anchor that a shard takes; more are dealt to several
 
 
 class SuffixAutomaton:
@@ -144,20 +150,60 @@ def shard_repeats(runs_: list[tuple[int, int, bytes]], window: int) -> list[tupl
     return out
 
 
+def least_windows(runs_: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int, bytes]]:
+    """(doc, start, 1, digest): each distinct window of a shard where its least document has it, at every place."""
+    least: dict[bytes, tuple[int, set[int]]] = {}
+    for doc, lo, seg in runs_:
+        w = seg.split(b" ")
+        for i in range(len(w) - window + 1):
+            digest = hashlib.blake2b(b" ".join(w[i : i + window]), digest_size=16).digest()
+            known = least.get(digest)
+            if known is None or doc < known[0]:
+                least[digest] = doc, {lo + i}
+            elif doc == known[0]:
+                known[1].add(lo + i)
+    return [(doc, start, 1, digest) for digest, (doc, places) in least.items() for start in places]
+
+
+def _dealt(segments: DataFrame) -> tuple[DataFrame, bool]:
+    """The runs with the key of their shard and whether its anchor is dealt over several; and if no anchor is."""
+    counts = segments.groupBy("key").agg(F.count("*").alias("runs")).where(F.col("runs") > SPLIT_RUNS)
+    if counts.isEmpty():
+        return segments.withColumn("split", F.lit(False)), True
+    part = F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("runs") / SPLIT_RUNS))
+    rows = segments.join(F.broadcast(counts), "key", "left").withColumn("split", F.col("runs").isNotNull())
+    return rows.withColumn("key", F.when(F.col("split"), F.xxhash64("key", part)).otherwise(F.col("key"))).drop("runs"), False
+
+
 def _streamed(segments: DataFrame, window: int) -> DataFrame:
+    """(doc_id, start, n): stretches of windows that an earlier document has."""
+
     def handle(columns):
         key = columns[0].to_numpy()
-        doc, lo, seg = (c.to_pylist() for c in columns[1:])
+        doc, lo, seg, split = (c.to_pylist() for c in columns[1:])
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
-        out = [x for a, b in zip(edge[:-1], edge[1:]) for x in shard_repeats(list(zip(doc[a:b], lo[a:b], seg[a:b])), window)]
-        columns = [pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)]
-        yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n"])
+        for a, b in zip(edge[:-1], edge[1:]):
+            own = list(zip(doc[a:b], lo[a:b], seg[a:b]))
+            out = [(*x, None) for x in shard_repeats(own, window)]
+            out += least_windows([x for x, s in zip(own, split[a:b]) if s], window)
+            if out:
+                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n", "digest"])
 
     def run(batches):
-        yield from by_sorted_key(batches, 4, last_key_start, handle)
-
-    rows = segments.repartition("key").sortWithinPartitions("key", "doc_id", "lo")
-    return rows.mapInArrow(run, "doc_id long, start long, n long")
+        yield from by_sorted_key(batches, 5, last_key_start, handle)
+
+    parts, none = _dealt(segments)
+    rows = parts.select("key", "doc_id", "lo", "seg", "split").repartition("key").sortWithinPartitions("key", "doc_id", "lo")
+    out = rows.mapInArrow(run, "doc_id long, start long, n long, digest binary")
+    if none:
+        return out.drop("digest")
+    out = stage(out, "word-windows")
+    # a shard has settled all places of a window but those of its least document
+    edges = out.where("digest is not null")
+    least = edges.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
+    across = edges.join(least, "digest").where("doc_id > least")
+    return out.where("digest is null").select("doc_id", "start", "n").unionByName(across.select("doc_id", "start", "n"))
 
 
 def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
