@@ -33,8 +33,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id."""
-    return _only(docs, exact_groups(docs).where("kept"))
+    """Of equal texts the document with the largest id, and of rows that repeat it one."""
+    kept = _only(docs, exact_groups(docs).where("kept"))
+    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+    one = kept.groupBy("doc_id", text.alias("_text")).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return one.select("_row.*")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +50,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A text that loses nothing stays as it is, white space included.
     """
-    cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept"))
+    cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
     changed = F.col("_kept").isNotNull()
     text = F.coalesce("_kept", "text")
     new = {"text": text} | ({"n_chars": F.when(changed, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
@@ -67,7 +70,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Classifier scores, fingerprints and tokenizers are beyond SQL; tests/llm compare each stage with brute force.
+#: Classifier scores, fingerprints and tokenizers are beyond SQL; tests/llm compare the operators with brute force, the stages in part.
 ORACLE_SQL = None
 
 
