@@ -3,51 +3,61 @@
 Every window of ``window`` tokens has an anchor: its leftmost ``gram``-token substring of least hash. Equal windows
 have equal anchors at the same place, so windows need to be compared only where their anchors' grams are equal.
 Consecutive windows with one anchor form a run; about two runs start in each (window - gram + 1) tokens, so what
-moves is a small share of the text. Two runs with the same tokens and the same place of the anchor are of one
-class: all windows of the later one repeat windows of the earlier one, and nothing else about them needs comparing.
-
-``repeats`` deals run records out by anchor, settles runs within a class, and hands what is left (the first run of
-each of several classes with one anchor) to a comparison of their tokens, which differs by operator.
+moves is a small share of the text. Runs with the same tokens are of one class, named by a 128-bit cryptographic
+digest (BLAKE2b) of those tokens: all windows of a later one repeat windows of the earlier one, and nothing else
+about them needs comparing. Hashes of grams only deal runs out; a collision there costs a comparison, not a result.
+
+``settled_and_open`` deals run records out by class, so that neither a frequent anchor nor a frequent content meets
+in one task as a whole: a class is folded as it streams by, and slices send one row of it each. The first runs of
+classes that share their anchor with another class are left open for a comparison of their tokens, which differs
+by operator.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
 from .subwords import mixed
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_POSITION_BITS = np.uint64(28)
-RUN_RECORD = "key long, cls long, doc_id long, span long"
+_POSITION_BITS = np.uint64(32)  # of a token in a slice; one text has less than 2**31 bytes
+_FIELD = 15  # bits of the anchor's place in a run and of the number of its windows
+RUN_RECORD = "key long, c1 long, c2 long, doc_id long, v long, span long"
 
-# span packs a run: first window start << 15 | anchor's place in the run << 8 | windows << 1 | settled
+# span packs a run: first window start << 31 | anchor's place in the run << 16 | windows << 1 | settled
 
 
 def pack_span(lo, off, n, settled):
-    return lo << 15 | off << 8 | n << 1 | settled
+    return lo << 2 * _FIELD + 1 | off << _FIELD + 1 | n << 1 | settled
 
 
 def unpack_span(span):
-    return span >> 15, span >> 8 & 127, span >> 1 & 127, span & 1
+    low = (1 << _FIELD) - 1
+    return span >> 2 * _FIELD + 1, span >> _FIELD + 1 & low, span >> 1 & low, span & 1
+
 
+def span_start(span: str) -> Column:
+    return F.shiftright(span, 2 * _FIELD + 1)
 
-_powers = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
 
+def span_windows(span: str) -> Column:
+    return F.shiftright(span, 1).bitwiseAND(F.lit((1 << _FIELD) - 1))
 
-def _power(n: int, which: str) -> np.ndarray:
-    if len(_powers[which]) < n:
-        steps = np.full(max(n, 1 << 16), _BASE if which == "up" else _INVERSE, np.uint64)
-        steps[0] = 1
-        _powers[which] = np.multiply.accumulate(steps)
-    return _powers[which][:n]
+
+def check_window(window: int, gram: int) -> None:
+    """Windows and grams that the run records can hold; others are an error."""
+    if gram < 1 or gram & (gram - 1) or gram > window:
+        raise ValueError(f"gram must be a power of two of at most window, not {gram} of {window}")
+    if window - gram + 1 >= 1 << _FIELD:
+        raise ValueError(f"window - gram must be below {(1 << _FIELD) - 1}, not {window - gram}")
 
 
 def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
@@ -63,19 +73,19 @@ def gram_hashes(tokens: np.ndarray, k: int) -> np.ndarray:
 @dataclass
 class Runs:
     doc: np.ndarray  # number of the text
+    first: np.ndarray  # first token, counted in the array
     lo: np.ndarray  # first window start, counted from the text's start
     off: np.ndarray  # place of the anchor after lo
     n: np.ndarray  # windows
     key: np.ndarray
-    cls: np.ndarray
 
 
 def runs(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: int, gram: int) -> Runs:
     """The runs of several texts whose tokens lie in one array; windows never cross texts."""
     has = lengths >= window
-    empty = np.zeros(0, np.int64)
     if not has.any():
-        return Runs(empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
+        empty = np.zeros(0, np.int64)
+        return Runs(empty, empty, empty, empty, empty, empty.astype(np.uint64))
     h = gram_hashes(tokens, gram)
     low = (np.uint64(1) << _POSITION_BITS) - np.uint64(1)
     least = (h & ~low) | np.arange(len(h), dtype=np.uint64)
@@ -95,66 +105,68 @@ def runs(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, window: in
     lo, hi, anchor = at[first], at[last], anchor[first]
     doc = np.searchsorted(starts, lo, side="right") - 1
     # texts without tokens share their start with the next text: the last of them owns the position
-    terms = mixed(tokens, 29) * _power(len(tokens), "up")
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)))
-    body = (total[hi + window] - total[lo]) * _power(len(tokens), "down")[lo]
-    off, count = anchor - lo, hi - lo + 1
-    return Runs(doc, lo - starts[doc], off, count, h[anchor], mixed(body, 5) ^ mixed((off << 8 | count).astype(np.uint64), 3))
+    return Runs(doc, lo, lo - starts[doc], anchor - lo, hi - lo + 1, h[anchor])
+
+
+def digests(buf, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """BLAKE2b of the bytes from begin to end, as two integers."""
+    view, digest = memoryview(buf), hashlib.blake2b
+    out = b"".join([digest(view[a:b], digest_size=16).digest() for a, b in zip(begin.tolist(), end.tolist())])
+    pairs = np.frombuffer(out, "<i8").reshape(-1, 2)
+    return pairs[:, 0], pairs[:, 1]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before; the first row does."""
+    out = np.zeros(len(columns[0]), bool)
+    out[:1] = True
+    for c in columns:
+        out[1:] |= c[1:] != c[:-1]
+    return out
+
 
+def _heads(new: np.ndarray) -> np.ndarray:
+    """The row of the last change at or before each row, -1 before the first."""
+    return np.maximum.accumulate(np.where(new, np.arange(len(new)), -1))
 
-def records(r: Runs, ids: np.ndarray, by_place: bool) -> pa.RecordBatch:
+
+def records(r: Runs, content: tuple[np.ndarray, np.ndarray], ids: np.ndarray, v: np.ndarray, by_place: bool) -> pa.RecordBatch:
     """Run records of one slice. Of the runs of one class in it only the first goes on to be compared; later ones
     are settled on the spot, so a class found everywhere leaves each slice as one row to compare. Settled rows are
     dealt by a hash of their place, which no class shares."""
-    doc, key, cls = ids[r.doc], r.key, r.cls
-    order = np.lexsort((r.lo, doc, cls, key))
-    doc, key, cls, lo, off, n = doc[order], key[order], cls[order], r.lo[order], r.off[order], r.n[order]
-    new = np.concatenate(([True], (key[1:] != key[:-1]) | (cls[1:] != cls[:-1]))) if len(key) else np.zeros(0, bool)
-    head = np.flatnonzero(new)[np.cumsum(new) - 1] if len(key) else new.astype(int)
-    settled = doc > doc[head]
+    doc, v = ids[r.doc], v[r.doc]
+    order = np.lexsort((r.lo, v, doc, content[1], content[0], r.key))
+    doc, v, key, c1, c2, lo, off, n = (x[order] for x in (doc, v, r.key, *content, r.lo, r.off, r.n))
+    new = _changes(key, c1, c2)
+    settled = doc > doc[_heads(new)]
     if by_place:
-        settled |= (doc == doc[head]) & (lo > lo[head])
+        settled |= lo > lo[_heads(new | _changes(doc, v))]
     key = np.where(settled, mixed(doc.astype(np.uint64) * np.uint64(0x100000001B3) + lo.astype(np.uint64)), key)
-    columns = [key.view(np.int64), cls.view(np.int64), doc, pack_span(lo, off, n, settled.astype(np.int64))]
-    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "cls", "doc_id", "span"])
-
-
-def _settle(key, cls, doc, span, by_place: bool):
-    """Rows of whole keys, sorted by key, class, document and place -> (settled, to compare) as row masks."""
-    lo, _, _, settled = unpack_span(span)
-    settled = settled.astype(bool)
-    live = np.flatnonzero(~settled)
-    compare = np.zeros(len(key), bool)
-    if len(live):
-        k, c, d, p = key[live], cls[live], doc[live], lo[live]
-        new_key = np.concatenate(([True], k[1:] != k[:-1]))
-        new_cls = new_key | np.concatenate(([True], c[1:] != c[:-1]))
-        head = np.flatnonzero(new_cls)[np.cumsum(new_cls) - 1]
-        later = d > d[head]
-        if by_place:
-            later |= (d == d[head]) & (p > p[head])
-        settled[live] = later
-        group = np.cumsum(new_key) - 1
-        classes = np.bincount(group, new_cls)
-        compare[live] = ~later & (classes[group] > 1)
-    return settled, compare
-
-
-def by_sorted_key(batches, columns: int, same: Callable, handle: Callable):
-    """Cuts sorted batches between keys: ``handle`` gets the columns of whole keys only."""
-    held = None
+    columns = [key.view(np.int64), c1, c2, doc, v, pack_span(lo, off, n, settled.astype(np.int64))]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "c1", "c2", "doc_id", "v", "span"])
+
+
+def by_sorted_key(batches, columns: int, handle: Callable):
+    """Cuts batches sorted by their first column between its values: ``handle`` gets the columns of whole keys only."""
+    held: list[list[pa.Array]] = []
+
+    def whole(*more):
+        return [pa.concat_arrays(list(c)) for c in zip(*held, *more)]
+
     for batch in batches:
         now = [batch.column(i) for i in range(columns)]
-        if held is not None:
-            now = [pa.concat_arrays([a, b]) for a, b in zip(held, now)]
         if not len(now[0]):
             continue
-        cut = same(now[0])
+        cut = last_key_start(now[0])
         if cut:
-            yield from handle([c.slice(0, cut) for c in now])
-        held = [c.slice(cut) for c in now]
-    if held is not None and len(held[0]):
-        yield from handle(held)
+            yield from handle(whole([c.slice(0, cut) for c in now]))
+            held = []
+        elif held and held[-1][0][-1] != now[0][0]:
+            yield from handle(whole())
+            held = []
+        held.append([c.slice(cut) for c in now])
+    if held:
+        yield from handle(whole())
 
 
 def last_key_start(column: pa.Array) -> int:
@@ -168,27 +180,43 @@ def last_key_start(column: pa.Array) -> int:
     return at
 
 
-def settled_and_open(run_records: DataFrame, by_place: bool) -> DataFrame:
-    """(key, doc_id, span, open): the settled runs, and the first runs of anchors that have several classes."""
-
-    def handle(columns):
-        key, cls, doc, span = (c.to_numpy() for c in columns)
-        settled, compare = _settle(key, cls, doc, span, by_place)
-        use = settled | compare
-        out = [key[use], doc[use], span[use]]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, out), pa.array(compare[use])], names=["key", "doc_id", "span", "open"])
-
-    def run(batches):
-        yield from by_sorted_key(batches, 4, last_key_start, handle)
-
-    rows = run_records.repartition("key").sortWithinPartitions("key", "cls", "doc_id", "span")
-    return stage(rows.mapInArrow(run, "key long, doc_id long, span long, open boolean"), "runs")
+def settled_and_open(run_records: DataFrame, by_place: bool) -> tuple[DataFrame, DataFrame]:
+    """(settled (doc_id, v, span), open (key, doc_id, v, span, runs)): runs whose windows all stand earlier, and the
+    first runs of anchors that have several classes, with how many of them the anchor has."""
+
+    def fold(batches):
+        # the last row's class, document and text, the first document of the class and the first place in the text
+        before = None
+        for batch in batches:
+            key, c1, c2, doc, v, span = (c.to_numpy() for c in batch.columns)
+            if not len(key):
+                continue
+            new, other = _changes(key, c1, c2), _changes(doc, v)
+            if before is not None:
+                new[0] = (key[0], c1[0], c2[0]) != before[:3]
+                other[0] = (doc[0], v[0]) != before[3:5]
+            head = _heads(new)
+            least = np.where(head >= 0, doc[head], before[5] if before is not None else 0)
+            settled = (unpack_span(span)[3] == 1) | (doc > least)
+            text, lo = _heads(new | other), unpack_span(span)[0]
+            first = np.where(text >= 0, lo[text], before[6] if before is not None else 0)
+            if by_place:
+                settled |= lo > first
+            kind = np.where(settled, 0, np.where(new, 2, 1)).astype(np.int8)
+            before = (key[-1], c1[-1], c2[-1], doc[-1], v[-1], least[-1], first[-1])
+            yield pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, v, span, kind))], names=["key", "doc_id", "v", "span", "kind"])
+
+    rows = run_records.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "doc_id", "v", "span")
+    folded = stage(rows.mapInArrow(fold, "key long, doc_id long, v long, span long, kind byte"), "runs")
+    first = folded.where("kind > 0")
+    shared = first.groupBy("key").agg(F.count("*").alias("runs"), F.count_if(F.col("kind") == 2).alias("classes")).where("classes > 1")
+    return folded.where("kind = 0").select("doc_id", "v", "span"), first.join(shared.select("key", "runs"), "key").select("key", "doc_id", "v", "span", "runs")
 
 
 def covered(settled: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, hits): all stretches (first window start, windows) of a document that are repeats."""
-    whole = settled.where("not open").select("doc_id", F.shiftright("span", 15).alias("start"), F.shiftright("span", 1).bitwiseAND(F.lit(127)).alias("n"))
-    return whole.unionByName(found).groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
+    """(doc_id, v, hits): all stretches (first window start, windows) of a text that are repeats."""
+    whole = settled.select("doc_id", "v", span_start("span").alias("start"), span_windows("span").alias("n"))
+    return whole.unionByName(found).groupBy("doc_id", "v").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
 
 
 def mask(hits, length: int, window: int) -> np.ndarray:

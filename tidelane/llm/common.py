@@ -50,6 +50,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """(doc_id, v, text): as ``texts``, where v, a hash of the text, tells several texts of one id apart. With
+    ``row``, (doc_id, v, row) instead: row is a struct of all columns of the input, the text as it is among them."""
+    prepare(docs.sparkSession)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    what = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if row else text.alias("text")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("v"), what)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text): ids not null, null texts empty."""
     prepare(docs.sparkSession)

@@ -19,10 +19,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructType
 
-from .anchors import RUN_RECORD, by_sorted_key, covered, last_key_start, mask, records, runs, settled_and_open, unpack_span
-from .common import stage, texts
-from .subwords import slices, word_hashes, words
+from .anchors import RUN_RECORD, by_sorted_key, check_window, covered, digests, mask, records, runs, settled_and_open, unpack_span
+from .common import stage, told_apart
+from .subwords import SPACE, slices, word_hashes, words
 
 WINDOW, GRAM = 50, 16
 SPLIT_RUNS = 2000  # runs of one anchor that a shard takes; more are dealt to several
@@ -90,46 +91,62 @@ class SuffixAutomaton:
         return out
 
 
+def _packed(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buffer with single spaces between words, and where words begin and end in it."""
+    gap = buf == SPACE
+    buf = buf[~(gap & np.concatenate(([False], gap[:-1])))]
+    return buf, *words(buf)
+
+
 def word_runs(rows: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
+    """Run records of (doc_id, v, text)."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for sl in slices(batch.column(1)):
+            ids, v = (batch.column(i).to_numpy() for i in range(2))
+            for sl in slices(batch.column(2)):
                 starts, ends = words(sl.buf)
                 first = np.searchsorted(starts, sl.starts)
                 count = np.diff(np.append(first, len(starts)))
-                r = runs(word_hashes(sl.buf, starts, ends), first, count, window, gram)
-                yield records(r, ids[sl.lo : sl.hi], by_place=False)
+                buf, starts, ends = _packed(sl.buf)
+                r = runs(word_hashes(buf, starts, ends), first, count, window, gram)
+                content = digests(buf, starts[r.first], ends[r.first + r.n + window - 2])
+                yield records(r, content, ids[sl.lo : sl.hi], v[sl.lo : sl.hi], by_place=False)
 
     return rows.mapInArrow(run, RUN_RECORD)
 
 
 def _segments(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
-    """(key, doc_id, lo, seg): the words of open runs, space-joined."""
+    """(key, split, doc_id, v, lo, seg): the words of open runs, space-joined."""
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, spans in zip(*(batch.column(i) for i in range(3))):
+            for doc, v, text, spans in zip(*(batch.column(i) for i in range(4))):
                 w = text.as_py().encode().split()
                 for s in spans.as_py():
                     lo, _, n, _ = unpack_span(s["span"])
-                    out.append((s["key"], doc.as_py(), lo, b" ".join(w[lo : lo + n - 1 + window])))
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc_id", "lo", "seg"])
+                    out.append((s["key"], s["split"], doc.as_py(), v.as_py(), lo, b" ".join(w[lo : lo + n - 1 + window])))
+            types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "split", "doc_id", "v", "lo", "seg"])
+
+    found = rows.join(wanted, ["doc_id", "v"]).select("doc_id", "v", "text", "spans")
+    return found.mapInArrow(run, "key long, split boolean, doc_id long, v long, lo long, seg binary")
 
-    return rows.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "key long, doc_id long, lo long, seg binary")
 
+Run = tuple[int, int, int, bytes]  # document, text of it, first word, words
 
-def shard_repeats(runs_: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int]]:
-    """(doc, start, n): stretches of windows that an earlier document of the shard has; runs sorted by document."""
+
+def shard_repeats(runs_: list[Run], window: int) -> list[tuple[int, int, int, int]]:
+    """(doc, v, start, n): stretches of windows that an earlier document of the shard has; runs sorted by document."""
     reference, names, out = SuffixAutomaton(), {}, []
     k = 0
     while k < len(runs_):
         j = k
         own = []
         while j < len(runs_) and runs_[j][0] == runs_[k][0]:
-            doc, lo, seg = runs_[j]
+            doc, v, lo, seg = runs_[j]
             own.append([names.setdefault(w, len(names)) for w in seg.split(b" ")])
             if k:
                 begin = -1
@@ -137,10 +154,10 @@ def shard_repeats(runs_: list[tuple[int, int, bytes]], window: int) -> list[tupl
                     if n >= window and begin < 0:
                         begin = at
                     if begin >= 0 and n < window:
-                        out.append((doc, lo + begin - window + 1, at - begin))
+                        out.append((doc, v, lo + begin - window + 1, at - begin))
                         begin = -1
                 if begin >= 0:
-                    out.append((doc, lo + begin - window + 1, len(own[-1]) - begin))
+                    out.append((doc, v, lo + begin - window + 1, len(own[-1]) - begin))
             j += 1
         for tokens in own if j < len(runs_) else ():
             reference.begin()
@@ -150,85 +167,84 @@ def shard_repeats(runs_: list[tuple[int, int, bytes]], window: int) -> list[tupl
     return out
 
 
-def least_windows(runs_: list[tuple[int, int, bytes]], window: int) -> list[tuple[int, int, int, bytes]]:
-    """(doc, start, 1, digest): each distinct window of a shard where its least document has it, at every place."""
-    least: dict[bytes, tuple[int, set[int]]] = {}
-    for doc, lo, seg in runs_:
+def least_windows(runs_: list[Run], window: int) -> list[tuple[int, int, int, int, bytes]]:
+    """(doc, v, start, 1, digest): each distinct window of a shard where its least document has it, at every place."""
+    least: dict[bytes, tuple[int, set[tuple[int, int]]]] = {}
+    for doc, v, lo, seg in runs_:
         w = seg.split(b" ")
         for i in range(len(w) - window + 1):
             digest = hashlib.blake2b(b" ".join(w[i : i + window]), digest_size=16).digest()
             known = least.get(digest)
             if known is None or doc < known[0]:
-                least[digest] = doc, {lo + i}
+                least[digest] = doc, {(v, lo + i)}
             elif doc == known[0]:
-                known[1].add(lo + i)
-    return [(doc, start, 1, digest) for digest, (doc, places) in least.items() for start in places]
+                known[1].add((v, lo + i))
+    return [(doc, v, start, 1, digest) for digest, (doc, places) in least.items() for v, start in places]
 
 
-def _dealt(segments: DataFrame) -> tuple[DataFrame, bool]:
-    """The runs with the key of their shard and whether its anchor is dealt over several; and if no anchor is."""
-    counts = segments.groupBy("key").agg(F.count("*").alias("runs")).where(F.col("runs") > SPLIT_RUNS)
-    if counts.isEmpty():
-        return segments.withColumn("split", F.lit(False)), True
-    part = F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("runs") / SPLIT_RUNS))
-    rows = segments.join(F.broadcast(counts), "key", "left").withColumn("split", F.col("runs").isNotNull())
-    return rows.withColumn("key", F.when(F.col("split"), F.xxhash64("key", part)).otherwise(F.col("key"))).drop("runs"), False
+def dealt(open_: DataFrame) -> DataFrame:
+    """Open runs with the key of their shard, and whether their anchor is dealt over several shards."""
+    split = F.col("runs") > SPLIT_RUNS
+    part = F.pmod(F.xxhash64("doc_id", "v", "span"), F.ceil(F.col("runs") / SPLIT_RUNS))
+    return open_.select("doc_id", "v", "span", F.when(split, F.xxhash64("key", part)).otherwise(F.col("key")).alias("key"), split.alias("split"))
 
 
 def _streamed(segments: DataFrame, window: int) -> DataFrame:
-    """(doc_id, start, n): stretches of windows that an earlier document has."""
+    """(doc_id, v, start, n): stretches of windows that an earlier document has."""
+    types = (*[pa.int64()] * 4, pa.binary())
 
     def handle(columns):
         key = columns[0].to_numpy()
-        doc, lo, seg, split = (c.to_pylist() for c in columns[1:])
+        doc, v, lo, seg, split = (c.to_pylist() for c in columns[1:])
         edge = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1], [True])))
         for a, b in zip(edge[:-1], edge[1:]):
-            own = list(zip(doc[a:b], lo[a:b], seg[a:b]))
+            own = list(zip(doc[a:b], v[a:b], lo[a:b], seg[a:b]))
             out = [(*x, None) for x in shard_repeats(own, window)]
             out += least_windows([x for x, s in zip(own, split[a:b]) if s], window)
             if out:
-                columns = [pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n", "digest"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["doc_id", "v", "start", "n", "digest"])
 
     def run(batches):
-        yield from by_sorted_key(batches, 5, last_key_start, handle)
-
-    parts, none = _dealt(segments)
-    rows = parts.select("key", "doc_id", "lo", "seg", "split").repartition("key").sortWithinPartitions("key", "doc_id", "lo")
-    out = rows.mapInArrow(run, "doc_id long, start long, n long, digest binary")
-    if none:
-        return out.drop("digest")
-    out = stage(out, "word-windows")
+        yield from by_sorted_key(batches, 6, handle)
+
+    rows = segments.select("key", "doc_id", "v", "lo", "seg", "split").repartition("key").sortWithinPartitions("key", "doc_id", "v", "lo")
+    out = stage(rows.mapInArrow(run, "doc_id long, v long, start long, n long, digest binary"), "word-windows")
     # a shard has settled all places of a window but those of its least document
     edges = out.where("digest is not null")
     least = edges.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).where("least < most")
     across = edges.join(least, "digest").where("doc_id > least")
-    return out.where("digest is null").select("doc_id", "start", "n").unionByName(across.select("doc_id", "start", "n"))
+    return out.where("digest is null").select("doc_id", "v", "start", "n").unionByName(across.select("doc_id", "v", "start", "n"))
 
 
-def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_words, n_removed, kept (the words that stay, joined by one space).
+def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
+    """One row for each row with an id: doc_id, n_words, n_removed, kept (the words that stay, joined by one space),
+    and with ``row`` the row itself, all its columns in one struct.
 
     Removed is each word covered by ``window`` consecutive words whose sequence also starts in a document with a
-    smaller id; windows are judged on the input. Empty and null texts have no words. Rows that repeat an id must
-    have one text; they are not earlier than each other. An empty table gives no rows.
+    smaller id; windows are judged on the input. Empty and null texts have no words. Rows that repeat an id are one
+    document, and not earlier than each other; several texts of an id are each judged by themselves. An empty table
+    gives no rows.
     """
-    rows = texts(docs, id_col, text_col)
-    settled = settled_and_open(word_runs(rows, window, gram), by_place=False)
-    wanted = settled.where("open").groupBy("doc_id").agg(F.collect_set(F.struct("key", "span")).alias("spans"))
-    found = _streamed(stage(_segments(rows, wanted, window), "word-segments"), window)
+    check_window(window, gram)
+    rows = told_apart(docs, id_col, text_col)
+    settled, open_ = settled_and_open(word_runs(rows, window, gram), by_place=False)
+    wanted = dealt(open_).groupBy("doc_id", "v").agg(F.collect_set(F.struct("key", "split", "span")).alias("spans"))
+    found = _streamed(_segments(rows, wanted, window), window)
     hits = covered(settled, found)
 
     def run(batches):
         for batch in batches:
             out = []
-            for doc, text, hit in zip(*(batch.column(i) for i in range(3))):
-                w = text.as_py().encode().split()
+            texts = batch.column(1).field(text_col) if row else batch.column(1)
+            for doc, text, hit in zip(batch.column(0), texts, batch.column(2)):
+                w = (text.as_py() or "").encode().split()
                 gone = mask(hit.as_py() or [], len(w), window)
                 kept = [w[i] for i in np.flatnonzero(~gone)] if gone.any() else w
                 out.append((doc.as_py(), len(w), int(gone.sum()), b" ".join(kept).decode()))
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(1)] if row else [])], names=schema.names)
 
-    joined = rows.join(hits, "doc_id", "left").select("doc_id", "text", "hits")
-    return joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
+    whole = told_apart(docs, id_col, text_col, row=True) if row else rows
+    schema = StructType().add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("kept", StringType())
+    schema = schema.add(whole.schema["row"]) if row else schema
+    return whole.join(hits, ["doc_id", "v"], "left").select("doc_id", "row" if row else "text", "hits").mapInArrow(run, schema)

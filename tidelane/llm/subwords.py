@@ -69,20 +69,6 @@ def words(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-with np.errstate(over="ignore"):
-    _POWERS = np.multiply.accumulate(np.full(64, 0x100000001B3, np.uint64))
-
-
-def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the words, equal for equal words."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
-    at = place + np.repeat(starts, sizes)
-    terms = (buf[at].astype(np.uint64) + np.uint64(1)) * _POWERS[place & 63]
-    return np.add.reduceat(terms, first) + sizes.astype(np.uint64) * _ODD
 
 
 def mixed(keys: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -91,3 +77,22 @@ def mixed(keys: np.ndarray, salt: int = 0) -> np.ndarray:
     x ^= x >> np.uint64(32)
     x *= np.uint64(0xD6E8FEB86659FD93)
     return x ^ (x >> np.uint64(32))
+
+
+_NEAR = 64  # places in a word whose terms are looked up
+_TERMS = mixed(np.arange(_NEAR << 8, dtype=np.uint64), 17)
+
+
+def word_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, equal for equal words: a mixed sum of one term for each byte and its place in
+    the word, whatever the word's length."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    place = np.arange(sizes.sum()) - np.repeat(first, sizes)
+    code = place << 8 | buf[place + np.repeat(starts, sizes)]
+    terms = _TERMS[np.minimum(code, len(_TERMS) - 1)]
+    far = np.flatnonzero(place >= _NEAR)
+    terms[far] = mixed(code[far].astype(np.uint64), 17)
+    return mixed(np.add.reduceat(terms, first) + sizes.astype(np.uint64) * _ODD, 5)

@@ -15,11 +15,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .anchors import RUN_RECORD, by_sorted_key, covered, last_key_start, mask, records, runs, settled_and_open, unpack_span
-from .common import stage, texts
+from .anchors import RUN_RECORD, by_sorted_key, check_window, covered, digests, mask, records, runs, settled_and_open, unpack_span
+from .common import stage, told_apart
 from .subwords import slices
 
 LENGTH, GRAM = 100, 32
@@ -29,31 +29,36 @@ SPLIT_RUNS = 100_000  # runs of one leading string that a task takes; more are d
 
 
 def byte_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
+    """Run records of (doc_id, v, text)."""
+
     def run(batches):
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for sl in slices(batch.column(1), _SAME):
+            ids, v = (batch.column(i).to_numpy() for i in range(2))
+            for sl in slices(batch.column(2), _SAME):
                 r = runs(sl.buf.astype(np.uint64), sl.starts, sl.lengths, length, gram)
-                yield records(r, ids[sl.lo : sl.hi], by_place=True)
+                content = digests(sl.buf, r.first, r.first + r.n - 1 + length)
+                yield records(r, content, ids[sl.lo : sl.hi], v[sl.lo : sl.hi], by_place=True)
 
     return rows.mapInArrow(run, RUN_RECORD)
 
 
 def _segments(rows: DataFrame, wanted: DataFrame, length: int, gram: int) -> DataFrame:
-    """(lead, doc_id, lo, off, n, seg): the bytes of open runs; lead are the bytes at their anchor."""
+    """(lead, part, doc_id, v, lo, off, n, seg): the bytes of open runs; lead are the bytes at their anchor."""
 
     def run(batches):
         for batch in batches:
             out: list[tuple] = []
-            for doc, text, spans in zip(*(batch.column(i) for i in range(3))):
+            for doc, v, text, spans in zip(*(batch.column(i) for i in range(4))):
                 raw = text.as_py().encode()
-                for lo, off, n, _ in map(unpack_span, spans.as_py()):
-                    out.append((raw[lo + off : lo + off + gram], doc.as_py(), lo, off, n, raw[lo : lo + n - 1 + length]))
-            types = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
-            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, types)]
-            yield pa.RecordBatch.from_arrays(columns, names=["lead", "doc_id", "lo", "off", "n", "seg"])
+                for s in spans.as_py():
+                    lo, off, n, _ = unpack_span(s["span"])
+                    out.append((raw[lo + off : lo + off + gram], s["part"], doc.as_py(), v.as_py(), lo, off, n, raw[lo : lo + n - 1 + length]))
+            types = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 8, types)]
+            yield pa.RecordBatch.from_arrays(columns, names=["lead", "part", "doc_id", "v", "lo", "off", "n", "seg"])
 
-    return rows.join(wanted, "doc_id").select("doc_id", "text", "spans").mapInArrow(run, "lead binary, doc_id long, lo long, off int, n int, seg binary")
+    found = rows.join(wanted, ["doc_id", "v"]).select("doc_id", "v", "text", "spans")
+    return found.mapInArrow(run, "lead binary, part long, doc_id long, v long, lo long, off int, n int, seg binary")
 
 
 def equal_groups(matrix: np.ndarray) -> np.ndarray:
@@ -93,39 +98,47 @@ def _windows(seg: list[bytes], off: np.ndarray, n: np.ndarray, length: int) -> t
     return view[begin[run] + at], run, at
 
 
-def _repeated(doc, lo, off, n, seg, length: int):
-    """(run, start) of the windows that also stand earlier, by document and then place, among these runs."""
-    # equal windows have equal anchors and bytes, so runs of one leading string stay together in a chunk
+def _repeated(doc, v, lo, off, n, seg, length: int):
+    """(run, start) of the windows that also stand earlier, in a smaller document or before in the same text, among
+    these runs."""
     matrix, run, at = _windows(seg, off, n, length)
     group = equal_groups(matrix)
     use = np.flatnonzero(group >= 0)
-    order = use[np.lexsort((lo[run[use]] + at[use], doc[run[use]], group[use]))]
-    g, d, p = group[order], doc[run[order]], lo[run[order]] + at[order]
-    first = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.zeros(0, int)
-    head = np.repeat(first, np.diff(np.append(first, len(g)))) if len(g) else first
-    later = (d > d[head]) | (p > p[head])
+    order = use[np.lexsort((lo[run[use]] + at[use], v[run[use]], doc[run[use]], group[use]))]
+    if not len(order):
+        return order, order
+    g, d, w, p = group[order], doc[run[order]], v[run[order]], lo[run[order]] + at[order]
+    new = np.concatenate(([True], g[1:] != g[:-1]))
+    text = new | np.concatenate(([True], (d[1:] != d[:-1]) | (w[1:] != w[:-1])))
+    later = (d > d[np.maximum.accumulate(np.where(new, np.arange(len(g)), 0))]) | (p > p[np.maximum.accumulate(np.where(text, np.arange(len(g)), 0))])
     return run[order][later], at[order][later]
 
 
+def dealt(open_: DataFrame) -> DataFrame:
+    """Open runs, and the part of their leading string that they go to: -1 if it is not dealt over several."""
+    part = F.pmod(F.xxhash64("doc_id", "v", "span"), F.ceil(F.col("runs") / SPLIT_RUNS))
+    return open_.select("doc_id", "v", "span", F.when(F.col("runs") > SPLIT_RUNS, part).otherwise(F.lit(-1)).cast("long").alias("part"))
+
+
 def _compared(segments: DataFrame, length: int) -> DataFrame:
-    """(doc_id, start, n): stretches of windows that repeat."""
+    """(doc_id, v, start, n): stretches of windows that repeat."""
 
-    def rows(doc, start, n=None, digest=None):
+    def rows(doc, v, start, n=None, digest=None):
         k = len(doc)
         n = np.ones(k, np.int64) if n is None else n
-        columns = [*(pa.array(np.asarray(c, np.int64)) for c in (doc, start, n)), pa.array(digest or [None] * k, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n", "digest"])
+        columns = [*(pa.array(np.asarray(c, np.int64)) for c in (doc, v, start, n)), pa.array(digest or [None] * k, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "v", "start", "n", "digest"])
 
-    def stretches(doc, lo, run, start):
+    def stretches(doc, v, lo, run, start):
         """Windows of runs that follow each other become one row."""
         order = np.lexsort((start, run))
         run, start = run[order], start[order]
         first = np.flatnonzero(np.concatenate(([True], (run[1:] != run[:-1]) | (start[1:] != start[:-1] + 1)))) if len(run) else run
-        return rows(doc[run[first]], lo[run[first]] + start[first], np.diff(np.append(first, len(run))))
+        return rows(doc[run[first]], v[run[first]], lo[run[first]] + start[first], np.diff(np.append(first, len(run))))
 
     def sort_runs(columns):
-        key, doc, lo, off, n, seg, split = columns
-        doc, lo, off, n = (c.to_numpy().astype(np.int64) for c in (doc, lo, off, n))
+        key, doc, v, lo, off, n, seg, split = columns
+        doc, v, lo, off, n = (c.to_numpy().astype(np.int64) for c in (doc, v, lo, off, n))
         seg = seg.to_pylist()
         # whole keys, in chunks of bounded size; a larger one goes by the anchor's place in the window
         marks = key.to_pylist()
@@ -145,58 +158,62 @@ def _compared(segments: DataFrame, length: int) -> DataFrame:
                 if len(at) < 2:
                     continue
                 if o is None:
-                    run, start = _repeated(doc[at], lo[at], off[at], n[at], seg[a:b], length)
-                    yield stretches(doc[at], lo[at], run, start)
+                    run, start = _repeated(doc[at], v[at], lo[at], off[at], n[at], seg[a:b], length)
+                    yield stretches(doc[at], v[at], lo[at], run, start)
                 else:
                     first = off[at] - o
-                    run, _ = _repeated(doc[at], lo[at] + first, off[at], np.ones(len(at), np.int64), [seg[i][f : f + length] for i, f in zip(at, first)], length)
-                    yield rows(doc[at[run]], (lo[at] + first)[run])
+                    run, _ = _repeated(doc[at], v[at], lo[at] + first, off[at], np.ones(len(at), np.int64), [seg[i][f : f + length] for i, f in zip(at, first)], length)
+                    yield rows(doc[at[run]], v[at[run]], (lo[at] + first)[run])
             k = j
         over = np.flatnonzero(split.to_numpy(zero_copy_only=False))
         if len(over):
-            yield from at_boundary(doc[over], lo[over], n[over], [seg[i] for i in over])
-
-    def at_boundary(doc, lo, n, seg):
-        """One row for each distinct window: its first place in this part; its other places here are settled."""
-        least: dict[bytes, tuple[int, int]] = {}
-        for d, p, count, s in zip(doc, lo, n, seg):
+            yield from at_boundary(doc[over], v[over], lo[over], n[over], [seg[i] for i in over])
+
+    def at_boundary(doc, v, lo, n, seg):
+        """For each distinct window the places in its least document that this part has not settled: the first in
+        each text."""
+        least: dict[bytes, dict[int, int]] = {}
+        owner: dict[bytes, int] = {}
+        for d, w, p, count, s in zip(doc.tolist(), v.tolist(), lo.tolist(), n.tolist(), seg):
             for i in range(count):
                 digest = hashlib.blake2b(s[i : i + length], digest_size=16).digest()
-                here = (int(d), int(p) + i)
-                if digest not in least or here < least[digest]:
-                    least[digest] = here
-        if least:
-            yield rows(*zip(*least.values()), digest=list(least))
+                known = owner.get(digest)
+                if known is None or d < known:
+                    owner[digest], least[digest] = d, {w: p + i}
+                elif d == known:
+                    least[digest][w] = min(p + i, least[digest].get(w, p + i))
+        out = [(owner[x], w, p, x) for x, places in least.items() for w, p in places.items()]
+        if out:
+            doc, v, start, digest = zip(*out)
+            yield rows(doc, v, start, digest=list(digest))
 
     def run(batches):
-        yield from by_sorted_key(batches, 7, last_key_start, sort_runs)
-
-    counts = segments.groupBy("lead").agg(F.count("*").alias("runs")).where(F.col("runs") > SPLIT_RUNS)
-    if counts.isEmpty():
-        parts = segments.withColumns({"key": F.col("lead"), "split": F.lit(False)})
-    else:
-        part = F.pmod(F.xxhash64("doc_id", "lo"), F.ceil(F.col("runs") / SPLIT_RUNS))
-        parts = segments.join(counts, "lead", "left").withColumn("split", F.col("runs").isNotNull())
-        parts = parts.withColumn("key", F.when(F.col("split"), F.concat("lead", F.unhex(F.lpad(F.hex(part), 16, "0")))).otherwise(F.col("lead")))
-    ranged = parts.select("key", "doc_id", "lo", "off", "n", "seg", "split").repartitionByRange("key").sortWithinPartitions("key", "doc_id", "lo")
-    out = stage(ranged.mapInArrow(run, "doc_id long, start long, n long, digest binary"), "windows")
-    edges = out.where("digest is not null")
-    least = edges.groupBy("digest").agg(F.min(F.struct("doc_id", "start")).alias("least"), F.count("*").alias("c")).where("c > 1")
-    across = edges.join(least, "digest").where(F.struct("doc_id", "start") > F.col("least"))
-    return out.where("digest is null").select("doc_id", "start", "n").unionByName(across.select("doc_id", "start", "n"))
+        yield from by_sorted_key(batches, 8, sort_runs)
+
+    split = F.col("part") >= 0
+    key = F.when(split, F.concat("lead", F.unhex(F.lpad(F.hex("part"), 16, "0")))).otherwise(F.col("lead"))
+    parts = segments.select(key.alias("key"), "doc_id", "v", "lo", "off", "n", "seg", split.alias("split"))
+    ranged = parts.repartitionByRange("key").sortWithinPartitions("key", "doc_id", "v", "lo")
+    out = stage(ranged.mapInArrow(run, "doc_id long, v long, start long, n long, digest binary"), "windows")
+    # a distinct window of a dealt leading string has a few rows for each part
+    same = Window.partitionBy("digest")
+    edges = out.where("digest is not null").select("*", F.min("doc_id").over(same).alias("_doc"), F.min("start").over(Window.partitionBy("digest", "doc_id", "v")).alias("_start"))
+    across = edges.where((F.col("doc_id") > F.col("_doc")) | (F.col("start") > F.col("_start")))
+    return out.where("digest is null").select("doc_id", "v", "start", "n").unionByName(across.select("doc_id", "v", "start", "n"))
 
 
 def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, n_bytes, n_removed, n_spans, kept (binary).
+    """One row for each row with an id: doc_id, n_bytes, n_removed, n_spans, kept (binary).
 
     Removed is each byte covered by a ``length``-byte string that also starts earlier: in a document with a smaller
-    id, or before it in the same one. Strings never cross documents, may overlap, and are judged on the input.
-    Empty and null texts have no bytes. Rows that repeat an id must have one text; they do not count as earlier
-    than each other. An empty table gives no rows.
+    id, or before it in the same text. Strings never cross documents, may overlap, and are judged on the input.
+    Empty and null texts have no bytes. Rows that repeat an id are one document, and not earlier than each other;
+    several texts of an id are each judged by themselves. An empty table gives no rows.
     """
-    rows = texts(docs, id_col, text_col)
-    settled = settled_and_open(byte_runs(rows, length, gram), by_place=True)
-    wanted = settled.where("open").groupBy("doc_id").agg(F.collect_set("span").alias("spans"))
+    check_window(length, gram)
+    rows = told_apart(docs, id_col, text_col)
+    settled, open_ = settled_and_open(byte_runs(rows, length, gram), by_place=True)
+    wanted = dealt(open_).groupBy("doc_id", "v").agg(F.collect_set(F.struct("part", "span")).alias("spans"))
     found = _compared(stage(_segments(rows, wanted, length, gram), "segments"), length)
     hits = covered(settled, found)
 
@@ -212,5 +229,5 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, types)]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    joined = rows.join(hits, "doc_id", "left").select("doc_id", "text", "hits")
+    joined = rows.join(hits, ["doc_id", "v"], "left").select("doc_id", "text", "hits")
     return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
