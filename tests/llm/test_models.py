@@ -201,10 +201,9 @@ def test_nearest_is_exact():
     r = np.random.default_rng(2)
     terms, n = np.arange(30, dtype=np.uint64), 500
     ix = toxicity.Index(terms, np.ones(30), ids=np.arange(n) * 7 % 1001, y=np.zeros(n), weight=np.ones(n))
-    dense = np.where(r.random((30, 512)) < 0.15, r.random((30, 512)), 0).astype(np.float32)
-    dense[:, n:] = 0
+    dense = np.where(r.random((30, n)) < 0.15, r.random((30, n)), 0)
     dense[:, 100:140] = dense[:, 99:100]  # ties
-    ix.postings, ix.block_max = dense, dense.reshape(30, -1, toxicity.BLOCK).max(2)
+    ix.post(*np.nonzero(dense), dense[np.nonzero(dense)])
     for _ in range(50):
         term = np.sort(r.choice(30, 4, replace=False))
         q = r.random(4)
@@ -214,6 +213,50 @@ def test_nearest_is_exact():
         assert [int(x) for x in rows] == [int(x) for x in best if s[x] > 0] and np.allclose(cosines, s[best][s[best] > 0])
 
 
+def test_index_gives_exact_cosines():
+    """The index built from texts against cosines of plain dictionaries, each text as a query."""
+    import math
+
+    import pyarrow as pa
+
+    r = random.Random(9)
+    vocabulary = [words(k, 1) for k in range(60)]
+    column = pa.array([" ".join(r.choices(vocabulary, k=r.randint(0, 12))) for _ in range(300)] + ["", None])
+    y = np.array([i % 2 for i in range(302)])
+    grams = [{} for _ in range(302)]
+    for doc, text in zip(grams, column.to_pylist()):
+        for w in (text or "").split():
+            padded = (" " + w + " ").encode()
+            for i in range(len(padded) - 4):
+                g = int.from_bytes(padded[i : i + 5], "big")
+                doc[g] = doc.get(g, 0) + 1
+    terms = np.array(sorted({g for d in grams for g in d if g % 3}), np.uint64)
+    idf = {int(t): 1 + (i % 7) / 3 for i, t in enumerate(terms)}
+    table = pa.table({"doc_id": [(i * 37) % 1000 for i in range(302)], "label": y, "text": column})
+    ix = toxicity.build_index(table, {0: 151, 1: 151}, terms, np.array(list(idf.values())))
+    vec = [{g: (1 + math.log(c)) * idf[g] for g, c in d.items() if g in idf} for d in grams]
+    norm = [math.sqrt(sum(x * x for x in v.values())) for v in vec]
+    ids = table["doc_id"].to_pylist()
+    seen = 0
+    for _, doc, term, n in toxicity.term_counts(column, terms):
+        for d in np.unique(doc):
+            q = vec[d]
+            near, cosines = ix.nearest(term[doc == d], ix.vector(term[doc == d], n[doc == d]), 10)
+            full = sorted(((round(-sum(x * v.get(g, 0) for g, x in q.items()) / norm[d] / m, 9), i) for v, m, i in zip(vec, norm, ids) if m and any(g in v for g in q)))[:10]
+            assert [round(-c, 9) for c in cosines] == pytest.approx([s for s, _ in full], abs=1e-8)
+            assert len({int(ix.ids[i]) for i in near} & {i for _, i in full}) >= len(full) - sum(abs(s - full[-1][0]) < 1e-8 for s, _ in full)
+            seen += 1
+    assert seen > 250
+
+
+def test_scores_do_not_depend_on_the_neighbouring_row():
+    import pyarrow as pa
+
+    model = quality.train(pa.array(["good text here", "bad bad bad"] * 10), np.array([1, 0] * 10), {0: 10, 1: 10})
+    apart = [model.scores(pa.array([t], pa.string()))[0] for t in ("word", "word", "other", None, "other word")]
+    assert np.allclose(model.scores(pa.array(["word", "word", "other", None, "other word"])), apart)
+
+
 def test_quality(spark):
     docs, labels = labelled(spark)
     out = quality.quality_scores(docs, labels).collect()

@@ -27,7 +27,9 @@ def features(sl) -> list[tuple[np.ndarray, np.ndarray]]:
     shift = np.uint64(64 - BUCKET_BITS)
     starts, ends = words(sl.buf)
     hashes = word_hashes(sl.buf, starts, ends)
-    again = starts[1:][hashes[1:] == hashes[:-1]]  # all two-word grams of a word and itself share a bucket
+    # all two-word grams of a word and itself, inside one text, share a bucket
+    text = np.searchsorted(sl.starts, starts, side="right")
+    again = starts[1:][(hashes[1:] == hashes[:-1]) & (text[1:] == text[:-1])]
     out = [(starts, mixed(hashes) >> shift), (again, np.full(len(again), mixed(np.uint64([2]), 1)[0] >> shift))]
     for n in GRAMS:
         keys, usable = grams(sl.buf, n)

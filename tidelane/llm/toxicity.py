@@ -1,13 +1,13 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Terms are the 5-byte grams of folded words, edges of words included, that the labelled sample ties to one class
-(chi-square and a ratio of shares). Their document frequencies are counted over all documents. Labelled examples
-that hold any term form the index: postings by term in blocks of examples, with the largest weight of each term
-in each block. A document visits blocks in the order of their upper bound and stops when no block can reach its
-k-th best cosine, so the neighbours are exact. Votes are weighted by squared cosine and calibrated on the sample itself,
-each example scored without its own vote.
-
-The index is bounded by the parameters (examples a class, terms), so it goes to every task.
+Terms are all 5-byte grams of folded words, edges of words included, that the labelled sample ties to one class
+(a z-test and a ratio of shares; there is no limit on their number). Their document frequencies are counted over
+all documents. Labelled examples that hold any term form the index: for each term, postings in blocks of examples
+with the largest weight in each block. A document visits blocks in the order of their upper bound and stops when no
+block can reach its k-th best cosine, so the neighbours are exact. Votes are weighted by squared cosine and
+calibrated on the sample itself, each example scored without its own vote.
+
+The index is bounded by what the labelled sample may hold (examples and bytes a class), so it goes to every task.
 """
 
 from __future__ import annotations
@@ -18,13 +18,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructType
 
-from .common import texts
+from .common import texts, told_apart
 from .labels import fold, sample
 from .subwords import FOLDED, grams, mixed, slices
 
 GRAM = 5
-EXAMPLES_PER_CLASS, MAX_TERMS, NEIGHBOURS, BLOCK = 3000, 2048, 15, 64
+EXAMPLES_PER_CLASS, NEIGHBOURS, BLOCK = 3000, 15, 64
+TOGETHER = 4  # blocks visited at once
 MIN_Z, MIN_RATIO, MIN_EXAMPLES = 6.0, 3.0, 3
 PRIOR_MASS = 3.0  # close neighbours that the prior counts as
 
@@ -48,8 +50,8 @@ def term_counts(column: pa.Array, terms: np.ndarray):
         yield sl.lo, pairs // max(len(terms), 1), pairs % max(len(terms), 1), n
 
 
-def choose_terms(column: pa.Array, y: np.ndarray, limit: int = MAX_TERMS) -> np.ndarray:
-    """The grams whose share of examples differs between the classes, strongest first, then sorted."""
+def choose_terms(column: pa.Array, y: np.ndarray) -> np.ndarray:
+    """All grams whose share of examples differs between the classes, sorted."""
     terms, a, b = np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)  # examples of either class that hold each gram
     for sl in slices(column, FOLDED):
         keys, usable = grams(sl.buf, GRAM)
@@ -67,8 +69,13 @@ def choose_terms(column: pa.Array, y: np.ndarray, limit: int = MAX_TERMS) -> np.
     p1, p0, p = a / n1, b / n0, (a + b) / (n1 + n0)
     z = np.abs(p1 - p0) / np.sqrt(np.maximum(p * (1 - p), 1e-12) * (1 / n1 + 1 / n0))
     ratio = np.maximum((p1 + 0.5 / n1) / (p0 + 0.5 / n0), (p0 + 0.5 / n0) / (p1 + 0.5 / n1))
-    good = np.flatnonzero((z >= MIN_Z) & (ratio >= MIN_RATIO) & (np.maximum(a, b) >= MIN_EXAMPLES))
-    return np.sort(terms[good[np.argsort(-z[good], kind="stable")][:limit]])
+    return terms[(z >= MIN_Z) & (ratio >= MIN_RATIO) & (np.maximum(a, b) >= MIN_EXAMPLES)]
+
+
+def _ranges(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The numbers of all half-open ranges, one after the other."""
+    n = end - start
+    return np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
 
 
 @dataclass
@@ -80,8 +87,13 @@ class Index:
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     y: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))  # rows of the table that an example stands for
-    postings: np.ndarray | None = None  # (term, example) weights
-    block_max: np.ndarray | None = None  # (term, block)
+    # a cell is a term in a block that has it: cells by term (from cell_of[t] to cell_of[t + 1]), postings by cell
+    cell_of: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of a cell
+    cell_max: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    posting_of: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # of a cell, and the end
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # of a posting
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
     prior: float = 0.5
     empty: float = 0.5  # score of a text without any term
     slope: float = 1.0
@@ -91,18 +103,37 @@ class Index:
         q = (1 + np.log(n)) * self.idf[term]
         return q / max(np.sqrt(q @ q), 1e-12)
 
+    def post(self, term: np.ndarray, example: np.ndarray, value: np.ndarray) -> None:
+        """Builds the postings from (term, example, weight)."""
+        order = np.lexsort((example, term))
+        term, self.example, self.value = term[order], example[order], value[order]
+        block = self.example // BLOCK
+        first = np.flatnonzero(np.concatenate(([True], (term[1:] != term[:-1]) | (block[1:] != block[:-1])))) if len(term) else np.zeros(0, np.int64)
+        self.block, self.posting_of = block[first], np.append(first, len(term))
+        self.cell_max = np.maximum.reduceat(self.value, first) if len(first) else np.zeros(0)
+        self.cell_of = np.searchsorted(term[first], np.arange(len(self.terms) + 1))
+
     def nearest(self, term: np.ndarray, q: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(example rows, cosines) of the k nearest, ties to the smaller id; exact."""
-        bound = q @ self.block_max[term]
+        start, end = self.cell_of[term], self.cell_of[term + 1]
+        cell, weight = _ranges(start, end), np.repeat(q, end - start)
+        block = self.block[cell]
+        bound = np.bincount(block, weight * self.cell_max[cell])
+        order = np.argsort(-bound, kind="stable")
         best = np.zeros(0, np.int64)
         score = np.zeros(0)
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or (len(best) >= k and bound[b] < score[-1] - 1e-9):
+        for at in range(0, len(order), TOGETHER):
+            if bound[order[at]] <= 0 or (len(best) >= k and bound[order[at]] < score[-1] - 1e-9):
                 break
-            rows = np.arange(b * BLOCK, min((b + 1) * BLOCK, len(self.ids)))
-            s = q @ self.postings[np.ix_(term, rows)]
-            use = (s > 0) & (rows != without)
-            best, score = np.concatenate((best, rows[use])), np.concatenate((score, s[use]))
+            now = np.zeros(len(bound), bool)
+            now[order[at : at + TOGETHER]] = True
+            use = now[block]
+            a, b = self.posting_of[cell[use]], self.posting_of[cell[use] + 1]
+            posting = _ranges(a, b)
+            s = np.bincount(self.example[posting], self.value[posting] * np.repeat(weight[use], b - a))
+            rows = np.flatnonzero(s)
+            rows = rows[rows != without]
+            best, score = np.concatenate((best, rows)), np.concatenate((score, s[rows]))
             top = np.lexsort((self.ids[best], -score))[:k]
             best, score = best[top], score[top]
         return best, score
@@ -148,11 +179,9 @@ def build_index(table: pa.Table, sizes: dict[int, int], terms: np.ndarray, idf:
     # neighbours in the order of their heaviest terms share blocks, which keeps block maxima tight
     rows = sorted(vectors, key=lambda r: (int(vectors[r][0][np.argmax(vectors[r][1])]), int(ids[r])))
     out.ids, out.y, out.weight = ids[rows], y[rows], weight[rows]
-    blocks = -(-len(rows) // BLOCK)
-    out.postings = np.zeros((len(terms), max(blocks, 1) * BLOCK), np.float32)
-    for at, r in enumerate(rows):
-        out.postings[vectors[r][0], at] = vectors[r][1]
-    out.block_max = out.postings.reshape(len(terms), max(blocks, 1), BLOCK).max(2)
+    if rows:
+        at = np.repeat(np.arange(len(rows)), [len(vectors[r][0]) for r in rows])
+        out.post(np.concatenate([vectors[r][0] for r in rows]), at, np.concatenate([vectors[r][1] for r in rows]))
     bare = np.ones(len(y), bool)
     bare[rows] = False
     out.empty = float((weight[bare] @ y[bare] + 0.5 * out.prior) / (weight[bare].sum() + 0.5))
@@ -181,26 +210,29 @@ def document_frequencies(docs: DataFrame, terms: np.ndarray) -> tuple[np.ndarray
 
 
 def toxicity_scores(
-    docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = EXAMPLES_PER_CLASS, max_terms: int = MAX_TERMS, k: int = NEIGHBOURS,
-    label: str = "toxic", label_docs: DataFrame | None = None,
+    docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, per_class: int = EXAMPLES_PER_CLASS, k: int = NEIGHBOURS,
+    label: str = "toxic", label_docs: DataFrame | None = None, row: bool = False,
 ) -> DataFrame:
-    """One row per document: doc_id, held_out, score, predicted, evidence (ids of the nearest examples).
+    """One row for each row with an id: doc_id, held_out, score, predicted, evidence (ids of the nearest examples),
+    and with ``row`` the row itself, all its columns in one struct.
 
     Learns from labelled rows whose crc32(id) modulo ``folds`` is not ``held_out``, at most ``per_class`` of each
-    class. ``label_docs`` (``docs`` by default) holds their texts. Empty and null texts, and texts without any term, get the rate of toxic ones among such
-    examples. Without labels every score is the prior 0.5 of no evidence.
+    class; ``label_docs`` (``docs`` by default) holds their texts. Each row is scored by its own text, so rows that
+    repeat an id get one score for each text. Empty and null texts, and texts without any term, get the rate of
+    toxic ones among such examples. Without labels every score is the prior 0.5 of no evidence.
     """
-    rows = texts(docs)
-    table, sizes = sample(rows if label_docs is None else texts(label_docs), labels, label, fold("doc_id", folds) != held_out, per_class)
-    terms = choose_terms(table["text"].combine_chunks(), table["label"].to_numpy(), max_terms)
-    df, n_docs = document_frequencies(rows, terms)
+    rows = told_apart(docs, row=row)
+    table, sizes = sample(texts(docs if label_docs is None else label_docs), labels, label, fold("doc_id", folds) != held_out, per_class)
+    terms = choose_terms(table["text"].combine_chunks(), table["label"].to_numpy())
+    df, n_docs = document_frequencies(texts(docs), terms)
     index = build_index(table, sizes, terms, np.log((n_docs + 1) / (df + 1)) + 1, k)
 
     def score(batches):
         for batch in batches:
+            text = batch.column(1).field("text") if row else batch.column(1)
             scores = np.full(batch.num_rows, index.empty)
             evidence: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for lo, doc, term, n in term_counts(batch.column(1), terms):
+            for lo, doc, term, n in term_counts(text, terms):
                 cuts = np.flatnonzero(np.diff(doc)) + 1
                 for d, t, c in zip(np.split(doc, cuts), np.split(term, cuts), np.split(n, cuts)):
                     if len(d):
@@ -209,7 +241,9 @@ def toxicity_scores(
                             scores[lo + int(d[0])] = index.calibrated(index.vote(near, cosines))
                             evidence[lo + int(d[0])] = index.ids[near].tolist()
             columns = [batch.column(0), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array(evidence, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted", "evidence"])
+            yield pa.RecordBatch.from_arrays([*columns, *([batch.column(1)] if row else [])], names=schema.names)
 
-    out = rows.mapInArrow(score, "doc_id long, score double, predicted int, evidence array<long>")
-    return out.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", "predicted", "evidence")
+    schema = StructType().add("doc_id", LongType()).add("score", DoubleType()).add("predicted", IntegerType()).add("evidence", ArrayType(LongType()))
+    schema = schema.add(rows.schema["row"]) if row else schema
+    out = rows.select("doc_id", "row" if row else "text").mapInArrow(score, schema)
+    return out.select("doc_id", (fold("doc_id", folds) == held_out).alias("held_out"), "score", "predicted", "evidence", *(["row"] if row else []))
