@@ -2,14 +2,17 @@
 
 Each stage takes (spark, docs, sf_dir), judges all of what the one before it kept, and returns a DataFrame that
 is written as Parquet and read back as the next stage's documents. All but the last return the columns of
-``documents`` (and any further columns that came in), with every surviving row whole. Rows whose doc_id is null
-take no part in a decision; filters leave them out. Null texts count as empty: no stage rejects a text for being
-empty, but all empty texts are equal to each other.
+``documents`` (and any further columns that came in, whatever their names), with every surviving row whole.
+
+Rows without a doc_id are no documents and leave with the first stage. Null texts count as empty: no stage rejects
+a text for being empty, but all empty texts are equal to each other. Rows that repeat an id: the first stage judges
+each by its own text; the exact stage leaves one row for each text of an id; the near-duplicate stage leaves one
+row for each id. The later stages judge each row they get, and give one row for it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidelane.llm.common import stage
@@ -21,28 +24,35 @@ from tidelane.llm.substring_dedup import substring_dedup
 from tidelane.llm.toxicity import toxicity_scores
 
 
-def _only(docs: DataFrame, keep: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is in keep."""
-    return docs.join(keep.select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+def _digest() -> Column:
+    return F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
+
+
+def _row(docs: DataFrame) -> Column:
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity operator does not call toxic."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _only(docs, scores.where("predicted = 0"))
+    """Rows whose text the toxicity operator does not call toxic; they pass through it, so nothing is joined."""
+    scores = toxicity_scores(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), row=True)
+    return scores.where("predicted = 0").select("row.*")
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the document with the largest id, and of rows that repeat it one."""
-    kept = _only(docs, exact_groups(docs).where("kept"))
-    text = F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)
-    one = kept.groupBy("doc_id", text.alias("_text")).agg(F.first(F.struct(*docs.columns)).alias("_row"))
-    return one.select("_row.*")
+    """Of equal texts the document with the largest id, and of rows that repeat id and text one: that whose other
+    columns hash lowest."""
+    kept = exact_groups(docs).where("kept").select("doc_id", F.col("text_sha256").alias("digest"))
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"])))
+    one = docs.where("doc_id is not null").groupBy(F.col("doc_id"), _digest().alias("digest")).agg(F.min_by(_row(docs), rest).alias("row"))
+    return one.join(kept, ["doc_id", "digest"], "left_semi").select("row.*")
 
 
 def drop_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id."""
-    return _only(docs, simhash_groups(docs).where("component_id = doc_id"))
+    """Of each group of near duplicates the document with the smallest id; of several texts of it the one with the
+    smallest digest."""
+    kept = simhash_groups(docs).where("component_id = doc_id").select("doc_id").distinct()
+    rows = docs.select("doc_id", _digest().alias("digest"), _row(docs).alias("row")).join(kept, "doc_id", "left_semi")
+    return rows.groupBy("doc_id").agg(F.min_by("row", "digest").alias("row")).select("row.*")
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,11 +60,11 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A text that loses nothing stays as it is, white space included.
     """
-    cut = substring_dedup(docs).where("n_removed > 0").select("doc_id", F.col("kept").alias("_kept")).dropDuplicates(["doc_id"])
-    changed = F.col("_kept").isNotNull()
-    text = F.coalesce("_kept", "text")
-    new = {"text": text} | ({"n_chars": F.when(changed, F.length("_kept")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    return docs.join(cut, "doc_id", "left").withColumns(new).select(docs.columns)
+    changed = F.col("n_removed") > 0
+    new = {"text": F.col("kept"), "n_chars": F.length("kept")}
+    own = lambda c: F.col("row").getField(c)
+    columns = [F.when(changed, new[c].cast(docs.schema[c].dataType)).otherwise(own(c)) if c in new else own(c) for c in docs.columns]
+    return substring_dedup(docs, row=True).select(*[x.alias(c) for x, c in zip(columns, docs.columns)])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,7 +80,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Classifier scores, fingerprints and tokenizers are beyond SQL; tests/llm compare the operators with brute force, the stages in part.
+#: Classifier scores, fingerprints and tokenizers are beyond SQL; tests/llm compare every stage with brute force.
 ORACLE_SQL = None
 
 
