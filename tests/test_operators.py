@@ -56,6 +56,63 @@ def test_merge_changes_and_rerun(spark, tmp_path):
     assert got == {1: 0.0, 2: 5.0, 3: 7.0, 4: 1.0}
 
 
+def test_merge_moves_a_key_to_another_partition(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    schema = "k int, p string, v int"
+    assert sinks.write_merge(spark, path, spark.createDataFrame([(1, "x/ y", 10), (2, "z", 5), (3, "z", 6)], schema), ["k"], ["v"], "p") == 3
+    moved = spark.createDataFrame([(1, "y", 11), (2, "z", 7)], schema)
+    assert sinks.write_merge(spark, path, moved, ["k"], ["v"], "p") == 2
+    assert sorted(map(tuple, spark.read.schema(schema).parquet(path).select("k", "p", "v").collect())) == [(1, "y", 11), (2, "z", 7), (3, "z", 6)]
+    assert sinks.write_merge(spark, path, moved, ["k"], ["v"], "p") == 0
+    with pytest.raises(ValueError, match="several source rows"):
+        sinks.write_merge(spark, path, spark.createDataFrame([(9, "y", 1), (9, "y", 2)], schema), ["k"], ["v"], "p")
+
+
+def test_windowed_builds_write_only_their_window(spark, tmp_path):
+    from tidelane.plans import features
+
+    days = spark.createDataFrame([("s", D + timedelta(days=i), float(100 + i % 37)) for i in range(800)], "site_id string, date date, value double")
+    rolled = days.select("site_id", "date", F.col("value").alias("value_mean"), F.col("value").alias("value_min"), F.lit("00060").alias("param_code"))
+    path = f"file://{tmp_path}/features"
+    n = features.write_features(spark, path, rolled, ["site_id"], "2020-06-01", "2020-06-30", features.registry(min_years=2))
+    assert n == 30 * 5
+    assert features.write_features(spark, path, rolled, ["site_id"], "2020-06-01", "2020-07-01", features.registry(min_years=2)) == 5
+    full = features.build_features(rolled, ["site_id"], features.registry(min_years=2)).where("date between '2020-06-01' and '2020-07-01'")
+    assert spark.read.parquet(path).select(full.columns).exceptAll(full).isEmpty() and full.count() == spark.read.parquet(path).count()
+    weekly = spark.createDataFrame([(D + timedelta(days=7 * i), 100.0 + i) for i in range(40)], "w date, rate double")
+    path = f"file://{tmp_path}/targets"
+    assert features.write_targets(spark, path, weekly, "w", "rate", "t", "2020-01-01", "2020-01-31") == 5 * 3
+    assert features.write_targets(spark, path, weekly, "w", "rate", "t", "2020-01-01", "2020-01-31") == 0
+    with pytest.raises(ValueError):
+        features.write_targets(spark, path, weekly, "w", "rate", "t", "2020-02-01", "2020-01-31")
+
+
+def test_analog_log_keeps_refusals(spark, tmp_path):
+    queries, matches = f"file://{tmp_path}/queries", f"file://{tmp_path}/matches"
+    q = spark.createDataFrame([("a", "passed"), ("b", "insufficient_analogs")], "query_id string, gate_result string")
+    m = spark.createDataFrame([("a", 1, 0.5)], "query_id string, rank int, distance double")
+    for _ in range(2):
+        sinks.append_analogs(queries, matches, q, m)
+    assert spark.read.parquet(queries).count() == 4 and spark.read.parquet(matches).groupBy("query_id").count().collect() == [("a", 2)]
+
+
+def test_what_was_known_on_a_day(spark):
+    rows = spark.createDataFrame([(D + timedelta(days=i),) for i in range(5)], "d date")
+    assert reads.through(rows, "d", D + timedelta(days=2)).count() == 3
+
+
+def test_extracts_of_two_years(spark):
+    from tidelane.plans import reports
+
+    weeks = spark.createDataFrame([(date(y, 3, 7 + k), 250.0 + k) for y in (2021, 2022, 2023) for k in (0, 7)], "week_ending date, pct_of_tariff double")
+    raw = spark.createDataFrame([(date(2022, 3, 1) + timedelta(days=i), float(i)) for i in range(14)], "date date, value double")
+    out = reports.extracts(weeks, raw, raw.withColumn("anomaly", F.col("value") - 100))
+    assert list(out) == ["2022_raw.csv", "2022_deseasonalized.csv", "2023_raw.csv", "2023_deseasonalized.csv"]
+    assert [tuple(r) for r in out["2022_raw.csv"].collect()] == [(date(2022, 3, 7), 250.0, 3.0), (date(2022, 3, 14), 257.0, 10.0)]
+    assert [r.discharge_anomaly for r in out["2022_deseasonalized.csv"].collect()] == [-97.0, -90.0]
+    assert [r.discharge for r in out["2023_raw.csv"].collect()] == [None, None]
+
+
 def test_last_wins_and_window(spark):
     rows = spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (2, 1, "c")], "k int, seq int, v string")
     assert {r.k: r.v for r in sinks.last_wins(rows, ["k"], "seq").collect()} == {1: "b", 2: "c"}
@@ -68,6 +125,8 @@ def test_run_log_counts_have_to_agree(spark, tmp_path):
     run = spark.createDataFrame([(1, 2)], "run_id long, grid_size int")
     cells = spark.createDataFrame([(1, "x", None), (1, "y", 0.5)], "run_id long, cell string, q double")
     assert sinks.append_run(runs, rows, run, cells, 2) == 2
+    with pytest.raises(ValueError, match="grid is empty"):
+        sinks.append_run(runs, rows, run, cells, 0)
     with pytest.raises(ValueError):
         sinks.append_run(runs, rows, run.withColumn("run_id", F.lit(2).cast("long")), cells.withColumn("run_id", F.lit(2).cast("long")), 3)
 

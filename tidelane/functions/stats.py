@@ -15,15 +15,22 @@ from ..session import importable
 PERIOD_DAYS, MIN_EFFECTIVE = 7, 2.0
 
 
-def pearson(x: str, y: str) -> Column:
+def pearson(x: Column | str, y: Column | str) -> Column:
     """Pearson correlation over rows where both are known; NULL below two rows or for a constant side; within +-1."""
-    both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    a, b = F.when(both, F.col(x)), F.when(both, F.col(y))
+    x, y = (F.col(c) if isinstance(c, str) else c for c in (x, y))
+    both = x.isNotNull() & y.isNotNull()
+    a, b = F.when(both, x), F.when(both, y)
     varies = (F.min(a) < F.max(a)) & (F.min(b) < F.max(b))
+    # corr() divides by zero for a constant side before ``varies`` is asked
     r = F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
     return F.when(varies, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
 
 
+def pearson_where(condition: Column, x: str, y: str) -> Column:
+    """Pearson correlation over the rows that meet a condition."""
+    return pearson(F.when(condition, F.col(x)), F.when(condition, F.col(y)))
+
+
 def overlap_factor(horizon: Column, period: int = PERIOD_DAYS) -> Column:
     return F.greatest(F.lit(1.0), horizon / F.lit(float(period)))
 
@@ -72,19 +79,32 @@ def p_value(r: Column, n_effective: Column) -> Column:
     return _p_value(r, n_effective)
 
 
+def _p_range(p: str) -> Column:
+    """A number that grows with p: 256 ranges of equal width, the lowest of them cut 16 times an octave."""
+    low = F.greatest(F.lit(0), F.lit(9999) + F.floor((F.log2(p) + 8) * 16))
+    return F.when(F.col(p) >= 1 / 256, F.lit(10000) + F.floor(F.col(p) * 256)).when(F.col(p) > 0, low).otherwise(F.lit(0)).cast("int")
+
+
 def benjamini_hochberg(rows: DataFrame, run: list[str], p: str = "p_value", q: str = "q_value") -> DataFrame:
     """Adds ``q`` and ``n_tests_adjusted`` over the rows of each run that have a p.
 
-    Ranks are taken over distinct p-values with their counts (equal p share rank and q), so the ordered pass over
-    a run sees each value once; rows get their q back by an equi-join.
+    Ranks are taken over distinct p-values with their counts (equal p share rank and q). Those are dealt into fixed
+    ranges of p, ranked inside each range, and joined with what lies below (counts) and above (the least q) the
+    range, which is one row a range; so no task sees a run as a whole. Rows get their q back by an equi-join.
     """
-    distinct = rows.where(F.col(p).isNotNull()).groupBy(*run, p).agg(F.count("*").alias("_c"))
-    up = Window.partitionBy(*run).orderBy(p)
-    whole = Window.partitionBy(*run)
-    ranked = distinct.withColumns({"_rank": F.sum("_c").over(up.rowsBetween(Window.unboundedPreceding, 0)), "n_tests_adjusted": F.sum("_c").over(whole)})
-    least = F.min(F.col(p) * F.col("n_tests_adjusted") / F.col("_rank")).over(Window.partitionBy(*run).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranked.withColumn(q, F.least(F.lit(1.0), least)).select(*run, p, q, "n_tests_adjusted")
-    return rows.join(ranked, [*run, p], "left").select(*rows.columns, q, "n_tests_adjusted")
+    part = [*run, "_range"]
+    distinct = rows.where(F.col(p).isNotNull()).groupBy(*run, p).agg(F.count("*").alias("_c")).withColumn("_range", _p_range(p))
+    ranges = Window.partitionBy(*run).orderBy("_range")
+    counts = distinct.groupBy(*part).agg(F.sum("_c").alias("_n")).select(
+        *part, F.sum("_n").over(Window.partitionBy(*run)).alias("n_tests_adjusted"), F.coalesce(F.sum("_n").over(ranges.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_below")
+    )
+    inside = Window.partitionBy(*part).orderBy(p).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = distinct.join(counts, part).withColumn("_rank", F.col("_below") + F.sum("_c").over(inside))
+    ranked = ranked.withColumn("_q", F.col(p) * F.col("n_tests_adjusted") / F.col("_rank"))
+    above = ranked.groupBy(*part).agg(F.min("_q").alias("_least")).select(*part, F.min("_least").over(ranges.rowsBetween(1, Window.unboundedFollowing)).alias("_above"))
+    from_here = F.min("_q").over(Window.partitionBy(*part).orderBy(F.desc(p)).rowsBetween(Window.unboundedPreceding, 0))
+    out = ranked.withColumn("_here", from_here).join(above, part).select(*run, p, F.least(F.lit(1.0), "_here", "_above").alias(q), "n_tests_adjusted")
+    return rows.join(out, [*run, p], "left").select(*rows.columns, q, "n_tests_adjusted")
 
 
 def passes_gate(q: Column, consistency: Column, folds: Column, max_q: float = 0.05, min_consistency: float = 0.70, min_folds: int = 5) -> Column:

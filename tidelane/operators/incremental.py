@@ -37,16 +37,22 @@ def tiles(ranges: DataFrame, key: str, start: str, end: str, days: int, half_ope
     return rows.select(key, "w_start", F.least(last, F.col(end)).alias("w_end"))
 
 
-def window_coverage(windows: DataFrame, rows: DataFrame, key: str, date: str, days: int) -> DataFrame:
-    """Readings and first date in each inclusive window; empty windows stay with 0.
+def window_coverage(windows: DataFrame, rows: DataFrame, key: str, time: str, days: int, half_open: bool = False) -> DataFrame:
+    """Readings and first time in each window, inclusive dates or half-open instants; empty windows stay with 0.
 
     Windows of a key tile its range, so a reading's window follows from its distance to the key's first window:
     the range condition becomes an equi-join on (key, window start).
     """
-    origin = windows.groupBy(key).agg(F.min("w_start").alias("_origin"))
-    placed = rows.join(origin, key).where(F.col(date) >= F.col("_origin"))
-    placed = placed.withColumn("w_start", F.expr(f"date_add(_origin, cast(floor(datediff({date}, _origin) / {days}) * {days} as int))"))
-    counts = placed.groupBy(key, "w_start").agg(F.count("*").alias("n_readings"), F.min(date).alias("first_date"))
+    span = windows.groupBy(key).agg(F.min("w_start").alias("_origin"), F.max("w_end").alias("_until"))
+    placed = rows.join(span, key)
+    if half_open:
+        placed = placed.where((F.col(time) >= F.col("_origin")) & (F.col(time) < F.col("_until")))
+        step = F.floor((F.unix_micros(time) - F.unix_micros("_origin")) / (days * 86400 * 1_000_000))
+        placed = placed.withColumn("w_start", F.expr("_origin") + F.make_dt_interval(step.cast("int") * days))
+    else:
+        placed = placed.where(F.col(time).between(F.col("_origin"), F.col("_until")))
+        placed = placed.withColumn("w_start", F.date_add("_origin", (F.floor(F.datediff(F.col(time), "_origin") / days) * days).cast("int")))
+    counts = placed.groupBy(key, "w_start").agg(F.count("*").alias("n_readings"), F.min(time).alias("first_date"))
     return windows.join(counts, [key, "w_start"], "left").withColumn("n_readings", F.coalesce("n_readings", F.lit(0).cast("long")))
 
 

@@ -88,6 +88,7 @@ def best_rows(rows: DataFrame, run: str, q: str, order: list[str], k: int) -> Da
     """For each run its passing rows with the smallest q, or the smallest q of all when none passes; k at most."""
     from pyspark.sql import Window
 
-    w = Window.partitionBy(run)
-    chosen = rows.where(F.col(q).isNotNull()).withColumn("_any", F.bool_or("passes_gate").over(w)).where(F.col("passes_gate") | ~F.col("_any")).drop("_any")
-    return chosen.withColumn("rank", F.row_number().over(w.orderBy(q, *order))).where(F.col("rank") <= k)
+    known = rows.where(F.col(q).isNotNull())
+    some = known.groupBy(run).agg(F.bool_or("passes_gate").alias("_any"))
+    chosen = known.join(some, run).where(F.col("passes_gate") | ~F.col("_any")).drop("_any")
+    return chosen.withColumn("rank", F.row_number().over(Window.partitionBy(run).orderBy(q, *order))).where(F.col("rank") <= k)

@@ -70,7 +70,14 @@ def unregistered(names: DataFrame, registry: DataFrame, key: str) -> DataFrame:
     return names.select(key).distinct().join(registry.select(key), key, "left_anti")
 
 
-def histogram(rows: DataFrame, value: str, low: float, high: float, buckets: int, extra: dict[str, Column] | None = None) -> DataFrame:
+def histogram(rows: DataFrame, value: str, low: float, high: float, buckets: int, extra: dict[str, Column] | None = None, by: list[str] | None = None) -> DataFrame:
     """Rows by equal-width bucket: 0 below the range, buckets + 1 at or above its end."""
     bucket = F.expr(f"width_bucket({value}, cast({low} as double), cast({high} as double), {buckets})")
-    return rows.where(F.col(value).isNotNull()).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
+    return rows.where(F.col(value).isNotNull()).groupBy(*(by or []), bucket.alias("bucket")).agg(F.count("*").alias("n"), *[c.alias(k) for k, c in (extra or {}).items()])
+
+
+def with_targets(features: DataFrame, targets: DataFrame, on: list[str] | None = None) -> DataFrame:
+    """Feature rows and targets of the same exact date, both values known: date, value and target among the columns.
+    Unlike an as-of join it has only weeks on whose own date the feature was measured."""
+    known = targets.where(F.col("value").isNotNull()).select(*(on or []), F.col("week_ending").alias("date"), "horizon_days", F.col("value").alias("target"))
+    return features.where(F.col("value").isNotNull()).join(known, [*(on or []), "date"])

@@ -1,7 +1,8 @@
 """Nearest-analog queries for many (site, as_of) pairs in one job.
 
-``queries`` is a table (query_id, site_id, as_of); every stage is keyed by query_id. Everything a query sees is cut
-off at its own as_of date.
+``queries`` is a table (query_id, site_id, as_of). Everything a query sees is cut off at its own as_of date. Events,
+their counts and the spread of the features only depend on what precedes, so each site's series is folded once and
+queries read it at their date; only the events that a query compares are expanded for it.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.targets import log_return
 from ..operators.asof import asof_backward
+from ..session import stage
 
 
 @dataclass(frozen=True)
@@ -42,47 +44,91 @@ def collapse(found: DataFrame, keys: list[str], date: str, separation_days: int)
     return numbered.groupBy(*keys, "_event").agg(F.min(date).alias("event_start"), F.count("*").alias("n_detections")).drop("_event")
 
 
-def query_history(queries: DataFrame, features: DataFrame, feature: str) -> DataFrame:
-    """query_id, as_of, date, value, anomaly, climatology_n_years of one feature up to each query's as_of."""
-    rows = features.where(F.col("feature_name") == feature).select("site_id", "date", "value", "anomaly", "climatology_n_years")
-    return queries.join(rows, "site_id").where(F.col("date") <= F.col("as_of"))
+def site_events(features: DataFrame, p: Parameters) -> DataFrame:
+    """site_id, event_start, n_detections of the entry condition over whole records."""
+    rows = features.where(F.col("feature_name") == p.entry_feature)
+    return collapse(detections(rows, ["site_id"], "date", "value", p.run_length), ["site_id"], "date", p.separation_days)
+
+
+def states(features: DataFrame, p: Parameters) -> DataFrame:
+    """site_id, date, inside, n_raw, n_events, start: on each date of the entry feature whether the condition holds,
+    and what has been detected so far."""
+    rows = features.where(F.col("feature_name") == p.entry_feature)
+    order = Window.partitionBy("site_id").orderBy("date")
+    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
+    inside = F.coalesce(F.col("value") >= p.run_length, F.lit(False))
+    before = F.last(F.when(inside, F.col("date")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    new = F.col("inside") & F.coalesce(F.datediff("date", F.col("_before")) > p.separation_days, F.lit(True))
+    marked = rows.select("site_id", "date", inside.alias("inside"), before.alias("_before")).withColumn("_new", new)
+    count = lambda c: F.sum(F.col(c).cast("long")).over(so_far)
+    return marked.select("site_id", "date", "inside", count("inside").alias("n_raw"), count("_new").alias("n_events"), F.last(F.when(F.col("_new"), F.col("date")), ignorenulls=True).over(so_far).alias("start"))
 
 
 def query_events(queries: DataFrame, features: DataFrame, p: Parameters) -> tuple[DataFrame, DataFrame]:
-    """(events by query, one summary row by query: raw detections, events, query_start where the condition holds)."""
-    history = query_history(queries, features, p.entry_feature)
-    found = detections(history, ["query_id", "as_of"], "date", "value", p.run_length)
-    events = collapse(found, ["query_id", "as_of"], "date", p.separation_days)
-    last = history.groupBy("query_id").agg(F.max_by("value", "date").alias("_last"))
-    counts = events.groupBy("query_id").agg(F.sum("n_detections").alias("n_raw_detections"), F.count("*").alias("n_collapsed_events"), F.max("event_start").alias("_start"))
-    summary = queries.join(last, "query_id", "left").join(counts, "query_id", "left")
-    inside = F.coalesce(F.col("_last") >= p.run_length, F.lit(False))
+    """(events by site, one summary row by query: raw detections, events, query_start where the condition holds)."""
+    found = asof_backward(queries, states(features, p), ["site_id"], "as_of", "date", ["inside", "n_raw", "n_events", "start"])
     zero = F.lit(0).cast("long")
-    return events, summary.select(*queries.columns, F.coalesce("n_raw_detections", zero).alias("n_raw_detections"), F.coalesce("n_collapsed_events", zero).alias("n_collapsed_events"), F.when(inside, F.col("_start")).alias("query_start"))
+    summary = found.select(
+        *queries.columns, F.coalesce("n_raw", zero).alias("n_raw_detections"), F.coalesce("n_events", zero).alias("n_collapsed_events"), F.when(F.col("inside"), F.col("start")).alias("query_start")
+    )
+    return site_events(features, p), summary
 
 
 def eligible(events: DataFrame, summary: DataFrame, window_days: int) -> DataFrame:
-    """Events whose outcome window closed by as_of and before the query's own event began."""
-    joined = events.join(summary.select("query_id", "query_start"), "query_id")
+    """query_id, site_id, as_of, event_start, n_detections: events of the query's site whose outcome window closed by
+    as_of and before the query's own event began. Such an event is over by then: its detections are all known."""
+    asking = summary.where(F.col("query_start").isNotNull()).select("query_id", "site_id", "as_of", "query_start")
     end = F.date_add("event_start", window_days)
-    return joined.where((end <= F.col("as_of")) & (end < F.col("query_start")))
+    return asking.join(events, "site_id").where((end <= F.col("as_of")) & (end < F.col("query_start"))).drop("query_start")
+
+
+_ALWAYS = "DATE '0001-01-01'"
+
+
+def first_anomalies(features: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """site_id, epochs, first_<name>: when each feature first has an anomaly, and the dates on which that changes
+    which column is read."""
+    rows = features.where(F.col("feature_name").isin(list(names)))
+    first = rows.groupBy("site_id").agg(*[F.min(F.when((F.col("feature_name") == n) & F.col("anomaly").isNotNull(), F.col("date"))).alias(f"first_{n}") for n in names])
+    return first.withColumn("epochs", F.array_distinct(F.array_compact(F.array(F.expr(_ALWAYS), *[F.col(f"first_{n}") for n in names]))))
+
+
+def epoch_of(as_of: str) -> Column:
+    return F.array_max(F.filter("epochs", lambda e: e <= F.col(as_of)))
+
+
+def vectors(features: DataFrame, firsts: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """site_id, epoch, date, a column for each feature, and mean_ and sd_ over all complete vectors up to the date.
+
+    A feature reads its anomaly if it has any by the query's as_of, else its value; as_of dates between two first
+    anomalies of a site agree on that, and make an epoch. Only complete vectors are rows.
+    """
+    rows = features.where(F.col("feature_name").isin(list(names)))
+    pick = lambda n, c: F.max(F.when(F.col("feature_name") == n, F.col(c)))
+    wide = rows.groupBy("site_id", "date").agg(*[pick(n, "value").alias(f"v_{n}") for n in names], *[pick(n, "anomaly").alias(f"a_{n}") for n in names])
+    each = wide.join(firsts, "site_id").withColumn("epoch", F.explode("epochs"))
+    chosen = [F.when(F.col(f"first_{n}") <= F.col("epoch"), F.col(f"a_{n}")).otherwise(F.col(f"v_{n}")).alias(n) for n in names]
+    full = each.select("site_id", "epoch", "date", *chosen).dropna("any", subset=list(names))
+    so_far = Window.partitionBy("site_id", "epoch").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    return full.select("*", *[c.over(so_far).alias(f"mean_{n}") for n, c in ((n, F.avg(n)) for n in names)], *[_spread(n, so_far).alias(f"sd_{n}") for n in names])
 
 
-def vectors(queries: DataFrame, features: DataFrame, names: tuple[str, ...]) -> DataFrame:
-    """query_id, as_of, date and a column for each feature: complete vectors up to as_of. A feature reads its anomaly
-    if it has any by as_of, else its value."""
-    rows = features.where(F.col("feature_name").isin(list(names))).select("site_id", "date", "feature_name", "value", "anomaly")
-    seen = queries.select("query_id", "site_id", "as_of").join(rows, "site_id").where(F.col("date") <= F.col("as_of"))
-    any_anomaly = seen.groupBy("query_id", "feature_name").agg(F.bool_or(F.col("anomaly").isNotNull()).alias("_a"))
-    chosen = seen.join(any_anomaly, ["query_id", "feature_name"]).withColumn("_v", F.when(F.col("_a"), F.col("anomaly")).otherwise(F.col("value")))
-    wide = chosen.groupBy("query_id", "as_of", "date").pivot("feature_name", list(names)).agg(F.first("_v"))
-    return wide.dropna("any", subset=list(names))
+def _spread(c: str, over=None) -> Column:
+    """Population spread; exactly 0 for a constant."""
+    low, high, sd = ((f if over is None else f.over(over)) for f in (F.min(c), F.max(c), F.stddev_pop(c)))
+    return F.when(low == high, 0.0).otherwise(sd)
 
 
 def scale(population: DataFrame, names: tuple[str, ...], keys: list[str]) -> DataFrame:
     """Population mean and spread of each dimension; the spread of a constant is exactly 0."""
-    spread = lambda c: F.when(F.min(c) == F.max(c), 0.0).otherwise(F.stddev_pop(c))
-    return population.groupBy(*keys).agg(*[F.avg(c).alias(f"mean_{c}") for c in names], *[spread(c).alias(f"sd_{c}") for c in names])
+    return population.groupBy(*keys).agg(*[F.avg(c).alias(f"mean_{c}") for c in names], *[_spread(c).alias(f"sd_{c}") for c in names])
+
+
+def require_population(population: DataFrame) -> DataFrame:
+    """Nothing to standardise against is an error, not a spread of zero."""
+    if population.isEmpty():
+        raise ValueError("the population is empty: there are no observations to standardise against")
+    return population
 
 
 def z_score(x: Column, mean: Column, sd: Column) -> Column:
@@ -97,19 +143,34 @@ def distance(a: dict[str, Column], b: dict[str, Column]) -> Column:
     return F.sqrt(total)
 
 
-def k_nearest(vecs: DataFrame, candidates: DataFrame, p: Parameters) -> DataFrame:
-    """query_id, event_start, distance, rank: the k nearest eligible events of each query by z-scored distance, ties
-    by date. Only event dates and as_of dates are joined; the population enters as its moments."""
-    names = p.features
-    moments = scale(vecs, names, ["query_id"])
-    z = lambda side, c: z_score(F.col(f"{side}.{c}"), F.col(f"mean_{c}"), F.col(f"sd_{c}"))
-    here = vecs.where(F.col("date") == F.col("as_of")).alias("q")
-    there = candidates.join(vecs.select("query_id", F.col("date").alias("event_start"), *names), ["query_id", "event_start"]).alias("e")
-    pairs = there.join(here, F.col("q.query_id") == F.col("e.query_id")).join(moments.alias("m"), F.col("m.query_id") == F.col("e.query_id"))
+def ranked(pairs: DataFrame, names: tuple[str, ...], k: int) -> DataFrame:
+    """query_id, event_start, distance, rank: the k nearest pairs of each query by z-scored distance, ties by date.
+    ``pairs`` has q_<name> and e_<name> of both sides, and mean_<name> and sd_<name>."""
+    z = lambda side, c: z_score(F.col(f"{side}_{c}"), F.col(f"mean_{c}"), F.col(f"sd_{c}"))
     d = distance({c: z("q", c) for c in names}, {c: z("e", c) for c in names})
-    ranked = pairs.select(F.col("e.query_id").alias("query_id"), F.col("e.event_start").alias("event_start"), d.alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "event_start"))
-    return ranked.withColumn("rank", rank).where(F.col("rank") <= p.k)
+    return pairs.select("query_id", "event_start", d.alias("distance")).withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def k_nearest(vecs: DataFrame, candidates: DataFrame, p: Parameters) -> DataFrame:
+    """The k nearest candidate dates (query_id, event_start) of each query to its as_of date, where ``vecs`` holds each
+    query's own population (query_id, as_of, date, features)."""
+    names = p.features
+    here = vecs.where(F.col("date") == F.col("as_of")).select("query_id", *[F.col(c).alias(f"q_{c}") for c in names])
+    there = vecs.select("query_id", F.col("date").alias("event_start"), *[F.col(c).alias(f"e_{c}") for c in names])
+    pairs = candidates.join(there, ["query_id", "event_start"]).join(here, "query_id").join(scale(vecs, names, ["query_id"]), "query_id")
+    return ranked(pairs, names, p.k)
+
+
+def nearest_events(candidates: DataFrame, vecs: DataFrame, firsts: DataFrame, p: Parameters) -> DataFrame:
+    """The k nearest of the candidate events (query_id, site_id, as_of, event_start), standardised over all that was
+    known at as_of. A query without a complete vector on its own date has none."""
+    names = p.features
+    moments = [f"{m}_{c}" for c in names for m in ("mean", "sd")]
+    at = candidates.join(firsts.select("site_id", "epochs"), "site_id").withColumn("epoch", epoch_of("as_of")).drop("epochs")
+    here = vecs.select("site_id", "epoch", F.col("date").alias("as_of"), *[F.col(c).alias(f"q_{c}") for c in names], *moments)
+    there = vecs.select("site_id", "epoch", F.col("date").alias("event_start"), *[F.col(c).alias(f"e_{c}") for c in names])
+    return ranked(at.join(there, ["site_id", "epoch", "event_start"]).join(here, ["site_id", "epoch", "as_of"]), names, p.k)
 
 
 def outcomes(events: DataFrame, rates: DataFrame, week: str, rate: str, window_days: int, keys: list[str] | None = None) -> DataFrame:
@@ -122,7 +183,7 @@ def outcomes(events: DataFrame, rates: DataFrame, week: str, rate: str, window_d
     first = asof_backward(rows, one.select("_all", *keys, week, F.col(rate).alias("_r0")), ["_all", *keys], "event_start", week, ["_r0"], bucket="year(t)").drop(week)
     both = asof_backward(first, one.select("_all", *keys, week, F.col(rate).alias("_r1")), ["_all", *keys], "_end", week, ["_r1"], bucket="year(t)").drop(week)
     reach = one.groupBy("_all", *keys).agg(F.max(week).alias("_reach"))
-    joined = both.join(F.broadcast(reach), ["_all", *keys], "left")
+    joined = both.join(reach, ["_all", *keys], "left")
     reason = (
         F.when(F.col("_reach").isNull() | (F.col("_reach") < F.col("_end")), "series_does_not_reach")
         .when(F.col("_r0").isNull(), "no_rate_at_start").when(F.col("_r1").isNull(), "no_rate_at_end").otherwise("complete")
@@ -181,9 +242,10 @@ def site_label(name: Column) -> Column:
     return F.when(tail == "", name).otherwise(tail)
 
 
-def sentences(rows: DataFrame, p: Parameters, series: str = "discharge", rate: str = "spot") -> DataFrame:
+def sentences(rows: DataFrame, p: Parameters, series: str = "discharge", rate: str = "spot", since: Column | None = None) -> DataFrame:
     """Adds ``sentence``: what the series does now, then the estimate or the reason there is none. The verdict decides
-    the form, never the presence of numbers."""
+    the form, never the presence of numbers. Refusals that count events name the year of ``since``, where given."""
+    horizon = F.lit("") if since is None else F.when(since.isNotNull(), F.concat(F.lit(" since "), F.date_format(since, "yyyy"))).otherwise("")
     amount = lambda x: F.format_number(F.abs(x), 0)
     signed = lambda x: F.format_string("%+.0f%%", F.bround(x, 0))
     weeks, d = divmod(p.window_days, 7)
@@ -205,9 +267,9 @@ def sentences(rows: DataFrame, p: Parameters, series: str = "discharge", rate: s
     )
     why = (
         F.when(F.col("verdict") == "no_current_event", F.concat("label", F.lit(" is not in a low-water condition on "), F.date_format("as_of", "yyyy-MM-dd"), F.lit(", so there is no condition to find analogs for")))
-        .when(F.col("verdict") == "incomplete_outcomes", F.concat(F.col("n_incomplete").cast("string"), F.lit(" of "), (F.col("n_analogs") + F.col("n_incomplete")).cast("string"), F.lit(" comparable events have no measurable rate move over the outcome window")))
-        .when(F.col("verdict") == "insufficient_analogs", F.concat(n, F.when(F.col("n_analogs") == 1, " comparable event").otherwise(" comparable events"), F.lit(f", below the {p.min_analogs} required")))
-        .otherwise(F.concat(F.col("n_consistent").cast("string"), F.lit(" of "), n, F.lit(" comparable events moved the rate in the same direction, below the threshold required")))
+        .when(F.col("verdict") == "incomplete_outcomes", F.concat(F.col("n_incomplete").cast("string"), F.lit(" of "), (F.col("n_analogs") + F.col("n_incomplete")).cast("string"), F.lit(" comparable events"), horizon, F.lit(" have no measurable rate move over the outcome window")))
+        .when(F.col("verdict") == "insufficient_analogs", F.concat(n, F.when(F.col("n_analogs") == 1, " comparable event").otherwise(" comparable events"), horizon, F.lit(f", below the {p.min_analogs} required")))
+        .otherwise(F.concat(F.col("n_consistent").cast("string"), F.lit(" of "), n, F.lit(" comparable events"), horizon, F.lit(" moved the rate in the same direction, below the threshold required")))
     )
     refused = F.concat(F.lit("Insufficient history: "), why, F.lit(". No estimate offered."))
     return rows.withColumn("sentence", F.concat_ws(" ", now, F.when(F.col("verdict") == "passed", told).otherwise(refused)))
@@ -225,19 +287,23 @@ def answer(queries: DataFrame, features: DataFrame, rates: DataFrame, week: str,
     """All queries at once; refusals are answers too."""
     p = p or Parameters()
     events, summary = query_events(queries, features, p)
-    # each of these is read by several later stages; they stay cached until ``clearCache`` or eviction
-    events, summary, vecs = events.persist(), summary.persist(), vectors(queries, features, p.features).persist()
-    near = k_nearest(vecs, eligible(events, summary, p.window_days).select("query_id", "event_start"), p)
-    measured = outcomes(near, rates, week, rate, p.window_days).persist()
-    verdicts = gate(summary, measured, p)
+    firsts = first_anomalies(features, p.features)
+    # read by several later stages
+    summary, vecs = stage(summary, "summary"), stage(vectors(features, firsts, p.features), "vectors")
+    near = stage(nearest_events(eligible(events, summary, p.window_days), vecs, firsts, p), "nearest")
+    # one rate series: an outcome depends on the date alone
+    moves = outcomes(near.select("event_start").distinct(), rates, week, rate, p.window_days)
+    measured = stage(near.join(moves, "event_start").select("query_id", "event_start", "distance", "rank", "reason", "log_return"), "matches")
+    verdicts = stage(gate(summary, measured, p), "verdicts")
     return Answers(verdicts, measured, estimates(verdicts, measured), condition(queries, features, p))
 
 
-def conclusions(a: Answers, sites: DataFrame, p: Parameters | None = None) -> dict[str, DataFrame]:
-    """Three tables by kind of verdict; only passed ones have estimate columns. ``sites``: site_id, name, river."""
+def conclusions(a: Answers, sites: DataFrame, p: Parameters | None = None, since: Column | None = None) -> dict[str, DataFrame]:
+    """Three tables by kind of verdict; only passed ones have estimate columns. ``sites``: site_id, name, river, and
+    what ``since`` reads."""
     p = p or Parameters()
-    named = a.verdicts.join(sites.select("site_id", "river", site_label(F.col("name")).alias("label")), "site_id", "left")
-    rows = sentences(named.join(a.condition, "query_id", "left").join(a.estimates, "query_id", "left"), p)
+    named = a.verdicts.join(sites.select("site_id", "river", site_label(F.col("name")).alias("label"), *([] if since is None else [since.alias("_since")])), "site_id", "left")
+    rows = sentences(named.join(a.condition, "query_id", "left").join(a.estimates, "query_id", "left"), p, since=None if since is None else F.col("_since"))
     common = ["query_id", "site_id", "as_of", "sentence", "n_raw_detections", "n_collapsed_events"]
     found = F.col("verdict")
     matches = a.matches.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "event_start", "distance"))).alias("matches"))

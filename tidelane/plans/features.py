@@ -6,12 +6,13 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.seasonal import MIN_YEARS, anomalies
+from ..functions.targets import HORIZONS, forward_returns
 from ..functions.thresholds import run_lengths, thresholds
-from ..sources.sinks import union_all
+from ..sources.sinks import rebuild_window, union_all
 
 #: builder(rows with keys, date, value; keys) -> keys, date, value, anomaly, climatology_n_years
 Builder = Callable[[DataFrame, list[str]], DataFrame]
@@ -79,3 +80,15 @@ def collapsing(features: tuple[Feature, ...]) -> list[tuple[str, str, str]]:
             kept, *rest = sorted(f.name for f in group)
             out += [(param, kept, name) for name in rest]
     return out
+
+
+def write_features(spark: SparkSession, path: str, daily: DataFrame, keys: list[str], start: str, end: str, features: tuple[Feature, ...] | None = None) -> int:
+    """Builds all features from full history and merges those of [start, end]; how many rows changed."""
+    rows = build_features(daily, keys, features).withColumn("year", F.year("date"))
+    return rebuild_window(spark, path, rows, "date", start, end, ["date", *keys, "feature_name"], ["value", "anomaly", "climatology_n_years"], "year")
+
+
+def write_targets(spark: SparkSession, path: str, weekly: DataFrame, week: str, value: str, name: str, start: str, end: str, horizons: tuple[int, ...] = HORIZONS) -> int:
+    """Forward returns from full history, merged for the weeks of [start, end]; how many rows changed."""
+    rows = forward_returns(weekly, [], week, value, horizons).select(F.col(week).alias("week_ending"), F.lit(name).alias("target_name"), "horizon_days", "value", F.year(week).alias("year"))
+    return rebuild_window(spark, path, rows, "week_ending", start, end, ["week_ending", "target_name", "horizon_days"], ["value"], "year")

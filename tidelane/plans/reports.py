@@ -65,10 +65,10 @@ def read_movements(movements: DataFrame, start: Date, end: Date, lock: str | Non
     return reads.page(rows.withColumn("tons", F.col("tons").cast("double")), ["week_ending", "lock", "commodity"], limit, offset)
 
 
-def read_signals(signals: DataFrame, run_id: int, passing_only: bool = False, feature: str | None = None, limit: int = 500, offset: int = 0) -> DataFrame:
-    """A page of one run, smallest q first and unknown q last."""
+def read_signals(signals: DataFrame, run_id: int, passing_only: bool = False, feature: str | None = None, limit: int = 500, offset: int = 0, order: tuple[str, ...] = ("feature_name", "site_id", "horizon_days", "lag_days", "regime")) -> DataFrame:
+    """A page of one run, smallest q first and unknown q last, ties by ``order``."""
     rows = reads.glob(reads.passing(reads.equal_where_given(signals, run_id=run_id), passing_only), "feature_name", feature)
-    return reads.page(rows, [F.col("q_value").asc_nulls_last(), "feature_name", "site_id", "horizon_days", "lag_days", "regime"], limit, offset)
+    return reads.page(rows, [F.col("q_value").asc_nulls_last(), *order], limit, offset)
 
 
 def weekly_extract(rates: DataFrame, daily: DataFrame, start: Date, end: Date, value: str, name: str, days: int = 6) -> DataFrame:

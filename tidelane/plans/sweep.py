@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from math import lcm
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.regimes import REGIMES, members
+from ..functions.regimes import REGIMES, direction
 from ..functions.stats import MIN_EFFECTIVE, benjamini_hochberg, directional_consistency, effective_n, p_value, passes_gate, pearson
 from ..functions.targets import HORIZONS
-from ..operators.asof import asof_lagged
+from ..session import stage
 from .features import Feature, collapsing
 
 FOLDS, MIN_TRAIN = 5, 26
@@ -34,7 +36,7 @@ def series_columns(features: DataFrame) -> DataFrame:
 def skips(spark: SparkSession, single: DataFrame, features: tuple[Feature, ...]) -> DataFrame:
     """site_id, feature_name, kept, reason: duplicates that the grid leaves out at sites with single observations."""
     table = spark.createDataFrame(collapsing(features) or [], "param_code string, kept string, feature_name string")
-    return single.join(F.broadcast(table), "param_code").select("site_id", "feature_name", "kept", F.concat(F.lit("one series with "), "kept", F.lit(": every day has a single observation")).alias("reason"))
+    return single.join(table, "param_code").select("site_id", "feature_name", "kept", F.concat(F.lit("one series with "), "kept", F.lit(": every day has a single observation")).alias("reason"))
 
 
 def build_grid(
@@ -56,24 +58,31 @@ def chosen_series(features: DataFrame, columns: DataFrame) -> DataFrame:
     return picked.select("feature_name", "site_id", "date", F.when(F.col("series_column") == "anomaly", F.col("anomaly")).otherwise(F.col("value")).alias("value"))
 
 
-def align(series: DataFrame, targets: DataFrame, lags: list[int]) -> DataFrame:
-    """feature_name, site_id, horizon_days, lag_days, week, fdate, x, y.
+def by_day(series: DataFrame, until: Column) -> DataFrame:
+    """feature_name, site_id, day, fdate, x, regimes: the last known value of each series on every calendar day from
+    its first to ``until``, with the regimes of its own date (which come from the full series, NULLs included)."""
+    keys = ["feature_name", "site_id"]
+    known = direction(series, keys).where(F.col("value").isNotNull())
+    last = F.least(F.coalesce(F.date_sub(F.lead("date").over(Window.partitionBy(*keys).orderBy("date")), 1), until), until)
+    spans = known.withColumn("_last", last).where(F.col("date") <= F.col("_last"))
+    both = F.array_compact(F.array(F.col("regime"), F.lit("all")))
+    return spans.select(*keys, F.explode(F.sequence("date", "_last")).alias("day"), F.col("date").alias("fdate"), F.col("value").alias("x"), both.alias("regimes"))
 
-    Weeks and lags are matched to a series once, for all horizons; the targets join by week afterwards. Weeks whose
-    target is unknown drop out.
-    """
-    known = targets.where(F.col("value").isNotNull()).select(F.col("week_ending").alias("week"), "horizon_days", F.col("value").alias("y"))
-    pairs = series.select("feature_name", "site_id").distinct()
-    weeks = pairs.join(F.broadcast(known.select("week").distinct()))
-    matched = asof_lagged(weeks, series.select("feature_name", "site_id", "date", F.col("value").alias("x")), ["feature_name", "site_id"], "week", "date", "x", lags)
-    return matched.withColumnRenamed("date", "fdate").join(known, "week")
 
+def align(series: DataFrame, targets: DataFrame, lags: list[int]) -> DataFrame:
+    """feature_name, site_id, horizon_days, lag_days, regime, week, fdate, x, y: each series as of ``week - lag``, once
+    for each regime of the matched date.
 
-def in_regimes(aligned: DataFrame, series: DataFrame) -> DataFrame:
-    """Aligned rows once for each regime of their feature date; regimes come from the full series, NULLs included."""
-    keys = ["feature_name", "site_id"]
-    dates = members(series, keys).withColumnRenamed("date", "fdate")
-    return aligned.join(dates, [*keys, "fdate"])
+    Every series is carried forward to calendar days, so weeks and lags meet it by an equi-join on the anchor day,
+    once for all horizons. Weeks whose target is unknown drop out.
+    """
+    known = targets.where(F.col("value").isNotNull()).groupBy(F.col("week_ending").alias("week")).agg(F.collect_list(F.struct("horizon_days", F.col("value").alias("y"))).alias("ys"))
+    cells = known.select("week", "ys", F.explode(F.array(*map(F.lit, lags))).alias("lag_days")).withColumn("day", F.date_sub("week", F.col("lag_days")))
+    matched = by_day(series, cells.agg(F.max("day")).scalar()).join(cells, "day")
+    # there may be fewer series than cores, and rows grow from here: deal them by lag as well
+    matched = matched.repartition("feature_name", "site_id", "lag_days")
+    each = matched.select("feature_name", "site_id", "lag_days", "week", "fdate", "x", "ys", F.explode("regimes").alias("regime"))
+    return each.select("feature_name", "site_id", "lag_days", "regime", "week", "fdate", "x", F.inline("ys"))
 
 
 def with_folds(rows: DataFrame, keys: list[str], week: str, horizon: Column, horizons: tuple[int, ...], n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
@@ -81,13 +90,14 @@ def with_folds(rows: DataFrame, keys: list[str], week: str, horizon: Column, hor
 
     Testing starts at the first week with ``min_train`` weeks more than a horizon before it; the weeks from there
     make ``n_folds`` equal blocks, the last taking the remainder. Too few weeks give no fold. A range frame needs a
-    literal bound, so the few horizons are frames of one window, and a row takes its own.
+    literal bound, so days are counted in parts of the horizon: "more than a horizon before" is one bound for all.
     """
-    by_day = Window.partitionBy(*keys).orderBy("_d")
+    unit = lcm(*horizons)
+    in_order = Window.partitionBy(*keys).orderBy("_d")
     whole = Window.partitionBy(*keys)
-    train = F.coalesce(*[F.when(horizon == h, F.count("*").over(by_day.rangeBetween(Window.unboundedPreceding, -(h + 1)))) for h in horizons])
-    out = rows.withColumn("_d", F.unix_date(week).cast("long"))
-    out = out.withColumns({"_train": train, "_ord": F.row_number().over(by_day) - 1, "_n": F.count("*").over(whole)})
+    train = F.count("*").over(in_order.rangeBetween(Window.unboundedPreceding, -(unit + 1)))
+    out = rows.withColumn("_d", F.unix_date(week).cast("long") * (F.lit(unit) / horizon).cast("long"))
+    out = out.withColumns({"_train": train, "_ord": F.row_number().over(in_order) - 1, "_n": F.count("*").over(whole)})
     out = out.withColumn("_first", F.min(F.when(F.col("_train") >= min_train, F.col("_ord"))).over(whole))
     block = F.floor((F.col("_n") - F.col("_first")) / n_folds)
     fold = F.least(F.floor((F.col("_ord") - F.col("_first")) / F.when(block > 0, block)), F.lit(n_folds - 1))
@@ -132,22 +142,25 @@ def measurements(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, n_folds:
 
 def adjusted(grid: DataFrame, measured: DataFrame, run_id: int) -> DataFrame:
     """Every grid cell with its measurement, q over the run and the gate; cells without rows are recorded as such."""
-    rows = grid.join(measured, PAIR, "left").withColumns({
-        "status": F.coalesce("status", F.lit("insufficient_observations")), "n_observations": F.coalesce("n_observations", F.lit(0).cast("long")), "run_id": F.lit(run_id).cast("long"),
+    run = F.lit(run_id).cast("long").alias("run_id")
+    tested = benjamini_hochberg(measured.select("*", run), ["run_id"]).drop("run_id", "n_tests_adjusted")
+    return grid.join(tested, PAIR, "left").withColumns({
+        "status": F.coalesce("status", F.lit("insufficient_observations")), "n_observations": F.coalesce("n_observations", F.lit(0).cast("long")), "run_id": run,
+        "n_tests_adjusted": measured.agg(F.count("p_value")).scalar(), "passes_gate": passes_gate(F.col("q_value"), F.col("directional_consistency"), F.col("folds")),
     })
-    rows = benjamini_hochberg(rows, ["run_id"])
-    total = Window.partitionBy("run_id")
-    return rows.withColumns({"n_tests_adjusted": F.coalesce(F.max("n_tests_adjusted").over(total), F.lit(0).cast("long")), "passes_gate": passes_gate(F.col("q_value"), F.col("directional_consistency"), F.col("folds"))})
 
 
 def sweep(features: DataFrame, targets: DataFrame, sites: DataFrame, names: list[str], lags: list[int], run_id: int, horizons: tuple[int, ...] = HORIZONS, skipped: DataFrame | None = None, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
-    """The whole scan: one row for each cell of the grid. Aligned rows stay cached until ``clearCache`` or eviction."""
+    """The whole scan: one row for each cell of the grid; an empty grid is an error. Aligned rows and measured pairs
+    are written to the shared folder before they are read again."""
     columns = series_columns(features)
     grid = build_grid(sites, names, columns, lags, horizons, skipped=skipped)
+    if not (names and lags and horizons) or grid.isEmpty():
+        raise ValueError("the grid is empty: no site, feature, lag or horizon is left to scan")
     series = chosen_series(features, columns)
-    rows = with_folds(in_regimes(align(series, targets, lags), series), PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)
-    rows = rows.select(*PAIR, "week", "fold", "x", "y").persist()  # read for the pairs and for their folds; partitioned by pair
-    return adjusted(grid, measurements(rows, horizons, n_folds, min_train), run_id)
+    rows = with_folds(align(series, targets, lags), PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)
+    rows = stage(rows.select(*PAIR, "fold", "x", "y"), "aligned")  # read for the pairs and for their folds
+    return adjusted(grid, stage(measurements(rows, horizons, n_folds, min_train), "measured"), run_id)
 
 
 def run_summary(runs: DataFrame, signals: DataFrame) -> DataFrame:
@@ -165,3 +178,14 @@ def strongest_signal(signals: DataFrame, feature: str) -> DataFrame:
     rows = signals.where(F.col("feature_name") == feature)
     latest = rows.groupBy("site_id").agg(F.max("run_id").alias("run_id"))
     return rows.join(latest, ["site_id", "run_id"]).groupBy("site_id", "run_id").agg(F.min("q_value").alias("q_value"))
+
+
+def tallies(rows: DataFrame, result: str, by: list[str] | None = None) -> DataFrame:
+    """How many rows have each result, by further columns if given: gate results of analog queries, states of runs."""
+    return rows.groupBy(*(by or []), result).agg(F.count("*").alias("n"))
+
+
+def lag_signs(signals: DataFrame) -> DataFrame:
+    """run_id, regime, n_negative, n_positive: passing rows whose feature lags or leads the week."""
+    passed = F.coalesce("passes_gate", F.lit(False))
+    return signals.groupBy("run_id", "regime").agg(F.count_if(passed & (F.col("lag_days") < 0)).alias("n_negative"), F.count_if(passed & (F.col("lag_days") > 0)).alias("n_positive"))

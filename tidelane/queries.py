@@ -6,6 +6,7 @@ Stand-ins: ``orders`` by priority are the gauges' daily series, ``lineitem`` by
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import date as Date
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from .functions import regimes, seasonal, stats, targets, thresholds
 from .operators import asof, incremental, quality, reads, series
 from .plans import analogs, features, health, reports, sweep
+from .session import stage
 from .sources import landed, sinks
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +57,12 @@ def weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.agg(F.avg("l_extendedprice").alias("rate"))
 
 
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """week_ending, rate over all locations: the one series that targets and outcomes are taken from."""
+    week = F.date_add(F.to_date(F.date_trunc("week", "l_shipdate")), 6)
+    return table(spark, sf_dir, "lineitem").groupBy(week.alias("week_ending")).agg(F.avg("l_extendedprice").alias("rate"))
+
+
 def lows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """site_id, date, value: daily minima."""
     return daily(spark, sf_dir).select("site_id", "date", F.col("value_min").alias("value"))
@@ -77,16 +85,24 @@ DAILY = """daily AS (
 WEEKLY = """weekly AS (
     SELECT l_returnflag AS location, CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS week_ending, avg(l_extendedprice) AS rate
     FROM lineitem GROUP BY 1, 2)"""
+RATES = """rates AS (
+    SELECT CAST(date_trunc('week', l_shipdate) AS DATE) + 6 AS week_ending, avg(l_extendedprice) AS rate FROM lineitem GROUP BY 1)"""
 LOWS = f"{DAILY}, lows AS (SELECT site_id, date, value_min AS value FROM daily)"
-RUNS = f"""{LOWS}, limits AS (SELECT site_id, quantile_cont(value, 0.1) AS p10 FROM lows GROUP BY 1),
-    r1 AS (SELECT l.*, value >= p10 AS reset, value < p10 AS below,
-                  NOT (value >= p10) AND coalesce(date - lag(date) OVER (PARTITION BY site_id ORDER BY date) > 1, false) AS unk
-           FROM lows l JOIN limits USING (site_id)),
-    r2 AS (SELECT *, sum(CAST(reset AS INT)) OVER (PARTITION BY site_id ORDER BY date) AS seg FROM r1),
-    runs AS (SELECT site_id, date, value,
+
+
+def _runs_sql(level: int, name: str) -> str:
+    return f"""{name}_limits AS (SELECT site_id, quantile_cont(value, {level / 100}) AS limit_ FROM lows GROUP BY 1),
+    {name}_1 AS (SELECT l.*, value >= limit_ AS reset, value < limit_ AS below,
+                  NOT (value >= limit_) AND coalesce(date - lag(date) OVER (PARTITION BY site_id ORDER BY date) > 1, false) AS unk
+           FROM lows l JOIN {name}_limits USING (site_id)),
+    {name}_2 AS (SELECT *, sum(CAST(reset AS INT)) OVER (PARTITION BY site_id ORDER BY date) AS seg FROM {name}_1),
+    {name} AS (SELECT site_id, date, value,
                     CAST(CASE WHEN reset THEN 0 WHEN max(CAST(unk AS INT)) OVER w = 1 THEN NULL
                          ELSE sum(CAST(below AS INT)) OVER w END AS INT) AS run
-             FROM r2 WINDOW w AS (PARTITION BY site_id, seg ORDER BY date))"""
+             FROM {name}_2 WINDOW w AS (PARTITION BY site_id, seg ORDER BY date))"""
+
+
+RUNS = f"{LOWS}, {_runs_sql(10, 'runs')}"
 FOLDED = """CAST(dayofyear(date) - CASE WHEN dayofyear(date) >= 60 AND day(last_day(make_date(CAST(year(date) AS INT), 2, 1))) = 29 THEN 1 ELSE 0 END AS INT)"""
 CLIMATE = f"""{DAILY}, d AS (SELECT site_id, date, value_mean AS value, {FOLDED} AS doy FROM daily),
     medians AS (SELECT site_id, doy, median(value) AS m FROM d GROUP BY 1, 2),
@@ -96,6 +112,25 @@ CLIMATE = f"""{DAILY}, d AS (SELECT site_id, date, value_mean AS value, {FOLDED}
                 JOIN (SELECT site_id, doy, count(DISTINCT y) AS n_years FROM years GROUP BY 1, 2) USING (site_id, doy))"""
 
 
+def _seasonal_sql(column: str, k: str) -> str:
+    """CTE seasonal<k>: the climatology and anomalies of a daily column, from five years on."""
+    body = CLIMATE.removeprefix(f"{DAILY}, ").replace("value_mean AS value", f"{column} AS value")
+    for name in ("climate", "medians", "spread", "years"):
+        body = re.sub(rf"\b{name}\b", f"{name}{k}", body)
+    body = re.sub(r"\bd AS \(", f"d{k} AS (", re.sub(r"\bFROM d\b", f"FROM d{k}", body))
+    return f"""{body}, seasonal{k} AS (SELECT site_id, date, value, CASE WHEN n_years >= 5 THEN value - baseline END AS anomaly, CAST(coalesce(n_years, 0) AS INT) AS n_years
+        FROM d{k} LEFT JOIN climate{k} USING (site_id, doy))"""
+
+
+FEATURES = f"""{LOWS}, {_runs_sql(5, "runs5")}, {_runs_sql(10, "runs")}, {_runs_sql(20, "runs20")}, {_seasonal_sql("value_mean", "1")}, {_seasonal_sql("value_min", "2")},
+    features AS (
+        SELECT 'discharge_mean' AS feature_name, site_id, date, value, anomaly, n_years FROM seasonal1
+        UNION ALL SELECT 'discharge_min', site_id, date, value, anomaly, n_years FROM seasonal2
+        UNION ALL SELECT 'days_below_p05', site_id, date, CAST(run AS DOUBLE), NULL, NULL FROM runs5
+        UNION ALL SELECT 'days_below_p10', site_id, date, CAST(run AS DOUBLE), NULL, NULL FROM runs
+        UNION ALL SELECT 'days_below_p20', site_id, date, CAST(run AS DOUBLE), NULL, NULL FROM runs20)"""
+
+
 # --- daily series from two sources ----------------------------------------------------------------------------
 
 
@@ -181,12 +216,13 @@ def poll_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.poll_starts(points, F.lit(Date(2002, 1, 1)), "7 DAYS", "30 DAYS").select("site_id", "newest", F.col("start").cast("date").alias("start"))
 
 
-@query(f"""WITH {SITES}, n AS (SELECT o_orderpriority AS site_id, max(CAST(o_orderdate AS DATE)) AS newest FROM orders WHERE o_orderpriority LIKE '%H%' GROUP BY 1)
+@query(f"""WITH {SITES}, reg AS (SELECT * FROM sites UNION ALL SELECT '9-NEW', DATE '1996-06-01'), n AS (SELECT o_orderpriority AS site_id, max(CAST(o_orderdate AS DATE)) AS newest FROM orders GROUP BY 1)
     SELECT site_id, newest, coalesce(newest, floor) AS start, CASE WHEN coalesce(newest, floor) IS NULL THEN 'refused' WHEN newest IS NOT NULL THEN 'resume' ELSE 'from_floor' END AS status
-    FROM sites LEFT JOIN n USING (site_id)""")
+    FROM reg LEFT JOIN n USING (site_id)""")
 def backfill_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    some = daily(spark, sf_dir).where("site_id LIKE '%H%'")
-    points = incremental.resume_points(_sites(spark, sf_dir), some, "site_id", "date")
+    """Sites with data, a registered one without any, and one without data or floor."""
+    new = spark.range(1).select(F.lit("9-NEW").alias("site_id"), F.make_date(F.lit(1996), F.lit(6), F.lit(1)).alias("floor"))
+    points = incremental.resume_points(_sites(spark, sf_dir).unionByName(new), daily(spark, sf_dir), "site_id", "date")
     return incremental.backfill_starts(points, "floor").select("site_id", "newest", "start", "status")
 
 
@@ -210,6 +246,20 @@ def window_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.window_coverage(_tiles(spark, sf_dir), daily(spark, sf_dir), "site_id", "date", 180).select("site_id", "w_start", "w_end", "n_readings", "first_date")
 
 
+INSTANTS = """spans AS (SELECT event_type AS site_id, date_trunc('day', min(ts)) - INTERVAL 5 DAYS AS a, max(ts) AS b FROM events GROUP BY 1),
+    tiles AS (SELECT site_id, a + INTERVAL 2 DAYS * CAST(k AS INT) AS w_start, least(a + INTERVAL 2 DAYS * (CAST(k AS INT) + 1), b) AS w_end FROM spans, generate_series(0, 400) g(k) WHERE a + INTERVAL 2 DAYS * CAST(k AS INT) < b)"""
+
+
+@query(f"""WITH {INSTANTS} SELECT t.site_id, w_start, w_end, count(e.ts) AS n_readings, min(e.ts) AS first_ts FROM tiles t
+    LEFT JOIN events e ON e.event_type = t.site_id AND e.ts >= w_start AND e.ts < w_end GROUP BY 1, 2, 3""")
+def instant_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Readings in half-open windows of instants; a reading at the very end of a range is in none."""
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("site_id"), F.col("ts").cast("timestamp").alias("ts"))
+    spans = rows.groupBy("site_id").agg((F.date_trunc("day", F.min("ts")) - F.expr("INTERVAL 5 DAYS")).alias("a"), F.max("ts").alias("b"))
+    cover = incremental.window_coverage(incremental.tiles(spans, "site_id", "a", "b", 2, half_open=True), rows, "site_id", "ts", 2, half_open=True)
+    return cover.select("site_id", "w_start", "w_end", "n_readings", F.col("first_date").alias("first_ts"))
+
+
 @query(f"""WITH {TILES} SELECT site_id, count(*) AS n_windows, count(*) FILTER (WHERE n_readings = 0) AS n_empty, CAST(sum(n_readings) AS BIGINT) AS n_readings, min(first_date) AS first_date, false AS walked_from_seed FROM cover GROUP BY 1""")
 def site_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return incremental.site_results(incremental.window_coverage(_tiles(spark, sf_dir), daily(spark, sf_dir), "site_id", "date", 180), "site_id")
@@ -236,14 +286,19 @@ def load_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- as-of, offsets and targets -------------------------------------------------------------------------------
 
 
+def _site_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A week every seven days from four weeks before each site's record to four weeks after it."""
+    spans = daily(spark, sf_dir).groupBy("site_id").agg(F.date_sub(F.min("date"), 28).alias("a"), F.date_add(F.max("date"), 28).alias("b"))
+    return spans.select("site_id", F.explode(F.sequence("a", "b", F.expr("INTERVAL 7 DAYS"))).alias("week_ending"))
+
+
 def _weeks_and_days(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    weeks = weekly(spark, sf_dir).select("week_ending").distinct()
-    days = daily(spark, sf_dir).where("site_id LIKE '%H%'").select("site_id", "date", "value_min")
-    return days.select("site_id").distinct().join(F.broadcast(weeks)), days
+    return _site_weeks(spark, sf_dir), daily(spark, sf_dir).select("site_id", "date", "value_min")
 
 
-ASOF = f"""{DAILY}, {WEEKLY}, days AS (SELECT site_id, date, value_min FROM daily WHERE site_id LIKE '%H%'),
-    weeks AS (SELECT DISTINCT s.site_id, w.week_ending FROM (SELECT DISTINCT site_id FROM days) s, (SELECT DISTINCT week_ending FROM weekly) w)"""
+SITE_WEEKS = """site_weeks AS (SELECT site_id, CAST(a + 7 * CAST(k AS INT) AS DATE) AS week_ending
+    FROM (SELECT site_id, min(date) - 28 AS a, max(date) + 28 AS b FROM daily GROUP BY 1), generate_series(0, 2000) g(k) WHERE a + 7 * CAST(k AS INT) <= b)"""
+ASOF = f"""{DAILY}, {SITE_WEEKS}, days AS (SELECT site_id, date, value_min FROM daily), weeks AS (SELECT * FROM site_weeks)"""
 
 
 @query(f"WITH {ASOF} SELECT w.site_id, w.week_ending, d.date, d.value_min FROM weeks w ASOF LEFT JOIN days d ON w.site_id = d.site_id AND w.week_ending >= d.date")
@@ -281,21 +336,42 @@ def resolvable_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.resolvable_weeks(weekly(spark, sf_dir), ["location"], "week_ending", "rate")
 
 
-@query(f"""WITH {DAILY}, {WEEKLY} SELECT w.location, w.week_ending, CAST(round_even(avg(d.value_mean), 0) AS DOUBLE) AS trailing_mean
-    FROM weekly w LEFT JOIN daily d ON d.site_id = '2-HIGH' AND d.date BETWEEN w.week_ending - 6 AND w.week_ending GROUP BY 1, 2""")
+@query(f"""WITH {DAILY}, {SITE_WEEKS} SELECT w.site_id, w.week_ending, CAST(round_even(avg(d.value_mean), 0) AS DOUBLE) AS trailing_mean
+    FROM site_weeks w LEFT JOIN daily d ON d.site_id = w.site_id AND d.date BETWEEN w.week_ending - 6 AND w.week_ending GROUP BY 1, 2""")
 def weekly_trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weeks = weekly(spark, sf_dir).select("location", "week_ending")
-    days = daily(spark, sf_dir).where("site_id = '2-HIGH'")
-    return series.trailing_mean(weeks, days, [], "week_ending", "date", "value_mean")
+    return series.trailing_mean(_site_weeks(spark, sf_dir), daily(spark, sf_dir), ["site_id"], "week_ending", "date", "value_mean")
+
 
+def _whole_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """date, value: daily means over all sites."""
+    return table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("value"))
 
-@query(f"""WITH {DAILY}, {WEEKLY} SELECT w.week_ending, round(w.rate, 4) AS pct_of_tariff, CAST(round_even(avg(d.value_mean), 0) AS DOUBLE) AS discharge
-    FROM weekly w LEFT JOIN daily d ON d.site_id = '1-URGENT' AND d.date BETWEEN w.week_ending - 6 AND w.week_ending
-    WHERE w.location = 'N' AND w.week_ending BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY w.week_ending, w.rate""")
+
+WHOLE = "whole AS (SELECT 'all' AS site_id, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value_mean, min(o_totalprice) AS value_min FROM orders GROUP BY 2)"
+
+
+@query(f"""WITH {WHOLE}, {RATES} SELECT w.week_ending, round(w.rate, 4) AS pct_of_tariff, CAST(round_even(avg(d.value_mean), 0) AS DOUBLE) AS discharge
+    FROM rates w LEFT JOIN whole d ON d.date BETWEEN w.week_ending - 6 AND w.week_ending
+    WHERE w.week_ending BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY w.week_ending, w.rate""")
 def weekly_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = weekly(spark, sf_dir).where("location = 'N'").withColumnRenamed("rate", "pct_of_tariff")
-    days = daily(spark, sf_dir).where("site_id = '1-URGENT'")
-    return rounded(reports.weekly_extract(rates, days, Date(1998, 1, 1), Date(1998, 12, 31), "value_mean", "discharge"), "pct_of_tariff")
+    weeks = rates(spark, sf_dir).withColumnRenamed("rate", "pct_of_tariff")
+    return rounded(reports.weekly_extract(weeks, _whole_days(spark, sf_dir), Date(1998, 1, 1), Date(1998, 12, 31), "value", "discharge"), "pct_of_tariff")
+
+
+EXTRACTS = f"""{WHOLE}, {RATES}, {_seasonal_sql("value_mean", "1").replace("FROM daily", "FROM whole")},
+    days AS (SELECT 'raw' AS kind, date, value FROM seasonal1 UNION ALL SELECT 'deseasonalized', date, anomaly FROM seasonal1)"""
+
+
+@query(f"""WITH {EXTRACTS} SELECT CAST(year(w.week_ending) AS VARCHAR) || '_' || k.kind || '.csv' AS file, w.week_ending, round(w.rate, 4) AS pct_of_tariff, CAST(round_even(avg(d.value), 0) AS DOUBLE) AS value
+    FROM rates w CROSS JOIN (VALUES ('raw'), ('deseasonalized')) k(kind) LEFT JOIN days d ON d.kind = k.kind AND d.date BETWEEN w.week_ending - 6 AND w.week_ending
+    WHERE year(w.week_ending) IN (1997, 1998) GROUP BY k.kind, w.week_ending, w.rate""")
+def weekly_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four extract files as one table: raw and deseasonalized, of two years."""
+    weeks = rates(spark, sf_dir).withColumnRenamed("rate", "pct_of_tariff")
+    days = _whole_days(spark, sf_dir)
+    files = reports.extracts(weeks, days, seasonal.anomalies(days, [], min_years=5), (1997, 1998))
+    parts = [df.select(F.lit(name).alias("file"), "week_ending", F.round("pct_of_tariff", 4).alias("pct_of_tariff"), F.col(df.columns[-1]).alias("value")) for name, df in files.items()]
+    return sinks.union_all(parts)
 
 
 @query(f"""WITH {LOWS} SELECT a.site_id, a.date, a.value, round(a.value - b.value, 4) AS change FROM lows a LEFT JOIN lows b ON b.site_id = a.site_id AND b.date = a.date - 14""")
@@ -341,19 +417,17 @@ def run_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs_below(spark, sf_dir)
 
 
-@query(f"""WITH {CLIMATE.replace('value_mean AS value', 'value_min AS value')}, {RUNS.split(', lows AS', 1)[1].join(['lows AS', ''])}
-    SELECT site_id, 'days_below_p10' AS feature_name, count(*) AS n, count(run) AS n_value, 0 AS n_anomaly, CAST(sum(run) AS DOUBLE) AS total FROM runs GROUP BY 1
-    UNION ALL SELECT site_id, 'discharge_min', count(*), count(value), count(CASE WHEN n_years >= 5 THEN value END), round(sum(value), 2) FROM d LEFT JOIN climate USING (site_id, doy) GROUP BY 1""")
+@query(f"WITH {FEATURES} SELECT site_id, feature_name, count(*) AS n, count(value) AS n_value, count(anomaly) AS n_anomaly, round(sum(value), 2) AS total FROM features GROUP BY 1, 2")
 def feature_build(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two of the five registered features, summed up by series."""
-    rows = feature_table(spark, sf_dir).where(F.col("feature_name").isin("days_below_p10", "discharge_min"))
+    """All registered features, summed up by series."""
+    rows = feature_table(spark, sf_dir)
     return rows.groupBy("site_id", "feature_name").agg(F.count("*").alias("n"), F.count("value").alias("n_value"), F.count("anomaly").alias("n_anomaly"), F.round(F.sum("value"), 2).alias("total"))
 
 
-@query()
+@query(f"WITH {FEATURES} SELECT site_id, date, feature_name, round(value, 6) AS value, round(anomaly, 6) AS anomaly, n_years AS climatology_n_years FROM features")
 def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole long feature table."""
-    return feature_table(spark, sf_dir)
+    return rounded(feature_table(spark, sf_dir), "value", "anomaly", digits=6)
 
 
 REGIME = f"""{RUNS}, reg AS (SELECT site_id, date, run AS value, CASE WHEN date - lag(date) OVER w <= 1 THEN CASE WHEN run > lag(run) OVER w THEN 'onset' WHEN run < lag(run) OVER w THEN 'recovery' END END AS regime
@@ -378,29 +452,31 @@ def regime_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rates = weekly(spark, sf_dir).where("location = 'N'")
-    return targets.forward_returns(rates, [], "week_ending", "rate")
+    return targets.forward_returns(rates(spark, sf_dir), [], "week_ending", "rate")
 
 
 def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Run lengths of every site against forward returns, at weekly lags."""
-    rows = _run_values(spark, sf_dir).withColumns({"feature_name": F.lit("days_below_p10"), "value": F.col("value").cast("double")})
-    lags = list(range(-21, 22, 7))
-    return sweep.in_regimes(sweep.align(rows, _targets(spark, sf_dir), lags), rows)
-
-
-ALIGNED = f"""{REGIME}, {WEEKLY}, {RETURNS}, y AS (SELECT week_ending AS week, horizon_days, value AS y FROM returns WHERE location = 'N' AND value IS NOT NULL),
-    known AS (SELECT site_id, date, CAST(value AS DOUBLE) AS x FROM reg WHERE value IS NOT NULL),
-    lagged AS (SELECT site_id, week, CAST(k AS INT) AS lag_days, CAST(week - CAST(k AS INT) AS DATE) AS anchor FROM (SELECT DISTINCT site_id FROM known), (SELECT DISTINCT week FROM y), generate_series(-21, 21, 7) g(k)),
-    matched AS (SELECT l.site_id, l.week, l.lag_days, d.date AS fdate, d.x FROM lagged l ASOF JOIN known d ON l.site_id = d.site_id AND l.anchor >= d.date),
-    members AS (SELECT site_id, date AS fdate, regime FROM reg WHERE regime IS NOT NULL UNION ALL SELECT site_id, date, 'all' FROM reg WHERE value IS NOT NULL),
-    aligned AS (SELECT m.site_id, horizon_days, lag_days, regime, m.week, x, y FROM matched m JOIN y USING (week) JOIN members USING (site_id, fdate))"""
+    """Every feature of every site against forward returns, at every lag and in every regime."""
+    rows = stage(feature_table(spark, sf_dir), "features")
+    return sweep.align(sweep.chosen_series(rows, sweep.series_columns(rows)), _targets(spark, sf_dir), sweep.lag_axis())
+
+
+ALIGNED = f"""{FEATURES}, {RATES}, y AS (SELECT a.week_ending AS week, CAST(h AS INT) AS horizon_days, CASE WHEN a.rate > 0 AND b.rate > 0 THEN ln(b.rate / a.rate) END AS y
+        FROM rates a CROSS JOIN (VALUES (7), (14), (21)) x(h) JOIN rates b ON b.week_ending = a.week_ending + h),
+    columns AS (SELECT feature_name, site_id, bool_or(anomaly IS NOT NULL) AS anom FROM features GROUP BY 1, 2),
+    chosen AS (SELECT feature_name, site_id, date, CASE WHEN anom THEN anomaly ELSE value END AS x FROM features JOIN columns USING (feature_name, site_id)),
+    reg AS (SELECT *, CASE WHEN date - lag(date) OVER w <= 1 THEN CASE WHEN x > lag(x) OVER w THEN 'onset' WHEN x < lag(x) OVER w THEN 'recovery' END END AS regime FROM chosen WINDOW w AS (PARTITION BY feature_name, site_id ORDER BY date)),
+    known AS (SELECT * FROM reg WHERE x IS NOT NULL),
+    lagged AS (SELECT feature_name, site_id, week, CAST(k AS INT) AS lag_days, CAST(week - CAST(k AS INT) AS DATE) AS anchor FROM (SELECT DISTINCT feature_name, site_id FROM known), (SELECT DISTINCT week FROM y WHERE y IS NOT NULL), generate_series(-21, 21) g(k)),
+    matched AS (SELECT l.feature_name, l.site_id, l.week, l.lag_days, d.x, d.regime FROM lagged l ASOF JOIN known d ON l.site_id = d.site_id AND l.feature_name = d.feature_name AND l.anchor >= d.date),
+    members AS (SELECT feature_name, site_id, week, lag_days, x, 'all' AS regime FROM matched UNION ALL SELECT feature_name, site_id, week, lag_days, x, regime FROM matched WHERE regime IS NOT NULL),
+    aligned AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, week, x, y FROM members JOIN y USING (week) WHERE y IS NOT NULL)"""
 CORR = "CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END"
 
 
-@query(f"""WITH {ALIGNED} SELECT site_id, horizon_days, lag_days, regime, count(*) AS n, round({CORR}, 8) AS r, round(count(*) / greatest(1.0, horizon_days / 7.0), 6) AS n_effective FROM aligned GROUP BY 1, 2, 3, 4""")
+@query(f"""WITH {ALIGNED} SELECT feature_name, site_id, horizon_days, lag_days, regime, count(*) AS n, round({CORR}, 7) AS r, round(count(*) / greatest(1.0, horizon_days / 7.0), 6) AS n_effective FROM aligned GROUP BY 1, 2, 3, 4, 5""")
 def correlation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _aligned(spark, sf_dir).groupBy("site_id", "horizon_days", "lag_days", "regime").agg(F.count("*").alias("n"), F.round(stats.pearson("x", "y"), 8).alias("r"))
+    out = _aligned(spark, sf_dir).groupBy(*sweep.PAIR).agg(F.count("*").alias("n"), F.round(stats.pearson("x", "y"), 7).alias("r"))
     return out.withColumn("n_effective", F.round(stats.effective_n(F.col("n"), F.col("horizon_days")), 6))
 
 
@@ -422,28 +498,97 @@ def walk_forward_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.folds(_fold_rows(spark, sf_dir), ["location", "horizon_days"], "week", "horizon_days", (7, 14, 21))
 
 
-@query("SELECT CAST(0 AS BIGINT) AS n_leaking")
+@query(f"""WITH {WEEKLY}, {RETURNS}, {FOLD}, t AS (SELECT location, horizon_days, fold, min(week) AS test_start FROM blocks GROUP BY 1, 2, 3),
+    e AS (SELECT t.*, (SELECT max(w.week) FROM fw w WHERE w.location = t.location AND w.horizon_days = t.horizon_days AND w.week < test_start - t.horizon_days) AS train_end FROM t)
+    SELECT location, horizon_days, count(*) AS n_folds, count(*) FILTER (WHERE train_end + horizon_days >= test_start) AS n_leaking, min(CAST(test_start - train_end AS INT)) AS least_gap FROM e GROUP BY 1, 2""")
 def fold_leakage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sweep.leaking(walk_forward_folds(spark, sf_dir), F.col("horizon_days")).agg(F.count("*").alias("n_leaking"))
+    """Folds, those whose training reaches into their test block, and the least gap between the two."""
+    folds = walk_forward_folds(spark, sf_dir)
+    bad = sweep.leaking(folds, F.col("horizon_days")).groupBy("location", "horizon_days").agg(F.count("*").alias("n_leaking"))
+    every = folds.groupBy("location", "horizon_days").agg(F.count("*").alias("n_folds"), F.min(F.datediff("test_start", "train_end")).alias("least_gap"))
+    return every.join(bad, ["location", "horizon_days"], "left").withColumn("n_leaking", F.coalesce("n_leaking", F.lit(0).cast("long")))
 
 
-@query("""WITH p AS (SELECT o_orderpriority AS run, o_orderkey, round(percent_rank() OVER (PARTITION BY o_orderpriority ORDER BY round(o_totalprice, -3)), 6) AS p FROM orders WHERE o_orderkey % 4 <> 0
-        UNION ALL SELECT o_orderpriority, o_orderkey, NULL FROM orders WHERE o_orderkey % 4 = 0),
+BH = """p AS (SELECT o_orderpriority AS run, o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN floor(o_totalprice % 997) * floor(o_totalprice % 997) / 999983 END AS p FROM orders),
     r AS (SELECT *, count(p) OVER (PARTITION BY run ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank, count(p) OVER (PARTITION BY run) AS m FROM p WHERE p IS NOT NULL),
-    q AS (SELECT run, o_orderkey, least(1.0, min(p * m / rank) OVER (PARTITION BY run ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q, m FROM r)
-    SELECT p.run, p.o_orderkey, round(q, 8) AS q_value, m AS n_tests_adjusted FROM p LEFT JOIN q USING (run, o_orderkey)""")
+    q AS (SELECT run, o_orderkey, least(1.0, min(p * m / rank) OVER (PARTITION BY run ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q, m FROM r)"""
+
+
+def _supplied_p(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """Orders as tests of five runs, with p-values made of their prices, unknown for one in four."""
+    part = F.floor(F.col("o_totalprice") % 997)
+    p = F.when(F.col("o_orderkey") % 4 != 0, part * part / F.lit(999983))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("run"), "o_orderkey", p.alias("p"), *more)
+
+
+@query(f"WITH {BH} SELECT p.run, p.o_orderkey, round(q, 8) AS q_value, m AS n_tests_adjusted FROM p LEFT JOIN q USING (run, o_orderkey)")
 def bh_qvalues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
+    rows = _supplied_p(spark, sf_dir)
+    return stats.benjamini_hochberg(rows, ["run"], "p").select("run", "o_orderkey", F.round("q_value", 8).alias("q_value"), "n_tests_adjusted")
+
+
+# --- run logs on supplied p-values: SQL has no t distribution, so these take p from the data -------------------
 
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("run"), "o_orderkey", F.round("o_totalprice", -3).alias("v"))
-    ranked = rows.where("o_orderkey % 4 <> 0").withColumn("p", F.round(F.percent_rank().over(Window.partitionBy("run").orderBy("v")), 6))
-    both = ranked.select("run", "o_orderkey", "p").unionByName(rows.where("o_orderkey % 4 = 0").select("run", "o_orderkey", F.lit(None).cast("double").alias("p")))
-    return stats.benjamini_hochberg(both, ["run"], "p").select("run", "o_orderkey", F.round("q_value", 8).alias("q_value"), "n_tests_adjusted")
+SIGNALS = f"""{BH}, signals AS (
+    SELECT CAST(substr(o.o_orderpriority, 1, 1) AS BIGINT) AS run_id, 'days_' || lower(o_orderstatus) AS feature_name, 'c' || CAST(o_custkey % 7 AS VARCHAR) AS site_id, o.o_orderkey AS cell, CAST(o.o_orderkey % 43 - 21 AS INT) AS lag_days,
+           CASE o.o_orderkey % 3 WHEN 0 THEN 'onset' WHEN 1 THEN 'recovery' ELSE 'all' END AS regime, p.p AS p_value, q.q AS q_value,
+           CASE WHEN p.p IS NULL THEN 'insufficient_observations' WHEN o.o_orderkey % 5 = 0 THEN 'insufficient_folds' ELSE 'scanned' END AS status,
+           coalesce(q.q <= 0.05 AND o.o_orderkey % 5 <> 0 AND o_custkey % 10 >= 4, false) AS passes_gate
+    FROM orders o JOIN p USING (o_orderkey) LEFT JOIN q USING (o_orderkey))"""
+
+
+def _signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = stats.benjamini_hochberg(_supplied_p(spark, sf_dir, "o_orderstatus", "o_custkey"), ["run"], "p")
+    key, folds = F.col("o_orderkey"), F.when(F.col("o_orderkey") % 5 != 0, 5).otherwise(0)
+    return rows.select(
+        F.substring("run", 1, 1).cast("long").alias("run_id"), F.concat(F.lit("days_"), F.lower("o_orderstatus")).alias("feature_name"), F.concat(F.lit("c"), (F.col("o_custkey") % 7).cast("string")).alias("site_id"),
+        key.alias("cell"), (key % 43 - 21).cast("int").alias("lag_days"), F.when(key % 3 == 0, "onset").when(key % 3 == 1, "recovery").otherwise("all").alias("regime"), F.col("p").alias("p_value"), "q_value",
+        F.when(F.col("p").isNull(), "insufficient_observations").when(folds == 0, "insufficient_folds").otherwise("scanned").alias("status"),
+        stats.passes_gate(F.col("q_value"), F.when(F.col("o_custkey") % 10 >= 4, 0.8).otherwise(0.5), folds).alias("passes_gate"),
+    )
+
+
+@query(f"""WITH {SIGNALS} SELECT r.run_id, count(s.cell) AS n_rows, count(*) FILTER (WHERE passes_gate) AS n_passing, count(*) FILTER (WHERE status = 'scanned') AS n_scanned,
+    count(p_value) AS n_tested, count(*) FILTER (WHERE passes_gate AND lag_days < 0) AS n_passing_negative_lag FROM (VALUES (1), (2), (3), (4), (5), (6)) r(run_id) LEFT JOIN signals s USING (run_id) GROUP BY 1""")
+def logged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcome counts of five logged runs and of one without rows."""
+    return sweep.run_summary(spark.range(1, 7).select(F.col("id").alias("run_id")), _signals(spark, sf_dir))
+
+
+@query(f"""WITH {SIGNALS}, k AS (SELECT *, bool_or(passes_gate) OVER (PARTITION BY run_id) AS any_ FROM signals WHERE q_value IS NOT NULL),
+    t AS (SELECT run_id, cell, round(q_value, 8) AS q_value, row_number() OVER (PARTITION BY run_id ORDER BY q_value, cell) AS rank FROM k WHERE passes_gate OR NOT any_) SELECT run_id, cell, q_value, CAST(rank AS INTEGER) AS rank FROM t WHERE rank <= 10""")
+def logged_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reads.best_rows(_signals(spark, sf_dir), "run_id", "q_value", ["cell"], 10).select("run_id", "cell", F.round("q_value", 8).alias("q_value"), "rank")
+
+
+@query(f"""WITH {SIGNALS}, f AS (SELECT * FROM signals WHERE feature_name = 'days_f'), l AS (SELECT site_id, max(run_id) AS run_id FROM f GROUP BY 1)
+    SELECT site_id, run_id, round(min(q_value), 8) AS q_value FROM f JOIN l USING (site_id, run_id) GROUP BY 1, 2""")
+def logged_strongest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(sweep.strongest_signal(_signals(spark, sf_dir), "days_f"), "q_value", digits=8)
+
+
+@query(f"""WITH {SIGNALS} SELECT run_id, feature_name, site_id, cell, round(q_value, 8) AS q_value FROM signals WHERE run_id = 2 AND feature_name SIMILAR TO 'days_[fo]' AND passes_gate
+    ORDER BY signals.q_value NULLS LAST, cell LIMIT 200 OFFSET 3""")
+def logged_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of one run's passing rows for a pattern of features, smallest q first."""
+    rows = _signals(spark, sf_dir)
+    page = reports.read_signals(rows, 2, passing_only=True, feature="days_[fo]", limit=200, offset=3, order=("cell",))
+    return page.select("run_id", "feature_name", "site_id", "cell", F.round("q_value", 8).alias("q_value"))
+
+
+@query(f"""WITH {SIGNALS} SELECT run_id, regime, count(*) FILTER (WHERE passes_gate AND lag_days < 0) AS n_negative, count(*) FILTER (WHERE passes_gate AND lag_days > 0) AS n_positive FROM signals GROUP BY 1, 2""")
+def logged_lag_signs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.lag_signs(_signals(spark, sf_dir))
+
+
+@query(f"WITH {SIGNALS} SELECT run_id, status, count(*) AS n FROM signals GROUP BY 1, 2")
+def logged_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sweep.tallies(_signals(spark, sf_dir), "status", ["run_id"])
 
 
 def _grid_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Five features at each site and one site without rows."""
-    return _sites(spark, sf_dir), feature_table(spark, sf_dir).persist()  # columns, regimes and as-of matches read it
+    return _sites(spark, sf_dir), stage(feature_table(spark, sf_dir), "features")  # columns, regimes and as-of matches read it
 
 
 @query(f"""WITH {SITES}, n(feature_name) AS (VALUES ('discharge_mean'), ('discharge_min'), ('days_below_p05'), ('days_below_p10'), ('days_below_p20'))
@@ -457,45 +602,45 @@ def sweep_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.select("site_id", "feature_name", "horizon_days", "regime", "lag_days", "series_column")
 
 
-@query(f"""WITH {DAILY}, s AS (SELECT site_id FROM daily WHERE n_observations = 1 GROUP BY 1 HAVING true), single AS (SELECT site_id FROM daily GROUP BY 1 HAVING bool_and(n_observations = 1))
+@query("""WITH days AS (SELECT CAST(o_custkey AS VARCHAR) AS site_id, CAST(o_orderdate AS DATE) AS date, count(o_totalprice) AS n FROM orders GROUP BY 1, 2), single AS (SELECT site_id FROM days GROUP BY 1 HAVING bool_and(n = 1))
     SELECT site_id, 'discharge_min' AS feature_name, 'discharge_mean' AS kept, 'one series with discharge_mean: every day has a single observation' AS reason FROM single""")
 def single_observation_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    single = sweep.single_observation(daily(spark, sf_dir), ["site_id", "param_code"])
-    return sweep.skips(spark, single, features.registry())
+    """Customers as sites: those that never order twice a day have one series, not three."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("site_id"), F.col("o_orderdate").alias("ts"), F.col("o_totalprice").alias("value"))
+    days = series.daily_stats(rows, ["site_id"]).withColumn("param_code", F.lit("00060"))
+    return sweep.skips(spark, sweep.single_observation(days, ["site_id", "param_code"]), features.registry())
 
 
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, rows = _grid_parts(spark, sf_dir)
-    lags = list(range(-21, 22, 7))
-    return sweep.sweep(rows, _targets(spark, sf_dir), sites, ["discharge_min", "days_below_p10"], lags, run_id=1)
+    names = [f.name for f in features.registry()]
+    return sweep.sweep(rows, _targets(spark, sf_dir), sites, names, sweep.lag_axis(), run_id=1)
 
 
 @query()
 def full_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every cell of all five features, 43 lags, three horizons and three regimes."""
-    sites, rows = _grid_parts(spark, sf_dir)
-    names = [f.name for f in features.registry()]
-    return sweep.sweep(rows, _targets(spark, sf_dir), sites, names, sweep.lag_axis(), run_id=1)
+    return _swept(spark, sf_dir)
 
 
-FOLDS_OF_PAIRS = """a AS (SELECT DISTINCT site_id, horizon_days, lag_days, regime, week FROM aligned),
-    a1 AS (SELECT *, row_number() OVER p - 1 AS ord, count(*) OVER (PARTITION BY site_id, horizon_days, lag_days, regime) AS n,
+FOLDS_OF_PAIRS = """a AS (SELECT DISTINCT feature_name, site_id, horizon_days, lag_days, regime, week FROM aligned),
+    a1 AS (SELECT *, row_number() OVER p - 1 AS ord, count(*) OVER (PARTITION BY feature_name, site_id, horizon_days, lag_days, regime) AS n,
                   CASE horizon_days WHEN 7 THEN count(*) OVER (p RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 8 DAY PRECEDING)
                        WHEN 14 THEN count(*) OVER (p RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 15 DAY PRECEDING)
                        ELSE count(*) OVER (p RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 22 DAY PRECEDING) END AS train
-           FROM a WINDOW p AS (PARTITION BY site_id, horizon_days, lag_days, regime ORDER BY week)),
-    a2 AS (SELECT *, min(ord) FILTER (WHERE train >= 26) OVER (PARTITION BY site_id, horizon_days, lag_days, regime) AS first FROM a1),
-    ab AS (SELECT site_id, horizon_days, lag_days, regime, week, least((ord - first) // ((n - first) // 5), 4) AS fold FROM a2 WHERE ord >= first AND n - first >= 5)"""
+           FROM a WINDOW p AS (PARTITION BY feature_name, site_id, horizon_days, lag_days, regime ORDER BY week)),
+    a2 AS (SELECT *, min(ord) FILTER (WHERE train >= 26) OVER (PARTITION BY feature_name, site_id, horizon_days, lag_days, regime) AS first FROM a1),
+    ab AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, week, least((ord - first) // ((n - first) // 5), 4) AS fold FROM a2 WHERE ord >= first AND n - first >= 5)"""
 
 
 @query(f"""WITH {ALIGNED}, {FOLDS_OF_PAIRS},
-    full_r AS (SELECT site_id, horizon_days, lag_days, regime, {CORR} AS r, count(*) / greatest(1.0, horizon_days / 7.0) AS ne FROM aligned GROUP BY 1, 2, 3, 4),
-    fold_r AS (SELECT site_id, horizon_days, lag_days, regime, fold, {CORR} AS fr FROM aligned JOIN ab USING (site_id, horizon_days, lag_days, regime, week) GROUP BY 1, 2, 3, 4, 5)
-    SELECT site_id, horizon_days, lag_days, regime, CAST(count(fr) AS INTEGER) AS folds, round(CAST(count(*) FILTER (WHERE sign(fr) = sign(r)) AS DOUBLE) / count(fr), 8) AS directional_consistency
-    FROM full_r JOIN fold_r USING (site_id, horizon_days, lag_days, regime) WHERE r IS NOT NULL AND r <> 0 AND ne > 2 GROUP BY 1, 2, 3, 4 HAVING count(fr) > 0""")
+    full_r AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, {CORR} AS r, count(*) / greatest(1.0, horizon_days / 7.0) AS ne FROM aligned GROUP BY 1, 2, 3, 4, 5),
+    fold_r AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, fold, {CORR} AS fr FROM aligned JOIN ab USING (feature_name, site_id, horizon_days, lag_days, regime, week) GROUP BY 1, 2, 3, 4, 5, 6)
+    SELECT feature_name, site_id, horizon_days, lag_days, regime, CAST(count(fr) AS INTEGER) AS folds, round(CAST(count(*) FILTER (WHERE sign(fr) = sign(r)) AS DOUBLE) / count(fr), 8) AS directional_consistency
+    FROM full_r JOIN fold_r USING (feature_name, site_id, horizon_days, lag_days, regime) WHERE r IS NOT NULL AND r <> 0 AND ne > 2 GROUP BY 1, 2, 3, 4, 5 HAVING count(fr) > 0""")
 def fold_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sweep.measurements(_aligned(spark, sf_dir)).where("directional_consistency IS NOT NULL")
-    return rounded(rows.select("site_id", "horizon_days", "lag_days", "regime", "folds", "directional_consistency"), "directional_consistency", digits=8)
+    rows = sweep.measurements(stage(_aligned(spark, sf_dir), "aligned")).where("directional_consistency IS NOT NULL")
+    return rounded(rows.select(*sweep.PAIR, "folds", "directional_consistency"), "directional_consistency", digits=8)
 
 
 @query()
@@ -522,9 +667,8 @@ P30 = replace(analogs.Parameters(), separation_days=30)
 
 
 def _queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every site on the 15th of each month from 1999 on that its record has."""
-    days = daily(spark, sf_dir).where("year(date) >= 1999 AND day(date) = 15")
-    return days.select(F.concat_ws("/", "site_id", F.col("date").cast("string")).alias("query_id"), "site_id", F.col("date").alias("as_of"))
+    """Every date of every site."""
+    return daily(spark, sf_dir).select(F.concat_ws("/", "site_id", F.col("date").cast("string")).alias("query_id"), "site_id", F.col("date").alias("as_of"))
 
 
 EVENTS = f"""{RUNS}, det AS (SELECT site_id, date, coalesce(date - lag(date) OVER (PARTITION BY site_id ORDER BY date) > 30, true) AS new FROM runs WHERE run >= 1),
@@ -537,7 +681,7 @@ def collapsed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogs.collapse(found, ["site_id"], "date", 30)
 
 
-QUERY = f"""{RUNS}, q AS (SELECT site_id || '/' || CAST(date AS VARCHAR) AS query_id, site_id, date AS as_of FROM daily WHERE year(date) >= 1999 AND day(date) = 15),
+QUERY_BODY = """q AS (SELECT site_id || '/' || CAST(date AS VARCHAR) AS query_id, site_id, date AS as_of FROM daily),
     h AS (SELECT q.query_id, q.as_of, r.date, r.run FROM q JOIN runs r ON r.site_id = q.site_id AND r.date <= q.as_of),
     det AS (SELECT *, coalesce(date - lag(date) OVER (PARTITION BY query_id ORDER BY date) > 30, true) AS new FROM h WHERE run >= 1),
     ev AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY query_id ORDER BY date) AS e FROM det),
@@ -546,6 +690,33 @@ QUERY = f"""{RUNS}, q AS (SELECT site_id || '/' || CAST(date AS VARCHAR) AS quer
     lastv AS (SELECT query_id, arg_max(coalesce(run, -1), date) AS l FROM h GROUP BY 1),
     summ AS (SELECT q.*, coalesce(raw, 0) AS n_raw_detections, coalesce(col, 0) AS n_collapsed_events, CASE WHEN l >= 1 THEN s END AS query_start FROM q LEFT JOIN cnt USING (query_id) LEFT JOIN lastv USING (query_id)),
     elig AS (SELECT e.query_id, e.event_start, e.n AS n_detections FROM events e JOIN summ USING (query_id) WHERE event_start + 21 <= e.as_of AND event_start + 21 < query_start)"""
+QUERY = f"{RUNS}, {QUERY_BODY}"
+NAMES = [f.name for f in features.registry()]
+
+
+def _verdict_sql(separation: int, consistency: float) -> str:
+    """CTE verdicts: each query's population, scales, neighbours and outcomes from its own history, one by one."""
+    wide = ", ".join(f"max(CASE WHEN feature_name = '{n}' THEN value END) AS v_{n}, max(CASE WHEN feature_name = '{n}' THEN anomaly END) AS a_{n}, min(CASE WHEN feature_name = '{n}' AND anomaly IS NOT NULL THEN date END) AS f_{n}" for n in NAMES)
+    first = ", ".join(f"min(f_{n}) AS f_{n}" for n in NAMES)
+    pick = ", ".join(f"CASE WHEN first.f_{n} <= c.as_of THEN a_{n} ELSE v_{n} END AS {n}" for n in NAMES)
+    moments = ", ".join(f"avg({n}) AS m_{n}, CASE WHEN min({n}) = max({n}) THEN 0 ELSE stddev_pop({n}) END AS s_{n}" for n in NAMES)
+    dist = " + ".join(f"(CASE WHEN s_{n} = 0 THEN 0 ELSE (here.{n} - m_{n}) / s_{n} - (there.{n} - m_{n}) / s_{n} END) ** 2" for n in NAMES)
+    full = " AND ".join(f"{n} IS NOT NULL" for n in NAMES)
+    return f"""{FEATURES}, {RATES}, {QUERY_BODY.replace("> 30", f"> {separation}")}, wide AS (SELECT site_id, date, {wide} FROM features GROUP BY 1, 2), first AS (SELECT site_id, {first} FROM wide GROUP BY 1),
+    asking AS (SELECT query_id, site_id, as_of FROM summ WHERE query_id IN (SELECT query_id FROM elig)),
+    population AS (SELECT c.query_id, c.as_of, w.date, {pick} FROM asking c JOIN first USING (site_id) JOIN wide w ON w.site_id = c.site_id AND w.date <= c.as_of),
+    complete AS (SELECT * FROM population WHERE {full}), scales AS (SELECT query_id, {moments} FROM complete GROUP BY 1),
+    distances AS (SELECT e.query_id, e.event_start, sqrt({dist}) AS distance FROM elig e JOIN complete there ON there.query_id = e.query_id AND there.date = e.event_start
+        JOIN complete here ON here.query_id = e.query_id AND here.date = here.as_of JOIN scales ON scales.query_id = e.query_id),
+    near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, event_start) AS rank FROM distances) WHERE rank <= 10),
+    starts AS (SELECT DISTINCT event_start, event_start + 21 AS e_end FROM near),
+    moved AS (SELECT x.event_start, r0, r1.rate AS r1, CASE WHEN (SELECT max(week_ending) FROM rates) < x.e_end THEN 'short' WHEN r0 IS NULL OR r1.rate IS NULL THEN 'unknown' ELSE 'complete' END AS reason
+        FROM (SELECT s.*, r.rate AS r0 FROM starts s ASOF LEFT JOIN rates r ON s.event_start >= r.week_ending) x ASOF LEFT JOIN rates r1 ON x.e_end >= r1.week_ending),
+    per AS (SELECT query_id, count(*) AS sel, count(*) FILTER (WHERE reason = 'complete') AS com, count(*) FILTER (WHERE reason = 'complete' AND r1 > r0) AS up, count(*) FILTER (WHERE reason = 'complete' AND r1 < r0) AS down FROM near JOIN moved USING (event_start) GROUP BY 1),
+    verdicts AS (SELECT s.query_id, s.site_id, s.as_of, s.n_raw_detections, s.n_collapsed_events, s.query_start,
+        CASE WHEN query_start IS NULL THEN 'no_current_event' WHEN coalesce(sel, 0) = 0 THEN 'insufficient_analogs' WHEN sel > com THEN 'incomplete_outcomes' WHEN com < 4 THEN 'insufficient_analogs'
+             WHEN greatest(up, down) / com < {consistency} THEN 'inconsistent_direction' ELSE 'passed' END AS verdict,
+        coalesce(com, 0) AS n_analogs, CASE WHEN sel > com THEN 0 ELSE coalesce(greatest(up, down), 0) END AS n_consistent, coalesce(sel - com, 0) AS n_incomplete FROM summ s LEFT JOIN per USING (query_id))"""
 
 
 @query(f"WITH {QUERY} SELECT query_id, site_id, as_of, n_raw_detections, n_collapsed_events, query_start FROM summ")
@@ -575,7 +746,7 @@ def nearest_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(near, "distance", digits=6)
 
 
-OUTCOME = f"""{EVENTS}, {WEEKLY}, r AS (SELECT week_ending, CASE WHEN week(week_ending) % 9 = 0 THEN NULL ELSE rate END AS rate FROM weekly WHERE location = 'N'),
+OUTCOME = f"""{EVENTS}, {RATES}, r AS (SELECT week_ending, CASE WHEN week(week_ending) % 9 = 0 THEN NULL ELSE rate END AS rate FROM rates),
     e AS (SELECT site_id, min(date) AS event_start, min(date) + 21 AS e_end FROM ev GROUP BY site_id, e),
     o1 AS (SELECT e.*, r.rate AS r0 FROM e ASOF LEFT JOIN r ON e.event_start >= r.week_ending),
     o2 AS (SELECT o1.*, r.rate AS r1 FROM o1 ASOF LEFT JOIN r ON o1.e_end >= r.week_ending),
@@ -589,8 +760,8 @@ def event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = analogs.collapse(analogs.detections(_run_values(spark, sf_dir), ["site_id"], "date", "value", 1), ["site_id"], "date", 30).select("site_id", "event_start")
-    rates = weekly(spark, sf_dir).where("location = 'N'").withColumn("rate", F.when(F.weekofyear("week_ending") % 9 != 0, F.col("rate")))
-    return analogs.outcomes(events, rates, "week_ending", "rate", 21)
+    weeks = rates(spark, sf_dir).withColumn("rate", F.when(F.weekofyear("week_ending") % 9 != 0, F.col("rate")))
+    return analogs.outcomes(events, weeks, "week_ending", "rate", 21)
 
 
 @query(f"""WITH {OUTCOME}, g AS (SELECT site_id AS query_id, count(*) AS sel, count(*) FILTER (WHERE reason = 'complete') AS com,
@@ -614,18 +785,29 @@ def outcome_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _answers(spark: SparkSession, sf_dir: str, p: analogs.Parameters) -> analogs.Answers:
-    rates = weekly(spark, sf_dir).where("location = 'N'")
-    table_ = feature_table(spark, sf_dir).persist()  # read by five stages of the answer
-    return analogs.answer(_queries(spark, sf_dir), table_, rates, "week_ending", "rate", p)
+    table_ = stage(feature_table(spark, sf_dir), "features")  # read by several stages of the answer
+    return analogs.answer(_queries(spark, sf_dir), table_, rates(spark, sf_dir), "week_ending", "rate", p)
 
 
 def _named_sites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sites(spark, sf_dir).select("site_id", F.concat(F.lit("Long River at "), "site_id", F.lit(", ZZ")).alias("name"), F.lit("Long River").alias("river"))
 
 
-@query()
+@query(f"WITH {_verdict_sql(30, 0.7)} SELECT query_id, site_id, as_of, n_raw_detections, n_collapsed_events, query_start, verdict, n_analogs, n_consistent, n_incomplete FROM verdicts")
 def analog_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _answers(spark, sf_dir, P30).verdicts
+    return _answers(spark, sf_dir, P30).verdicts.drop("direction")
+
+
+@query(f"WITH {_verdict_sql(30, 0.5)} SELECT site_id, verdict, count(*) AS n FROM verdicts GROUP BY 1, 2")
+def conclusion_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many queries of each site end in each verdict."""
+    return sweep.tallies(_answers(spark, sf_dir, replace(P30, min_consistency=0.5)).verdicts, "verdict", ["site_id"])
+
+
+@query(f"WITH {_verdict_sql(30, 0.7)} SELECT query_id, event_start, round(distance, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM near")
+def analog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events that every query is compared with, nearest first."""
+    return rounded(_answers(spark, sf_dir, P30).matches.select("query_id", "event_start", "distance", "rank"), "distance", digits=6)
 
 
 @query()
@@ -636,9 +818,10 @@ def conclusions_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def conclusions_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """At the default separation of 90 days there are too few events, so every current condition is refused."""
+    """Refusals at the default separation of 90 days, with the year since which events were looked for."""
     p = analogs.Parameters()
-    return analogs.conclusions(_answers(spark, sf_dir, p), _named_sites(spark, sf_dir), p)["refused"]
+    sites = _named_sites(spark, sf_dir).join(daily(spark, sf_dir).groupBy("site_id").agg(F.min("date").alias("first_date")), "site_id", "left")
+    return analogs.conclusions(_answers(spark, sf_dir, p), sites, p, since=F.col("first_date"))["refused"]
 
 
 @query()
@@ -646,7 +829,7 @@ def conclusions_no_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogs.conclusions(_answers(spark, sf_dir, P30), _named_sites(spark, sf_dir), P30)["no_current_event"]
 
 
-@query(f"""WITH {CLIMATE.replace('value_mean AS value', 'value_min AS value')}, q AS (SELECT site_id || '/' || CAST(date AS VARCHAR) AS query_id, site_id, date AS as_of FROM daily WHERE year(date) >= 1999 AND day(date) = 15)
+@query(f"""WITH {CLIMATE.replace('value_mean AS value', 'value_min AS value')}, q AS (SELECT site_id || '/' || CAST(date AS VARCHAR) AS query_id, site_id, date AS as_of FROM daily)
     SELECT query_id, round(n.value - p.value, 4) AS change, round(CASE WHEN n_years >= 5 THEN n.value - baseline END, 6) AS anomaly, CAST(n_years AS INTEGER) AS n_years
     FROM q LEFT JOIN d n ON n.site_id = q.site_id AND n.date = q.as_of LEFT JOIN climate c ON c.site_id = n.site_id AND c.doy = n.doy LEFT JOIN d p ON p.site_id = q.site_id AND p.date = q.as_of - 14""")
 def current_condition(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -707,6 +890,30 @@ def run_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(series.histogram(rows, "run", 0, 6, 6, {"mean_value": F.avg("value")}), "mean_value")
 
 
+JOINED = f"""{RUNS}, {RATES}, j AS (SELECT r.site_id, CAST(run AS DOUBLE) AS value, CAST(h AS INT) AS horizon_days, ln(b.rate / a.rate) AS target FROM runs r JOIN rates a ON a.week_ending = r.date CROSS JOIN (VALUES (7), (14), (21)) x(h)
+        JOIN rates b ON b.week_ending = a.week_ending + h WHERE run IS NOT NULL AND a.rate > 0 AND b.rate > 0)"""
+
+
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _run_values(spark, sf_dir).withColumn("value", F.col("value").cast("double"))
+    return series.with_targets(rows, _targets(spark, sf_dir))
+
+
+@query(f"""WITH {JOINED} SELECT site_id, horizon_days, CASE WHEN value < 0 THEN 0 WHEN value >= 6 THEN 7 ELSE CAST(floor(value) AS BIGINT) + 1 END AS bucket, count(*) AS n, min(value) AS low, max(value) AS high, round(avg(target), 7) AS mean_target FROM j GROUP BY 1, 2, 3""")
+def histogram_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Run lengths on the very dates of the weeks, with the mean move that followed."""
+    more = {"low": F.min("value"), "high": F.max("value"), "mean_target": F.round(F.avg("target"), 7)}
+    return series.histogram(_joined(spark, sf_dir), "value", 0, 6, 6, more, ["site_id", "horizon_days"])
+
+
+@query(f"""WITH {JOINED}, s AS (SELECT * FROM j WHERE value BETWEEN 0 AND 2) SELECT site_id, horizon_days, (SELECT count(*) FROM s WHERE s.site_id = j.site_id AND s.horizon_days = j.horizon_days) AS n_low,
+    round((SELECT CASE WHEN min(value) < max(value) AND min(target) < max(target) THEN corr(value, target) END FROM s WHERE s.site_id = j.site_id AND s.horizon_days = j.horizon_days), 7) AS r_low, round(corr(value, target), 7) AS r FROM j GROUP BY 1, 2""")
+def subset_correlation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlation of short runs alone beside that of all."""
+    low = F.col("value").between(0, 2)
+    return _joined(spark, sf_dir).groupBy("site_id", "horizon_days").agg(F.count_if(low).alias("n_low"), F.round(stats.pearson_where(low, "value", "target"), 7).alias("r_low"), F.round(stats.pearson("value", "target"), 7).alias("r"))
+
+
 @query("SELECT event_type, count(*) AS n_rows, min(ts) AS first, max(ts) AS last FROM events GROUP BY 1")
 def raw_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.raw_coverage(table(spark, sf_dir, "events"), "event_type", "ts")
@@ -778,10 +985,18 @@ def duplicate_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.duplicate_keys(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_partkey"])
 
 
-@query("SELECT true AS same")
+COPY = "count(*) AS n_rows, min(o_orderdate) AS first, max(o_orderdate) AS last, count(o_orderstatus) AS n_extra, sum(CAST(o_totalprice AS DECIMAL(28, 6))) AS total"
+
+
+@query(f"""WITH a AS (SELECT {COPY} FROM orders), b AS (SELECT {COPY} FROM orders WHERE o_orderstatus <> 'P') SELECT 'whole' AS copy, a.n_rows, CAST(a.total AS DOUBLE) AS total, a = a AS same FROM a
+    UNION ALL SELECT 'partial', b.n_rows, CAST(b.total AS DOUBLE), a = b FROM a, b""")
 def copy_reconciled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A copy with rows in another order, and one that lacks some."""
     a = table(spark, sf_dir, "orders")
-    return quality.same_copy(*(quality.fingerprint(x, "o_orderdate", "o_totalprice", "o_orderstatus") for x in (a, a.repartition(7, "o_custkey"))))
+    copies = {"whole": a.repartition(7, "o_custkey"), "partial": a.where("o_orderstatus <> 'P'")}
+    print_ = lambda x: quality.fingerprint(x, "o_orderdate", "o_totalprice", "o_orderstatus")
+    parts = [quality.same_copy(print_(a), print_(c)).join(print_(c)).select(F.lit(name).alias("copy"), "n_rows", F.col("total").cast("double").alias("total"), "same") for name, c in copies.items()]
+    return sinks.union_all(parts)
 
 
 @query("""SELECT 'orders' AS "table", (SELECT count(*) FROM orders) AS recorded, (SELECT count(*) FROM orders WHERE o_orderstatus = 'O') AS restored, 'differs' AS status

@@ -171,7 +171,7 @@ def load_gauges(registry: DataFrame, site_ids: list[str] | None = None) -> DataF
     unknown = [r[0] for r in wanted.join(registry.select("site_id"), "site_id", "left_anti").orderBy("site_id").collect()]
     if unknown:
         raise ValueError(f"unknown sites: {unknown}")
-    return registry.join(F.broadcast(wanted), "site_id", "left_semi")
+    return registry.join(wanted, "site_id", "left_semi")
 
 
 def requested_pairs(registry: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,29 +34,49 @@ def merged(target: DataFrame, source: DataFrame, keys: list[str], values: list[s
 def write_merge(spark: SparkSession, path: str, source: DataFrame, keys: list[str], values: list[str], partition: str) -> int:
     """Merges into a Parquet table partitioned by ``partition`` and returns how many rows changed.
 
-    Only partitions with a change are rewritten, from a staged copy, so no job reads what it overwrites; a rerun
-    changes 0 rows and writes nothing.
+    Only partitions with a change are rewritten, from a staged copy, so no job reads what it overwrites; a key that
+    moves to another partition leaves its old one, which goes when nothing is left in it. A rerun changes 0 rows and
+    writes nothing. A source with several rows of one key is an error.
     """
     carried = [c for c in dict.fromkeys([*values, partition]) if c not in keys]
     source = source.select(*keys, *carried)
     target = spark.read.schema(source.schema).parquet(path) if _exists(spark, path) else source.limit(0)
-    delta = changes(target, source, keys, carried)
-    delta = delta.persist()
+    delta = changes(target, source, keys, carried).persist()
     try:
         n = delta.count()
         if n:
-            touched = delta.select(partition).distinct()
-            part = target.join(F.broadcast(touched), partition, "left_semi")
+            twice = delta.groupBy(*keys).count().where("count > 1").limit(5).collect()
+            if twice:
+                raise ValueError(f"several source rows of one key: {[tuple(r)[:-1] for r in twice]}")
+            left = target.join(delta.where("change = 'update'").select(*keys), keys, "left_semi")
+            touched = delta.select(partition).unionByName(left.select(partition)).distinct()
+            # rows of a touched partition whose own key did not change stay as they are
+            stays = target.join(touched, target[partition].eqNullSafe(touched[partition]), "left_semi").join(delta.select(*keys), keys, "left_anti")
             staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
-            merged(part, delta, keys, carried).write.parquet(staged)
-            rows = spark.read.parquet(staged)
+            stays.select(*keys, *carried).unionByName(delta.select(*keys, *carried)).write.parquet(staged)
+            rows = spark.read.schema(source.schema).parquet(staged)
+            # the values of touched partitions, a folder name each, are all that the driver sees
+            empty = touched.select(F.struct(partition).alias("p")).exceptAll(rows.select(F.struct(partition).alias("p")).distinct()).collect()
             rows.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+            for r in empty:
+                _delete(spark, f"{path.rstrip('/')}/{_partition_folder(spark, partition, r.p[0])}")
             _delete(spark, staged)
         return n
     finally:
         delta.unpersist()
 
 
+def rebuild_window(spark: SparkSession, path: str, rows: DataFrame, column: str, start: str, end: str, keys: list[str], values: list[str], partition: str) -> int:
+    """Writes the rows of [start, end] of a result that was computed from full history: changed rows are merged,
+    rows outside the window are neither read for changes nor deleted. Returns how many rows changed."""
+    return write_merge(spark, path, window_of(rows, column, start, end), keys, values, partition)
+
+
+def _partition_folder(spark: SparkSession, column: str, value: object) -> str:
+    text = None if value is None else str(value)
+    return spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.getPartitionPathString(column, text)
+
+
 def _hadoop(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -80,12 +100,15 @@ def window_of(rows: DataFrame, column: str, start: str, end: str) -> DataFrame:
 
 
 def append_run(runs_path: str, rows_path: str, run: DataFrame, rows: DataFrame, grid_size: int) -> int:
-    """Logs a run before its rows, then appends all rows, null results included; the counts have to agree."""
+    """Logs a run before its rows, then appends all rows, null results included; the counts have to agree. A run
+    over an empty grid is refused before anything is logged."""
+    if grid_size < 1:
+        raise ValueError("the grid is empty: there is nothing to scan, and no run is logged")
     spark = run.sparkSession
     run.write.mode("append").parquet(runs_path)
     rows.write.mode("append").partitionBy("run_id").parquet(rows_path)
     ids = run.select("run_id").distinct()
-    n = spark.read.parquet(rows_path).join(F.broadcast(ids), "run_id", "left_semi").count()
+    n = spark.read.parquet(rows_path).join(ids, "run_id", "left_semi").count()
     if n != grid_size:
         raise ValueError(f"{n} rows logged for a grid of {grid_size}")
     return n
@@ -104,7 +127,3 @@ def write_extract(rows: DataFrame, path: str) -> None:
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
-
-
-def numbered(rows: DataFrame, keys: list[str], order: list, name: str = "rank") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
