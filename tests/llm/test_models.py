@@ -10,10 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidelane.llm import ball_tree, packing, quality, toxicity
-from tidelane.llm import sentencepiece_scan as sps
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
-PIECES = public_tokenizers.path("piece_bpe_32k.model")
 BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -22,64 +20,6 @@ def words(seed, n):
     return " ".join("".join(r.choices("etaoinshrdlué", k=r.randint(1, 9))) for _ in range(n))
 
 
-# --- sentencepiece --------------------------------------------------------------------------------------------
-
-
-def best_score(m, s):
-    """Plain dynamic program over one string."""
-    best = [0.0] + [-1e18] * len(s)
-    for b in range(1, len(s) + 1):
-        for a in range(max(0, b - m.longest), b):
-            i = m.ids.get(s[a:b])
-            if i is not None:
-                best[b] = max(best[b], best[a] + m.scores[i])
-        if s[b - 1] not in m.ids:
-            best[b] = max(best[b], best[b - 1] + m.unknown)
-    return best[-1]
-
-
-def score(m, s, ids):
-    byte = set(m.byte_ids)
-    unknown = sum(c not in m.ids for c in s)
-    return sum(m.scores[i] for i in ids if i not in byte) + unknown * m.unknown
-
-
-@pytest.mark.parametrize("text", [words(1, 40), "  two  spaces ", "line\nbreak\ttab", "漢字仮名 and ☃ 🙂", "a" * 70])
-def test_encoding_has_the_best_score_and_decodes_back(text):
-    m = sps.Model(PIECES)
-    s = m.normal(text)
-    ids = m.encode(s)
-    assert m.decode(ids) == text
-    assert score(m, s, ids) == best_score(m, s)
-
-
-def test_scan_over_chunks_equals_the_whole(spark):
-    r = random.Random(2)
-    rows = [(1, words(3, 400)), (2, words(4, 300).replace(" ", "")), (3, ""), (4, None), (5, "é" * 700), (6, "short one"), (7, "\n".join(words(k, 9) for k in range(30))), (None, "x"), (8, words(9, 100) + " " + "".join(r.choices("ehtn", k=900)))]
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    m = sps.Model(PIECES)
-    for chunk in (64, 150, 1 << 16):
-        out = {x.doc_id: x.ids for x in sps.sentencepiece_encode(df, PIECES, chunk).collect()}
-        assert sorted(out) == list(range(1, 9))
-        for doc, text in rows:
-            if doc:
-                s = m.normal(text or "")
-                assert score(m, s, out[doc]) == best_score(m, s), (doc, chunk)
-        back = sps.sentencepiece_decode(sps.sentencepiece_encode(df, PIECES, chunk), PIECES).collect()
-        assert {x.doc_id: x.text for x in back} == {d: t or "" for d, t in rows if d}
-
-
-def test_combine_is_associative():
-    r = np.random.default_rng(1)
-    t = [np.where(r.random((4, 4)) < 0.3, -np.inf, r.integers(-9, 0, (4, 4)).astype(float)) for _ in range(3)]
-    times = lambda a, b: (a[:, :, None] + b[None]).max(1)
-    assert np.array_equal(times(times(t[0], t[1]), t[2]), times(t[0], times(t[1], t[2])))
-    states = sps.combine(t)
-    assert states[0] == states[-1] == 0
-    if np.isfinite(total := times(times(t[0], t[1]), t[2])[0, 0]):
-        assert sum(m[a, b] for m, a, b in zip(t, states, states[1:])) == total
-
-
 # --- packing --------------------------------------------------------------------------------------------------
 
 

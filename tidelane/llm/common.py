@@ -11,12 +11,12 @@ Conventions of every operator in this subpackage:
 from __future__ import annotations
 
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stage  # noqa: F401 - intermediate tables, for all operators
+
 #: The characters of ``[\x20\x09-\x0D]``; ``bytes.split()`` splits on the same six.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -31,25 +31,6 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [_REPO, env.get("PYTHONPATH", "")]))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or (only where that is unset) a local one."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidelane-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, any executor can be lost."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidelane/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
     """(doc_id, v, text): as ``texts``, where v, a hash of the text, tells several texts of one id apart. With
     ``row``, (doc_id, v, row) instead: row is a struct of all columns of the input, the text as it is among them."""

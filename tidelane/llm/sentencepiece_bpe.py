@@ -1,45 +1,66 @@
-"""SentencePiece encoding by merges, for model files of the BPE type.
+"""SentencePiece model files of the BPE type, and words by merges.
 
 The score of a piece in such a file is its negated merge rank. A text begins as single characters, and the two
 neighbours that form the piece of highest score are joined, the leftmost first among equals, until no two
 neighbours form a piece. A merge gives a piece, so none reaches over a place that no piece crosses: words (see
-``Model.words``) are merged apart, and a giant text is cut between words into chunks that are encoded apart and
-joined by their order. A word is never cut, however long it is.
+``Model.words``) are merged apart, and many of them side by side.
 """
 
 from __future__ import annotations
 
 import heapq
 import re
+from collections.abc import Iterable
 from functools import cached_property
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import stage, texts
-from .sentencepiece_scan import CHUNK, TEXT_AT_ONCE, Model, _ids_batch
-from .subwords import row_ranges
 
+MARK = "\u2581"
 SIDE_BY_SIDE = 64  # characters of the longest words that are merged together
+WORD_CACHE = 100_000  # words and pairs of pieces that a task remembers
 
 
-class MergeModel(Model):
-    """A model whose words are segmented by merges."""
+class Model:
+    """Pieces, scores and the places that no piece crosses, from a SentencePiece model file of the BPE type."""
 
     def __init__(self, path: str) -> None:
-        super().__init__(path)
         from sentencepiece import sentencepiece_model_pb2
 
         proto = sentencepiece_model_pb2.ModelProto()
         with open(path, "rb") as f:
             proto.ParseFromString(f.read())
+        norm = proto.normalizer_spec
+        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not norm.add_dummy_prefix:
+            raise ValueError("only identity normalisation with a dummy prefix is supported")
         if proto.trainer_spec.model_type != 2 or not proto.trainer_spec.byte_fallback or proto.trainer_spec.treat_whitespace_as_suffix or any(p.type in (4, 5) for p in proto.pieces):
             raise ValueError("only BPE models with byte fallback and without user-defined or unused pieces are supported")
-
-    def _encode_word(self, s: str) -> tuple[int, ...]:
-        """One word by a queue of its neighbours."""
+        self.ids: dict[str, int] = {}
+        self.scores: list[float] = []
+        self.pieces: list[bytes] = []
+        self.byte_ids = [0] * 256
+        for i, p in enumerate(proto.pieces):
+            self.scores.append(p.score)
+            self.pieces.append(b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode())
+            if p.type == 6:
+                b = int(p.piece[3:5], 16)
+                self.byte_ids[b] = i
+                self.pieces[-1] = bytes([b])
+            elif p.type == 1:
+                self.ids[p.piece] = i
+        self.longest = max(map(len, self.ids), default=1)
+        if self.longest >= 128:
+            raise ValueError("pieces of 128 characters and more are not supported")
+        # words are cut before spaces and where letters, digits and other characters meet, if every piece lies within
+        # one such word; else before spaces only, or not at all
+        self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        fine = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*[^{MARK}\w]+|{MARK}*[\d_]+|{MARK}+", re.DOTALL)
+        coarse = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
+        self.words = (fine if all(map(fine.fullmatch, self.ids)) else coarse) if self.by_word else re.compile(r"(?s).+")
+        self.known: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[str, str], bool] = {}
+
+    def merged(self, s: str) -> list[str]:
+        """The pieces of a string, by a queue of its neighbours; characters that are no pieces stay as they are."""
         ids, scores = self.ids, self.scores
         part, after, before = list(s), [*range(1, len(s)), -1], list(range(-1, len(s) - 1))
         queue: list[tuple[float, int, int, int, str]] = []
@@ -60,11 +81,27 @@ class MergeModel(Model):
                 before[after[a]] = a
             offer(before[a], a)
             offer(a, after[a])
+        return [p for p in part if p]
+
+    def ids_of(self, pieces: Iterable[str]) -> list[int]:
         out: list[int] = []
-        for p in filter(None, part):
-            i = ids.get(p)
+        for p in pieces:
+            i = self.ids.get(p)
             out += [i] if i is not None else [self.byte_ids[x] for x in p.encode()]
-        return tuple(out)
+        return out
+
+    def stands(self, a: str, b: str) -> bool:
+        """Whether merging the text of two pieces gives these two pieces (or, with b empty, a piece itself).
+
+        Pieces in a row are what merging their text gives if and only if this holds for each two neighbours: the
+        first merge across an edge would come as early in the text of those two alone.
+        """
+        known = self.pairs.get((a, b))
+        if known is None:
+            if len(self.pairs) > WORD_CACHE:
+                self.pairs.clear()
+            known = self.pairs[a, b] = self.merged(a + b) == ([a, b] if b else [a])
+        return known
 
     @cached_property
     def _pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -143,62 +180,39 @@ class MergeModel(Model):
                     use = np.flatnonzero((to >= 0) & (to < width))
                     to = to[use]
                     piece[use, to], score[use, to] = self._joined(ids[use, to], ids[use, to + 1])
-        self.known.update((w, self._encode_word(w)) for w in lone)
+        self.known.update((w, tuple(self.ids_of(self.merged(w)))) for w in lone)
+
+    def encode_many(self, normal: list[str]) -> list[list[int]]:
+        """Ids of normalised texts. Words are segmented once and remembered; new ones all at the same time."""
+        split = [self.words.findall(s) for s in normal]
+        if len(self.known) > WORD_CACHE:
+            self.known.clear()
+        known = self.known
+        self._learn([w for w in set().union(*split) if w not in known])
+        out = []
+        for words in split:
+            ids: list[int] = []
+            for w in words:
+                ids += known[w]
+            out.append(ids)
+        return out
 
-    def cuts(self, s: str, chunk: int = CHUNK) -> list[int]:
-        """Where to cut a normalised text: the ends of words, at least ``chunk`` characters apart."""
-        out = [0]
-        for w in re.finditer(self.words, s):
-            if w.end() - out[-1] >= chunk:
-                out.append(w.end())
-        return out if out[-1] == len(s) else [*out, len(s)]
+    def encode(self, normal: str) -> list[int]:
+        return self.encode_many([normal])[0]
 
+    def decode(self, ids) -> str:
+        """Text of ids, without the dummy space."""
+        raw = b"".join(map(self.pieces.__getitem__, ids))
+        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
 
-_models: dict[str, MergeModel] = {}
+    def normal(self, text: str) -> str:
+        return MARK + text.replace(" ", MARK) if text else ""
 
 
-def model(path: str) -> MergeModel:
-    if path not in _models:
-        _models[path] = MergeModel(path)
-    return _models[path]
+_models: dict[str, Model] = {}
 
 
-def bpe_encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of each document, as SentencePiece gives them; empty and null texts have no ids.
-
-    Texts of more than ``chunk`` characters are cut and joined, the others are encoded where they are. Rows that
-    repeat an id are encoded each, and must have one text if it is giant; giant ones are encoded once.
-    """
-    rows = texts(docs, id_col, text_col)
-
-    def short(batches):
-        m = model(model_path)
-        for batch in batches:
-            for lo, hi in row_ranges(batch.column(1), TEXT_AT_ONCE):
-                part = batch.slice(lo, hi - lo)
-                yield _ids_batch({"doc_id": part.column(0)}, [np.array(x, np.int32) for x in m.encode_many([m.normal(t) for t in part.column(1).to_pylist()])])
-
-    def cut(batches):
-        m = model(model_path)
-        for batch in batches:
-            for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
-                s = m.normal(text)
-                at = m.cuts(s, chunk)
-                parts = [(doc, k, s[a:b]) for k, (a, b) in enumerate(zip(at, at[1:]))]
-                columns = [pa.array(c, t) for c, t in zip(zip(*parts), (pa.int64(), pa.int32(), pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "s"])
-
-    def merged(batches):
-        m = model(model_path)
-        for batch in batches:
-            for i in range(len(batch)):
-                part = batch.slice(i, 1)
-                yield _ids_batch({"doc_id": part.column(0), "k": part.column(1)}, [np.array(m.encode(part.column(2)[0].as_py()), np.int32)])
-
-    small = rows.where(F.length("text") < chunk).mapInArrow(short, "doc_id long, ids array<int>")
-    giant = rows.where(F.length("text") >= chunk)
-    chunks = stage(giant.dropDuplicates(["doc_id"]).mapInArrow(cut, "doc_id long, k int, s string"), "chunks")
-    # a staged file holds the chunks of whole texts: deal them out one by one
-    parts = chunks.repartition("doc_id", "k").mapInArrow(merged, "doc_id long, k int, ids array<int>")
-    whole = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return small.unionByName(whole)
+def model(path: str) -> Model:
+    if path not in _models:
+        _models[path] = Model(path)
+    return _models[path]

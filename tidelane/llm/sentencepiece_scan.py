@@ -1,280 +1,214 @@
 """SentencePiece encoding and decoding, with giant texts split by a max-plus scan.
 
-The encoding is the segmentation of highest total piece score (the unigram lattice of the model's pieces and
-scores), ties going to the longest last piece, characters outside the vocabulary to byte pieces. Text is first
-normalised as the model says for identity normalisation: a dummy space in front, spaces as U+2581.
-
-A long text is cut into chunks that are worked on apart. The state at a boundary is how far into the next chunk the
-piece across it reaches (0 to one less than the longest piece). A chunk yields the matrix of best scores from
-every entry state to every exit state; the max-plus product of matrices is associative, so a document's
-matrices, a few numbers for each chunk, give the best state at every boundary, and then each chunk is backtraced
-alone between its two states. Boundaries are put where no piece can cross, if such a place is near; then the
-only state is 0.
+Pieces in a row are the encoding of a text if and only if each two neighbours are the encoding of theirs
+(``Model.stands``). So the encoding is the one best path over pieces where allowed neighbours score 0 and others
+minus infinity, and a giant text can be cut anywhere, inside words too, and worked on in chunks:
+
+* the state at a boundary is the piece that covers the character before it: how much of it lies before and after;
+* a chunk yields the matrix of best scores from every entry state to every exit state. Only the stretches before
+  its first and after its last place that no piece crosses need a search; without such a place the whole chunk does;
+* max-plus products are associative: matrices are combined by a tree over (text, chunk), a bounded number at a time,
+  and the states at all boundaries come back down the same tree;
+* each chunk then gives the ids between its two states, alone.
+
+Text is first normalised as the model says for identity normalisation: a dummy space in front, spaces as U+2581.
 """
 
 from __future__ import annotations
 
-import re
-from functools import cached_property
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, texts
+from .common import stage, told_apart
+from .sentencepiece_bpe import Model, model
 from .subwords import row_ranges
 
-MARK = "▁"
-CHUNK, NEAR = 1 << 16, 2048
+CHUNK = 1 << 16
+TOGETHER = 64  # matrices that are combined at once
 TEXT_AT_ONCE = 1 << 19  # bytes of short texts whose new words are segmented together
-WORD_CACHE = 100_000  # segmented words that a task remembers
-_LOW = -(1 << 60)
-
-
-class Model:
-    """Pieces, scores and the places that no piece crosses, from a SentencePiece model file."""
-
-    def __init__(self, path: str) -> None:
-        from sentencepiece import sentencepiece_model_pb2
-
-        proto = sentencepiece_model_pb2.ModelProto()
-        with open(path, "rb") as f:
-            proto.ParseFromString(f.read())
-        norm = proto.normalizer_spec
-        if norm.precompiled_charsmap or norm.remove_extra_whitespaces or not norm.escape_whitespaces or not norm.add_dummy_prefix:
-            raise ValueError("only identity normalisation with a dummy prefix is supported")
-        self.ids: dict[str, int] = {}
-        self.scores: list[float] = []
-        self.pieces: list[bytes] = []
-        self.byte_ids = [0] * 256
-        for i, p in enumerate(proto.pieces):
-            self.scores.append(p.score)
-            self.pieces.append(b"" if p.type in (2, 3) else p.piece.replace(MARK, " ").encode())
-            if p.type == 6:
-                b = int(p.piece[3:5], 16)
-                self.byte_ids[b] = i
-                self.pieces[-1] = bytes([b])
-            elif p.type in (1, 4):
-                self.ids[p.piece] = i
-        self.longest = max(map(len, self.ids), default=1)
-        self.unknown = min((self.scores[i] for i in self.ids.values()), default=0) - 10
-        # words are cut before spaces and where letters, digits and other characters meet, if every piece lies within
-        # one such word; else before spaces only, or not at all
-        self.by_word = not any(MARK in p.lstrip(MARK) for p in self.ids)
-        fine = re.compile(rf"{MARK}*[^\W\d_]+|{MARK}*[^{MARK}\w]+|{MARK}*[\d_]+|{MARK}+", re.DOTALL)
-        coarse = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
-        self.words = (fine if all(map(fine.fullmatch, self.ids)) else coarse) if self.by_word else re.compile(r"(?s).+")
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def forward(self, s: str, entry: dict[int, float], end: int) -> tuple[list[float], list[int]]:
-        """Best score and start of the last piece at positions 0 to end; entry gives the scores to begin from.
-        Pieces may not begin at or after end."""
-        n = len(s)
-        score, start = [_LOW] * (n + 1), [-1] * (n + 1)
-        for p, v in entry.items():
-            score[p] = v
-        (child, scores, ids), unknown = self.trie, self.unknown
-        for a in range(min(end, n)):
-            base = score[a]
-            if base <= _LOW:
-                continue
-            if s[a] not in self.ids and base + unknown > score[a + 1]:
-                score[a + 1], start[a + 1] = base + unknown, a
-            node, b = 0, a
-            while b < n:
-                node = child.get(node << 21 | ord(s[b]))
-                if node is None:
-                    break
-                b += 1
-                if ids[node] >= 0 and base + scores[node] > score[b]:
-                    score[b], start[b] = base + scores[node], a
-        return score, start
-
-    @cached_property
-    def trie(self) -> tuple[dict[int, int], list[float], list[int]]:
-        """(child of node << 21 | character, score of each node, id of each node or -1)."""
-        child: dict[int, int] = {}
-        scores, ids = [0.0], [-1]
-        for piece, i in self.ids.items():
-            node = 0
-            for c in piece:
-                key = node << 21 | ord(c)
-                node = child.get(key, -1)
-                if node < 0:
-                    node = child[key] = len(ids)
-                    scores.append(0.0)
-                    ids.append(-1)
-            scores[node], ids[node] = self.scores[i], i
-        return child, scores, ids
-
-    def path(self, s: str, start: list[int], end: int, begin: int) -> list[int]:
-        """Ids of the best path that ends at ``end``, back to ``begin``."""
-        cuts = [end]
-        while cuts[-1] > begin:
-            cuts.append(start[cuts[-1]])
-        out: list[int] = []
-        for a, b in zip(cuts[:0:-1], cuts[-2::-1]):
-            i = self.ids.get(s[a:b])
-            out += [i] if i is not None else [self.byte_ids[x] for x in s[a:b].encode()]
-        return out
-
-    def _encode_word(self, s: str) -> tuple[int, ...]:
-        return tuple(self.path(s, self.forward(s, {0: 0.0}, len(s))[1], len(s), 0))
-
-    def encode_many(self, normal: list[str]) -> list[list[int]]:
-        """Ids of normalised texts. Words are segmented once and remembered; new ones all at the same time."""
-        split = [self.words.findall(s) for s in normal]
-        if len(self.known) > WORD_CACHE:
-            self.known.clear()
-        known = self.known
-        self._learn([w for w in set().union(*split) if w not in known])
-        out = []
-        for words in split:
-            ids: list[int] = []
-            for w in words:
-                ids += known[w]
-            out.append(ids)
-        return out
-
-    def encode(self, normal: str) -> list[int]:
-        return self.encode_many([normal])[0]
-
-    @cached_property
-    def _arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The trie as sorted keys and their children, and score and id of each node."""
-        child, scores, ids = self.trie
-        keys = np.fromiter(child, np.int64, len(child))
-        order = np.argsort(keys)
-        return keys[order], np.fromiter(child.values(), np.int64, len(child))[order], np.array(scores), np.array(ids)
-
-    def _learn(self, words: list[str]) -> None:
-        """Segments words side by side: trie steps for all their characters at once, then the dynamic program by
-        position, then all backtraces. Long words and those with unknown characters go one by one."""
-        keys, children, scores, ids = self._arrays
-        lone = [w for w in words if len(w) > 64]
-        words = [w for w in words if len(w) <= 64]
-        if words:
-            code = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").astype(np.int64)
-            size = np.array([len(w) for w in words])
-            end = np.cumsum(size)
-            word = np.repeat(np.arange(len(words)), size)
-            place = np.arange(len(code)) - np.repeat(end - size, size)
-            at, node = np.arange(len(code)), np.zeros(len(code), np.int64)
-            edges = []
-            for d in range(1, self.longest + 1):
-                go = at + d <= end[word[at]]
-                at, node = at[go], node[go]
-                key = node << 21 | code[at + d - 1]
-                k = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-                hit = keys[k] == key
-                at, node = at[hit], children[k[hit]]
-                if not len(at):
-                    break
-                full = ids[node] >= 0
-                edges.append((at[full], np.full(full.sum(), d), scores[node[full]], ids[node[full]]))
-            first, d, score, piece = (np.concatenate(x) for x in zip(*edges)) if edges else [np.zeros(0, np.int64)] * 4
-            base = first + word[first]  # every word has one state more than characters
-            step = (place[first] + d) * 32 + 31 - d  # by end, the longest piece first
-            order = np.argsort(step, kind="stable")
-            first, d, score, piece, base, step = (x[order] for x in (first, d, score, piece, base, step))
-            best, back, used = np.full(len(code) + len(words), -np.inf), np.zeros(len(code) + len(words), np.int64), np.full(len(code) + len(words), -1)
-            best[(end - size) + np.arange(len(words))] = 0
-            cuts = np.flatnonzero(np.diff(step)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(step)]):
-                if a == b:
-                    continue
-                to, value = base[a:b] + d[a:b], best[base[a:b]] + score[a:b]
-                better = value > best[to]
-                to = to[better]
-                best[to], back[to], used[to] = value[better], base[a:b][better], piece[a:b][better]
-            last = end + np.arange(len(words))
-            fine = np.isfinite(best[last])
-            lone += [words[i] for i in np.flatnonzero(~fine)]
-            row, state, found = np.flatnonzero(fine), last[fine], []
-            while len(row):
-                found.append((row, used[state]))
-                state = back[state]
-                more = state > (end - size)[row] + row
-                row, state = row[more], state[more]
-            if found:
-                depth = np.repeat(np.arange(len(found)), [len(r) for r, _ in found])
-                row, piece = (np.concatenate(x) for x in zip(*found))
-                order = np.lexsort((-depth, row))
-                row, flat = row[order], piece[order].tolist()
-                edge = [0, *(np.flatnonzero(np.diff(row)) + 1).tolist(), len(row)]
-                self.known.update((words[i], tuple(flat[a:b])) for i, a, b in zip(row[edge[:-1]].tolist(), edge, edge[1:]))
-        self.known.update((w, self._encode_word(w)) for w in lone)
-
-    def decode(self, ids) -> str:
-        """Text of ids, without the dummy space."""
-        raw = b"".join(map(self.pieces.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", errors="replace")
-
-    def normal(self, text: str) -> str:
-        return MARK + text.replace(" ", MARK) if text else ""
-
-    def free(self, s: str, p: int) -> bool:
-        """Whether no piece can cross position p."""
-        return p in (0, len(s)) or (self.by_word and s[p] == MARK and s[p - 1] != MARK)
-
-    def boundaries(self, s: str, chunk: int = CHUNK) -> list[int]:
-        """Where to cut a normalised text: a place that no piece crosses, if one is near the end of the chunk."""
-        cuts, at = [0], 0
-        while at + chunk < len(s):
-            to = at + chunk
-            if self.by_word:
-                to = next((p for p in range(to, max(at + chunk // 2, to - NEAR), -1) if self.free(s, p)), to)
-            cuts.append(to)
-            at = to
-        return [*cuts, len(s)]
-
-    def transfer(self, s: str, n: int) -> np.ndarray:
-        """Best scores from entry state a to exit state b of a chunk of n characters followed by a look-ahead."""
-        m = min(self.longest, len(s) - n + 1)
-        out = np.full((self.longest, self.longest), -np.inf)
-        for a in range(min(self.longest, n + 1)):
-            score, _ = self.forward(s, {a: 0.0}, n)
-            out[a, :m] = [x if x > _LOW / 2 else -np.inf for x in score[n : n + m]]
-        return out
-
-    def between(self, s: str, n: int, a: int, b: int) -> list[int]:
-        """Ids of a chunk's best path from entry state a to exit state b."""
-        return self.path(s, self.forward(s, {a: 0.0}, n)[1], n + b, a)
-
-
-_models: dict[str, Model] = {}
-
-
-def model(path: str) -> Model:
-    if path not in _models:
-        _models[path] = Model(path)
-    return _models[path]
-
-
-def combine(matrices: list[np.ndarray]) -> list[int]:
-    """Best state at each boundary, the first and last being 0: a max-plus product forwards, then choices backwards."""
-    best = [np.full(matrices[0].shape[0], -np.inf)]
-    best[0][0] = 0
-    for t in matrices:
-        best.append((best[-1][:, None] + t).max(0))
-    states = [0]
-    for t, v in zip(matrices[::-1], best[-2::-1]):
-        states.append(int(np.argmax(v + t[:, states[-1]])))
+START = 0  # the state before a text
+MATRIX = "doc_id long, v long, k long, e array<int>, x array<int>, t array<float>"
+
+# a state is (characters of the piece before the boundary) << 8 | (after it)
+
+
+def boundaries(n: int, chunk: int) -> list[int]:
+    """Where chunks of a text of n characters begin, and its end; the last chunk takes the remainder."""
+    return [*range(0, max(1, n // chunk) * chunk, chunk), n]
+
+
+def pieces_at(m: Model, s: str, i: int, longest: int | None = None) -> Iterator[int]:
+    """Ends of the pieces that begin at i (a character that is no piece stands for itself)."""
+    for j in range(i + 1, min(len(s), i + (longest or m.longest)) + 1):
+        if (s[i:j] in m.ids or j == i + 1) and m.stands(s[i:j], ""):
+            yield j
+
+
+def states_at(m: Model, s: str, p: int) -> list[int]:
+    """The pieces that can cover the character before position p of a string."""
+    if p == 0:
+        return [START]
+    return sorted((p - i) << 8 | (j - p) for i in range(max(0, p - m.longest), p) for j in pieces_at(m, s, i) if j >= p)
+
+
+def _search(m: Model, s: str, begin: dict[tuple[int, int], int], a: int, b: int) -> dict[tuple[int, int], int]:
+    """Pieces (first, end) that cover position b - 1 or end at b, reachable from ``begin``, pieces of s that cover
+    position a - 1; the values are bit sets of what each is reached from."""
+    reached = dict(begin)
+    ending: dict[int, list[tuple[int, int]]] = {}
+    for piece in begin:
+        ending.setdefault(piece[1], []).append(piece)
+    for i in range(a, b):
+        before = ending.pop(i, ())
+        if not before:
+            continue
+        for j in pieces_at(m, s, i):
+            bits = 0
+            for piece in before:
+                if piece[0] == piece[1] or m.stands(s[piece[0] : piece[1]], s[i:j]):
+                    bits |= reached[piece]
+            if bits:
+                reached[i, j] = bits
+                ending.setdefault(j, []).append((i, j))
+    return {(i, j): bits for (i, j), bits in reached.items() if i < b <= j}
+
+
+def transfer(m: Model, s: str, before: int, n: int) -> tuple[list[int], list[int], np.ndarray]:
+    """(entry states, exit states, scores) of the n characters from ``before`` of s, which goes on behind them as far
+    as a piece can."""
+    p0, p1 = before, before + n
+    entry = states_at(m, s, p0)
+    if p0:
+        begin = {(p0 - (e >> 8), p0 + (e & 255)): 1 << k for k, e in enumerate(entry)}
+    else:
+        begin = {(0, 0): 1}  # nothing stands before the text
+    free = [w.end() + p0 for w in m.words.finditer(s[p0:]) if w.end() + p0 < p1]
+    first, last = (free[0], free[-1]) if free else (p1, p1)
+    head = _search(m, s, begin, p0, first)
+    if free:
+        # every path passes here: what reaches it, times what is reached from it
+        bits = 0
+        for (_, j), x in head.items():
+            bits |= x if j == first else 0
+        exits = {piece: bits for piece in _search(m, s, {(last, last): 1}, last, p1)}
+    else:
+        exits = head
+    states = sorted(exits, reverse=True)
+    t = np.full((len(entry), len(states)), -np.inf, np.float32)
+    for col, piece in enumerate(states):
+        for row in range(len(entry)):
+            if exits[piece] >> row & 1:
+                t[row, col] = 0
+    return entry, [(p1 - i) << 8 | (j - p1) for i, j in states], t
+
+
+def times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Max-plus product."""
+    return (a[:, :, None] + b[None]).max(1) if a.shape[1] else np.full((a.shape[0], b.shape[1]), -np.inf, np.float32)
+
+
+Matrix = tuple[list[int], list[int], np.ndarray]
+
+
+def product(a: Matrix, b: Matrix) -> Matrix:
+    """The matrix of two neighbouring stretches; states of their common boundary are matched by name."""
+    place = {state: k for k, state in enumerate(b[0])}
+    inner = np.full((len(a[1]), len(b[1])), -np.inf, np.float32)
+    for row, state in enumerate(a[1]):
+        if state in place:
+            inner[row] = b[2][place[state]]
+    return a[0], b[1], times(a[2], inner)
+
+
+def between(parts: list[Matrix], entry: int, out: int) -> list[int]:
+    """The states at all boundaries of neighbouring stretches on the best path from entry to out."""
+    best = [np.where(np.array(parts[0][0]) == entry, 0.0, -np.inf)]
+    names = [parts[0][0]]
+    for e, x, t in parts:
+        place = {state: k for k, state in enumerate(names[-1])}
+        score = np.array([best[-1][place[state]] if state in place else -np.inf for state in e])
+        best.append((score[:, None] + t).max(0))
+        names.append(x)
+    states = [out]
+    for k in range(len(parts) - 1, -1, -1):
+        e, x, t = parts[k]
+        place = {state: i for i, state in enumerate(names[k])}
+        score = np.array([best[k][place[state]] if state in place else -np.inf for state in e]) + t[:, x.index(states[-1])]
+        states.append(e[int(np.argmax(score))])
     return states[::-1]
 
 
+def _matrices(frame: pd.DataFrame) -> list[Matrix]:
+    return [(list(e), list(x), np.asarray(t, np.float32).reshape(len(e), len(x))) for e, x, t in zip(frame["e"], frame["x"], frame["t"])]
+
+
+def combined(level: DataFrame, together: int = TOGETHER) -> DataFrame:
+    """One level up the tree: the products of up to ``together`` neighbouring matrices of a text."""
+
+    def run(key, frame):
+        parts = _matrices(frame.sort_values("k"))
+        out = parts[0]
+        for part in parts[1:]:
+            out = product(out, part)
+        return pd.DataFrame({"doc_id": [key[0]], "v": [key[1]], "k": [key[2]], "e": [out[0]], "x": [out[1]], "t": [out[2].ravel()]})
+
+    return level.withColumn("block", F.floor(F.col("k") / together)).groupBy("doc_id", "v", "block").applyInPandas(run, MATRIX)
+
+
+def spread(level: DataFrame, above: DataFrame | None, together: int = TOGETHER) -> DataFrame:
+    """(doc_id, v, k, a, b): entry and exit state of each stretch of a level, from those of the blocks above it (at
+    the top: from the start to the one way to end)."""
+    rows = level.withColumn("block", F.floor(F.col("k") / together))
+    if above is None:
+        rows = rows.withColumns({"a": F.lit(START), "b": F.lit(-1)})
+    else:
+        rows = rows.join(above.withColumnRenamed("k", "block"), ["doc_id", "v", "block"])
+
+    def run(frame):
+        frame = frame.sort_values("k")
+        parts = _matrices(frame)
+        entry, out = int(frame["a"].iloc[0]), int(frame["b"].iloc[0])
+        if out < 0:
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = product(whole, part)
+            out = whole[1][int(np.argmax(whole[2][whole[0].index(entry)]))]
+        states = between(parts, entry, out)
+        return frame[["doc_id", "v", "k"]].assign(a=np.array(states[:-1], np.int32), b=np.array(states[1:], np.int32))
+
+    return rows.groupBy("doc_id", "v", "block").applyInPandas(run, "doc_id long, v long, k long, a int, b int")
+
+
+def scanned(matrices: DataFrame, chunks_of_longest: int, together: int = TOGETHER) -> DataFrame:
+    """(doc_id, v, k, a, b): the state before and behind every chunk."""
+    levels, n = [matrices], chunks_of_longest
+    while n > together:
+        levels.append(stage(combined(levels[-1], together), "matrices"))
+        n = -(-n // together)
+    out = None
+    for level in reversed(levels):
+        out = spread(level, out, together)
+    return out
+
+
 def _ids_batch(keys: dict[str, pa.Array], ids: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*keys.values(), pa.array(ids, pa.list_(pa.int32()))], names=[*keys, "ids"])
 
 
-def sentencepiece_encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, ids array<int>) of each document; empty and null texts have no ids.
+def sentencepiece_encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, id_col: str = "doc_id", text_col: str = "text", together: int = TOGETHER) -> DataFrame:
+    """(doc_id, ids array<int>) of each row with an id, as SentencePiece gives them; empty and null texts have no ids.
 
-    Texts of more than ``chunk`` characters take the scan, the others are encoded where they are. Rows that repeat
-    an id are encoded each, giant ones once.
+    Texts of ``chunk`` characters and more are cut and take the scan, the others are encoded where they are. Rows
+    that repeat an id get the ids of their own text each; a giant text that repeats is worked on once. ``chunk`` is
+    at least four times the longest piece.
     """
-    rows = texts(docs, id_col, text_col)
+    rows = told_apart(docs, id_col, text_col)
+    chunk = max(chunk, 4 * model(model_path).longest)
 
     def short(batches):
         m = model(model_path)
@@ -285,42 +219,42 @@ def sentencepiece_encode(docs: DataFrame, model_path: str, chunk: int = CHUNK, i
 
     def cut(batches):
         m = model(model_path)
+        around = 2 * m.longest
         for batch in batches:
-            for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
+            for doc, v, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = m.normal(text)
-                at = m.boundaries(s, chunk)
-                free = [m.free(s, p) for p in at]
-                parts = [(doc, k, b - a, free[k] and free[k + 1], s[a : b + m.longest - 1]) for k, (a, b) in enumerate(zip(at, at[1:]))]
-                columns = [pa.array(c, t) for c, t in zip(zip(*parts), (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.string()))]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "k", "n", "free", "s"])
+                at = boundaries(len(s), chunk)
+                for k, (a, b) in enumerate(zip(at, at[1:])):
+                    low = max(0, a - around)
+                    yield pa.RecordBatch.from_pylist([{"doc_id": doc, "v": v, "k": k, "before": a - low, "n": b - a, "s": s[low : b + around]}], schema=pa.schema([("doc_id", pa.int64()), ("v", pa.int64()), ("k", pa.int64()), ("before", pa.int32()), ("n", pa.int32()), ("s", pa.string())]))
 
     def matrices(batches):
         m = model(model_path)
         for batch in batches:
-            out = [None if free else m.transfer(s, n).ravel().tolist() for s, n, free in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "free")))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("k"), pa.array(out, pa.list_(pa.float64()))], names=["doc_id", "k", "t"])
-
-    def states(frame):
-        frame = frame.sort_values("k")
-        size = model(model_path).longest
-        settled = np.full((size, size), -np.inf)  # no piece crosses either end: its score moves no choice
-        settled[0, 0] = 0
-        at = combine([settled if t is None else np.array(t, float).reshape(size, size) for t in frame["t"]])
-        return frame[["doc_id", "k"]].assign(a=np.array(at[:-1], np.int32), b=np.array(at[1:], np.int32))
+            for r in batch.to_pylist():
+                e, x, t = transfer(m, r["s"], r["before"], r["n"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["doc_id"]]), pa.array([r["v"]]), pa.array([r["k"]]), pa.array([e], pa.list_(pa.int32())), pa.array([x], pa.list_(pa.int32())), pa.array([t.ravel()], pa.list_(pa.float32()))], names=["doc_id", "v", "k", "e", "x", "t"])
 
     def traced(batches):
         m = model(model_path)
         for batch in batches:
-            out = [m.encode(s[:n]) if free else m.between(s, n, a, b) for s, n, free, a, b in zip(*(batch.column(c).to_pylist() for c in ("s", "n", "free", "a", "b")))]
-            yield _ids_batch({"doc_id": batch.column("doc_id"), "k": batch.column("k")}, out)
-
-    small = rows.where(F.length("text") < chunk).mapInArrow(short, "doc_id long, ids array<int>")
-    giant = rows.where(F.length("text") >= chunk).dropDuplicates(["doc_id"])
-    chunks = stage(giant.mapInArrow(cut, "doc_id long, k int, n int, free boolean, s string"), "chunks")
-    ends = chunks.mapInArrow(matrices, "doc_id long, k int, t array<double>").groupBy("doc_id").applyInPandas(states, "doc_id long, k int, a int, b int")
-    parts = chunks.join(ends, ["doc_id", "k"]).mapInArrow(traced, "doc_id long, k int, ids array<int>")
-    whole = parts.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda p: p["ids"])).alias("ids"))
-    return small.unionByName(whole)
+            for i, r in enumerate(batch.to_pylist()):
+                p0, p1 = r["before"], r["before"] + r["n"]
+                first, last = p0 + (r["a"] & 255), p1 - (r["b"] >> 8)
+                ids = m.encode(r["s"][first:last]) + m.ids_of([r["s"][last : p1 + (r["b"] & 255)]])
+                yield _ids_batch({c: batch.column(c).slice(i, 1) for c in ("doc_id", "v", "k")}, [np.array(ids, np.int32)])
+
+    small = rows.where(F.length("text") < chunk).select("doc_id", "text").mapInArrow(short, "doc_id long, ids array<int>")
+    giant = rows.where(F.length("text") >= chunk)
+    cut_up = giant.select("doc_id", "v", "text").dropDuplicates(["doc_id", "v"]).mapInArrow(cut, "doc_id long, v long, k long, before int, n int, s string")
+    # a staged file holds the chunks of whole texts: they are dealt out one by one
+    chunks = stage(cut_up.repartition("doc_id", "v", "k"), "chunks")
+    level = stage(chunks.mapInArrow(matrices, MATRIX), "matrices")
+    most = level.agg(F.max("k")).first()[0]
+    states = scanned(level, 1 if most is None else most + 1, together)
+    parts = chunks.join(states, ["doc_id", "v", "k"]).mapInArrow(traced, "doc_id long, v long, k long, ids array<int>")
+    whole = parts.groupBy("doc_id", "v").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "ids"))), lambda p: p["ids"])).alias("ids"))
+    return small.unionByName(giant.select("doc_id", "v").join(whole, ["doc_id", "v"]).select("doc_id", "ids"))
 
 
 def sentencepiece_decode(encoded: DataFrame, model_path: str, keep: tuple[str, ...] = ()) -> DataFrame:
