@@ -83,6 +83,9 @@ def test_lines(spark):
             parts = texts[x.doc_id].split("\n")
             keep = [p for p in parts if not (len(key(p)) >= 1 and counts[key(p)] >= least)]
             assert (x.text, x.n_lines, x.n_dropped) == ("\n".join(keep), len(parts), len(parts) - len(keep))
+    two = [(i, "shared\nown") for i in range(12)] + [(0, "x\nshared\ny"), (0, "shared")]
+    out = line_dedup.line_dedup(docs(spark, two), min_docs=10).collect()
+    assert sorted((x.doc_id, x.text, x.n_dropped) for x in out) == sorted([(i, "", 2) for i in range(12)] + [(0, "x\ny", 1), (0, "", 1)])
     kept_once = line_dedup.line_dedup(docs(spark, rows), min_docs=2, keep_first=True).collect()
     assert sum(t.text.split("\n").count("rare") for t in kept_once if t.doc_id) + sum("rare" in t.text.split("\n") for t in kept_once[:0]) <= 2
 
