@@ -219,7 +219,7 @@ def test_top_k(spark):
     r = np.random.default_rng(4)
     x = r.normal(0, 0.1, (700, 16))
     x[200:230] = x[199]
-    rows = [(i, [float(v) for v in x[i]]) for i in range(700)] + [(700, None), (750, [None] * 16), (800, [float("nan")] * 16), (850, [float("inf")] + [0.0] * 15), (None, [0.0] * 16), (900, [0.5, 0.5]), (902, [0.1, -0.5]), (950, [])]
+    rows = [(i, [float(v) for v in x[i]]) for i in range(700)] + [(700, None), (750, [None] * 16), (800, [float("nan")] * 16), (850, [float("inf")] + [0.0] * 15), (None, [0.0] * 16), (900, [0.5, 0.5]), (902, [0.1, -0.5]), (950, []), (951, []), (949, [])]
     rows.append(rows[0])
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
     out = ball_tree.top_k(df, F.col("vec_id") % 50 == 0, shard_rows=90, block_rows=1).collect()
@@ -231,7 +231,30 @@ def test_top_k(spark):
         s = v @ v[q]
         order = [i for i in np.lexsort((np.arange(700), -s)) if i != q][:5]
         assert got[q] == [(k + 1, int(i), int(s[i])) for k, i in enumerate(order)]
-    assert got[900] == [(1, 902, int(np.floor(12.8 * 2) * 128 + 128 * -128))] and set(got) == {*range(0, 700, 50), 900}
+    assert got[900] == [(1, 902, int(np.floor(12.8 * 2) * 128 + 128 * -128))] and set(got) == {*range(0, 700, 50), 900, 950}
+    assert got[950] == [(1, 949, 0), (2, 951, 0)]
+
+
+def test_top_k_of_large_components(spark):
+    """Scores beyond the exact range of floating point, and beyond a long; many lengths at once."""
+    r = np.random.default_rng(7)
+    rows = [(i, [float(x) for x in r.integers(-4, 5, 3) * 2.0**22 + r.integers(0, 3, 3)]) for i in range(120)]
+    rows += [(200 + i, [1e18 * (i % 7 - 3), 1.0]) for i in range(60)] + [(400 + 10 * d + j, [float(j + 1)] * d) for d in range(4, 24) for j in range(3)]
+    out = ball_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), F.col("vec_id") % 10 == 0, shard_rows=20, block_rows=1).collect()
+    got: dict[int, list] = {}
+    for q in sorted(out, key=lambda r: (r.query_id, r["rank"])):
+        got.setdefault(q.query_id, []).append((q.vec_id, q.score))
+    ints = {i: [int(np.floor(256 * x)) for x in v] for i, v in rows}
+    clamp = lambda s: min(max(s, ball_tree.LOWEST), ball_tree.HIGHEST)
+    for q in (i for i in ints if i % 10 == 0):
+        full = [(i, clamp(sum(a * b for a, b in zip(v, ints[q])))) for i, v in ints.items() if i != q and len(v) == len(ints[q])]
+        assert got.get(q, []) == sorted(full, key=lambda x: (-x[1], x[0]))[:5], q
+
+
+def test_an_id_with_two_vectors(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (51, [3.0, 0.0]), (52, [0.0, 2.0]), (52, [1.0, 0.0])]
+    out = ball_tree.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 50, k=3).orderBy("rank").collect()
+    assert [(r.vec_id, r.score // 65536) for r in out] == [(51, 3), (52, 2), (52, 1)]
 
 
 def test_search_of_nothing(spark):

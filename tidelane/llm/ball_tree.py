@@ -22,8 +22,18 @@ from .common import prepare, stage
 SCALE, LEAF, SHARD_ROWS, BLOCK_ROWS = 256, 64, 8192, 256
 
 
+EXACT = float(1 << 53)  # integers below it, and their sums below it, are exact in floating point
+LOWEST, HIGHEST = -(1 << 63), (1 << 63) - 1
+
+
 def scaled(vector: Column, scale: int = SCALE) -> Column:
-    return F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
+    """floor(scale * x) as doubles, which are integers already from 2**53 on."""
+
+    def one(x: Column) -> Column:
+        y = x.cast("double") * scale
+        return F.when(F.abs(y) < EXACT, F.floor(y).cast("double")).otherwise(y)
+
+    return F.transform(vector, one)
 
 
 def usable(vector: Column) -> Column:
@@ -54,12 +64,20 @@ def build_tree(x: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, np.ndarray,
     return order, np.array(nodes, np.int64), np.array(centres), np.array(radii)
 
 
+def _exact(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Inner products of large integers, in the range of a long."""
+    y = [int(c) for c in q]
+    return np.array([min(max(sum(int(a) * b for a, b in zip(row, y)), LOWEST), HIGHEST) for row in x], object)
+
+
 def search(tree, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int, floor: float) -> list[tuple[int, int]]:
     """Up to k (score, id), best first, ties to the smaller id, among scores of at least ``floor``."""
     _, nodes, centres, radii = tree
-    slack = 1e-6 * (1 + float(np.abs(q).sum()))  # bounds are in floating point, scores are exact integers
     norm = float(np.sqrt(q @ q))
-    bound = centres @ q + norm * radii + slack
+    reach = norm * (np.sqrt((centres**2).sum(1)) + radii)
+    bound = centres @ q + norm * radii + 1e-9 * (1 + reach)  # bounds are in floating point, scores are exact integers
+    exact = reach < EXACT / 2
+    floor -= 1e-12 * abs(floor) if np.isfinite(floor) else 0
     heap, best = [(-bound[0], 0)], []  # best: min-heap of (score, -id)
     while heap:
         b, node = heapq.heappop(heap)
@@ -72,11 +90,11 @@ def search(tree, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int
                 if bound[c] >= least:
                     heapq.heappush(heap, (-bound[c], int(c)))
             continue
-        score = x[a:e] @ q
+        score = x[a:e] @ q if exact[node] else _exact(x[a:e], q)
         for i in np.flatnonzero(score >= least):
             if ids[a + i] == own:
                 continue
-            item = (float(score[i]), -int(ids[a + i]))
+            item = (int(score[i]), -int(ids[a + i]))
             if len(best) < k:
                 heapq.heappush(best, item)
             elif item > best[0]:
@@ -84,19 +102,20 @@ def search(tree, ids: np.ndarray, x: np.ndarray, q: np.ndarray, own: int, k: int
     return [(int(s), -i) for s, i in sorted(best, reverse=True)]
 
 
-def _pack(rows: DataFrame, key: str, tree: bool) -> DataFrame:
-    """One row for each key: ids, vectors and, for shards, the nodes of their tree, as bytes."""
+def _pack(rows: DataFrame, tree: bool) -> DataFrame:
+    """One row for each (dim, key): ids, vectors and, for shards, the nodes of their tree, as bytes."""
 
-    def run(key_value, table):
+    def run(key, table):
+        dim = key[0].as_py()
         table = table.sort_by("vec_id")
         ids = table["vec_id"].to_numpy()
-        x = np.array(table["v"].to_pylist(), np.float64).reshape(len(ids), -1)
+        x = np.array(table["v"].to_pylist(), np.float64).reshape(len(ids), dim)
         order, nodes, centres, radii = build_tree(x) if tree else (np.arange(len(x)), *[np.zeros(0)] * 3)
         blobs = [ids[order].astype("<i8"), x[order], nodes.astype("<i8"), centres, radii]
-        return pa.table({"key": [key_value[0].as_py()], "dim": [x.shape[1]]} | {f"b{i}": [np.ascontiguousarray(b).tobytes()] for i, b in enumerate(blobs)}, schema)
+        return pa.table({"dim": [dim], "key": [key[1].as_py()]} | {f"b{i}": [np.ascontiguousarray(b).tobytes()] for i, b in enumerate(blobs)}, schema)
 
-    schema = pa.schema([("key", pa.int64()), ("dim", pa.int64()), *((f"b{i}", pa.binary()) for i in range(5))])
-    return rows.select(F.col(key).alias("key"), "vec_id", "v").groupBy("key").applyInArrow(run, "key long, dim long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary")
+    schema = pa.schema([("dim", pa.int32()), ("key", pa.int64()), *((f"b{i}", pa.binary()) for i in range(5))])
+    return rows.select("dim", "key", "vec_id", "v").groupBy("dim", "key").applyInArrow(run, "dim int, key long, b0 binary, b1 binary, b2 binary, b3 binary, b4 binary")
 
 
 def _search_shards(pairs: DataFrame, k: int) -> DataFrame:
@@ -107,10 +126,12 @@ def _search_shards(pairs: DataFrame, k: int) -> DataFrame:
             out: list[tuple[int, int, int]] = []
             for r in batch.to_pylist():
                 dim = r["dim"]
-                ids, x = np.frombuffer(r["b0"], "<i8"), np.frombuffer(r["b1"]).reshape(-1, dim)
-                tree = (None, np.frombuffer(r["b2"], "<i8").reshape(-1, 3), np.frombuffer(r["b3"]).reshape(-1, dim), np.frombuffer(r["b4"]))
+                ids, nodes, asking = (np.frombuffer(r[c], "<i8") for c in ("b0", "b2", "q0"))
+                nodes = nodes.reshape(-1, 3)
+                x, centres, queries = (np.frombuffer(r[c]).reshape(n, dim) for c, n in (("b1", len(ids)), ("b3", len(nodes)), ("q1", len(asking))))
+                tree = (None, nodes, centres, np.frombuffer(r["b4"]))
                 floors = dict(r["floors"] or {})
-                for own, q in zip(np.frombuffer(r["q0"], "<i8").tolist(), np.frombuffer(r["q1"]).reshape(-1, dim)):
+                for own, q in zip(asking.tolist(), queries):
                     out += [(own, i, s) for s, i in search(tree, ids, x, q, own, k, floors.get(own, -np.inf))]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 3)], names=["query_id", "vec_id", "score"])
 
@@ -131,32 +152,29 @@ def top_k(
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each query row.
 
-    ``is_query`` is a condition on ``vec_id``. Components are floor(scale * x); scores are exact integer inner products (components times
-    dimensions have to stay below 2**53). Candidates are all rows but the query's own id; fewer than k give fewer
-    rows. Vectors that are null, empty or hold null or non-finite components take no part, nor do rows without an id;
-    rows that repeat an id and vector count once. Vectors of different lengths are searched among their own length.
+    ``is_query`` is a condition on ``vec_id``. Components are floor(scale * x); scores are exact integer inner
+    products, and those beyond a long count as the nearest long. Candidates are all rows but those of the query's own
+    id; fewer than k give fewer rows. Vectors that are null or hold null or non-finite components take no part, nor do
+    rows without an id; rows that repeat an id and vector count once, and several vectors of an id are candidates (and
+    queries, whose results count together) each. Vectors of different lengths are searched among their own length, the
+    empty ones too, whose scores are 0.
     """
     prepare(vectors.sparkSession)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")) & (F.size("v") > 0))
-    rows = stage(rows.select("vec_id", scaled(F.col("v"), scale).cast("array<double>").alias("v")).distinct().withColumn("dim", F.size("v")), "vectors")
-    sizes = {r["dim"]: r["count"] for r in rows.groupBy("dim").count().collect()}  # a row for each vector length
-    out = []
-    for dim, n in sorted(sizes.items()):
-        mine = rows.where(F.col("dim") == dim)
-        shards, blocks = -(-n // shard_rows), max(1, -(-n // (block_rows * 50)))
-        trees = stage(_pack(mine.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards))), "shard", True), "ball-trees")
-        queries = mine.where(is_query).withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-        packed = stage(_pack(queries, "block", False).select("key", F.col("b0").alias("q0"), F.col("b1").alias("q1")).withColumnRenamed("key", "block"), "query-blocks")
-        home = F.pmod(F.col("block"), F.lit(shards))
-        first = stage(_search_shards(packed.withColumn("key", home).withColumn("floors", F.lit(None).cast("map<long,double>")).join(trees, "key"), k), "first-hits")
-        kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").cast("double").alias("kth")).where(F.col("c") >= k)
-        by_block = kth.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks))).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("floors"))
-        others = F.filter(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>"), lambda s: s != home)
-        rest = packed.join(by_block, "block", "left").withColumn("key", F.explode(others))
-        out.append(_best(first.unionByName(_search_shards(rest.join(trees, "key"), k)), k))
-    found = None
-    for part in out:
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, rank int")
-    return found.select("query_id", "rank", "vec_id", "score")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where(F.col("vec_id").isNotNull() & usable(F.col("v")))
+    rows = stage(rows.select("vec_id", scaled(F.col("v"), scale).alias("v")).where(~F.exists("v", lambda x: F.abs(x) == float("inf"))).distinct().withColumn("dim", F.size("v")), "vectors")
+    # one row for each length of vector, however many lengths there are
+    sizes = rows.groupBy("dim").agg(F.count("*").alias("n")).select("dim", F.ceil(F.col("n") / shard_rows).alias("shards"), F.ceil(F.col("n") / (block_rows * 50)).alias("blocks"))
+    placed = rows.join(sizes, "dim")
+    trees = stage(_pack(placed.withColumn("key", F.pmod(F.xxhash64("vec_id", "v"), "shards")), True), "ball-trees")
+    asking = placed.where(is_query).withColumn("key", F.pmod(F.xxhash64("vec_id", F.lit(1)), "blocks"))
+    packed = stage(_pack(asking, False).select("dim", F.col("key").alias("block"), F.col("b0").alias("q0"), F.col("b1").alias("q1")).join(sizes, "dim"), "query-blocks")
+    home = F.pmod("block", "shards")
+    first = stage(_search_shards(packed.withColumn("key", home).withColumn("floors", F.lit(None).cast("map<long,double>")).join(trees, ["dim", "key"]), k), "first-hits")
+    # the k-th score that an id's queries of one length reached; an id with several vectors starts from nothing
+    alone = asking.groupBy("vec_id").agg(F.count("*").alias("c"), F.first("dim").alias("dim"), F.first("key").alias("block")).where("c = 1").drop("c").withColumnRenamed("vec_id", "query_id")
+    kth = first.groupBy("query_id").agg(F.count("*").alias("c"), F.min("score").cast("double").alias("kth")).where(F.col("c") >= k)
+    by_block = kth.join(alone, "query_id").groupBy("dim", "block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "kth"))).alias("floors"))
+    others = F.filter(F.sequence(F.lit(0).cast("long"), F.col("shards") - 1), lambda s: s != home)
+    rest = packed.join(by_block, ["dim", "block"], "left").withColumn("key", F.explode(others))
+    found = first.unionByName(_search_shards(rest.join(trees, ["dim", "key"]), k))
+    return _best(found, k).select("query_id", "rank", "vec_id", "score")
