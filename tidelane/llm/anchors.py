@@ -142,6 +142,7 @@ def records(r: Runs, content: tuple[np.ndarray, np.ndarray], ids: np.ndarray, v:
     if by_place:
         settled |= lo > lo[_heads(new | _changes(doc, v))]
     key = np.where(settled, mixed(doc.astype(np.uint64) * np.uint64(0x100000001B3) + lo.astype(np.uint64)), key)
+    c1, c2 = np.where(settled, 0, c1), np.where(settled, 0, c2)  # nothing asks for them any more
     columns = [key.view(np.int64), c1, c2, doc, v, pack_span(lo, off, n, settled.astype(np.int64))]
     return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "c1", "c2", "doc_id", "v", "span"])
 

@@ -31,13 +31,22 @@ def prepare(spark: SparkSession) -> None:
         env["PYTHONPATH"] = ":".join(filter(None, [_REPO, env.get("PYTHONPATH", "")]))
 
 
-def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False) -> DataFrame:
-    """(doc_id, v, text): as ``texts``, where v, a hash of the text, tells several texts of one id apart. With
-    ``row``, (doc_id, v, row) instead: row is a struct of all columns of the input, the text as it is among them."""
+def several_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> bool:
+    """Whether any id has several texts."""
+    h = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+    found = docs.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.min(h).alias("a"), F.max(h).alias("b")).where("a <> b")
+    return not found.isEmpty()
+
+
+def told_apart(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row: bool = False, apart: bool = True) -> DataFrame:
+    """(doc_id, v, text): as ``texts``, where v, a hash of the text, tells several texts of one id apart; it may be 0
+    throughout (``apart`` false) where no id has several. With ``row``, (doc_id, v, row) instead: row is a struct of
+    all columns of the input, the text as it is among them."""
     prepare(docs.sparkSession)
     text = F.coalesce(F.col(text_col), F.lit(""))
     what = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row") if row else text.alias("text")
-    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("v"), what)
+    v = F.xxhash64(text) if apart else F.lit(0).cast("long")
+    return docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), v.alias("v"), what)
 
 
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructType
 
 from .anchors import RUN_RECORD, by_sorted_key, check_window, covered, digests, mask, records, runs, settled_and_open, unpack_span
-from .common import stage, told_apart
+from .common import several_texts, stage, told_apart
 from .subwords import SPACE, slices, word_hashes, words
 
 WINDOW, GRAM = 50, 16
@@ -226,7 +226,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
     gives no rows.
     """
     check_window(window, gram)
-    rows = told_apart(docs, id_col, text_col)
+    apart = several_texts(docs, id_col, text_col)
+    rows = told_apart(docs, id_col, text_col, apart=apart)
     settled, open_ = settled_and_open(word_runs(rows, window, gram), by_place=False)
     wanted = dealt(open_).groupBy("doc_id", "v").agg(F.collect_set(F.struct("key", "split", "span")).alias("spans"))
     found = _streamed(_segments(rows, wanted, window), window)
@@ -244,7 +245,7 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, id_
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([*columns, *([batch.column(1)] if row else [])], names=schema.names)
 
-    whole = told_apart(docs, id_col, text_col, row=True) if row else rows
+    whole = told_apart(docs, id_col, text_col, row=True, apart=apart) if row else rows
     schema = StructType().add("doc_id", LongType()).add("n_words", LongType()).add("n_removed", LongType()).add("kept", StringType())
     schema = schema.add(whole.schema["row"]) if row else schema
     return whole.join(hits, ["doc_id", "v"], "left").select("doc_id", "row" if row else "text", "hits").mapInArrow(run, schema)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .anchors import RUN_RECORD, by_sorted_key, check_window, covered, digests, mask, records, runs, settled_and_open, unpack_span
-from .common import stage, told_apart
+from .common import several_texts, stage, told_apart
 from .subwords import slices
 
 LENGTH, GRAM = 100, 32
@@ -211,7 +211,8 @@ def suffix_dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
     several texts of an id are each judged by themselves. An empty table gives no rows.
     """
     check_window(length, gram)
-    rows = told_apart(docs, id_col, text_col)
+    apart = several_texts(docs, id_col, text_col)
+    rows = told_apart(docs, id_col, text_col, apart=apart)
     settled, open_ = settled_and_open(byte_runs(rows, length, gram), by_place=True)
     wanted = dealt(open_).groupBy("doc_id", "v").agg(F.collect_set(F.struct("part", "span")).alias("spans"))
     found = _compared(stage(_segments(rows, wanted, length, gram), "segments"), length)
