@@ -7,10 +7,10 @@ moves is a small share of the text. Runs with the same tokens are of one class,
 digest (BLAKE2b) of those tokens: all windows of a later one repeat windows of the earlier one, and nothing else
 about them needs comparing. Hashes of grams only deal runs out; a collision there costs a comparison, not a result.
 
-``settled_and_open`` deals run records out by class, so that neither a frequent anchor nor a frequent content meets
-in one task as a whole: a class is folded as it streams by, and slices send one row of it each. The first runs of
-classes that share their anchor with another class are left open for a comparison of their tokens, which differs
-by operator.
+``settled_and_open`` deals run records out by class, and folds a class as it streams by; slices send one row of it
+each. The first runs of classes that share their anchor with another class are left open for a comparison of their
+tokens, which differs by operator; an anchor with very many of them is dealt over several tasks there. Before that
+the classes of an anchor are only counted, as rows of a few numbers that Spark sorts and spills.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -209,9 +209,10 @@ def settled_and_open(run_records: DataFrame, by_place: bool) -> tuple[DataFrame,
 
     rows = run_records.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "doc_id", "v", "span")
     folded = stage(rows.mapInArrow(fold, "key long, doc_id long, v long, span long, kind byte"), "runs")
-    first = folded.where("kind > 0")
-    shared = first.groupBy("key").agg(F.count("*").alias("runs"), F.count_if(F.col("kind") == 2).alias("classes")).where("classes > 1")
-    return folded.where("kind = 0").select("doc_id", "v", "span"), first.join(shared.select("key", "runs"), "key").select("key", "doc_id", "v", "span", "runs")
+    # one small row for each class of a slice: counted where they meet, and not moved a second time
+    same = Window.partitionBy("key")
+    counted = folded.where("kind > 0").withColumns({"runs": F.count("*").over(same), "classes": F.count_if(F.col("kind") == 2).over(same)})
+    return folded.where("kind = 0").select("doc_id", "v", "span"), counted.where("classes > 1").select("key", "doc_id", "v", "span", "runs")
 
 
 def covered(settled: DataFrame, found: DataFrame) -> DataFrame:
