@@ -146,6 +146,23 @@ def test_contents_decide_and_texts_of_an_id_stay_apart(spark, step):
     assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out) == sorted((d, *expected[d, t]) for d, t in rows)
 
 
+@pytest.mark.parametrize("size", ["1", "7"])
+def test_classes_are_folded_across_batches(spark, size):
+    """Arrow batches of a few rows: anchors and classes go on from one to the next."""
+    rows = awkward(8) + sample(3, 20)
+    rows = [(d, t) for d, t in rows if len(t or "") < 5000 and d is not None]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        out = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+        out_bytes = suffix_dedup.suffix_dedup(docs(spark, rows)).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    expected = brute_words(rows, 50)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in out) == sorted((d, *expected[d, t]) for d, t in rows)
+    expected = brute_bytes(rows, 100)
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in out_bytes) == sorted((d, *expected[d, t]) for d, t in rows)
+
+
 @pytest.mark.parametrize("operator", [substring_dedup.substring_dedup, suffix_dedup.suffix_dedup])
 def test_windows_that_records_cannot_hold_are_refused(spark, operator):
     for window, gram in ((50, 12), (50, 64), (40000, 16)):

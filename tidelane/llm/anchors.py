@@ -7,10 +7,10 @@ moves is a small share of the text. Runs with the same tokens are of one class,
 digest (BLAKE2b) of those tokens: all windows of a later one repeat windows of the earlier one, and nothing else
 about them needs comparing. Hashes of grams only deal runs out; a collision there costs a comparison, not a result.
 
-``settled_and_open`` deals run records out by class, and folds a class as it streams by; slices send one row of it
-each. The first runs of classes that share their anchor with another class are left open for a comparison of their
-tokens, which differs by operator; an anchor with very many of them is dealt over several tasks there. Before that
-the classes of an anchor are only counted, as rows of a few numbers that Spark sorts and spills.
+``settled_and_open`` deals run records out by anchor and folds them as they stream by, sorted by class: slices send
+one row of a class each, and a task holds one class, however many rows its anchor has. The first runs of classes that
+share their anchor with another class are left open for a comparison of their tokens, which differs by operator; an
+anchor with very many of them is dealt over several tasks there. Runs whose anchor has one class leave.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stage
@@ -185,17 +185,22 @@ def settled_and_open(run_records: DataFrame, by_place: bool) -> tuple[DataFrame,
     """(settled (doc_id, v, span), open (key, doc_id, v, span, runs)): runs whose windows all stand earlier, and the
     first runs of anchors that have several classes, with how many of them the anchor has."""
 
+    def rows(columns, kind):
+        return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(kind.astype(np.int8))], names=["key", "doc_id", "v", "span", "kind"])
+
     def fold(batches):
         # the last row's class, document and text, the first document of the class and the first place in the text
         before = None
+        classes, held = 0, []  # of the key that may go on: its classes so far, and open rows while there is only one
         for batch in batches:
             key, c1, c2, doc, v, span = (c.to_numpy() for c in batch.columns)
             if not len(key):
                 continue
-            new, other = _changes(key, c1, c2), _changes(doc, v)
+            new, other, new_key = _changes(key, c1, c2), _changes(doc, v), _changes(key)
             if before is not None:
                 new[0] = (key[0], c1[0], c2[0]) != before[:3]
                 other[0] = (doc[0], v[0]) != before[3:5]
+                new_key[0] = key[0] != before[0]
             head = _heads(new)
             least = np.where(head >= 0, doc[head], before[5] if before is not None else 0)
             settled = (unpack_span(span)[3] == 1) | (doc > least)
@@ -203,16 +208,26 @@ def settled_and_open(run_records: DataFrame, by_place: bool) -> tuple[DataFrame,
             first = np.where(text >= 0, lo[text], before[6] if before is not None else 0)
             if by_place:
                 settled |= lo > first
-            kind = np.where(settled, 0, np.where(new, 2, 1)).astype(np.int8)
             before = (key[-1], c1[-1], c2[-1], doc[-1], v[-1], least[-1], first[-1])
-            yield pa.RecordBatch.from_arrays([*map(pa.array, (key, doc, v, span, kind))], names=["key", "doc_id", "v", "span", "kind"])
-
-    rows = run_records.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2", "doc_id", "v", "span")
-    folded = stage(rows.mapInArrow(fold, "key long, doc_id long, v long, span long, kind byte"), "runs")
-    # one small row for each class of a slice: counted where they meet, and not moved a second time
-    same = Window.partitionBy("key")
-    counted = folded.where("kind > 0").withColumns({"runs": F.count("*").over(same), "classes": F.count_if(F.col("kind") == 2).over(same)})
-    return folded.where("kind = 0").select("doc_id", "v", "span"), counted.where("classes > 1").select("key", "doc_id", "v", "span", "runs")
+            group = np.cumsum(new_key)  # 0 is the key of the batch before
+            count = np.bincount(group, new)
+            count[0] += classes
+            if held and count[0] > 1:
+                yield rows([np.concatenate(c) for c in zip(*held)], np.ones(sum(len(h[0]) for h in held)))
+            if count[0] > 1 or group[-1] > 0:
+                held = []
+            several = count[group] > 1
+            use = settled | several
+            yield rows([c[use] for c in (key, doc, v, span)], ~settled[use])
+            wait = ~settled & ~several & (group == group[-1])
+            if wait.any():
+                held.append([c[wait] for c in (key, doc, v, span)])
+            classes = int(count[group[-1]])
+
+    dealt = run_records.repartition("key").sortWithinPartitions("key", "c1", "c2", "doc_id", "v", "span")
+    folded = stage(dealt.mapInArrow(fold, "key long, doc_id long, v long, span long, kind byte"), "runs")
+    open_ = folded.where("kind = 1").select("key", "doc_id", "v", "span")
+    return folded.where("kind = 0").select("doc_id", "v", "span"), open_.join(open_.groupBy("key").agg(F.count("*").alias("runs")), "key")
 
 
 def covered(settled: DataFrame, found: DataFrame) -> DataFrame:
