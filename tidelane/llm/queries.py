@@ -12,6 +12,7 @@ from .common import documents
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .packing import best_fit_pack
+from .phrases import collocations
 from .quality import quality_scores
 from .sentencepiece_scan import sentencepiece_decode, sentencepiece_encode
 from .simhash import simhash_groups
@@ -76,8 +77,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier, op10_exact_top_k)
+    f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier, op10_exact_top_k, op13_phrase_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -112,4 +117,32 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
                doc_id = max(doc_id) OVER w AS kept, sha256(text) AS text_sha256
         FROM d WINDOW w AS (PARTITION BY text)""",
+    "op13_phrase_collocations": r"""
+        WITH d AS (
+            SELECT row_number() OVER () AS row, coalesce(lang, 'und') AS lang,
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || chr(9), 'abcdefghijklmnopqrstuvwxyz ') AS text FROM documents),
+        pieces AS (
+            SELECT lang, list_filter(string_split(piece, ' '), lambda w: w <> '') AS w
+            FROM (SELECT lang, unnest(regexp_split_to_array(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d)),
+        total AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang HAVING sum(len(w)) > 0),
+        grams AS (
+            SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM pieces, (SELECT unnest(range(1, 6)) AS k) WHERE len(w) >= k),
+        f AS (SELECT lang, phrase, any_value(k) AS k, count(*) AS f FROM grams GROUP BY lang, phrase HAVING count(*) >= 100),
+        inside AS (
+            SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer
+            FROM (SELECT lang, string_split(phrase, ' ') AS w, k, f FROM f WHERE k > 2),
+                 (SELECT unnest(range(2, 5)) AS m), (SELECT unnest(range(1, 5)) AS i)
+            WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+        cuts AS (
+            SELECT c.lang, c.phrase, c.f AS a, total.n, x.j, l.f AS l, r.f AS r,
+                   CAST(CAST(1000 AS HUGEINT) * c.f * total.n // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+            FROM f c JOIN (SELECT unnest(range(1, 5)) AS j) x ON x.j < c.k JOIN total USING (lang)
+            LEFT JOIN inside i ON i.lang = c.lang AND i.phrase = c.phrase
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:x.j], ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[x.j + 1:c.k], ' ')
+            WHERE i.longer IS NULL OR i.longer < c.f),
+        best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+        FROM best QUALIFY rank <= 2000""",
 }
