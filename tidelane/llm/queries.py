@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .ball_tree import top_k
 from .common import documents
+from .cosine_links import near_duplicates
 from .exact_dedup import exact_groups
 from .line_dedup import line_dedup
 from .packing import best_fit_pack
@@ -19,6 +20,7 @@ from .simhash import simhash_groups
 from .substring_dedup import substring_dedup
 from .suffix_dedup import suffix_dedup
 from .toxicity import toxicity_scores
+from .whitening import whiten
 
 
 def tokenizer_file(name: str) -> str:
@@ -77,12 +79,20 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier, op10_exact_top_k, op13_phrase_collocations)
+    f.__name__: f for f in (op1_substring_dedup, op2_sentencepiece, op3_suffix_array_dedup, op4_best_fit_packing, op5_simhash_near_dedup, op6_line_dedup, op7_exact_dedup, op8_toxicity, op9_quality_classifier, op10_exact_top_k, op11_embedding_near_dedup, op12_embedding_whitening, op13_phrase_collocations)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -98,6 +108,21 @@ ORACLE_SQL: dict[str, str] = {
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
             SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
         WHERE rank <= 5""",
+    "op11_embedding_near_dedup": """
+        WITH RECURSIVE x AS (
+            SELECT DISTINCT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS v FROM embeddings WHERE vec_id IS NOT NULL),
+        fit AS (
+            SELECT vec_id, v, sqrt(list_dot_product(v, v)) AS length FROM x
+            WHERE v IS NOT NULL AND len(list_filter(v, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+              AND len(list_filter(v, lambda c: c <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM fit a JOIN fit b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+            WHERE list_dot_product(a.v, b.v) / (a.length * b.length) >= 0.9),
+        reached AS (SELECT vec_id, vec_id AS other FROM x UNION SELECT r.vec_id, l.b FROM reached r JOIN links l ON l.a = r.other),
+        least AS (SELECT vec_id, min(other) AS component_id FROM reached GROUP BY vec_id),
+        degree AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+        FROM x JOIN least USING (vec_id) LEFT JOIN degree USING (vec_id)""",
     "op6_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
