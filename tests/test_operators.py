@@ -45,6 +45,16 @@ def test_trailing_mean_keeps_weeks_without_days(spark):
     assert [r.trailing_mean for r in out] == [2.0, None]  # 1.5 rounds half to even
 
 
+@pytest.mark.parametrize("parts", [1, 2, 3, 6])
+def test_trailing_mean_does_not_depend_on_the_order_of_rows(spark, parts):
+    values = [284823.1, 284823.2, 284823.4, 284823.3, 284824.9, 284824.1]  # the mean is 284823.5, and not in doubles
+    rows = [(date(2000, 3, 6 + i), v) for i, v in enumerate(values)]
+    for order in (rows, rows[::-1], sorted(rows, key=lambda r: -r[1])):
+        daily = spark.createDataFrame(order, "d date, v double").repartition(parts)
+        weeks = spark.createDataFrame([(date(2000, 3, 12),)], "w date")
+        assert series.trailing_mean(weeks, daily, [], "w", "d", "v").first().trailing_mean == 284824.0
+
+
 def test_merge_changes_and_rerun(spark, tmp_path):
     path = f"file://{tmp_path}/table"
     rows = spark.createDataFrame([(1, 2020, None), (2, 2020, 5.0), (3, 2021, 7.0)], "k int, y int, v double")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 from dataclasses import replace
 from datetime import date, datetime, timedelta
 
@@ -10,24 +11,36 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidelane.functions import stats
+from tidelane.functions import moments, stats
 from tidelane.plans import analogs, health, sweep
 
 D = date(2016, 1, 2)
 
 
-@pytest.mark.parametrize("t", [0.0, 0.05, 0.3, 1.0, 2.5, 7.0, 40.0, 1e4])
-def test_t_tail_where_it_has_a_closed_form(t):
+def tails(spark, rows):
+    df = spark.createDataFrame([(float(t), float(n)) for t, n in rows], "t double, df double").repartition(2)
+    got = {(r.t, r.df): r.p for r in df.select("t", "df", stats.two_tailed_p(F.col("t"), F.col("df")).alias("p")).collect()}
+    return [got[float(t), float(n)] for t, n in rows]
+
+
+def test_t_tail_where_it_has_a_closed_form(spark):
     """One, two and four degrees of freedom, far out in the tail too."""
-    closed = {1: 1 - 2 / math.pi * math.atan(t), 2: 1 - t / math.sqrt(2 + t * t), 4: 1 - t / math.sqrt(4 + t * t) * (1 + 2 / (4 + t * t))}
-    for df, p in closed.items():
-        assert stats.two_tailed_p(np.array([t]), np.array([df]))[0] == pytest.approx(p, rel=1e-6, abs=1e-9)
+    closed = {1: lambda t: 1 - 2 / math.pi * math.atan(t), 2: lambda t: 1 - t / math.sqrt(2 + t * t), 4: lambda t: 1 - t / math.sqrt(4 + t * t) * (1 + 2 / (4 + t * t))}
+    rows = [(t, df) for t in (0.0, 0.05, 0.3, 1.0, 2.5, 7.0, 40.0, 1e4) for df in closed]
+    assert tails(spark, rows) == [pytest.approx(closed[df](t), rel=1e-6, abs=1e-9) for t, df in rows]
+
 
+def test_t_tail_falls_with_fractional_degrees(spark):
+    p = np.array(tails(spark, [(2.0, df) for df in (2.0, 2.7, 3.5, 11.25, 31.33, 400.0, 1e5, 1e7)]))
+    assert (np.diff(p) < 0).all() and p[0] < 0.2
+    # DLMF 26.2: the normal tail in the limit, off by (t + t**3) * density / (2 df)
+    assert p[-1] == pytest.approx(math.erfc(2 / math.sqrt(2)), abs=1e-7) and math.erfc(2 / math.sqrt(2)) < p[-1]
 
-def test_t_tail_falls_with_fractional_degrees():
-    df = np.array([2.0, 2.7, 3.5, 11.25, 31.33, 400.0])
-    p = stats.two_tailed_p(np.full(6, 2.0), df)
-    assert (np.diff(p) < 0).all() and math.erfc(2 / math.sqrt(2)) < p[-1] < p[0] < 0.2
+
+def test_log_gamma(spark):
+    z = [1e-6, 0.3, 0.5, 1.0, 2.0, 7.25, 31.0, 1234.5, 1e7]
+    got = spark.createDataFrame([(x,) for x in z], "z double").select("z", stats.log_gamma(F.col("z")).alias("g")).collect()
+    assert all(r.g == pytest.approx(math.lgamma(r.z), rel=1e-13, abs=1e-13) for r in got)
 
 
 def test_correlation_and_p(spark):
@@ -59,9 +72,42 @@ def test_benjamini_hochberg_against_a_loop(spark):
 
 @pytest.mark.parametrize("full, folds, expected", [(0.4, [0.1, 0.5, -0.2, 0.3, 0.6], (0.8, 5)), (0.4, [0.1, 0.2, 0.3, 0.4, 0.0], (0.8, 5)), (0.4, [0.1, 0.2, 0.3, 0.4, None], (1.0, 4)), (0.0, [0.1], (None, None)), (None, [0.1], (None, None))])
 def test_directional_consistency(spark, full, folds, expected):
-    rows = spark.createDataFrame([(full, f) for f in folds], "full double, fold double")
-    share, n = stats.directional_consistency(F.col("full"), F.col("fold"))
-    assert tuple(rows.agg(share.alias("a"), n.alias("b")).first()) == expected
+    rows = spark.createDataFrame([(full, folds)], "full double, folds array<double>")
+    share, n = stats.directional_consistency(F.col("full"), F.col("folds"))
+    assert tuple(rows.select(share.alias("a"), n.alias("b")).first()) == expected
+
+
+def test_moments_merge_to_those_of_all_rows(spark):
+    r = random.Random(8)
+    rows = [(i % 7 if i % 7 < 5 else 4, 1e3 + r.random(), r.choice([1e-3 * i + r.random(), -5.0])) for i in range(300)] + [(9, 1e3, 2.0)]
+    df = spark.createDataFrame(rows, "block int, x double, y double").repartition(5)
+    blocks = df.groupBy("block").agg(moments.moments(F.collect_list(F.struct("x", "y"))).alias("m"))
+    m = blocks.agg(moments.merged(F.collect_list("m")).alias("m")).select("m.*", moments.correlation(F.col("m")).alias("r")).first()
+    both = np.array([(x, y) for _, x, y in rows])
+    assert m.n == 301 and m.r == pytest.approx(np.corrcoef(both.T)[0, 1], rel=1e-7)
+    assert m.xx == pytest.approx((both[:, 0] ** 2).sum()) and (m.y0, m.y1) == (both[:, 1].min(), both[:, 1].max())
+    few = lambda where: blocks.where(where).agg(moments.merged(F.collect_list("m")).alias("m")).select("m.n", moments.correlation(F.col("m")).alias("r")).first()
+    assert tuple(few("block = 9")) == (1, None) and tuple(few("false")) == (0, None)
+
+
+def test_pair_moments_are_those_of_aligned_rows(spark):
+    """Against the aligned rows, one by one, with their folds by a window of each pair."""
+    r = random.Random(3)
+    rows = [("f", s, D + timedelta(days=i), None if r.random() < 0.1 else float(r.randint(0, 6))) for s in ("a", "b") for i in range(0, 700) if r.random() < 0.8]
+    weekly = [(D + timedelta(days=7 * i + 3), h, None if r.random() < 0.2 else r.random()) for i in range(110) for h in (7, 21)]
+    series = spark.createDataFrame(rows, "feature_name string, site_id string, date date, value double")
+    targets = spark.createDataFrame(weekly, "week_ending date, horizon_days int, value double")
+    pairs = sweep.pair_moments(series, targets, [-8, 0, 3], (7, 21)).select(*sweep.PAIR, F.inline("blocks")).collect()
+    each = sweep.with_folds(sweep.align(series, targets, [-8, 0, 3]), sweep.PAIR, "week", F.col("horizon_days"), (7, 21)).collect()
+    want = {}
+    for e in each:
+        want.setdefault((*(e[k] for k in sweep.PAIR), e.fold), []).append((e.x, e.y))
+    assert {(*(p[k] for k in sweep.PAIR), p.fold): p.m.n for p in pairs} == {k: len(v) for k, v in want.items()}
+    assert {k[-1] for k in want} == {None, 0, 1, 2, 3, 4}
+    for p in pairs:
+        xy = np.array(want[(*(p[k] for k in sweep.PAIR), p.fold)])
+        about = p.m.xy - p.m.sx * p.m.sy / p.m.n  # x is about the series' mean, which the product of deviations does not show
+        assert (p.m.sy, about) == (pytest.approx(xy[:, 1].sum()), pytest.approx(np.cov(xy.T, bias=True)[0, 1] * len(xy), abs=1e-9))
 
 
 @pytest.mark.parametrize("n, h, expected", [(20, 14, 0), (29, 7, 0), (200, 7, 5)])

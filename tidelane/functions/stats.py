@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
-from ..session import importable
+from .moments import once
 
 PERIOD_DAYS, MIN_EFFECTIVE = 7, 2.0
 
@@ -40,43 +37,61 @@ def effective_n(n: Column, horizon: Column, period: int = PERIOD_DAYS) -> Column
     return n.cast("double") / overlap_factor(horizon, period)
 
 
-def _incomplete_beta(x: np.ndarray, a: np.ndarray, b: float, terms: int = 400) -> np.ndarray:
-    """Regularised incomplete beta function by its continued fraction (DLMF 8.17.22), evaluated from the far end."""
-    swap = x > (a + 1) / (a + b + 2)
-    p, q, z = np.where(swap, b, a), np.where(swap, a, b), np.where(swap, 1 - x, x)
-    f = np.ones_like(z)
-    for m in range(terms, 0, -1):
+def log_gamma(z: Column) -> Column:
+    """ln of the gamma function for z > 0: Stirling's series (DLMF 5.11.1) ten steps up, and back by the recurrence."""
+    w = z + 10
+    v = 1 / (w * w)
+    series = (1 / 12 - v * (1 / 360 - v * (1 / 1260 - v * (1 / 1680 - v * (1 / 1188 - v * (691 / 360360)))))) / w
+    product = z
+    for k in range(1, 10):
+        product = product * (z + k)
+    return (w - 0.5) * F.ln(w) - w + 0.5 * math.log(2 * math.pi) + series - F.ln(product)
+
+
+def _beta_fraction(p: Column, q: Column, z: Column) -> Column:
+    """The continued fraction of the incomplete beta function (DLMF 8.17.22), from its far end. With q or p one half and
+    z below (p + 1) / (p + q + 2) it has settled to double precision after at most 54 terms, whatever the other is."""
+
+    def step(f: Column, m: Column) -> Column:
         odd = -(p + m - 1) * (p + q + m - 1) * z / ((p + 2 * m - 2) * (p + 2 * m - 1))
         even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
-        f = 1 + odd / (1 + even / f)
-    gamma = np.frompyfunc(math.lgamma, 1, 1)
-    front = np.exp((gamma(p + q) - gamma(p) - gamma(q)).astype(float) + p * np.log(np.maximum(z, 1e-300)) + q * np.log1p(-np.minimum(z, 1 - 1e-16))) / p
-    part = np.where(z <= 0, 0.0, front / f)
-    return np.where(swap, 1 - part, part)
+        return 1 + odd / (1 + even / f)
 
+    return F.aggregate(F.sequence(F.lit(64), F.lit(1), F.lit(-1)), F.lit(1.0), step)
 
-def two_tailed_p(t: np.ndarray, df: np.ndarray) -> np.ndarray:
-    """P(|T| >= |t|) of Student's t with (fractional) df degrees of freedom."""
-    t, df = np.asarray(t, float), np.asarray(df, float)
-    return _incomplete_beta(df / (df + t * t), df / 2, 0.5)
 
+def incomplete_beta(x: Column, rest: Column, a: Column, b: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b) for x in (0, 1); ``rest`` is 1 - x, given by the caller who
+    may know it to more digits."""
+    given = F.struct(x.alias("x"), rest.alias("y"), a.cast("double").alias("a"), b.cast("double").alias("b"))
+
+    def turned(g: Column) -> Column:
+        swap = g["x"] > (g["a"] + 1) / (g["a"] + g["b"] + 2)
+        pick = lambda c, d, name: F.when(swap, g[c]).otherwise(g[d]).alias(name)
+        return F.struct(swap.alias("swap"), pick("b", "a", "p"), pick("a", "b", "q"), pick("y", "x", "z"), pick("x", "y", "w"))
 
-@F.pandas_udf(DoubleType())
-def _p_value(r: pd.Series, n_effective: pd.Series) -> pd.Series:
-    out = pd.Series(np.nan, index=r.index)
-    known = (r.notna() & n_effective.notna() & (n_effective > MIN_EFFECTIVE)).to_numpy()
-    rv, df = r.to_numpy(float)[known], n_effective.to_numpy(float)[known] - 2
-    exact = np.abs(rv) >= 1
-    t = np.where(exact, 0, rv * np.sqrt(df / np.where(exact, 1, 1 - rv * rv)))
-    out[known] = np.where(exact, 0.0, two_tailed_p(t, df))
-    return out.astype(object).where(out.notna(), None)
+    def value(t: Column) -> Column:
+        p, q = t["p"], t["q"]
+        front = F.exp(log_gamma(p + q) - log_gamma(p) - log_gamma(q) + p * F.ln(t["z"]) + q * F.ln(t["w"])) / p
+        return once(front / _beta_fraction(p, q, t["z"]), lambda v: F.when(t["swap"], 1 - v).otherwise(v))
+
+    return once(once(given, turned), value)
+
+
+def two_tailed_p(t: Column, df: Column) -> Column:
+    """P(|T| >= |t|) of Student's t with (fractional) df degrees of freedom."""
+    square = F.when(t != 0, t * t)
+    return F.when(t == 0, 1.0).otherwise(incomplete_beta(df / (df + square), square / (df + square), df / 2, F.lit(0.5)))
 
 
 def p_value(r: Column, n_effective: Column) -> Column:
-    """Two-tailed p of a correlation, NULL unless the effective n exceeds 2; exactly 0 for |r| = 1. One vectorised
-    call for a batch of rows: Spark has no log-gamma function."""
-    importable(SparkSession.getActiveSession())
-    return _p_value(r, n_effective)
+    """Two-tailed p of a correlation, NULL unless the effective n exceeds 2; exactly 0 for |r| = 1. With
+    t = r * sqrt(df / (1 - r * r)) the beta function's argument is 1 - r * r itself."""
+    known = r.isNotNull() & (n_effective > MIN_EFFECTIVE)
+    inside = known & (F.abs(r) < 1) & (r != 0)
+    part = F.when(inside, r)
+    tail = incomplete_beta((1 - part) * (1 + part), part * part, F.when(inside, n_effective - 2) / 2, F.lit(0.5))
+    return F.when(known, F.when(F.abs(r) >= 1, 0.0).when(r == 0, 1.0).otherwise(tail))
 
 
 def _p_range(p: str) -> Column:
@@ -112,10 +127,10 @@ def passes_gate(q: Column, consistency: Column, folds: Column, max_q: float = 0.
     return F.coalesce((q <= max_q) & (folds >= min_folds) & (consistency >= min_consistency), F.lit(False))
 
 
-def directional_consistency(full: Column, fold: Column) -> tuple[Column, Column]:
-    """(share, folds), to aggregate by pair, over the folds that have a statistic (``full`` is one value a pair): a zero fold agrees with nothing; a zero or unknown full
-    statistic has no direction."""
-    known = F.count(fold)
-    share = F.count_if(fold.isNotNull() & (F.signum(fold) == F.signum(full))) / known
-    directed = F.max(full).isNotNull() & (F.max(full) != 0) & (known > 0)
-    return F.when(directed, share), F.when(directed, known)
+def directional_consistency(full: Column, folds: Column) -> tuple[Column, Column]:
+    """(share, folds) of an array of fold statistics: of those that are known, how many have the sign of ``full``; a
+    zero fold agrees with nothing, and both are NULL where ``full`` is zero or unknown or no fold is known."""
+    known = F.filter(folds, lambda r: r.isNotNull())
+    directed = full.isNotNull() & (full != 0) & (F.size(known) > 0)
+    agree = F.size(F.filter(known, lambda r: F.signum(r) == F.signum(full)))
+    return F.when(directed, agree / F.size(known)), F.when(directed, F.size(known))

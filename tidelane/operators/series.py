@@ -48,10 +48,12 @@ def trailing_mean(weeks: DataFrame, daily: DataFrame, on: list[str], week: str,
     """Mean of the values from ``days`` before each week to the week; weeks without any stay, with NULL.
 
     Each week is expanded to its days, so the join is a hash join on equal dates; the means are rounded half to even.
+    Values are added up as decimals of six digits: a sum of doubles depends on the order of its rows, and a mean that
+    lies halfway would then round either way.
     """
     spread = weeks.withColumn(date, F.explode(F.sequence(F.date_sub(F.col(week), days), F.col(week))))
     joined = spread.join(daily.select(*on, date, F.col(value).alias("_v")), [*on, date], "left")
-    return joined.groupBy(*weeks.columns).agg(F.bround(F.avg("_v"), 0).alias(name))
+    return joined.groupBy(*weeks.columns).agg(F.bround(F.sum(F.col("_v").cast("decimal(28,6)")).cast("double") / F.nullif(F.count("_v"), F.lit(0)), 0).alias(name))
 
 
 def change_over(rows: DataFrame, keys: list[str], date: str, value: str, days: int, name: str = "change") -> DataFrame:

@@ -8,13 +8,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.regimes import REGIMES, direction
-from ..functions.stats import MIN_EFFECTIVE, benjamini_hochberg, directional_consistency, effective_n, p_value, passes_gate, pearson
+from ..functions.moments import correlation, merged, moments
+from ..functions.stats import MIN_EFFECTIVE, benjamini_hochberg, directional_consistency, effective_n, p_value, passes_gate
 from ..functions.targets import HORIZONS
 from ..session import stage
 from .features import Feature, collapsing
 
 FOLDS, MIN_TRAIN = 5, 26
 PAIR = ["feature_name", "site_id", "horizon_days", "lag_days", "regime"]
+SERIES_LAG = ["feature_name", "site_id", "lag_days"]
 
 
 def lag_axis(low: int = -21, high: int = 21) -> list[int]:
@@ -69,6 +71,45 @@ def by_day(series: DataFrame, until: Column) -> DataFrame:
     return spans.select(*keys, F.explode(F.sequence("date", "_last")).alias("day"), F.col("date").alias("fdate"), F.col("value").alias("x"), both.alias("regimes"))
 
 
+def matched(series: DataFrame, weeks: DataFrame, lags: list[int]) -> DataFrame:
+    """feature_name, site_id, lag_days, fdate, x, regimes and the columns of ``weeks`` (``week`` among them): each
+    series as of ``week - lag``, once for all horizons and regimes, dealt by series and lag, since there may be fewer
+    series than cores."""
+    cells = weeks.withColumn("lag_days", F.explode(F.array(*map(F.lit, lags)))).withColumn("day", F.date_sub("week", F.col("lag_days")))
+    return by_day(series, cells.agg(F.max("day")).scalar()).join(cells, "day").repartition(int(series.sparkSession.conf.get("spark.sql.shuffle.partitions")), *SERIES_LAG)
+
+
+def pair_moments(series: DataFrame, targets: DataFrame, lags: list[int], horizons: tuple[int, ...] = HORIZONS, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
+    """feature_name, site_id, horizon_days, lag_days, regime, blocks: for each pair the mergeable moments of its weeks
+    before testing and of each walk-forward fold (``fold`` NULL and from 0), all that any correlation of the pair needs.
+
+    A series and lag has its weeks once, in order, for all horizons and regimes: the members of a pair are filtered
+    from that list, and folds are slices of what is left, so no row of a pair is ever made or shuffled. Testing starts
+    with the first week more than a horizon after the pair's ``min_train``-th. A list is as long as the calendar has
+    weeks.
+    """
+    value = lambda h: F.max(F.when(F.col("horizon_days") == h, F.col("value"))).alias(f"y{h}")
+    known = targets.where(F.col("value").isNotNull() & F.col("horizon_days").isin(*horizons))
+    weeks = known.groupBy(F.col("week_ending").alias("week")).agg(*map(value, horizons))
+    rows = matched(series, weeks, lags).withColumn("d", F.unix_date("week"))
+    lists = rows.groupBy(*SERIES_LAG).agg(F.avg("x").alias("_mean"), F.sort_array(F.collect_list(F.struct("d", "x", "regimes", *[f"y{h}" for h in horizons]))).alias("weeks"))
+
+    def members(r: str, h: int) -> Column:
+        held = F.filter("weeks", lambda w: F.array_contains(w["regimes"], r) & w[f"y{h}"].isNotNull())
+        return F.struct(F.lit(r).alias("regime"), F.lit(h).alias("horizon_days"), F.transform(held, lambda w: F.struct(w["d"].alias("d"), (w["x"] - F.col("_mean")).alias("x"), w[f"y{h}"].alias("y"))).alias("members"))
+
+    pairs = lists.select(*SERIES_LAG, F.inline(F.array(*[members(r, h) for r in REGIMES for h in horizons])))
+    until = F.try_element_at("members", F.lit(min_train))["d"] + F.col("horizon_days")
+    pairs = pairs.withColumn("_until", until).withColumn("_first", F.when(F.col("_until").isNotNull(), F.size(F.filter("members", lambda w: w["d"] <= F.col("_until")))))
+    pairs = pairs.withColumn("_block", F.floor((F.size("members") - F.col("_first")) / n_folds).cast("int"))
+    cut = lambda fold, start, n: F.struct(fold.cast("int").alias("fold"), (start + 1).cast("int").alias("start"), n.cast("int").alias("n"))
+    rest = F.size("members") - F.col("_first")
+    tested = F.transform(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: cut(f, F.col("_first") + f * F.col("_block"), F.when(f < n_folds - 1, F.col("_block")).otherwise(rest - f * F.col("_block"))))
+    cuts = F.when(F.col("_block") > 0, F.concat(F.array(cut(F.lit(None), F.lit(0), F.col("_first"))), tested)).otherwise(F.array(cut(F.lit(None), F.lit(0), F.size("members"))))
+    blocks = F.transform(F.filter("_cuts", lambda c: c["n"] > 0), lambda c: F.struct(c["fold"].alias("fold"), moments(F.slice("members", c["start"], c["n"])).alias("m")))
+    return pairs.where(F.size("members") > 0).withColumn("_cuts", cuts).select(*PAIR, blocks.alias("blocks"))
+
+
 def align(series: DataFrame, targets: DataFrame, lags: list[int]) -> DataFrame:
     """feature_name, site_id, horizon_days, lag_days, regime, week, fdate, x, y: each series as of ``week - lag``, once
     for each regime of the matched date.
@@ -77,11 +118,7 @@ def align(series: DataFrame, targets: DataFrame, lags: list[int]) -> DataFrame:
     once for all horizons. Weeks whose target is unknown drop out.
     """
     known = targets.where(F.col("value").isNotNull()).groupBy(F.col("week_ending").alias("week")).agg(F.collect_list(F.struct("horizon_days", F.col("value").alias("y"))).alias("ys"))
-    cells = known.select("week", "ys", F.explode(F.array(*map(F.lit, lags))).alias("lag_days")).withColumn("day", F.date_sub("week", F.col("lag_days")))
-    matched = by_day(series, cells.agg(F.max("day")).scalar()).join(cells, "day")
-    # there may be fewer series than cores, and rows grow from here: deal them by lag as well
-    matched = matched.repartition("feature_name", "site_id", "lag_days")
-    each = matched.select("feature_name", "site_id", "lag_days", "week", "fdate", "x", "ys", F.explode("regimes").alias("regime"))
+    each = matched(series, known, lags).select("feature_name", "site_id", "lag_days", "week", "fdate", "x", "ys", F.explode("regimes").alias("regime"))
     return each.select("feature_name", "site_id", "lag_days", "regime", "week", "fdate", "x", F.inline("ys"))
 
 
@@ -119,24 +156,19 @@ def leaking(folds_: DataFrame, horizon: Column) -> DataFrame:
     return folds_.where(F.date_add("train_end", horizon) >= F.col("test_start"))
 
 
-def measurements(rows: DataFrame, horizons: tuple[int, ...] = HORIZONS, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
-    """One row for each pair with aligned rows: status, statistic, p, n, effective n, folds, consistency."""
-    if "fold" not in rows.columns:
-        rows = with_folds(rows, PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)
-    full = rows.groupBy(*PAIR).agg(pearson("x", "y").alias("_r"), F.count("*").alias("n_observations"))
-    full = full.withColumn("_n_eff", effective_n(F.col("n_observations"), F.col("horizon_days")))
+def measurements(pairs: DataFrame) -> DataFrame:
+    """One row for each pair of ``pair_moments``: status, statistic, p, n, effective n, folds, consistency."""
+    horizon = F.col("horizon_days")
+    full = pairs.select(*PAIR, merged(F.transform("blocks", lambda b: b["m"])).alias("_m"), F.transform(F.filter("blocks", lambda b: b["fold"].isNotNull()), lambda b: correlation(b["m"])).alias("_folds"))
+    full = full.select(*PAIR, F.col("_m.n").alias("n_observations"), correlation(F.col("_m")).alias("_r"), "_folds")
+    full = full.withColumn("_n_eff", effective_n(F.col("n_observations"), horizon))
     measured = F.col("_r").isNotNull() & (F.col("_n_eff") > MIN_EFFECTIVE)
-    full = full.withColumns({"statistic": F.when(measured, F.col("_r")), "n_effective": F.when(measured, F.col("_n_eff"))}).drop("_r", "_n_eff")
-    full = full.withColumn("p_value", p_value(F.col("statistic"), F.col("n_effective")))
-    by_fold = rows.where("fold IS NOT NULL").groupBy(*PAIR, "fold").agg(pearson("x", "y").alias("_fold_r"))
-    share, known = directional_consistency(F.col("statistic"), F.col("_fold_r"))
-    tested = by_fold.join(full.select(*PAIR, "statistic"), PAIR).groupBy(*PAIR).agg(share.alias("directional_consistency"), F.coalesce(known, F.count("*")).cast("int").alias("_folds"))
-    out = full.join(tested, PAIR, "left")
-    status = F.when(F.col("statistic").isNull(), "insufficient_observations").when(F.col("_folds").isNull(), "insufficient_folds").otherwise("scanned")
-    return out.select(
-        *PAIR, status.alias("status"), "statistic", "p_value", "n_observations", "n_effective",
-        F.when(F.col("statistic").isNotNull(), F.coalesce("_folds", F.lit(0))).alias("folds"),
-        F.when(F.col("statistic").isNotNull(), F.col("directional_consistency")).alias("directional_consistency"),
+    full = full.withColumns({"statistic": F.when(measured, F.col("_r")), "n_effective": F.when(measured, F.col("_n_eff"))})
+    share, known = directional_consistency(F.col("statistic"), F.col("_folds"))
+    status = F.when(F.col("statistic").isNull(), "insufficient_observations").when(F.size("_folds") == 0, "insufficient_folds").otherwise("scanned")
+    return full.select(
+        *PAIR, status.alias("status"), "statistic", p_value(F.col("statistic"), F.col("n_effective")).alias("p_value"), "n_observations", "n_effective",
+        F.when(F.col("statistic").isNotNull(), F.coalesce(known, F.size("_folds"))).alias("folds"), share.alias("directional_consistency"),
     )
 
 
@@ -151,16 +183,14 @@ def adjusted(grid: DataFrame, measured: DataFrame, run_id: int) -> DataFrame:
 
 
 def sweep(features: DataFrame, targets: DataFrame, sites: DataFrame, names: list[str], lags: list[int], run_id: int, horizons: tuple[int, ...] = HORIZONS, skipped: DataFrame | None = None, n_folds: int = FOLDS, min_train: int = MIN_TRAIN) -> DataFrame:
-    """The whole scan: one row for each cell of the grid; an empty grid is an error. Aligned rows and measured pairs
-    are written to the shared folder before they are read again."""
+    """The whole scan: one row for each cell of the grid; an empty grid is an error. Measured pairs, one row each, are
+    written to the shared folder; no row of theirs is."""
     columns = series_columns(features)
     grid = build_grid(sites, names, columns, lags, horizons, skipped=skipped)
     if not (names and lags and horizons) or grid.isEmpty():
         raise ValueError("the grid is empty: no site, feature, lag or horizon is left to scan")
-    series = chosen_series(features, columns)
-    rows = with_folds(align(series, targets, lags), PAIR, "week", F.col("horizon_days"), horizons, n_folds, min_train)
-    rows = stage(rows.select(*PAIR, "fold", "x", "y"), "aligned")  # read for the pairs and for their folds
-    return adjusted(grid, stage(measurements(rows, horizons, n_folds, min_train), "measured"), run_id)
+    pairs = pair_moments(chosen_series(features, columns), targets, lags, horizons, n_folds, min_train)
+    return adjusted(grid, stage(measurements(pairs), "measured"), run_id)
 
 
 def run_summary(runs: DataFrame, signals: DataFrame) -> DataFrame:

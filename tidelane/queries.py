@@ -14,7 +14,7 @@ from datetime import date as Date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import regimes, seasonal, stats, targets, thresholds
+from .functions import moments, regimes, seasonal, stats, targets, thresholds
 from .operators import asof, incremental, quality, reads, series
 from .plans import analogs, features, health, reports, sweep
 from .session import stage
@@ -336,7 +336,7 @@ def resolvable_weeks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.resolvable_weeks(weekly(spark, sf_dir), ["location"], "week_ending", "rate")
 
 
-@query(f"""WITH {DAILY}, {SITE_WEEKS} SELECT w.site_id, w.week_ending, CAST(round_even(avg(d.value_mean), 0) AS DOUBLE) AS trailing_mean
+@query(f"""WITH {DAILY}, {SITE_WEEKS} SELECT w.site_id, w.week_ending, round_even(CAST(sum(CAST(d.value_mean AS DECIMAL(28, 6))) AS DOUBLE) / count(d.value_mean), 0) AS trailing_mean
     FROM site_weeks w LEFT JOIN daily d ON d.site_id = w.site_id AND d.date BETWEEN w.week_ending - 6 AND w.week_ending GROUP BY 1, 2""")
 def weekly_trailing_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return series.trailing_mean(_site_weeks(spark, sf_dir), daily(spark, sf_dir), ["site_id"], "week_ending", "date", "value_mean")
@@ -350,7 +350,7 @@ def _whole_days(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHOLE = "whole AS (SELECT 'all' AS site_id, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS value_mean, min(o_totalprice) AS value_min FROM orders GROUP BY 2)"
 
 
-@query(f"""WITH {WHOLE}, {RATES} SELECT w.week_ending, round(w.rate, 4) AS pct_of_tariff, CAST(round_even(avg(d.value_mean), 0) AS DOUBLE) AS discharge
+@query(f"""WITH {WHOLE}, {RATES} SELECT w.week_ending, round(w.rate, 4) AS pct_of_tariff, round_even(CAST(sum(CAST(d.value_mean AS DECIMAL(28, 6))) AS DOUBLE) / count(d.value_mean), 0) AS discharge
     FROM rates w LEFT JOIN whole d ON d.date BETWEEN w.week_ending - 6 AND w.week_ending
     WHERE w.week_ending BETWEEN DATE '1998-01-01' AND DATE '1998-12-31' GROUP BY w.week_ending, w.rate""")
 def weekly_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,7 +362,7 @@ EXTRACTS = f"""{WHOLE}, {RATES}, {_seasonal_sql("value_mean", "1").replace("FROM
     days AS (SELECT 'raw' AS kind, date, value FROM seasonal1 UNION ALL SELECT 'deseasonalized', date, anomaly FROM seasonal1)"""
 
 
-@query(f"""WITH {EXTRACTS} SELECT CAST(year(w.week_ending) AS VARCHAR) || '_' || k.kind || '.csv' AS file, w.week_ending, round(w.rate, 4) AS pct_of_tariff, CAST(round_even(avg(d.value), 0) AS DOUBLE) AS value
+@query(f"""WITH {EXTRACTS} SELECT CAST(year(w.week_ending) AS VARCHAR) || '_' || k.kind || '.csv' AS file, w.week_ending, round(w.rate, 4) AS pct_of_tariff, round_even(CAST(sum(CAST(d.value AS DECIMAL(28, 6))) AS DOUBLE) / count(d.value), 0) AS value
     FROM rates w CROSS JOIN (VALUES ('raw'), ('deseasonalized')) k(kind) LEFT JOIN days d ON d.kind = k.kind AND d.date BETWEEN w.week_ending - 6 AND w.week_ending
     WHERE year(w.week_ending) IN (1997, 1998) GROUP BY k.kind, w.week_ending, w.rate""")
 def weekly_extracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -455,10 +455,10 @@ def _targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return targets.forward_returns(rates(spark, sf_dir), [], "week_ending", "rate")
 
 
-def _aligned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every feature of every site against forward returns, at every lag and in every regime."""
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments of every feature of every site against forward returns, at every lag and in every regime."""
     rows = stage(feature_table(spark, sf_dir), "features")
-    return sweep.align(sweep.chosen_series(rows, sweep.series_columns(rows)), _targets(spark, sf_dir), sweep.lag_axis())
+    return sweep.pair_moments(sweep.chosen_series(rows, sweep.series_columns(rows)), _targets(spark, sf_dir), sweep.lag_axis())
 
 
 ALIGNED = f"""{FEATURES}, {RATES}, y AS (SELECT a.week_ending AS week, CAST(h AS INT) AS horizon_days, CASE WHEN a.rate > 0 AND b.rate > 0 THEN ln(b.rate / a.rate) END AS y
@@ -476,7 +476,8 @@ CORR = "CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END"
 
 @query(f"""WITH {ALIGNED} SELECT feature_name, site_id, horizon_days, lag_days, regime, count(*) AS n, round({CORR}, 7) AS r, round(count(*) / greatest(1.0, horizon_days / 7.0), 6) AS n_effective FROM aligned GROUP BY 1, 2, 3, 4, 5""")
 def correlation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _aligned(spark, sf_dir).groupBy(*sweep.PAIR).agg(F.count("*").alias("n"), F.round(stats.pearson("x", "y"), 7).alias("r"))
+    m = moments.merged(F.transform("blocks", lambda b: b["m"]))
+    out = _pairs(spark, sf_dir).select(*sweep.PAIR, m.alias("m")).select(*sweep.PAIR, F.col("m.n").alias("n"), F.round(moments.correlation(F.col("m")), 7).alias("r"))
     return out.withColumn("n_effective", F.round(stats.effective_n(F.col("n"), F.col("horizon_days")), 6))
 
 
@@ -614,13 +615,10 @@ def single_observation_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _swept(spark: SparkSession, sf_dir: str) -> DataFrame:
     sites, rows = _grid_parts(spark, sf_dir)
     names = [f.name for f in features.registry()]
-    return sweep.sweep(rows, _targets(spark, sf_dir), sites, names, sweep.lag_axis(), run_id=1)
-
-
-@query()
-def full_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every cell of all five features, 43 lags, three horizons and three regimes."""
-    return _swept(spark, sf_dir)
+    out = sweep.sweep(rows, _targets(spark, sf_dir), sites, names, sweep.lag_axis(), run_id=1)
+    for column, digits in (("statistic", 7), ("p_value", 8), ("q_value", 8), ("n_effective", 6), ("directional_consistency", 8)):
+        out = rounded(out, column, digits=digits)
+    return out
 
 
 FOLDS_OF_PAIRS = """a AS (SELECT DISTINCT feature_name, site_id, horizon_days, lag_days, regime, week FROM aligned),
@@ -633,30 +631,71 @@ FOLDS_OF_PAIRS = """a AS (SELECT DISTINCT feature_name, site_id, horizon_days, l
     ab AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, week, least((ord - first) // ((n - first) // 5), 4) AS fold FROM a2 WHERE ord >= first AND n - first >= 5)"""
 
 
+#: p of a correlation r with ne effective observations: I_x(a, 1/2) with a = (ne - 2) / 2 and x = 1 - r * r, by the
+#: continued fraction on the side where it converges.
+P_VALUE = """(SELECT CASE WHEN r IS NULL OR ne <= 2 THEN NULL WHEN abs(r) >= 1 THEN 0.0 WHEN r = 0 THEN 1.0 WHEN swap THEN 1 - v ELSE v END FROM (
+        SELECT swap, exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(z) + q * ln(w)) / p
+            / list_reduce(list_prepend(1.0::DOUBLE, list_transform(range(400, 0, -1), lambda m: m::DOUBLE)), lambda f, m:
+                1 - (p + m - 1) * (p + q + m - 1) * z / ((p + 2 * m - 2) * (p + 2 * m - 1)) / (1 + m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m)) / f)) AS v
+        FROM (SELECT swap, CASE WHEN swap THEN 0.5 ELSE a END AS p, CASE WHEN swap THEN a ELSE 0.5 END AS q, CASE WHEN swap THEN r * r ELSE x END AS z, CASE WHEN swap THEN x ELSE r * r END AS w
+              FROM (SELECT (ne - 2) / 2 AS a, (1 - r) * (1 + r) AS x, (1 - r) * (1 + r) > ((ne - 2) / 2 + 1) / ((ne - 2) / 2 + 2.5) AS swap))))"""
+SWEPT = f"""{ALIGNED}, {FOLDS_OF_PAIRS},
+    full_r AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, {CORR} AS r, count(*) AS n, count(*) / greatest(1.0, horizon_days / 7.0) AS ne FROM aligned GROUP BY 1, 2, 3, 4, 5),
+    fold_r AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, fold, {CORR} AS fr FROM aligned JOIN ab USING (feature_name, site_id, horizon_days, lag_days, regime, week) GROUP BY 1, 2, 3, 4, 5, 6),
+    measured AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, n, CASE WHEN ne > 2 THEN r END AS r, CASE WHEN r IS NOT NULL AND ne > 2 THEN ne END AS ne FROM full_r),
+    tested AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, count(*) AS n_folds, count(fr) AS n_known, count(*) FILTER (WHERE sign(fr) = sign(r)) AS n_agree
+        FROM measured JOIN fold_r USING (feature_name, site_id, horizon_days, lag_days, regime) GROUP BY 1, 2, 3, 4, 5),
+    with_p AS (SELECT *, {P_VALUE} AS p FROM measured),
+    ranked AS (SELECT *, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rank, count(*) OVER () AS m FROM with_p WHERE p IS NOT NULL),
+    q AS (SELECT *, least(1, min(p * m / rank) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS q FROM ranked),
+    grid AS (SELECT site_id, feature_name, CAST(h AS INTEGER) AS horizon_days, regime, CAST(k AS INTEGER) AS lag_days,
+           CASE WHEN feature_name LIKE 'discharge%' AND site_id <> '0-SILENT' THEN 'anomaly' ELSE 'value' END AS series_column
+        FROM (SELECT DISTINCT o_orderpriority AS site_id FROM orders UNION ALL SELECT '0-SILENT'), (VALUES ('discharge_mean'), ('discharge_min'), ('days_below_p05'), ('days_below_p10'), ('days_below_p20')) f(feature_name),
+             (VALUES (7), (14), (21)) a(h), (VALUES ('onset'), ('recovery'), ('all')) b(regime), generate_series(-21, 21) g(k)),
+    swept AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, series_column,
+            CASE WHEN x.r IS NULL THEN 'insufficient_observations' WHEN n_folds IS NULL THEN 'insufficient_folds' ELSE 'scanned' END AS status,
+            x.r AS statistic, x.p AS p_value, coalesce(x.n, 0) AS n_observations, x.ne AS n_effective,
+            CASE WHEN x.r IS NOT NULL THEN CAST(CASE WHEN x.r <> 0 AND n_known > 0 THEN n_known ELSE coalesce(n_folds, 0) END AS INTEGER) END AS folds,
+            CASE WHEN x.r <> 0 AND n_known > 0 THEN CAST(n_agree AS DOUBLE) / n_known END AS directional_consistency, q.q AS q_value, CAST(1 AS BIGINT) AS run_id,
+            (SELECT count(*) FROM q) AS n_tests_adjusted
+        FROM grid LEFT JOIN with_p x USING (feature_name, site_id, horizon_days, lag_days, regime) LEFT JOIN tested USING (feature_name, site_id, horizon_days, lag_days, regime)
+             LEFT JOIN q USING (feature_name, site_id, horizon_days, lag_days, regime)),
+    signals AS (SELECT * REPLACE (round(statistic, 7) AS statistic, round(p_value, 8) AS p_value, round(q_value, 8) AS q_value, round(n_effective, 6) AS n_effective, round(directional_consistency, 8) AS directional_consistency),
+            coalesce(q_value <= 0.05 AND folds >= 5 AND directional_consistency >= 0.7, false) AS passes_gate FROM swept)"""
+
+
+@query(f"WITH {SWEPT} SELECT * FROM signals")
+def full_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of all five features, 43 lags, three horizons and three regimes."""
+    return _swept(spark, sf_dir)
+
+
 @query(f"""WITH {ALIGNED}, {FOLDS_OF_PAIRS},
     full_r AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, {CORR} AS r, count(*) / greatest(1.0, horizon_days / 7.0) AS ne FROM aligned GROUP BY 1, 2, 3, 4, 5),
     fold_r AS (SELECT feature_name, site_id, horizon_days, lag_days, regime, fold, {CORR} AS fr FROM aligned JOIN ab USING (feature_name, site_id, horizon_days, lag_days, regime, week) GROUP BY 1, 2, 3, 4, 5, 6)
     SELECT feature_name, site_id, horizon_days, lag_days, regime, CAST(count(fr) AS INTEGER) AS folds, round(CAST(count(*) FILTER (WHERE sign(fr) = sign(r)) AS DOUBLE) / count(fr), 8) AS directional_consistency
     FROM full_r JOIN fold_r USING (feature_name, site_id, horizon_days, lag_days, regime) WHERE r IS NOT NULL AND r <> 0 AND ne > 2 GROUP BY 1, 2, 3, 4, 5 HAVING count(fr) > 0""")
 def fold_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sweep.measurements(stage(_aligned(spark, sf_dir), "aligned")).where("directional_consistency IS NOT NULL")
+    rows = sweep.measurements(_pairs(spark, sf_dir)).where("directional_consistency IS NOT NULL")
     return rounded(rows.select(*sweep.PAIR, "folds", "directional_consistency"), "directional_consistency", digits=8)
 
 
-@query()
+@query(f"""WITH {SWEPT} SELECT r.run_id, count(s.status) AS n_rows, count(*) FILTER (WHERE passes_gate) AS n_passing, count(*) FILTER (WHERE status = 'scanned') AS n_scanned,
+    count(p_value) AS n_tested, count(*) FILTER (WHERE passes_gate AND lag_days < 0) AS n_passing_negative_lag FROM (VALUES (1::BIGINT), (2::BIGINT)) r(run_id) LEFT JOIN signals s USING (run_id) GROUP BY 1""")
 def sweep_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One logged run and its outcome counts, and a run without rows."""
     runs = spark.range(1, 3).select(F.col("id").alias("run_id"))
     return sweep.run_summary(runs, _swept(spark, sf_dir))
 
 
-@query()
+@query(f"""WITH {SWEPT}, k AS (SELECT *, bool_or(passes_gate) OVER () AS any_ FROM signals WHERE q_value IS NOT NULL),
+    t AS (SELECT * EXCLUDE (any_), CAST(row_number() OVER (ORDER BY q_value, feature_name, site_id, horizon_days, lag_days, regime) AS INTEGER) AS rank FROM k WHERE passes_gate OR NOT any_) SELECT * FROM t WHERE rank <= 10""")
 def sweep_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten smallest q of the run: passing rows, or all if none passes."""
     return reads.best_rows(_swept(spark, sf_dir), "run_id", "q_value", ["feature_name", "site_id", "horizon_days", "lag_days", "regime"], 10)
 
 
-@query()
+@query(f"WITH {SWEPT} SELECT site_id, run_id, min(q_value) AS q_value FROM signals WHERE feature_name = 'days_below_p10' GROUP BY 1, 2")
 def strongest_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sweep.strongest_signal(_swept(spark, sf_dir), "days_below_p10")
 
@@ -866,7 +905,7 @@ def movements_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.read_movements(rows, Date(1996, 1, 1), Date(1998, 12, 31), commodity="A", limit=300)
 
 
-@query()
+@query(f"""WITH {SWEPT} SELECT * FROM signals WHERE feature_name LIKE 'days\\_%' ESCAPE '\\' ORDER BY q_value NULLS LAST, feature_name, site_id, horizon_days, lag_days, regime LIMIT 500""")
 def signals_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page of one run's rows for a pattern of features, smallest q first."""
     return reports.read_signals(_swept(spark, sf_dir), 1, feature="days_*")
