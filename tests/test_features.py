@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import math
+import random
 from datetime import date, datetime, timedelta
+from functools import partial
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tidelane.functions import regimes, seasonal, targets, thresholds
-from tidelane.operators import series
-from tidelane.plans import features
+from tidelane.operators import asof, series
+from tidelane.operators.ranges import ranged as ranged_rows
+from tidelane.plans import analogs, features
 
 DAY = date(2023, 1, 1)
 
@@ -76,7 +80,62 @@ def test_percentiles(spark):
 )
 def test_run_lengths(spark, rows, expected):
     df = frame(spark, rows).withColumn("limit", F.lit(100.0))
-    assert column(thresholds.run_lengths(df, ["site_id"], "limit"), "run") == expected
+    assert column(thresholds.run_lengths(df, ["site_id"], {"run": "limit"}).drop("limit"), "run") == expected
+
+
+def runs_by_hand(rows, limit):
+    """One pass over a site's rows (date, value) in order."""
+    out, run, unknown, before = [], 0, False, None
+    for day, value in rows:
+        gap = before is not None and (day - before).days > 1
+        if value is not None and value >= limit:
+            run, unknown = 0, False
+            out.append(0)
+        else:
+            unknown |= gap or value is None
+            run += value is not None
+            out.append(None if unknown else run)
+        before = day
+    return out
+
+
+@pytest.mark.parametrize("ranges", [1, 7, 40])
+def test_long_series_lie_in_many_ranges(spark, monkeypatch, ranges):
+    """One key with nearly all rows: run lengths, percentiles, events and as-of matches over any number of ranges."""
+    for module in (thresholds, analogs, asof):
+        monkeypatch.setattr(module, "ranged", partial(ranged_rows, ranges=ranges))
+    r = random.Random(ranges)
+    rows = []
+    for site, n in (("long", 900), ("short", 5), ("none", 3)):
+        day = date(2010, 1, 1)
+        for _ in range(n):
+            day += timedelta(days=r.choice([1] * 12 + [2, 30]))
+            rows.append((site, day, None if site == "none" or r.random() < 0.05 else float(r.choice([r.randint(0, 400), 7, 200]))))
+    df = spark.createDataFrame(r.sample(rows, len(rows)), "site_id string, date date, value double").repartition(3)
+    limits = thresholds.thresholds(df, ["site_id"], levels=(5, 10, 50))
+    for x in limits.collect():
+        known = [v for s, _, v in rows if s == x.site_id and v is not None]
+        want = np.percentile(known, [5, 10, 50]).tolist() if known else [None] * 3
+        assert [x.p05, x.p10, x.p50] == [w if w is None else pytest.approx(w) for w in want]
+    got = thresholds.run_lengths(df.withColumns({"a": F.lit(150.0), "b": F.lit(350.0)}), ["site_id"], {"low": "a", "high": "b"}).orderBy("site_id", "date").collect()
+    for site in ("long", "short", "none"):
+        own = [(d, v) for s, d, v in rows if s == site]
+        assert [x.low for x in got if x.site_id == site] == runs_by_hand(own, 150.0) and [x.high for x in got if x.site_id == site] == runs_by_hand(own, 350.0)
+    found = [(s, d) for s, d, v in rows if v is not None and v > 370]
+    events = analogs.collapse(spark.createDataFrame(found, "site_id string, date date").repartition(4), ["site_id"], "date", 20).collect()
+    want, last = [], {}
+    for s, d in found:
+        if s not in last or (d - last[s]).days > 20:
+            want.append([s, d, 0])
+        want[-1][2] += 1
+        last[s] = d
+    assert sorted((e.site_id, e.event_start, e.n_detections) for e in events) == sorted(map(tuple, want)) and len(want) > 5
+    # as of: no key at all, so that everything is one series
+    asked = [(i, date(2009, 12, 1) + timedelta(days=r.randint(0, 2600))) for i in range(300)]
+    right = [(d, v) for s, d, v in rows if s == "long"]
+    out = asof.asof_backward(spark.createDataFrame(asked, "i int, t date").repartition(3), spark.createDataFrame(right, "d date, v double").repartition(2), [], "t", "d", ["v"])
+    best = lambda t: max((x for x in right if x[0] <= t), default=(None, None), key=lambda x: x[0])
+    assert {x.i: (x.d, x.v) for x in out.collect()} == {i: best(t) for i, t in asked}
 
 
 def test_forward_returns(spark):

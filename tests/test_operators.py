@@ -25,8 +25,8 @@ def test_asof_backward_against_a_loop(spark):
     for k, i, t in left:
         match = max(((d, v) for kk, d, v in right if kk == k and d <= t), key=lambda x: x[0], default=(None, None))
         expected[k, i] = match
-    for bucket in (None, "year(t)"):
-        out = {(x.k, x.i): (x.d, x.v) for x in asof.asof_backward(left_df, r, ["k"], "t", "d", ["v"], bucket=bucket).collect()}
+    for long in (True, False):
+        out = {(x.k, x.i): (x.d, x.v) for x in asof.asof_backward(left_df, r, ["k"], "t", "d", ["v"], long_series=long).collect()}
         assert out == expected
 
 

@@ -2,41 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import carried, ranged
+
 
 def asof_backward(
-    left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], bucket: Column | str | None = None, keep_unmatched: bool = True,
+    left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, values: list[str], keep_unmatched: bool = True, long_series: bool = True,
 ) -> DataFrame:
     """Left columns, plus ``right_time`` as matched and ``values``; NULL where nothing precedes.
 
-    Both sides are stacked and the last right row is carried forward in one sort by (keys, time): a right row whose
-    values are NULL is still found, because the row is carried as a struct. Several right rows at one time are
-    resolved to the greatest. Series that are long compared with a task are split by ``bucket`` (a monotonic
-    expression of time, such as "trunc(t, 'year')", with the time as ``t``): rows are carried inside buckets, and
-    the last row of earlier buckets, one a bucket, covers what precedes.
+    Both sides are stacked and the last right row is carried forward by (keys, time): a right row whose values are NULL
+    is still found, because the row is carried as a struct. Several right rows at one time are resolved to the greatest.
+    Rows lie in ranges of (keys, time) by sampled splitters, and a range hands its last right row on, so a series is
+    carried by as many tasks as it needs, and no key may be named at all. Where many short series are known
+    (``long_series`` false) each is carried by one task in one sort, and nothing is written.
     """
     name = "_match"
     r_row = F.struct(F.col(right_time).alias("_at"), *[F.col(c) for c in values])
     stacked = left.select(*keys, F.col(left_time).alias("t"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_left"), F.lit(None).cast(right.select(r_row).schema[0].dataType).alias("_right")).unionByName(
         right.select(*keys, F.col(right_time).alias("t"), F.lit(0).alias("_side"), F.lit(None).cast(left.select(F.struct(*left.columns)).schema[0].dataType).alias("_left"), r_row.alias("_right"))
     )
-    part = list(keys)
-    if bucket is not None:
-        stacked = stacked.withColumn("_bucket", F.expr(bucket) if isinstance(bucket, str) else bucket)
-        part.append("_bucket")
-    w = Window.partitionBy(*part).orderBy("t", "_side", "_right").rowsBetween(Window.unboundedPreceding, 0)
-    carried = stacked.withColumn(name, F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
-    if bucket is not None:
-        ends = stacked.groupBy(*part).agg(F.max_by("_right", F.when(F.col("_right").isNotNull(), F.struct("t", "_right"))).alias("_end"))
-        before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.withColumn("_before", F.last("_end", ignorenulls=True).over(before)).drop("_end")
-        carried = carried.join(ends, part, "left").withColumn(name, F.coalesce(name, "_before"))
+    order = ["t", "_side", "_right"]
+    if long_series:
+        found = carried(ranged(stacked, keys, ["t", "_side"]), keys, order, "_right", name).where("_side = 1")
+    else:
+        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        found = stacked.withColumn(name, F.last("_right", ignorenulls=True).over(w)).where("_side = 1")
     if not keep_unmatched:
-        carried = carried.where(F.col(name).isNotNull())
+        found = found.where(F.col(name).isNotNull())
     matched = right_time if right_time not in left.columns else f"matched_{right_time}"
-    return carried.select("_left.*", F.col(f"{name}._at").alias(matched), *[F.col(f"{name}.{c}").alias(c) for c in values])
+    return found.select("_left.*", F.col(f"{name}._at").alias(matched), *[F.col(f"{name}.{c}").alias(c) for c in values])
 
 
 def asof_lagged(weeks: DataFrame, series: DataFrame, keys: list[str], week: str, date: str, value: str, lags: list[int]) -> DataFrame:

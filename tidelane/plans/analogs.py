@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.targets import log_return
 from ..operators.asof import asof_backward
+from ..operators.ranges import ranged, running_count, with_previous
 from ..session import stage
 
 
@@ -38,9 +39,9 @@ def detections(series: DataFrame, keys: list[str], date: str, value: str, run_le
 
 def collapse(found: DataFrame, keys: list[str], date: str, separation_days: int) -> DataFrame:
     """keys, event_start, n_detections: a detection more than ``separation_days`` after the one before begins an event."""
-    w = Window.partitionBy(*keys).orderBy(date)
-    new = F.coalesce(F.datediff(F.col(date), F.lag(date).over(w)) > separation_days, F.lit(True))
-    numbered = found.withColumn("_new", new).withColumn("_event", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = with_previous(ranged(found.select(*keys, date), keys, [date]), keys, [date], {"_before": date})
+    new = F.coalesce(F.datediff(F.col(date), F.col("_before")) > separation_days, F.lit(True))
+    numbered = running_count(parts, keys, [date], new, "_event")
     return numbered.groupBy(*keys, "_event").agg(F.min(date).alias("event_start"), F.count("*").alias("n_detections")).drop("_event")
 
 
@@ -66,7 +67,7 @@ def states(features: DataFrame, p: Parameters) -> DataFrame:
 
 def query_events(queries: DataFrame, features: DataFrame, p: Parameters) -> tuple[DataFrame, DataFrame]:
     """(events by site, one summary row by query: raw detections, events, query_start where the condition holds)."""
-    found = asof_backward(queries, states(features, p), ["site_id"], "as_of", "date", ["inside", "n_raw", "n_events", "start"])
+    found = asof_backward(queries, states(features, p), ["site_id"], "as_of", "date", ["inside", "n_raw", "n_events", "start"], long_series=False)  # as long as what ``states`` folds
     zero = F.lit(0).cast("long")
     summary = found.select(
         *queries.columns, F.coalesce("n_raw", zero).alias("n_raw_detections"), F.coalesce("n_events", zero).alias("n_collapsed_events"), F.when(F.col("inside"), F.col("start")).alias("query_start")
@@ -176,14 +177,13 @@ def nearest_events(candidates: DataFrame, vecs: DataFrame, firsts: DataFrame, p:
 def outcomes(events: DataFrame, rates: DataFrame, week: str, rate: str, window_days: int, keys: list[str] | None = None) -> DataFrame:
     """Adds reason and log_return: the move from the last week at or before event_start to the last at or before its
     end. A week without a rate is matched, not skipped. The series' reach is judged first, on all weeks.
-    One rate series may serve any number of events, so both are dealt by year."""
+    One rate series may serve any number of events: without keys both sides are one series, carried in ranges."""
     keys = keys or []
-    one = rates.withColumn("_all", F.lit(1))
-    rows = events.withColumns({"_all": F.lit(1), "_end": F.date_add("event_start", window_days)})
-    first = asof_backward(rows, one.select("_all", *keys, week, F.col(rate).alias("_r0")), ["_all", *keys], "event_start", week, ["_r0"], bucket="year(t)").drop(week)
-    both = asof_backward(first, one.select("_all", *keys, week, F.col(rate).alias("_r1")), ["_all", *keys], "_end", week, ["_r1"], bucket="year(t)").drop(week)
-    reach = one.groupBy("_all", *keys).agg(F.max(week).alias("_reach"))
-    joined = both.join(reach, ["_all", *keys], "left")
+    rows = events.withColumn("_end", F.date_add("event_start", window_days))
+    first = asof_backward(rows, rates.select(*keys, week, F.col(rate).alias("_r0")), keys, "event_start", week, ["_r0"]).drop(week)
+    both = asof_backward(first, rates.select(*keys, week, F.col(rate).alias("_r1")), keys, "_end", week, ["_r1"]).drop(week)
+    reach = rates.groupBy(*keys).agg(F.max(week).alias("_reach"))
+    joined = both.join(reach, keys, "left") if keys else both.withColumn("_reach", reach.scalar())
     reason = (
         F.when(F.col("_reach").isNull() | (F.col("_reach") < F.col("_end")), "series_does_not_reach")
         .when(F.col("_r0").isNull(), "no_rate_at_start").when(F.col("_r1").isNull(), "no_rate_at_end").otherwise("complete")

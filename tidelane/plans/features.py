@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.seasonal import MIN_YEARS, anomalies
 from ..functions.targets import HORIZONS, forward_returns
-from ..functions.thresholds import run_lengths, thresholds
+from ..functions.thresholds import LEVELS, run_lengths, thresholds
 from ..sources.sinks import rebuild_window, union_all
 
 #: builder(rows with keys, date, value; keys) -> keys, date, value, anomaly, climatology_n_years
@@ -21,21 +21,24 @@ Builder = Callable[[DataFrame, list[str]], DataFrame]
 @dataclass(frozen=True)
 class Feature:
     name: str
-    builder: Builder
+    builder: Builder | None  # None: days below the ``level`` percentile, built together for all levels of a column
     column: str  # of the daily roll-up
     param: str = "00060"
     group: str = ""  # features of one group differ only in the column they read
+    level: int = 0
 
 
 def deseasonalized(rows: DataFrame, keys: list[str], min_years: int = MIN_YEARS) -> DataFrame:
     return anomalies(rows, keys, min_years=min_years)
 
 
-def days_below(rows: DataFrame, keys: list[str], level: int) -> DataFrame:
-    """Run lengths below a percentile of the full record, which includes days outside any build window."""
-    limit = thresholds(rows, keys, levels=(level,)).withColumnRenamed(f"p{level:02d}", "_limit")
-    runs = run_lengths(rows.join(limit, keys), keys, "_limit")
-    return runs.select(*keys, "date", F.col("run").cast("double").alias("value"), F.lit(None).cast("double").alias("anomaly"), F.lit(None).cast("int").alias("climatology_n_years"))
+def days_below(rows: DataFrame, keys: list[str], levels: dict[str, int]) -> DataFrame:
+    """keys, date, feature_name, value, anomaly, climatology_n_years: run lengths below percentiles of the full record,
+    which includes days outside any build window. All levels are selected at once and scanned in one pass."""
+    limits = thresholds(rows, keys, levels=tuple(sorted(set(levels.values()))))
+    runs = run_lengths(rows.join(limits, keys), keys, {name: f"p{level:02d}" for name, level in levels.items()})
+    each = F.inline(F.array(*[F.struct(F.lit(name).alias("feature_name"), F.col(name).cast("double").alias("value")) for name in levels]))
+    return runs.select(*keys, "date", each).withColumns({"anomaly": F.lit(None).cast("double"), "climatology_n_years": F.lit(None).cast("int")})
 
 
 def registry(min_years: int = MIN_YEARS) -> tuple[Feature, ...]:
@@ -43,9 +46,7 @@ def registry(min_years: int = MIN_YEARS) -> tuple[Feature, ...]:
     return (
         Feature("discharge_mean", seasonal, "value_mean", group="discharge"),
         Feature("discharge_min", seasonal, "value_min", group="discharge"),
-        Feature("days_below_p05", partial(days_below, level=5), "value_min"),
-        Feature("days_below_p10", partial(days_below, level=10), "value_min"),
-        Feature("days_below_p20", partial(days_below, level=20), "value_min"),
+        *[Feature(f"days_below_p{level:02d}", None, "value_min", level=level) for level in LEVELS],
     )
 
 
@@ -61,11 +62,14 @@ def checked(features: tuple[Feature, ...], columns: list[str]) -> tuple[Feature,
 
 def build_features(daily: DataFrame, keys: list[str], features: tuple[Feature, ...] | None = None) -> DataFrame:
     """keys, date, feature_name, value, anomaly, climatology_n_years for every registered feature and all series."""
-    parts = []
+    parts, runs = [], {}
+    rows_of = lambda f: (daily.where(F.col("param_code") == f.param) if "param_code" in daily.columns else daily).select(*keys, "date", F.col(f.column).alias("value"))
     for f in checked(features or registry(), daily.columns):
-        rows = daily.where(F.col("param_code") == f.param) if "param_code" in daily.columns else daily
-        built = f.builder(rows.select(*keys, "date", F.col(f.column).alias("value")), keys)
-        parts.append(built.select(*keys, "date", F.lit(f.name).alias("feature_name"), "value", "anomaly", "climatology_n_years"))
+        if f.builder is None:
+            runs.setdefault((f.param, f.column), []).append(f)
+        else:
+            parts.append(f.builder(rows_of(f), keys).select(*keys, "date", F.lit(f.name).alias("feature_name"), "value", "anomaly", "climatology_n_years"))
+    parts += [days_below(rows_of(same[0]), keys, {f.name: f.level for f in same}) for same in runs.values()]
     return union_all(parts)
 
 

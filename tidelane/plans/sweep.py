@@ -86,7 +86,7 @@ def pair_moments(series: DataFrame, targets: DataFrame, lags: list[int], horizon
     A series and lag has its weeks once, in order, for all horizons and regimes: the members of a pair are filtered
     from that list, and folds are slices of what is left, so no row of a pair is ever made or shuffled. Testing starts
     with the first week more than a horizon after the pair's ``min_train``-th. A list is as long as the calendar has
-    weeks.
+    weeks. The result is small and written, since several expressions read each block.
     """
     value = lambda h: F.max(F.when(F.col("horizon_days") == h, F.col("value"))).alias(f"y{h}")
     known = targets.where(F.col("value").isNotNull() & F.col("horizon_days").isin(*horizons))
@@ -107,7 +107,7 @@ def pair_moments(series: DataFrame, targets: DataFrame, lags: list[int], horizon
     tested = F.transform(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: cut(f, F.col("_first") + f * F.col("_block"), F.when(f < n_folds - 1, F.col("_block")).otherwise(rest - f * F.col("_block"))))
     cuts = F.when(F.col("_block") > 0, F.concat(F.array(cut(F.lit(None), F.lit(0), F.col("_first"))), tested)).otherwise(F.array(cut(F.lit(None), F.lit(0), F.size("members"))))
     blocks = F.transform(F.filter("_cuts", lambda c: c["n"] > 0), lambda c: F.struct(c["fold"].alias("fold"), moments(F.slice("members", c["start"], c["n"])).alias("m")))
-    return pairs.where(F.size("members") > 0).withColumn("_cuts", cuts).select(*PAIR, blocks.alias("blocks"))
+    return stage(pairs.where(F.size("members") > 0).withColumn("_cuts", cuts).select(*PAIR, blocks.alias("blocks")), "pairs")
 
 
 def align(series: DataFrame, targets: DataFrame, lags: list[int]) -> DataFrame:

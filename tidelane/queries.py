@@ -71,7 +71,7 @@ def lows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def runs_below(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lows(spark, sf_dir)
     limits = thresholds.thresholds(rows, ["site_id"], levels=(10,)).withColumnRenamed("p10", "_p10")
-    return thresholds.run_lengths(rows.join(limits, "site_id"), ["site_id"], "_p10").drop("_p10")
+    return thresholds.run_lengths(rows.join(limits, "site_id"), ["site_id"], {"run": "_p10"}).drop("_p10")
 
 
 def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -309,9 +309,9 @@ def asof_backward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(ORACLE_SQL["asof_backward"])
 def asof_by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same join with long series split by year."""
+    """The same join for series that are known to be short (some years of days), each carried by one task."""
     weeks, days = _weeks_and_days(spark, sf_dir)
-    return asof.asof_backward(weeks, days, ["site_id"], "week_ending", "date", ["value_min"], bucket="year(t)")
+    return asof.asof_backward(weeks, days, ["site_id"], "week_ending", "date", ["value_min"], long_series=False)
 
 
 @query(f"""WITH {ASOF}, lagged AS (SELECT site_id, week_ending, CAST(k AS INT) AS lag_days, CAST(week_ending - CAST(k AS INT) AS DATE) AS anchor FROM weeks, generate_series(-21, 21, 7) g(k))
