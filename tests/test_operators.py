@@ -62,7 +62,7 @@ def test_merge_changes_and_rerun(spark, tmp_path):
     assert sinks.write_merge(spark, path, rows, ["k"], ["y", "v"], "y") == 0
     later = spark.createDataFrame([(1, 2020, 0.0), (3, 2021, 7.0), (4, 2022, 1.0)], "k int, y int, v double")
     assert sinks.write_merge(spark, path, later, ["k"], ["y", "v"], "y") == 2
-    got = {r.k: r.v for r in spark.read.parquet(path).collect()}
+    got = {r.k: r.v for r in sinks.read_table(spark, path, rows.schema).collect()}
     assert got == {1: 0.0, 2: 5.0, 3: 7.0, 4: 1.0}
 
 
@@ -72,7 +72,7 @@ def test_merge_moves_a_key_to_another_partition(spark, tmp_path):
     assert sinks.write_merge(spark, path, spark.createDataFrame([(1, "x/ y", 10), (2, "z", 5), (3, "z", 6)], schema), ["k"], ["v"], "p") == 3
     moved = spark.createDataFrame([(1, "y", 11), (2, "z", 7)], schema)
     assert sinks.write_merge(spark, path, moved, ["k"], ["v"], "p") == 2
-    assert sorted(map(tuple, spark.read.schema(schema).parquet(path).select("k", "p", "v").collect())) == [(1, "y", 11), (2, "z", 7), (3, "z", 6)]
+    assert sorted(map(tuple, sinks.read_table(spark, path, schema).select("k", "p", "v").collect())) == [(1, "y", 11), (2, "z", 7), (3, "z", 6)]
     assert sinks.write_merge(spark, path, moved, ["k"], ["v"], "p") == 0
     with pytest.raises(ValueError, match="several source rows"):
         sinks.write_merge(spark, path, spark.createDataFrame([(9, "y", 1), (9, "y", 2)], schema), ["k"], ["v"], "p")
@@ -88,7 +88,8 @@ def test_windowed_builds_write_only_their_window(spark, tmp_path):
     assert n == 30 * 5
     assert features.write_features(spark, path, rolled, ["site_id"], "2020-06-01", "2020-07-01", features.registry(min_years=2)) == 5
     full = features.build_features(rolled, ["site_id"], features.registry(min_years=2)).where("date between '2020-06-01' and '2020-07-01'")
-    assert spark.read.parquet(path).select(full.columns).exceptAll(full).isEmpty() and full.count() == spark.read.parquet(path).count()
+    written = sinks.read_table(spark, path, full.withColumn("year", F.year("date")).schema)
+    assert written.select(full.columns).exceptAll(full).isEmpty() and full.count() == written.count()
     weekly = spark.createDataFrame([(D + timedelta(days=7 * i), 100.0 + i) for i in range(40)], "w date, rate double")
     path = f"file://{tmp_path}/targets"
     assert features.write_targets(spark, path, weekly, "w", "rate", "t", "2020-01-01", "2020-01-31") == 5 * 3
@@ -97,13 +98,48 @@ def test_windowed_builds_write_only_their_window(spark, tmp_path):
         features.write_targets(spark, path, weekly, "w", "rate", "t", "2020-02-01", "2020-01-31")
 
 
-def test_analog_log_keeps_refusals(spark, tmp_path):
+def test_a_crash_or_another_writer_leaves_one_version(spark, tmp_path, monkeypatch):
+    path, schema = f"file://{tmp_path}/table", "k int, p string, v int"
+    rows = lambda *r: spark.createDataFrame(list(r), schema)
+    held = lambda **k: sorted(map(tuple, sinks.read_table(spark, path, schema, **k).select("k", "p", "v").collect()))
+    assert held() == []
+    sinks.write_merge(spark, path, rows((1, "x", 1), (2, "y", 2)), ["k"], ["v"], "p")
+    moved = rows((1, "y", 5), (3, None, 3))
+
+    def crash(*_):
+        raise OSError("stopped")
+
+    with monkeypatch.context() as m:  # data is written, the version is not
+        m.setattr(sinks, "_commit", crash)
+        with pytest.raises(OSError):
+            sinks.write_merge(spark, path, moved, ["k"], ["v"], "p")
+    assert held() == [(1, "x", 1), (2, "y", 2)]
+    real = sinks._commit
+
+    def late(spark, path, version, parts):  # another job commits between this one's reading and its commit
+        monkeypatch.setattr(sinks, "_commit", real)
+        assert sinks.write_merge(spark, path, rows((9, "x", 9)), ["k"], ["v"], "p") == 1
+        real(spark, path, version, parts)
+
+    monkeypatch.setattr(sinks, "_commit", late)
+    with pytest.raises(sinks.Conflict):
+        sinks.write_merge(spark, path, moved, ["k"], ["v"], "p")
+    assert held() == [(1, "x", 1), (2, "y", 2), (9, "x", 9)]
+    assert sinks.write_merge(spark, path, moved, ["k"], ["v"], "p") == 2
+    after = [(1, "y", 5), (2, "y", 2), (3, None, 3), (9, "x", 9)]
+    assert held() == after
+    assert held(version=1) == [(1, "x", 1), (2, "y", 2)]
+    assert sinks.expire(spark, path) >= 2 and held() == after
+    assert sinks.write_merge(spark, path, moved, ["k"], ["v"], "p") == 0
+
+
+def test_analog_log_keeps_refusals_and_counts_a_batch_once(spark, tmp_path):
     queries, matches = f"file://{tmp_path}/queries", f"file://{tmp_path}/matches"
     q = spark.createDataFrame([("a", "passed"), ("b", "insufficient_analogs")], "query_id string, gate_result string")
     m = spark.createDataFrame([("a", 1, 0.5)], "query_id string, rank int, distance double")
-    for _ in range(2):
-        sinks.append_analogs(queries, matches, q, m)
-    assert spark.read.parquet(queries).count() == 4 and spark.read.parquet(matches).groupBy("query_id").count().collect() == [("a", 2)]
+    assert [sinks.append_analogs(queries, matches, q, m, batch) for batch in ("2024/1", "2024/1", "2024/2", "2024/2")] == [2, 0, 2, 0]
+    assert sinks.read_batches(spark, queries, queries, q.schema).count() == 4
+    assert sinks.read_batches(spark, queries, matches, m.schema).groupBy("query_id").count().collect() == [("a", 2)]
 
 
 def test_what_was_known_on_a_day(spark):
@@ -137,8 +173,13 @@ def test_run_log_counts_have_to_agree(spark, tmp_path):
     assert sinks.append_run(runs, rows, run, cells, 2) == 2
     with pytest.raises(ValueError, match="grid is empty"):
         sinks.append_run(runs, rows, run, cells, 0)
-    with pytest.raises(ValueError):
-        sinks.append_run(runs, rows, run.withColumn("run_id", F.lit(2).cast("long")), cells.withColumn("run_id", F.lit(2).cast("long")), 3)
+    assert sinks.append_run(runs, rows, run, cells, 2) == 0
+    second = run.withColumn("run_id", F.lit(2).cast("long")), cells.withColumn("run_id", F.lit(2).cast("long"))
+    with pytest.raises(ValueError, match="2 rows for a grid of 3"):
+        sinks.append_run(runs, rows, *second, 3)
+    logged = lambda: (sinks.read_batches(spark, runs, runs, run.schema).count(), sinks.read_batches(spark, runs, rows, cells.schema).count())
+    assert logged() == (1, 2)  # a refused run leaves nothing to be read
+    assert sinks.append_run(runs, rows, *second, 2) == 2 and logged() == (2, 4)
 
 
 def test_extract_writes_null_as_empty(spark, tmp_path):

@@ -71,11 +71,16 @@ def clear_staged(spark: SparkSession, path: str | None = None) -> None:
     p.getFileSystem(context._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, which goes with the staged tables; for what is written by other means."""
+    return f"{_staging(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: lineage ends there, any executor can be lost,
     and what several later steps read is computed once."""
     spark = df.sparkSession
-    path = f"{_staging(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     schema = df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)

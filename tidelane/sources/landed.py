@@ -59,9 +59,14 @@ def missing(raw: Column) -> Column:
 # --- time-series bodies ---------------------------------------------------------------------------------------
 
 
-def series_points(spark: SparkSession, path: str) -> DataFrame:
+def _bodies(spark: SparkSession, path: str, schema: str, lines: bool) -> DataFrame:
+    """Landed JSON, a body a file, or a body a line: files of lines are split among tasks."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def series_points(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """One row for each published point, raw, with its series header and its place in the file."""
-    body = spark.read.schema(schemas.SERIES_BODY).option("multiLine", True).json(path)
+    body = _bodies(spark, path, schemas.SERIES_BODY, lines)
     series = body.select(F.col("_metadata.file_path").alias("file"), F.posexplode("value.timeSeries").alias("series_at", "s"))
     blocks = series.select("file", "series_at", "s", F.posexplode("s.values").alias("block_at", "b"))
     points = blocks.select("file", "series_at", "block_at", "s", F.posexplode("b.value").alias("point_at", "p"))
@@ -108,14 +113,14 @@ def only_requested(readings: DataFrame, requested: DataFrame, keys: list[str]) -
 # --- weekly records -------------------------------------------------------------------------------------------
 
 
-def rate_records(spark: SparkSession, paths: dict[str, str], horizons: dict[str, str] = HORIZONS) -> Parsed:
+def rate_records(spark: SparkSession, paths: dict[str, str], horizons: dict[str, str] = HORIZONS, lines: bool = False) -> Parsed:
     """Weekly rates; the horizon is a property of the dataset a record came in, never of the record."""
     unknown = set(paths) - set(horizons)
     if unknown:
         raise ValueError(f"datasets without a horizon: {sorted(unknown)}")
     parts = []
     for dataset, path in paths.items():
-        body = spark.read.schema(schemas.RATE_BODY).option("multiLine", True).json(path)
+        body = _bodies(spark, path, schemas.RATE_BODY, lines)
         parts.append(body.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))).withColumn("horizon", F.lit(horizons[dataset])))
     df = parts[0]
     for more in parts[1:]:
@@ -135,9 +140,9 @@ def rate_records(spark: SparkSession, paths: dict[str, str], horizons: dict[str,
     return Parsed(out.rows.withColumnRenamed("month", "rate_month"), out.rejects)
 
 
-def movement_records(spark: SparkSession, path: str) -> Parsed:
+def movement_records(spark: SparkSession, path: str, lines: bool = False) -> Parsed:
     """Weekly lock movements; keys are required, tons are not."""
-    body = spark.read.schema(schemas.MOVEMENT_BODY).option("multiLine", True).json(path)
+    body = _bodies(spark, path, schemas.MOVEMENT_BODY, lines)
     tons, bad = optional(F.col("tons"), "decimal(18,6)")
     df = body.withColumn("seq", F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row"))).withColumns({"week_ending": calendar_date(F.col("date")), "parsed": tons})
     reasons = [_reason("no_lock", missing(F.col("lock"))), _reason("no_commodity", missing(F.col("commodity"))), _reason("bad_date", F.col("week_ending").isNull()), _reason("bad_tons", bad)]
@@ -145,9 +150,9 @@ def movement_records(spark: SparkSession, path: str) -> Parsed:
     return Parsed(out.rows.withColumnRenamed("parsed", "tons"), out.rejects)
 
 
-def classify_bodies(spark: SparkSession, path: str) -> DataFrame:
+def classify_bodies(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
     """(file, outcome): rows, empty_page, error_object, other_json, or outside_record for a body that is no JSON."""
-    body = spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
+    body = spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("v"))
     kind = F.schema_of_variant("v")
     outcome = (
         F.when(F.col("v").isNull(), "outside_record")

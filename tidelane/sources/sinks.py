@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from functools import reduce
+from urllib.parse import quote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,16 +32,74 @@ def merged(target: DataFrame, source: DataFrame, keys: list[str], values: list[s
     return both.select(*keys, F.coalesce("_s", "_t").alias("_r")).select(*keys, "_r.*")
 
 
+class Conflict(RuntimeError):
+    """Another writer has committed in between; nothing of this write is visible."""
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    fs, p = _hadoop(spark, f"{path.rstrip('/')}/_versions")
+    return sorted(int(s.getPath().getName()) for s in fs.listStatus(p) if s.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def _manifest(spark: SparkSession, path: str, version: int | None = None) -> tuple[int, dict[str, str]]:
+    """(version, {partition folder: data folder that holds it}) of the newest version, or of a stated one."""
+    version = version or max(_versions(spark, path), default=0)
+    if not version:
+        return 0, {}
+    text = spark.read.text(f"{path.rstrip('/')}/_versions/{version}", wholetext=True).first()
+    return version, dict(line.split("\t", 1)[::-1] for line in text.value.splitlines()) if text else {}
+
+
+def read_table(spark: SparkSession, path: str, schema, version: int | None = None) -> DataFrame:
+    """A table that ``write_merge`` keeps: one committed version, whatever is being written or was left behind."""
+    base, held = path.rstrip("/"), _manifest(spark, path, version)[1]
+    by_write: dict[str, list[str]] = {}
+    for partition, write in held.items():
+        by_write.setdefault(write, []).append(f"{base}/{write}/{partition}")
+    parts = [spark.read.schema(schema).option("basePath", f"{base}/{write}").parquet(*paths) for write, paths in sorted(by_write.items())]
+    return union_all(parts) if parts else spark.createDataFrame([], schema)
+
+
+def _commit(spark: SparkSession, path: str, version: int, held: dict[str, str]) -> None:
+    """Makes a version visible by one rename of its complete list of partitions."""
+    base = path.rstrip("/")
+    fs, final = _hadoop(spark, f"{base}/_versions/{version}")
+    _, written = _hadoop(spark, f"{base}/_versions/.{uuid.uuid4().hex}")
+    out = fs.create(written, False)
+    out.write(bytearray("".join(f"{write}\t{partition}\n" for partition, write in sorted(held.items())), "utf-8"))
+    out.close()
+    if fs.exists(final) or not fs.rename(written, final):
+        fs.delete(written, False)
+        raise Conflict(f"version {version} of {path} was written by another job")
+
+
+def expire(spark: SparkSession, path: str, keep: int = 1) -> int:
+    """Deletes versions but the newest ``keep`` and all data folders that those do not hold (what crashed or lost a
+    conflict left behind too); how many folders went. Not while another writer is at work."""
+    base, versions = path.rstrip("/"), _versions(spark, path)
+    kept = {w for v in versions[-keep:] for w in _manifest(spark, path, v)[1].values()}
+    for v in versions[:-keep]:
+        _delete(spark, f"{base}/_versions/{v}")
+    fs, p = _hadoop(spark, base)
+    gone = [s.getPath().getName() for s in fs.listStatus(p) if s.getPath().getName().startswith("write-") and s.getPath().getName() not in kept]
+    for name in gone:
+        _delete(spark, f"{base}/{name}")
+    return len(gone)
+
+
 def write_merge(spark: SparkSession, path: str, source: DataFrame, keys: list[str], values: list[str], partition: str) -> int:
-    """Merges into a Parquet table partitioned by ``partition`` and returns how many rows changed.
+    """Merges into a versioned Parquet table partitioned by ``partition`` and returns how many rows changed.
 
-    Only partitions with a change are rewritten, from a staged copy, so no job reads what it overwrites; a key that
-    moves to another partition leaves its old one, which goes when nothing is left in it. A rerun changes 0 rows and
-    writes nothing. A source with several rows of one key is an error.
+    Only partitions with a change are rewritten, into a data folder of this write; then a new version, the list of
+    which folder holds which partition, replaces the last in one step. Readers (``read_table``) see the version before
+    or the one after, a crash in between leaves the one before, and of two writers at once one gets a Conflict. A key
+    that moves to another partition leaves its old one. A rerun changes 0 rows and writes nothing. A source with
+    several rows of one key is an error.
     """
     carried = [c for c in dict.fromkeys([*values, partition]) if c not in keys]
     source = source.select(*keys, *carried)
-    target = spark.read.schema(source.schema).parquet(path) if _exists(spark, path) else source.limit(0)
+    version, held = _manifest(spark, path)
+    target = read_table(spark, path, source.schema, version) if version else source.limit(0)
     delta = changes(target, source, keys, carried).persist()
     try:
         n = delta.count()
@@ -52,15 +111,14 @@ def write_merge(spark: SparkSession, path: str, source: DataFrame, keys: list[st
             touched = delta.select(partition).unionByName(left.select(partition)).distinct()
             # rows of a touched partition whose own key did not change stay as they are
             stays = target.join(touched, target[partition].eqNullSafe(touched[partition]), "left_semi").join(delta.select(*keys), keys, "left_anti")
-            staged = f"{path.rstrip('/')}_staged_{uuid.uuid4().hex}"
-            stays.select(*keys, *carried).unionByName(delta.select(*keys, *carried)).write.parquet(staged)
-            rows = spark.read.schema(source.schema).parquet(staged)
-            # the values of touched partitions, a folder name each, are all that the driver sees
-            empty = touched.select(F.struct(partition).alias("p")).exceptAll(rows.select(F.struct(partition).alias("p")).distinct()).collect()
-            rows.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
-            for r in empty:
-                _delete(spark, f"{path.rstrip('/')}/{_partition_folder(spark, partition, r.p[0])}")
-            _delete(spark, staged)
+            write = f"write-{uuid.uuid4().hex}"
+            folder = f"{path.rstrip('/')}/{write}"
+            stays.select(*keys, *carried).unionByName(delta.select(*keys, *carried)).repartition(partition).write.partitionBy(partition).parquet(folder)
+            # the names of partitions, a folder each, are all that the driver sees
+            gone = {_partition_folder(spark, partition, r[0]) for r in touched.collect()}
+            fs, p = _hadoop(spark, folder)
+            new = {s.getPath().getName(): write for s in fs.listStatus(p) if s.isDirectory()}
+            _commit(spark, path, version + 1, {k: w for k, w in held.items() if k not in gone} | new)
         return n
     finally:
         delta.unpersist()
@@ -82,11 +140,6 @@ def _hadoop(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, p = _hadoop(spark, path)
-    return fs.exists(p)
-
-
 def _delete(spark: SparkSession, path: str) -> None:
     fs, p = _hadoop(spark, path)
     fs.delete(p, True)
@@ -99,25 +152,52 @@ def window_of(rows: DataFrame, column: str, start: str, end: str) -> DataFrame:
     return rows.where(F.col(column).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
+def append_batch(spark: SparkSession, log: str, batch: str, tables: dict[str, DataFrame], check=None) -> dict[str, int]:
+    """Appends a batch to the tables of a log, once: how many rows each got, 0 for a batch that is committed already.
+
+    Each table gets a folder for the batch; the batch counts when its name stands in the log, which is the last step
+    and a single one. Until then a repeated call writes its folders anew, so a crash or a retry never doubles rows, and
+    readers (``read_batches``) never see part of a batch. ``check`` of the counts may refuse the batch before that.
+    """
+    name = quote(str(batch), safe="")
+    fs, done = _hadoop(spark, f"{log.rstrip('/')}/_batches/{name}")
+    if fs.exists(done):
+        return dict.fromkeys(tables, 0)
+    counts = {}
+    for path, rows in tables.items():
+        folder = f"{path.rstrip('/')}/batch={name}"
+        rows.write.mode("overwrite").parquet(folder)
+        counts[path] = spark.read.schema(rows.schema).parquet(folder).count()
+    if check:
+        check(counts)
+    fs.create(done, False).close()
+    return counts
+
+
+def read_batches(spark: SparkSession, log: str, path: str, schema) -> DataFrame:
+    """The rows of a log's table that belong to committed batches."""
+    fs, p = _hadoop(spark, f"{log.rstrip('/')}/_batches")
+    names = sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+    return spark.read.schema(schema).parquet(*[f"{path.rstrip('/')}/batch={n}" for n in names]) if names else spark.createDataFrame([], schema)
+
+
 def append_run(runs_path: str, rows_path: str, run: DataFrame, rows: DataFrame, grid_size: int) -> int:
-    """Logs a run before its rows, then appends all rows, null results included; the counts have to agree. A run
-    over an empty grid is refused before anything is logged."""
+    """Logs a run before its rows, then all rows, null results included, and commits both if the counts agree; how
+    many rows were added, 0 for a run that is logged already. A run over an empty grid is refused before anything is
+    logged."""
     if grid_size < 1:
         raise ValueError("the grid is empty: there is nothing to scan, and no run is logged")
-    spark = run.sparkSession
-    run.write.mode("append").parquet(runs_path)
-    rows.write.mode("append").partitionBy("run_id").parquet(rows_path)
-    ids = run.select("run_id").distinct()
-    n = spark.read.parquet(rows_path).join(ids, "run_id", "left_semi").count()
-    if n != grid_size:
-        raise ValueError(f"{n} rows logged for a grid of {grid_size}")
-    return n
-
-
-def append_analogs(queries_path: str, matches_path: str, queries: DataFrame, matches: DataFrame) -> None:
-    """Logs every query, refusals included, and the matches of each."""
-    queries.write.mode("append").parquet(queries_path)
-    matches.write.mode("append").parquet(matches_path)
+
+    def check(counts: dict[str, int]) -> None:
+        if counts[rows_path] != grid_size:
+            raise ValueError(f"{counts[rows_path]} rows for a grid of {grid_size}: the run is not logged")
+
+    return append_batch(run.sparkSession, runs_path, run.select("run_id").distinct().first()[0], {runs_path: run, rows_path: rows}, check)[rows_path]
+
+
+def append_analogs(queries_path: str, matches_path: str, queries: DataFrame, matches: DataFrame, batch: str) -> int:
+    """Logs a batch of queries, refusals included, and the matches of each, once; how many queries were added."""
+    return append_batch(queries.sparkSession, queries_path, batch, {queries_path: queries, matches_path: matches})[queries_path]
 
 
 def write_extract(rows: DataFrame, path: str) -> None:
