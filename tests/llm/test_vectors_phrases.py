@@ -170,7 +170,8 @@ def texts(seed=5):
 @pytest.mark.parametrize("size", [7, 100, 1 << 20])
 def test_phrases_are_those_of_a_plain_count(spark, monkeypatch, size):
     monkeypatch.setattr(phrases, "SLICE_BYTES", size)
-    monkeypatch.setattr(phrases, "HELD", 50 if size < 1000 else 1 << 21)
+    monkeypatch.setattr(phrases, "HELD", 50 if size < 1000 else 1 << 20)
+    monkeypatch.setattr(phrases, "HELD_BYTES", 3000 if size < 1000 else 1 << 25)
     monkeypatch.setattr(phrases, "_powers", {})
     rows = texts()
     df = spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "doc_id long, lang string, text string, n int").repartition(3)

@@ -28,9 +28,10 @@ from pyspark.sql import functions as F
 from .common import LOWER, UPPER, prepare, stage
 
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
-SLICE_BYTES = 1 << 20
-PART_MASS = 1 << 23  # occurrences that one summary stands for
-HELD = 1 << 21  # hashes, or phrases, that a task holds before it passes them on
+SLICE_BYTES = 1 << 18
+PART_MASS = 1 << 21  # occurrences that one summary stands for
+HELD = 1 << 19  # hashes that a task holds before it passes them on
+HELD_BYTES = 1 << 24  # of words or phrases with their counts, likewise
 FILTER_BITS = 1 << 28  # at most; 32 bits for each survivor otherwise
 SEGMENTS = 64
 
@@ -263,10 +264,12 @@ def _survivors(summaries: DataFrame, threshold: int) -> DataFrame:
 # --- exact counts --------------------------------------------------------------------------------------------------
 
 
-def _rows(counts: dict[str, Counter]) -> pa.RecordBatch:
-    flat = [(lang, phrase, n) for lang, c in counts.items() for phrase, n in c.items()]
-    lang, phrase, n = zip(*flat) if flat else ([], [], [])
-    return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(phrase, pa.binary()), pa.array(n, pa.int64())], names=["lang", "phrase", "f"])
+def _rows(counts: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+    """One batch for each language; the counts are given up as they go."""
+    while counts:
+        lang, c = counts.popitem()
+        columns = [pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(c), np.int8)), pa.array([lang])).dictionary_decode(), pa.array(c.keys(), pa.binary()), pa.array(c.values(), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "phrase", "f"])
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -286,11 +289,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     words, before = text[at:cut].split(), len(mine)
                     mine.update(words)
                     mine[None] += len(words)
-                    held, at = held + (len(mine) - before) * (60 + (cut - at) // max(1, len(words))), cut
-                if held >= HELD * 32:
-                    yield _rows(counts)
-                    counts, held = {}, 0
-        yield _rows(counts)
+                    held, at = held + (len(mine) - before) * (120 + (cut - at) // max(1, len(words))), cut
+                if held >= HELD_BYTES:
+                    yield from _rows(counts)
+                    held = 0
+        yield from _rows(counts)
 
     return docs.mapInArrow(run, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
@@ -311,11 +314,11 @@ def _phrase_counts(docs: DataFrame, most: int, pairs, longer) -> DataFrame:
                 a, e = w.start[at].tolist(), w.end[at + k - 1].tolist()
                 mine.update([b" ".join(w.text[x:y].split(b" ")) if b"  " not in w.text[x:y] else b" ".join(filter(None, w.text[x:y].split(b" "))) for x, y in zip(a, e)])
                 n = max(n, sum(e) - sum(a)) if a else n
-            held += (len(mine) - before) * 100
-            if held >= HELD * 32 or n > HELD * 32:
-                yield _rows(counts)
-                counts, held = {}, 0
-        yield _rows(counts)
+            held += (len(mine) - before) * 200
+            if held >= HELD_BYTES or n > HELD_BYTES:
+                yield from _rows(counts)
+                held = 0
+        yield from _rows(counts)
 
     return docs.mapInArrow(run, "lang string, phrase binary, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
