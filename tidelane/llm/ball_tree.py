@@ -155,7 +155,7 @@ def top_k(
     ``is_query`` is a condition on ``vec_id``. Components are floor(scale * x); scores are exact integer inner
     products, and those beyond a long count as the nearest long. Candidates are all rows but those of the query's own
     id; fewer than k give fewer rows. Vectors that are null or hold null or non-finite components take no part, nor do
-    rows without an id; rows that repeat an id and vector count once, and several vectors of an id are candidates (and
+    those with a component whose product with ``scale`` is beyond a double (7e305 and more at 256) or rows without an id; rows that repeat an id and vector count once, and several vectors of an id are candidates (and
     queries, whose results count together) each. Vectors of different lengths are searched among their own length, the
     empty ones too, whose scores are 0.
     """

@@ -25,7 +25,7 @@ from .subwords import slices
 LENGTH, GRAM = 100, 32
 _SAME = np.arange(256, dtype=np.uint8)
 SORTED_WINDOWS = 100_000  # windows sorted at once
-SPLIT_RUNS = 100_000  # runs of one leading string that a task takes; more are dealt to several
+SPLIT_RUNS = 20_000  # runs of one leading string that a task takes; more are dealt to several
 
 
 def byte_runs(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -172,20 +172,20 @@ def _compared(segments: DataFrame, length: int) -> DataFrame:
     def at_boundary(doc, v, lo, n, seg):
         """For each distinct window the places in its least document that this part has not settled: the first in
         each text."""
-        least: dict[bytes, dict[int, int]] = {}
-        owner: dict[bytes, int] = {}
-        for d, w, p, count, s in zip(doc.tolist(), v.tolist(), lo.tolist(), n.tolist(), seg):
-            for i in range(count):
-                digest = hashlib.blake2b(s[i : i + length], digest_size=16).digest()
-                known = owner.get(digest)
-                if known is None or d < known:
-                    owner[digest], least[digest] = d, {w: p + i}
-                elif d == known:
-                    least[digest][w] = min(p + i, least[digest].get(w, p + i))
-        out = [(owner[x], w, p, x) for x, places in least.items() for w, p in places.items()]
-        if out:
-            doc, v, start, digest = zip(*out)
-            yield rows(doc, v, start, digest=list(digest))
+        names = b"".join(b"".join(hashlib.blake2b(s[i : i + length], digest_size=16).digest() for i in range(count)) for count, s in zip(n.tolist(), seg))
+        digest = np.frombuffer(names, "<u8").reshape(-1, 2)
+        run = np.repeat(np.arange(len(n)), n)
+        start = lo[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+        doc, v = doc[run], v[run]
+        order = np.lexsort((start, v, doc, digest[:, 1], digest[:, 0]))
+        digest, doc, v, start = digest[order], doc[order], v[order], start[order]
+        new = np.concatenate([[True], (digest[1:] != digest[:-1]).any(1)])
+        owner = doc[np.flatnonzero(new)][np.cumsum(new) - 1]
+        first = new | np.concatenate([[True], (doc[1:] != doc[:-1]) | (v[1:] != v[:-1])])
+        keep = np.flatnonzero(first & (doc == owner))
+        for k in range(0, len(keep), 50_000):
+            at = keep[k : k + 50_000]
+            yield rows(doc[at], v[at], start[at], digest=[x.tobytes() for x in digest[at]])
 
     def run(batches):
         yield from by_sorted_key(batches, 8, sort_runs)
