@@ -56,11 +56,15 @@ def window_coverage(windows: DataFrame, rows: DataFrame, key: str, time: str, da
     return windows.join(counts, [key, "w_start"], "left").withColumn("n_readings", F.coalesce("n_readings", F.lit(0).cast("long")))
 
 
-def site_results(coverage: DataFrame, key: str, walked_from_seed: Column | None = None) -> DataFrame:
-    """Windows, empty windows, readings and first date of each key."""
-    return coverage.groupBy(key).agg(
+def site_results(coverage: DataFrame, starts: DataFrame, key: str) -> DataFrame:
+    """Windows, empty windows, readings and first date of each key, and ``walked_from_seed``: whether its walk began at
+    the registry's floor (``starts`` as ``backfill_starts`` gives them). Only then the first date is that of the record;
+    a resumed walk's is where it resumed, and ``record_start`` is NULL."""
+    out = coverage.groupBy(key).agg(
         F.count("*").alias("n_windows"), F.count_if(F.col("n_readings") == 0).alias("n_empty"), F.sum("n_readings").alias("n_readings"), F.min("first_date").alias("first_date")
-    ).withColumn("walked_from_seed", walked_from_seed if walked_from_seed is not None else F.lit(False))
+    )
+    walked = starts.select(key, (F.col("status") == "from_floor").alias("walked_from_seed"))
+    return out.join(walked, key, "left").withColumn("record_start", F.when(F.col("walked_from_seed"), F.col("first_date")))
 
 
 def explain_empty(windows: DataFrame, gaps: DataFrame, key: str, source: str) -> DataFrame:

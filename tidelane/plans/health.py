@@ -25,9 +25,13 @@ def newest_rows(tables: dict[str, tuple[DataFrame | None, str]]) -> DataFrame:
 
 
 def freshness(newest: DataFrame, limits: DataFrame, now: Column) -> DataFrame:
-    """Adds job_name, max_staleness_s, age_s and stale. An empty or uncheckable table is stale."""
+    """Adds job_name, max_staleness_s, age_s and stale. An empty or uncheckable table is stale. Where the limits say how
+    often a table is published (cycle_s) and how late (lag_s), ``below_floor`` tells those that are too tight to let one
+    publication be missed, which alarm while all is well."""
     age = F.unix_timestamp(now) - F.unix_timestamp("newest")
     rows = limits.join(newest, "table", "left").withColumn("age_s", age)
+    if {"cycle_s", "lag_s"} <= set(limits.columns):
+        rows = rows.withColumn("below_floor", F.col("max_staleness_s") < staleness_limit(F.col("cycle_s"), F.col("lag_s")))
     return rows.withColumn("stale", F.col("error").isNotNull() | F.col("age_s").isNull() | (F.col("age_s") > F.col("max_staleness_s")))
 
 

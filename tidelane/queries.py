@@ -260,9 +260,22 @@ def instant_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover.select("site_id", "w_start", "w_end", "n_readings", F.col("first_date").alias("first_ts"))
 
 
-@query(f"""WITH {TILES} SELECT site_id, count(*) AS n_windows, count(*) FILTER (WHERE n_readings = 0) AS n_empty, CAST(sum(n_readings) AS BIGINT) AS n_readings, min(first_date) AS first_date, false AS walked_from_seed FROM cover GROUP BY 1""")
+WALKS = f"""{DAILY}, starts AS (SELECT site_id, coalesce(max(date) FILTER (WHERE site_id IN ('1-URGENT', '3-MEDIUM') AND year(date) < 1996), DATE '1993-01-01') AS a, NOT coalesce(bool_or(site_id IN ('1-URGENT', '3-MEDIUM') AND year(date) < 1996), false) AS seed, max(date) AS b FROM daily GROUP BY 1),
+    walk AS (SELECT site_id, seed, CAST(a + 180 * CAST(k AS INT) AS DATE) AS w_start, CAST(least(a + 180 * CAST(k AS INT) + 179, b) AS DATE) AS w_end FROM starts, generate_series(0, 200) g(k) WHERE a + 180 * CAST(k AS INT) <= b),
+    walked AS (SELECT w.site_id, w.seed, w_start, count(d.date) AS n_readings, min(d.date) AS first_date FROM walk w LEFT JOIN daily d ON d.site_id = w.site_id AND d.date BETWEEN w_start AND w_end GROUP BY 1, 2, 3)"""
+
+
+@query(f"""WITH {WALKS} SELECT site_id, count(*) AS n_windows, count(*) FILTER (WHERE n_readings = 0) AS n_empty, CAST(sum(n_readings) AS BIGINT) AS n_readings, min(first_date) AS first_date, seed AS walked_from_seed,
+    CASE WHEN seed THEN min(first_date) END AS record_start FROM walked GROUP BY site_id, seed""")
 def site_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return incremental.site_results(incremental.window_coverage(_tiles(spark, sf_dir), daily(spark, sf_dir), "site_id", "date", 180), "site_id")
+    """Two sites resume from what is stored of their first years; the others walk from a floor before their record."""
+    days = daily(spark, sf_dir)
+    stored = days.where(F.col("site_id").isin("1-URGENT", "3-MEDIUM") & (F.year("date") < 1996))
+    registry = days.select("site_id").distinct().withColumn("floor", F.make_date(F.lit(1993), F.lit(1), F.lit(1)))
+    starts = incremental.backfill_starts(incremental.resume_points(registry, stored, "site_id", "date"), "floor")
+    spans = starts.join(days.groupBy("site_id").agg(F.max("date").alias("b")), "site_id").select("site_id", F.col("start").alias("a"), "b")
+    cover = incremental.window_coverage(incremental.tiles(spans, "site_id", "a", "b", 180, half_open=False), days, "site_id", "date", 180)
+    return incremental.site_results(cover, starts, "site_id")
 
 
 @query(f"""WITH {TILES}, gaps AS (SELECT site_id, min(date) - 400 AS gap_start, min(date) - 150 AS gap_end, 'before the record' AS note FROM daily GROUP BY 1)
@@ -803,13 +816,13 @@ def _event_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogs.outcomes(events, weeks, "week_ending", "rate", 21)
 
 
-@query(f"""WITH {OUTCOME}, g AS (SELECT site_id AS query_id, count(*) AS sel, count(*) FILTER (WHERE reason = 'complete') AS com,
-        count(*) FILTER (WHERE reason = 'complete' AND r1 > r0) AS up, count(*) FILTER (WHERE reason = 'complete' AND r1 < r0) AS down FROM o3 WHERE year(event_start) < 1999 OR site_id < '3' GROUP BY 1)
+@query(f"""WITH {OUTCOME}, g AS (SELECT site_id || '/' || CAST(year(event_start) AS VARCHAR) AS query_id, count(*) AS sel, count(*) FILTER (WHERE reason = 'complete') AS com,
+        count(*) FILTER (WHERE reason = 'complete' AND r1 > r0) AS up, count(*) FILTER (WHERE reason = 'complete' AND r1 < r0) AS down FROM o3 GROUP BY 1)
     SELECT query_id, CASE WHEN sel > com THEN 'incomplete_outcomes' WHEN com < 4 THEN 'insufficient_analogs' WHEN greatest(up, down) / com < 0.5 THEN 'inconsistent_direction' ELSE 'passed' END AS verdict,
            com AS n_analogs, CASE WHEN sel > com THEN 0 ELSE greatest(up, down) END AS n_consistent, sel - com AS n_incomplete FROM g""")
 def gate_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A verdict by site over its events, some of them restricted to earlier years."""
-    rows = _event_outcomes(spark, sf_dir).where("year(event_start) < 1999 OR site_id < '3'").withColumnRenamed("site_id", "query_id")
+    """A verdict by site and year over the events that began in it."""
+    rows = _event_outcomes(spark, sf_dir).withColumn("query_id", F.concat_ws("/", "site_id", F.year("event_start").cast("string"))).drop("site_id")
     summary = rows.select("query_id").distinct().withColumn("query_start", F.lit(Date(2001, 1, 1)))
     verdicts = analogs.gate(summary, rows, replace(P30, min_consistency=0.5))
     return verdicts.select("query_id", "verdict", "n_analogs", "n_consistent", "n_incomplete")
@@ -986,10 +999,10 @@ def table_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.freshness(newest, limits, F.expr(NOW)).select("table", "job_name", "age_s", "stale")
 
 
-def _overdue(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _overdue(spark: SparkSession, sf_dir: str, gap_s: int = 86400 * 3) -> DataFrame:
     """Events as a job log: types are jobs, one value in ten a failure."""
     runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("job_name"), F.col("ts").alias("finished_at"), F.when(F.col("event_id") % 10 == 0, "failed").otherwise("success").alias("status"))
-    cadences = runs.select("job_name").distinct().withColumn("max_gap_s", F.lit(86400 * 3)).unionByName(spark.range(1).select(F.lit("never").alias("job_name"), F.lit(86400).alias("max_gap_s")))
+    cadences = runs.select("job_name").distinct().withColumn("max_gap_s", F.lit(gap_s)).unionByName(spark.range(1).select(F.lit("never").alias("job_name"), F.lit(86400).alias("max_gap_s")))
     return health.overdue(runs, cadences, F.expr(NOW))
 
 
@@ -1008,6 +1021,33 @@ def health_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return health.health(_overdue(spark, sf_dir), health.freshness(newest, limits, F.expr(NOW)))
 
 
+BY_TYPE = "f AS (SELECT event_type AS job_name, max(ts) AS newest, (SELECT max(ts) FROM events) AS latest FROM events GROUP BY 1)"
+
+
+def _by_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("table")).agg(F.max("ts").alias("newest"))
+    return rows.withColumn("error", F.lit(None).cast("string"))
+
+
+@query(f"""WITH {OVERDUE.replace("259200", "3600")}, {BY_TYPE} SELECT od.job_name, last_success FROM od JOIN f USING (job_name)
+    WHERE overdue AND CAST(epoch({NOW}) AS BIGINT) - CAST(floor(epoch(newest)) AS BIGINT) <= CASE WHEN job_name < 'e' THEN 86400 ELSE 864000000 END""")
+def overdue_but_fresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Jobs that the log calls overdue while what they load is fresh: log and data disagree."""
+    newest = _by_type(spark, sf_dir)
+    limits = newest.select("table", F.col("table").alias("job_name"), F.when(F.col("table") < "e", 86400).otherwise(864000000).cast("long").alias("max_staleness_s"))
+    return health.overdue_but_fresh(_overdue(spark, sf_dir, 3600), health.freshness(newest, limits, F.expr(NOW))).select("job_name", "last_success")
+
+
+@query(f"""WITH {BY_TYPE}, g AS (SELECT *, CAST(floor(epoch(latest)) AS BIGINT) - CAST(floor(epoch(newest)) AS BIGINT) AS lag_s FROM f)
+    SELECT job_name AS "table", lag_s, CAST(CASE WHEN job_name < 'e' THEN 7260 ELSE 7200 END AS BIGINT) AS max_staleness_s, CASE WHEN job_name < 'e' THEN 7260 ELSE 7200 END < 3600 + lag_s + 3600 AS below_floor FROM g""")
+def staleness_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds against cycle + observed lag + cycle: hourly tables, each as late as it is behind the newest of all."""
+    newest = _by_type(spark, sf_dir)
+    lag = newest.agg(F.max(F.unix_timestamp("newest"))).scalar() - F.unix_timestamp("newest")
+    limits = newest.select("table", F.col("table").alias("job_name"), F.when(F.col("table") < "e", 7260).otherwise(7200).cast("long").alias("max_staleness_s"), F.lit(3600).alias("cycle_s"), lag.alias("lag_s"))
+    return health.freshness(newest, limits, F.expr(NOW)).select("table", "lag_s", "max_staleness_s", "below_floor")
+
+
 @query("""SELECT o_orderkey, unnest(list_filter([CASE WHEN NOT (o_totalprice < 200000) THEN 'price_range' END, CASE WHEN NOT (o_orderstatus <> 'F' OR o_totalprice > 50000) THEN 'filled_is_large' END], lambda x: x IS NOT NULL)) AS rule FROM orders""")
 def rule_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = {"price_range": F.col("o_totalprice") < 200000, "filled_is_large": (F.col("o_orderstatus") != "F") | (F.col("o_totalprice") > 50000)}
