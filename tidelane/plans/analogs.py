@@ -247,7 +247,8 @@ def sentences(rows: DataFrame, p: Parameters, series: str = "discharge", rate: s
     the form, never the presence of numbers. Refusals that count events name the year of ``since``, where given."""
     horizon = F.lit("") if since is None else F.when(since.isNotNull(), F.concat(F.lit(" since "), F.date_format(since, "yyyy"))).otherwise("")
     amount = lambda x: F.format_number(F.abs(x), 0)
-    signed = lambda x: F.format_string("%+.0f%%", F.bround(x, 0))
+    # half to even, and the sign of what rounds to zero stays
+    signed = lambda x: F.when((x < 0) & (F.bround(x, 0) == 0), "-0%").otherwise(F.format_string("%+.0f%%", F.bround(x, 0)))
     weeks, d = divmod(p.window_days, 7)
     span = (f"{weeks} week" + "s" * (weeks != 1)) if d == 0 else f"{p.window_days} day" + "s" * (p.window_days != 1)
     moved = (

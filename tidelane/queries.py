@@ -862,13 +862,41 @@ def analog_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_answers(spark, sf_dir, P30).matches.select("query_id", "event_start", "distance", "rank"), "distance", digits=6)
 
 
-@query()
+def _told_sql(separation: int, consistency: float, since: bool = False) -> str:
+    """CTE told: verdicts, estimates and the sentence of every query. A refusal counts events, and names the year since
+    which they were looked for where that is known."""
+    horizon = "' since ' || CAST(year(first_date) AS VARCHAR)" if since else "''"
+    return f"""{_verdict_sql(separation, consistency)},
+    ranges AS (SELECT query_id, (exp(median(ln(r1 / r0))) - 1) * 100 AS median_pct, (exp(min(ln(r1 / r0))) - 1) * 100 AS low_pct, (exp(max(ln(r1 / r0))) - 1) * 100 AS high_pct, string_agg(CAST(event_start AS VARCHAR), ',' ORDER BY rank) AS starts
+        FROM near JOIN moved USING (event_start) GROUP BY 1),
+    conditions AS (SELECT n.site_id, n.date AS as_of, n.value - p.value AS change, n.anomaly, n.n_years FROM seasonal2 n LEFT JOIN seasonal2 p ON p.site_id = n.site_id AND p.date = n.date - 14),
+    since_ AS (SELECT site_id, min(date) AS first_date FROM daily GROUP BY 1),
+    told AS (SELECT v.*, median_pct, low_pct, high_pct, starts, 'Long River discharge at ' || site_id || ' ' ||
+            CASE WHEN change IS NULL THEN 'has no measured 14-day change' ELSE CASE WHEN change < 0 THEN 'has fallen ' ELSE 'has risen ' END || format('{{:,}}', CAST(round_even(abs(change), 0) AS BIGINT)) || ' cfs in 14 days' END || ' ' ||
+            CASE WHEN anomaly IS NULL THEN 'and has no seasonal baseline deep enough to compare against'
+                 ELSE 'and is now ' || format('{{:,}}', CAST(round_even(abs(anomaly), 0) AS BIGINT)) || ' cfs ' || CASE WHEN anomaly < 0 THEN 'below' ELSE 'above' END || ' the ' || CAST(n_years AS VARCHAR) || '-year seasonal median' END || '. ' ||
+            CASE WHEN verdict = 'passed' THEN 'The last ' || n_analogs || ' times discharge moved like this, the spot barge rate ' || CASE WHEN up >= down THEN 'rose' ELSE 'fell' END || ', ' || printf('%+.0f%%', round_even(low_pct, 0)) || ' to ' || printf('%+.0f%%', round_even(high_pct, 0))
+                    || ' within 3 weeks - median ' || printf('%+.0f%%', round_even(median_pct, 0)) || ', ' || n_consistent || ' of ' || n_analogs || ' directionally consistent.'
+                 ELSE 'Insufficient history: ' || CASE verdict WHEN 'no_current_event' THEN site_id || ' is not in a low-water condition on ' || CAST(as_of AS VARCHAR) || ', so there is no condition to find analogs for'
+                    WHEN 'incomplete_outcomes' THEN n_incomplete || ' of ' || (n_analogs + n_incomplete) || ' comparable events' || {horizon} || ' have no measurable rate move over the outcome window'
+                    WHEN 'insufficient_analogs' THEN n_analogs || CASE WHEN n_analogs = 1 THEN ' comparable event' ELSE ' comparable events' END || {horizon} || ', below the 4 required'
+                    ELSE n_consistent || ' of ' || n_analogs || ' comparable events' || {horizon} || ' moved the rate in the same direction, below the threshold required' END || '. No estimate offered.' END AS sentence
+        FROM verdicts v LEFT JOIN per USING (query_id) LEFT JOIN ranges USING (query_id) LEFT JOIN conditions USING (site_id, as_of) LEFT JOIN since_ USING (site_id))"""
+
+
+COMMON = "query_id, site_id, as_of, sentence, n_raw_detections, n_collapsed_events"
+
+
+@query(f"WITH {_told_sql(30, 0.5)} SELECT {COMMON}, n_analogs, n_consistent, CAST(21 AS INTEGER) AS window_days, round(median_pct, 6) AS median_pct, round(low_pct, 6) AS low_pct, round(high_pct, 6) AS high_pct, starts AS matches FROM told WHERE verdict = 'passed'")
 def conclusions_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers with an estimate; their analogs by date, nearest first."""
     p = replace(P30, min_consistency=0.5)
-    return analogs.conclusions(_answers(spark, sf_dir, p), _named_sites(spark, sf_dir), p)["passed"]
+    rows = analogs.conclusions(_answers(spark, sf_dir, p), _named_sites(spark, sf_dir), p)["passed"]
+    dates = F.array_join(F.transform("matches", lambda m: m["event_start"].cast("string")), ",")
+    return rounded(rows.withColumn("matches", dates), "median_pct", "low_pct", "high_pct", digits=6)
 
 
-@query()
+@query(f"WITH {_told_sql(90, 0.7, True)} SELECT {COMMON}, verdict AS reason, n_analogs, CAST(4 AS INTEGER) AS required, n_incomplete FROM told WHERE verdict NOT IN ('passed', 'no_current_event')")
 def conclusions_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Refusals at the default separation of 90 days, with the year since which events were looked for."""
     p = analogs.Parameters()
@@ -876,7 +904,7 @@ def conclusions_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogs.conclusions(_answers(spark, sf_dir, p), sites, p, since=F.col("first_date"))["refused"]
 
 
-@query()
+@query(f"WITH {_told_sql(30, 0.7)} SELECT {COMMON} FROM told WHERE verdict = 'no_current_event'")
 def conclusions_no_event(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analogs.conclusions(_answers(spark, sf_dir, P30), _named_sites(spark, sf_dir), P30)["no_current_event"]
 
