@@ -203,3 +203,48 @@ def test_summaries_keep_all_that_is_frequent():
         assert len(held) <= summary.capacity and 0 < summary.lost < threshold
         assert all(k in held for k, c in true.items() if c >= threshold)
         assert all(c <= true[k] <= c + summary.lost for k, c in held.items())
+
+
+# --- quality classifier: training and scoring by plain loops ------------------------------------------------------
+
+
+def test_quality_model_is_that_of_plain_loops(monkeypatch):
+    """Each document alone, feature by feature, in double precision, against batches, bags and the folded table."""
+    import pyarrow as pa
+
+    from tidelane.llm import quality
+    from tidelane.llm.subwords import SPACED, slices
+
+    monkeypatch.setattr(quality, "BUCKET_BITS", 10)
+    r = random.Random(12)
+    good, bad = ["river", "the", "of", "calm"], ["buy", "buy", "now", "!!!"]
+    docs = [" ".join(r.choice(good if i % 2 else bad) for _ in range(r.randint(1, 12))) for i in range(40)] + ["", "é", "a a"]
+    y = np.array([i % 2 for i in range(43)])
+    model = quality.train(pa.array(docs), y, {0: 300, 1: 100}, epochs=2, rate=0.5, seed=3)
+
+    def buckets(text):
+        return [int(b) for sl in slices(pa.array([text]), SPACED) for _, found in quality.features(sl) for b in found]
+
+    bags = [buckets(d) for d in docs]
+    rng, dims = np.random.default_rng(3), quality.DIMENSIONS
+    vectors = rng.uniform(-1 / dims, 1 / dims, (1 << 10, dims))
+    heads, bias, done = [[0.0] * dims, [0.0] * dims], [0.0, 0.0], 0
+    for _ in range(2):
+        for i in rng.permutation(len(bags)):
+            bag, lr = bags[i], 0.5 * (1 - done / (2 * len(bags)))
+            done += 1
+            hidden = [sum(vectors[b][d] for b in bag) / max(len(bag), 1) for d in range(dims)]
+            logits = [sum(h * x for h, x in zip(heads[c], hidden)) + bias[c] for c in (0, 1)]
+            e = [np.exp(x - max(logits)) for x in logits]
+            error = [x / sum(e) - (c == y[i]) for c, x in enumerate(e)]
+            back = [sum(error[c] * heads[c][d] for c in (0, 1)) for d in range(dims)]
+            for c in (0, 1):
+                heads[c] = [h - lr * error[c] * x for h, x in zip(heads[c], hidden)]
+                bias[c] -= lr * error[c]
+            for b, n in Counter(bag).items():
+                for d in range(dims):
+                    vectors[b][d] -= lr * len(set(bag)) ** 0.5 * n / len(bag) * back[d]
+    prior = np.log(101 / 301) - np.log((y == 1).sum() / (y == 0).sum())
+    odds = [sum(vectors[b] @ (np.array(heads[1]) - heads[0]) for b in bag) / max(len(bag), 1) + bias[1] - bias[0] + prior for bag in bags]
+    assert np.allclose(model.scores(pa.array(docs)), 1 / (1 + np.exp(-np.array(odds))), atol=2e-4)
+    assert np.ptp(odds) > 0.5
