@@ -68,11 +68,7 @@ def test_packing(spark):
     assert len(by_sequence) == len(gaps)
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_plan_is_best_fit_decreasing(seed):
-    r = random.Random(seed)
-    limit = 50
-    sizes = sorted((r.randint(1, limit) for _ in range(r.randint(1, 400))), reverse=True)
+def tightest(sizes, limit):
     gaps: list[int] = []
     for s in sizes:
         k = min((i for i, g in enumerate(gaps) if g >= s), key=lambda i: gaps[i], default=None)
@@ -80,22 +76,68 @@ def test_plan_is_best_fit_decreasing(seed):
             gaps.append(limit - s)
         else:
             gaps[k] -= s
-    counts = {s: sizes.count(s) for s in set(sizes)}
-    runs = packing.plan(counts, limit)
+    return gaps
+
+
+def check_places(rows, limit):
+    """(sequence, offset, length): every sequence is filled from 0 on without a gap. Returns what each has left."""
     fill: dict[int, list[tuple[int, int]]] = {}
-    for length, _, n, first, offset in runs:
-        for k in range(n):
-            fill.setdefault(first + k, []).append((offset, length))
-    assert sum(n for _, _, n, _, _ in runs) == len(sizes) and len(fill) == len(gaps)
+    for sequence, offset, length in rows:
+        fill.setdefault(sequence, []).append((offset, length))
     for parts in fill.values():
         at = 0
         for offset, length in sorted(parts):
             assert offset == at
             at += length
         assert at <= limit
-    for length in counts:
-        ranks = sorted((a, a + n) for l_, a, n, _, _ in runs if l_ == length)
-        assert ranks[0][0] == 0 and ranks[-1][1] == counts[length] and all(x[1] == y[0] for x, y in zip(ranks, ranks[1:]))
+    return {k: limit - sum(n for _, n in v) for k, v in fill.items()}
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_sweep_is_best_fit_decreasing(seed):
+    r = random.Random(seed)
+    limit = 50
+    sizes = np.array(sorted((r.randint(1, limit) for _ in range(r.randint(1, 400))), reverse=True))
+    to, offset, left = packing.sweep(sizes, np.zeros(0, np.int64), limit, True)
+    assert sorted(left) == sorted(tightest(sizes.tolist(), limit))
+    assert check_places(zip(to.tolist(), offset.tolist(), sizes.tolist()), limit) == dict(enumerate(left))
+    # into given gaps, without new sequences: a piece is left only when no gap holds it
+    gaps = np.sort(np.array([r.randint(1, limit) for _ in range(30)]))
+    to, offset, left = packing.sweep(sizes, gaps, limit, False)
+    brute, placed = gaps.tolist(), []
+    for s in sizes.tolist():
+        k = min((i for i, g in enumerate(brute) if g >= s), key=lambda i: brute[i], default=None)
+        placed.append(k is not None)
+        if k is not None:
+            brute[k] -= s
+    assert (to >= 0).tolist() == placed and sorted(left) == sorted(brute)
+    assert all(gaps[t] >= s and o >= limit - gaps[t] for t, s, o in zip(to, sizes, offset) if t >= 0)
+
+
+def test_match_ranges():
+    # range 0 keeps 3 gaps of 10 or more; range 1 wants 5 pieces of at most 5, keeps 1 gap of 4; range 2 wants 4 of 4
+    found = [(0, 0, 3, 10, 12), (1, 1, 5, 3, 5), (1, 0, 1, 4, 4), (2, 1, 4, 2, 4)]
+    assert packing.match_ranges(found) == [(1, 0, 5, 0, 0, 2), (2, 0, 1, 1, 0, 1)]
+    assert packing.match_ranges([(0, 1, 2, 5, 5), (0, 0, 9, 4, 4)]) == []  # gaps of the same range hold none of its pieces
+
+
+@pytest.mark.parametrize("case", ["mixed", "tiny beside large", "one length", "no small"])
+def test_packing_over_many_ranges(spark, case):
+    r = random.Random(7)
+    sizes = {
+        "mixed": [r.randint(1, 100) for _ in range(1500)],
+        "tiny beside large": [52] * 200 + [3] * 2000,
+        "one length": [30] * 700,
+        "no small": [r.randint(40, 100) for _ in range(300)],
+    }[case]
+    df = spark.createDataFrame([(i % 7, n, "x") for i, n in enumerate(sizes)], "doc_id long, length long, row string").repartition(3)
+    out = packing.pack(df, 100, rows_per_range=150).collect()
+    assert sorted(r.length for r in out) == sorted(sizes) and set(out[0].asDict()) == {"doc_id", "length", "row", "sequence_id", "offset"}
+    gaps = check_places([(r.sequence_id, r.offset, r.length) for r in out], 100)
+    best = len(tightest(sorted(sizes, reverse=True), 100))
+    assert best <= len(gaps) + 1 and len(gaps) <= best * 1.02 + 3
+    one = packing.pack(df, 100).collect()
+    assert len({r.sequence_id for r in one}) == best
 
 
 def test_empty_packing(spark):
