@@ -1,8 +1,8 @@
 """Best-fit packing of tokenized documents into sequences of a fixed length.
 
 Documents longer than a sequence are cut into full pieces behind a shorter first one. Pieces over half a sequence get
-a sequence each, whose gap goes into the table of gaps. The other pieces follow in bands of halving length, each in
-bulk-synchronous rounds over tables:
+a sequence each, whose gap goes into the table of gaps. The other pieces follow in bands, from a longest length down to
+half of it or on to what still fits one range of rows, each in bulk-synchronous rounds over tables:
 
 1. the band's pieces and the gaps that could hold one are range-sorted together by falling size, gaps before pieces;
 2. every task sweeps its range: a piece goes into the tightest gap that holds it (its successor in the sort), and
@@ -228,6 +228,9 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE_LENGTH, rows_per_range: int =
     while longest:
         least = longest // 2 + 1
         left = sum(n for size, n in counts.items() if least <= size <= longest)
+        while least > 1 and left + counts.get(least - 1, 0) <= rows_per_range:
+            least -= 1
+            left += counts.get(least, 0)
         waiting, opening = numbered.where(F.col("size").between(least, longest)), False
         while left:
             usable = gaps.where(F.col("size") >= least)
@@ -246,8 +249,9 @@ def pack(pieces: DataFrame, limit: int = SEQUENCE_LENGTH, rows_per_range: int =
                 across, now, waiting = _across(swept, links, limit)
                 placed.append(across)
             else:
-                now, waiting, opening = swept.where("kind = 0").select("id", "size"), swept.where("kind = 1 AND sequence_id < 0").select("id", "size", "row"), True
-            gaps = stage(gaps.where(F.col("size") < least).unionByName(now.where("size > 0").select("id", "size")), "gaps")
+                now, waiting, opening = swept.where("kind = 0"), swept.where("kind = 1 AND sequence_id < 0").select("id", "size", "row"), True
+            gaps = gaps.where(F.col("size") < least).unionByName(now.where("size > 0").select("id", "size"))
+            gaps = stage(gaps, "gaps") if links else gaps
         longest = least - 1
     out = placed[0]
     for more in placed[1:]:
