@@ -57,6 +57,17 @@ def test_climatology_and_guard(spark):
     assert alone[0].climatology_n_years == 0 and alone[0].anomaly is None
 
 
+def test_baseline_is_free_of_summation_order(spark):
+    medians = [5997.32, 7945.13, 16971.96, 21363.51, 21698.59, 23099.49, 23688.38, 23721.14, 23993.73, 28919.52, 29506.23, 36731.25, 37184.68, 42461.32, 52943.95]
+    rng = random.Random(7)
+    rows = [r for i in range(60) for r in days(rng.sample(medians, 15), date(2023, 6, 1), f"s{i}")]
+    middle = seasonal.climatology(frame(spark, rows), ["site_id"]).where(F.col("doy") == 159)
+    assert {r.baseline for r in middle.collect()} == {math.fsum(medians) / 15} and 17132.58 - math.fsum(medians) / 15 == -9282.5
+    odd = frame(spark, days([1.0, math.inf, 3.0], date(2023, 6, 1)) + days([1.0, math.nan], date(2023, 6, 1), "b"))
+    found = {r.site_id: r.baseline for r in seasonal.climatology(odd, ["site_id"]).where(F.col("doy") == 153).collect()}
+    assert found["a"] == math.inf and math.isnan(found["b"])
+
+
 def test_climatology_wraps_at_year_end(spark):
     rows = [("a", date(y, 12, 31), 10.0) for y in range(2000, 2008)] + [("a", date(y, 1, 3), 20.0) for y in range(2000, 2008)]
     out = {r.doy: r for r in seasonal.climatology(frame(spark, rows), ["site_id"]).collect()}

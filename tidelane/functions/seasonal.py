@@ -16,6 +16,20 @@ def folded_day(date: Column | str) -> Column:
     return F.when(leap & (n >= 60), n - 1).otherwise(n)
 
 
+def _mean(values: Column) -> Column:
+    """Mean of an array of known doubles, the same in whatever order they were collected: summed in ascending order with
+    what each addition rounds off, which is added last (Neumaier). A difference that is near a half would else be
+    rounded by the order of a shuffle."""
+
+    def add(t: Column, x: Column) -> Column:
+        s = t["sum"] + x
+        lost = F.when(F.abs(t["sum"]) >= F.abs(x), (t["sum"] - s) + x).otherwise((x - s) + t["sum"])
+        return F.struct(s.alias("sum"), (t["lost"] + lost).alias("lost"))
+
+    zero = F.struct(F.lit(0.0).alias("sum"), F.lit(0.0).alias("lost"))
+    return F.aggregate(F.array_sort(values), zero, add, lambda t: t["sum"] + F.nanvl(t["lost"], F.lit(0.0))) / F.size(values)
+
+
 def climatology(rows: DataFrame, keys: list[str], date: str = "date", value: str = "value", window: int = WINDOW) -> DataFrame:
     """keys, doy, baseline, n_years: mean of the medians of the days present in a circular window, and the distinct
     years with a value in it. After the first aggregation a series is at most 365 rows, each spread to its window."""
@@ -23,7 +37,7 @@ def climatology(rows: DataFrame, keys: list[str], date: str = "date", value: str
     days = rows.where(F.col(value).isNotNull()).groupBy(*keys, folded_day(date).alias("_day")).agg(F.median(value).alias("_median"), F.collect_set(F.year(date)).alias("_years"))
     near = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: F.pmod(F.col("_day") - 1 + k, F.lit(DAYS)) + 1)
     return days.withColumn("doy", F.explode(near)).groupBy(*keys, "doy").agg(
-        F.avg("_median").alias("baseline"), F.size(F.array_distinct(F.flatten(F.collect_list("_years")))).alias("n_years")
+        _mean(F.collect_list("_median")).alias("baseline"), F.size(F.array_distinct(F.flatten(F.collect_list("_years")))).alias("n_years")
     )
 
 
