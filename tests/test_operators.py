@@ -203,6 +203,16 @@ def test_tiles_and_known_gaps(spark):
     assert [r.explained for r in incremental.explain_empty(cover, gaps(11, 20), "k", "iv").collect()] == [False]
 
 
+def test_names_that_a_registry_lacks(spark):
+    names = spark.createDataFrame([(x,) for x in "abbcccdd"], "k string")
+    registry = spark.createDataFrame([(x,) for x in "bbbbbdddde"], "k string")
+    out = series.unregistered(names, registry, "k")
+    assert sorted(r.k for r in out.collect()) == ["a", "c"]
+    assert [r.k for r in series.unregistered(names.where("k > 'c'"), registry.limit(0), "k").collect()] == ["d"]
+    join = out._jdf.queryExecution().optimizedPlan()
+    assert [join.nodeName(), *[join.children().apply(i).nodeName() for i in (0, 1)]] == ["Join", "Aggregate", "Aggregate"]  # no repeats meet
+
+
 def test_since_start(spark):
     reg = spark.createDataFrame([("a",), ("b",)], "k string")
     data = spark.createDataFrame([("a", date(2020, 1, 10))], "k string, d date")

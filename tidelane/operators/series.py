@@ -68,8 +68,8 @@ def coverage(registry: DataFrame, rows: DataFrame, key: str, date: str) -> DataF
 
 
 def unregistered(names: DataFrame, registry: DataFrame, key: str) -> DataFrame:
-    """Distinct names that the registry lacks."""
-    return names.select(key).distinct().join(registry.select(key), key, "left_anti")
+    """Distinct names that the registry lacks. Both sides are reduced before they meet: a name may repeat in either."""
+    return names.select(key).distinct().join(registry.select(key).distinct(), key, "left_anti")
 
 
 def histogram(rows: DataFrame, value: str, low: float, high: float, buckets: int, extra: dict[str, Column] | None = None, by: list[str] | None = None) -> DataFrame:
