@@ -9,6 +9,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidelane.llm import cosine_links, phrases, whitening
 
@@ -58,6 +59,27 @@ def test_links_are_those_of_all_pairs(spark, monkeypatch, tile_bytes):
     assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == sorted((k[0], n, c, k[0] == c) for k, (n, c) in want.items())
 
 
+def test_nothing_is_shuffled_for_pairs_of_tiles(spark, monkeypatch):
+    plans, stage = {}, cosine_links.stage
+    monkeypatch.setattr(cosine_links, "stage", lambda df, name: (plans.update({name: df._jdf.queryExecution().executedPlan().toString()}), stage(df, name))[1])
+    rows = [(i, v) for i, v in vectors(n=120) if i is not None]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert cosine_links.near_duplicates(df, 0.9, tile_bytes=2000).count() == len({(i, None if v is None else str(v)) for i, v in rows})
+    assert "Exchange" not in plans["hits"] and "vectors" in plans["hits"]
+
+
+def test_links_of_singles_and_of_vectors_with_one_hash(spark, monkeypatch):
+    rows = [(i, None if v is None else [None if c is None else float(np.float32(c)) for c in v]) for i, v in vectors(5, 90) if not v or abs(v[0] or 0) < 1e38 and abs(v[0] or 1) > 1e-38]
+    rows += [(4000, [0.0] + rows[0][1][1:]), (4001, [-0.0] + rows[0][1][1:]), (4001, [0.0] + rows[0][1][1:])]
+    seeds, hashes = [], cosine_links._hashes
+    same = lambda: [(F.size("v") * 0).cast("long").alias(f"h{k}") for k in (1, 2)]
+    monkeypatch.setattr(cosine_links, "_hashes", lambda seed: (seeds.append(seed), same() if seed == 0 else hashes(seed))[1])
+    found = cosine_links.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), 0.9, tile_bytes=2000).collect()
+    want = links_by_hand([(i, None if v is None else [c if c is None else c + 0.0 for c in v]) for i, v in rows], 0.9)
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in found) == sorted((k[0], n, c, k[0] == c) for k, (n, c) in want.items())
+    assert seeds == [0, 1]
+
+
 def test_links_of_nothing(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert cosine_links.near_duplicates(empty).collect() == []

@@ -7,26 +7,32 @@ unit vector u = s * q + e, q of bytes, |e| known. Then
 
     |u . v  -  s_u * s_v * (q_u . q_v)|  <=  |e_u| + (1 + |e_u|) * |e_v|
 
-and q_u . q_v, an integer, comes exactly out of one product of the two tiles. Pairs above or below the threshold by
-more than the bound are settled by it, those between are computed again in double precision. A task returns how many
-links each vector has there and a spanning forest of them, never the pairs; components are joined from the forests.
+and q_u . s_v q_v comes out of one product of the two tiles, in single precision, whose own error is bounded too. Pairs
+above or below the threshold by more than the bound are settled by it, those between are computed again in double
+precision. Tiles are written once, in partitions of bounded bytes; a task reads two partitions and compares their
+tiles, so what is written and shuffled grows with the vectors and never with the pairs of tiles. A task returns how
+many links each vector has there and a spanning forest of them, never the pairs; components are joined from the forests.
 """
 
 from __future__ import annotations
 
+from functools import cached_property
+from itertools import count
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .ball_tree import usable
 from .common import prepare, stage
 from .components import connected_components
 
-TILE_BYTES, MOST_PIVOTS, PARTNERS, META_TILES = 1 << 20, 256, 32, 512
+TILE_BYTES, MOST_PIVOTS = 1 << 20, 256
+META_TILES, PARTNERS = 48, 64  # tiles of a partition; pairs of tiles whose forests are joined at once
 _ROW_BITS = 24  # of a vector's place in its tile
 _SLACK = 1e-9  # more than double precision loses in a cosine
-_STRIP = 512  # rows of a tile that are multiplied at once
+_STRIP = 128  # rows of a tile that are multiplied at once
 _EXACT_DIMS = 1024  # 127 * 127 * this many is below 2**24, exact in single precision
 
 
@@ -37,18 +43,33 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return y, np.sqrt((y * y).sum(1))
 
 
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(int8 codes, scales, lengths of what the codes leave out) of the unit vectors."""
+    y, n = unit(x)
+    u = y / n[:, None]
+    scale = np.abs(u).max(1) / 127
+    codes = np.rint(u / scale[:, None]).astype(np.int8)
+    return codes, scale, np.sqrt(((u - scale[:, None] * codes) ** 2).sum(1)) * (1 + 1e-9) + 1e-12
+
+
 class Tile:
-    """Vectors, their int8 codes as singles (for the matrix product), scales and error lengths."""
+    """Vectors, their int8 codes as singles (for the matrix product), also times their scale, scales and error lengths."""
 
-    def __init__(self, number: int, dim: int, vectors: bytes, counts: bytes):
+    def __init__(self, number: int, dim: int, vectors: bytes, counts: bytes, kind: str = "<f8", codes: bytes | None = None, scales: bytes | None = None):
         self.number = number
-        self.y, self.length = unit(np.frombuffer(vectors, "<f8").reshape(-1, dim))
+        self.x = np.frombuffer(vectors, kind).reshape(-1, dim)
         self.counts = np.frombuffer(counts, "<i8")
-        u = self.y / self.length[:, None]
-        self.scale = np.abs(u).max(1) / 127
-        codes = np.rint(u / self.scale[:, None]).astype(np.int8)
-        self.error = np.sqrt(((u - self.scale[:, None] * codes) ** 2).sum(1)) * (1 + 1e-9) + 1e-12
-        self.codes = codes.astype(np.float32)
+        if codes is None:
+            q, self.scale, self.error = coded(self.x.astype(np.float64))
+        else:
+            q, (self.scale, self.error) = np.frombuffer(codes, np.int8).reshape(-1, dim), np.frombuffer(scales, "<f8").reshape(2, -1)
+        self.codes = q.astype(np.float32)
+        self.scaled = self.codes * self.scale[:, None].astype(np.float32)
+
+    @cached_property
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """As ``unit``; only where the bound leaves a pair open."""
+        return unit(self.x.astype(np.float64))
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -60,26 +81,29 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def linked(a: Tile, b: Tile, threshold: float):
     """Yields (rows of a, rows of b) of all pairs with a cosine of at least the threshold; within a tile each once."""
-    columns = b.scale.astype(np.float32)
+    most = b.error.max()
+    # singles lose (d + 3) / 2**24 of the lengths of the two at most, in sums of d
+    lost = _SLACK + (min(a.codes.shape[1], _EXACT_DIMS) + 8) * 2.0**-23 * (1 + a.error.max()) * (1 + most)
     for at in range(0, len(a.scale), _STRIP):
         s, e = a.scale[at : at + _STRIP], a.error[at : at + _STRIP]
         first = at if a.number == b.number else 0
-        products = _product(a.codes[at : at + _STRIP], b.codes[first:])
-        # a coarse cut first, by the tile's largest error and with room for single precision; the pair's own bound after
-        least = ((threshold - e - (1 + e) * b.error.max() - 1e-4) / s).astype(np.float32)
-        i, j = np.nonzero(products * columns[first:] >= least[:, None])
-        exact, j = products[i, j].astype(np.float64), j + first
+        products = _product(a.codes[at : at + _STRIP], b.scaled[first:])
+        # a coarse cut first, by the tile's largest error and with room for its own rounding; the pair's own bound after
+        least = ((threshold - e - (1 + e) * most - 2 * lost) / s).astype(np.float32)
+        found = np.flatnonzero(products >= least[:, None])
+        i, j = np.divmod(found, products.shape[1])
+        about, j = s[i] * products.ravel()[found], j + first
         if a.number == b.number:
             once = i + at < j
-            i, j, exact = i[once], j[once], exact[once]
-        about = s[i] * b.scale[j] * exact
-        bound = e[i] + (1 + e[i]) * b.error[j] + _SLACK
+            i, j, about = i[once], j[once], about[once]
+        bound = e[i] + (1 + e[i]) * b.error[j] + lost
         keep = about - bound >= threshold
         open_ = np.flatnonzero(~keep & (about + bound >= threshold))
         for k in range(0, len(open_), 1 << 14):
             o = open_[k : k + (1 << 14)]
             p, q = i[o] + at, j[o]
-            keep[o] = np.einsum("ij,ij->i", a.y[p], b.y[q]) / (a.length[p] * b.length[q]) >= threshold
+            (x, m), (y, n) = a.whole, b.whole
+            keep[o] = np.einsum("ij,ij->i", x[p], y[q]) / (m[p] * n[q]) >= threshold
         yield i[keep] + at, j[keep]
 
 
@@ -100,123 +124,155 @@ def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             labels = up
 
 
-def _tiles(classes: DataFrame, pivots: int, tile_bytes: int) -> DataFrame:
-    """(tile, dim, centre, angle, vectors, counts, keys) of classes (v, min_id, h1, h2, count)."""
-    sample = classes.select(F.size("v").alias("dim"), "v").orderBy("h1", "h2").limit(pivots).collect()
-    by_dim: dict[int, np.ndarray] = {}
-    for r in sample:
-        y, n = unit(np.array([r["v"]], np.float64))
-        by_dim[r["dim"]] = np.concatenate([by_dim.get(r["dim"], np.zeros((0, r["dim"]))), y / n[:, None]])
+def _kind(rows: DataFrame) -> str:
+    """Singles stay singles, all else is doubles."""
+    return "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
+
+
+def _flat(lists) -> tuple[np.ndarray, np.ndarray]:
+    """(lengths, components in a row) of a column of lists, each in its own precision."""
+    return np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _codes(x: np.ndarray) -> np.ndarray:
+    """Whole numbers up to 127 as singles, of each row by itself: nothing here depends on the rows beside it."""
+    y = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    return np.rint(y * (127 / np.abs(y).max(1))[:, None]).astype(np.float32)
+
+
+def _pivots(own: DataFrame, pivots: int) -> dict[int, np.ndarray]:
+    """Codes of some vectors by their length."""
+    sample = own.select("v").orderBy("h1", "h2").limit(4 * pivots).distinct().limit(pivots).collect()
+    return {dim: _codes(np.array([r["v"] for r in sample if len(r["v"]) == dim], np.float64)) for dim in {len(r["v"]) for r in sample}}
+
+
+def _celled(own: DataFrame, by_dim: dict[int, np.ndarray], whole: bool) -> DataFrame:
+    """(vec_id, h1, h2, dim, cell) of ``own`` (vec_id, v, h1, h2), or with ``whole`` (v, h1, h2, dim, cell), where equal
+    vectors of a batch are one row. The cell is that of the nearest pivot, the same for equal vectors wherever they are."""
+    columns = (["v"] if whole else ["vec_id"]) + ["h1", "h2"]
 
     def near(batches):
         for batch in batches:
-            lists = batch.column("v")
-            sizes = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            sizes, flat = _flat(batch.column("v"))
             starts = np.concatenate([[0], np.cumsum(sizes)])
-            cell = np.zeros(len(sizes), np.int32)
+            h1, h2 = batch.column("h1").to_numpy(), batch.column("h2").to_numpy()
+            cell, keep = np.zeros(len(sizes), np.int32), []
             for dim in np.unique(sizes):
                 rows = np.flatnonzero(sizes == dim)
+                if whole:
+                    rows = rows[np.lexsort((h2[rows], h1[rows]))]
+                x = flat[starts[rows][:, None] + np.arange(dim)].astype(np.float64)
                 if int(dim) in by_dim:
-                    y, n = unit(flat[starts[rows][:, None] + np.arange(dim)])
-                    cell[rows] = (y / n[:, None] @ by_dim[int(dim)].T).argmax(1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("v", "min_id", "h1", "h2", "count")), pa.array(cell), pa.array(sizes, pa.int32())], names=["v", "min_id", "h1", "h2", "count", "cell", "dim"])
+                    p = by_dim[int(dim)]
+                    cell[rows] = (_product(_codes(x), p) * (1 / np.sqrt((p.astype(np.float64) ** 2).sum(1)))).argmax(1)
+                if whole:
+                    keep.append(rows[np.concatenate([[True], (x[1:] != x[:-1]).any(1)])])
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(sizes, pa.int32()), pa.array(cell)], names=[*columns, "dim", "cell"])
+            yield out.take(pa.array(np.concatenate(keep))) if keep else out
 
-    kind = classes.schema["v"].dataType.simpleString()
-    placed = stage(classes.select("v", "min_id", "h1", "h2", "count").mapInArrow(near, f"v {kind}, min_id long, h1 long, h2 long, count long, cell int, dim int"), "placed")
+    kind = own.schema["v"].dataType.simpleString()
+    return own.select("vec_id", "v", "h1", "h2").mapInArrow(near, f"{f'v {kind}' if whole else 'vec_id long'}, h1 long, h2 long, dim int, cell int")
+
+
+def _cells(classes: DataFrame, tile_bytes: int) -> DataFrame:
+    """(dim, cell, slots, before): the tiles of a cell are so many, from this number on."""
     most = F.greatest(F.lit(16), F.floor(F.lit(tile_bytes) / (8 * F.col("dim"))))
-    sizes = placed.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.first(most)).alias("slots"))
+    sizes = classes.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.first(most)).alias("slots"))
     # as many rows as there are pivots and lengths of vectors
-    numbered = sizes.withColumn("before", F.sum("slots").over(Window.orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, -1)))
-    dealt = placed.join(numbered, ["dim", "cell"]).withColumn("tile", F.coalesce("before", F.lit(0)) + F.pmod("h2", "slots"))
-
-    def pack(key, table):
+    before = F.sum("slots").over(Window.orderBy("dim", "cell").rowsBetween(Window.unboundedPreceding, -1))
+    return stage(sizes.withColumn("before", F.coalesce(before, F.lit(0))), "cells")
+
+
+def _tiles(rows: DataFrame, classes: DataFrame, cells: DataFrame) -> DataFrame:
+    """(tile, dim, angle, centre, vectors, codes, scales, counts, keys) of rows (v, h1, h2, dim, cell) and their classes
+    (tile, h1, h2, min_id, count). A tile without keys holds different vectors of one hash."""
+    kind = _kind(rows)
+    number = F.col("before") + F.pmod("h2", "slots")
+    dealt = rows.join(cells, ["dim", "cell"]).select(number.alias("tile"), "dim", "v", "h1", "h2")
+    n = cells.agg(F.sum("slots")).first()[0] or 1
+    parts = max(-(-n // META_TILES), min(n, rows.sparkSession.sparkContext.defaultParallelism))
+
+    def pack(key, table, known):
+        order = [("h1", "ascending"), ("h2", "ascending")]
+        table, known = table.sort_by(order).combine_chunks(), known.sort_by(order)
+        h = np.stack([table[c].to_numpy() for c in ("h1", "h2")], 1)
         dim = table["dim"][0].as_py()
-        table = table.sort_by([("min_id", "ascending"), ("h1", "ascending"), ("h2", "ascending")])
-        x = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+        x = _flat(table["v"].combine_chunks())[1].reshape(-1, dim)
+        as_before, equal = (h[1:] == h[:-1]).all(1), (x[1:] == x[:-1]).all(1)
+        new = np.concatenate([[True], ~as_before])
+        keys = np.stack([known[c].to_numpy() for c in ("min_id", "h1", "h2")], 1)
+        clash = bool((as_before & ~equal).any())
+        x, h = x[new].astype(np.float64), h[new]
+        if not clash and not np.array_equal(h, keys[:, 1:]):
+            raise ValueError("the vectors are not the same when they are read again")
+        codes, scale, error = coded(x)
         y, n = unit(x)
         u = y / n[:, None]
         centre = u.mean(0)
         centre = centre / np.sqrt(centre @ centre) if centre @ centre > 1e-12 else u[0]
         angle = float(np.arccos(np.clip(u @ centre, -1, 1)).max())
-        keys = np.stack([table[c].to_numpy() for c in ("min_id", "h1", "h2")], 1)
-        blobs = [centre.astype("<f8"), x.astype("<f8"), table["count"].to_numpy().astype("<i8"), keys.astype("<i8")]
-        columns = [pa.array([key[0].as_py()], pa.int64()), pa.array([dim], pa.int32()), pa.array([angle]), *(pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs)]
-        return pa.table(columns, names=["tile", "dim", "angle", "centre", "vectors", "counts", "keys"])
+        blobs = [x.astype(kind), codes, np.stack([scale, error]).astype("<f8"), known["count"].to_numpy().astype("<i8"), keys.astype("<i8")[: 0 if clash else None]]
+        columns = [pa.array([key[0].as_py()], pa.int64()), pa.array([dim], pa.int32()), pa.array([angle]), pa.array([centre.tolist()], pa.list_(pa.float64())), *(pa.array([np.ascontiguousarray(b).tobytes()], pa.binary()) for b in blobs)]
+        return pa.table(columns, names=["tile", "dim", "angle", "centre", "vectors", "codes", "scales", "counts", "keys"])
 
-    dealt = dealt.select("tile", "dim", "v", "min_id", "h1", "h2", "count")
-    return stage(dealt.groupBy("tile").applyInArrow(pack, "tile long, dim int, angle double, centre binary, vectors binary, counts binary, keys binary"), "tiles")
+    both = dealt.repartition(parts, "tile").groupBy("tile").cogroup(classes.select("tile", "h1", "h2", "min_id", "count").repartition(parts, "tile").groupBy("tile"))
+    return stage(both.applyInArrow(pack, "tile long, dim int, angle double, centre array<double>, vectors binary, codes binary, scales binary, counts binary, keys binary"), "tiles")
 
 
-def _meetings(tiles: DataFrame, threshold: float) -> DataFrame:
-    """(owner, part, other): pairs of tiles, also of each with itself, that can hold a link, PARTNERS in a part. Blocks
-    of the tiles' centres are compared, so neither side of a comparison grows with the table."""
-    blocks = tiles.groupBy("dim").agg(F.ceil(F.count("*") / META_TILES).alias("blocks"))
-    keyed = tiles.select("dim", "tile", "angle", "centre").join(blocks, "dim").withColumn("block", F.pmod("tile", "blocks"))
+def _compare(tiles: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """(node, n, least): links of a vector in two partitions of tiles, and the least vector that it reaches there."""
+    columns = ["tile", "dim", "vectors", "codes", "scales", "counts"]
 
-    def pack(key, table):
-        table = table.sort_by("tile")
-        blobs = [table["tile"].to_numpy().astype("<i8").tobytes(), table["angle"].to_numpy().astype("<f8").tobytes(), b"".join(table["centre"].to_pylist())]
-        return pa.table([pa.array([key[0].as_py()], pa.int32()), pa.array([key[1].as_py()], pa.int64()), *(pa.array([b], pa.binary()) for b in blobs)], names=["dim", "block", "tiles", "angles", "centres"])
+    def run(batches):
+        found: dict[int, tuple[int, np.ndarray]] = {}  # of each tile, where its vectors are among those of the task, and their links
+        labels, pending, a = np.zeros(0, np.int64), [], None
 
-    packed = stage(keyed.select("dim", "block", "tile", "angle", "centre").groupBy("dim", "block").applyInArrow(pack, "dim int, block long, tiles binary, angles binary, centres binary"), "centres").join(blocks, "dim")
-    left = packed.withColumn("with", F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)))
-    right = packed.select("dim", F.col("block").alias("with"), *(F.col(c).alias(f"{c}2") for c in ("tiles", "angles", "centres")))
-    far = float(np.arccos(threshold)) + 1e-6
+        def read(row: dict) -> Tile:
+            t = Tile(row["tile"].as_py(), row["dim"].as_py(), row["vectors"].as_buffer(), row["counts"].as_buffer(), kind, row["codes"].as_buffer(), row["scales"].as_buffer())
+            if t.number not in found:
+                nonlocal labels
+                found[t.number] = len(labels), np.zeros(len(t.scale))
+                labels = np.concatenate([labels, len(labels) + np.arange(len(t.scale))])
+            return t
 
-    def meet(batches):
         for batch in batches:
-            owner, part, other = [], [], []
-            for r in batch.to_pylist():
-                (ta, ra, ca), (tb, rb, cb) = ((np.frombuffer(r[f"tiles{x}"], "<i8"), np.frombuffer(r[f"angles{x}"]), np.frombuffer(r[f"centres{x}"]).reshape(-1, r["dim"])) for x in ("", "2"))
-                apart = np.arccos(np.clip(ca @ cb.T, -1, 1)) - ra[:, None] - rb
-                i, j = np.nonzero((apart <= far) & ((ta[:, None] <= tb) if r["block"] == r["with"] else True))
-                swap = (ta[i] + tb[j]) % 2 == 1  # either tile may own a pair, so that the owners' work is even
-                a, b = np.where(swap, tb[j], ta[i]), np.where(swap, ta[i], tb[j])
-                order = np.lexsort((b, a))
-                a, b = a[order], b[order]
-                rank = np.arange(len(a)) - np.searchsorted(a, a)
-                owner.append(a), other.append(b), part.append((r["block"] * r["blocks"] + r["with"] << 16) + rank // PARTNERS)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (owner, part, other)] if owner else [pa.array([], pa.int64())] * 3, names=["owner", "part", "other"])
-
-    return stage(left.join(right, ["dim", "with"]).mapInArrow(meet, "owner long, part long, other long"), "meetings")
-
-
-def _compare(tiles: DataFrame, meetings: DataFrame, threshold: float) -> DataFrame:
-    """(node, n, least): links of a vector in one part, and the least vector that it reaches there."""
-
-    def run(key, own, others):
-        a = Tile(key[0].as_py(), own["dim"][0].as_py(), own["vectors"][0].as_py(), own["counts"][0].as_py())
-        numbers, sizes = [a.number], [len(a.scale)]
-        partners = others.select(["tile", "dim", "vectors", "counts"])
-        at = {a.number: 0}
-        lengths = [len(c.as_py()) // 8 for c in partners["counts"]]
-        for number, n in zip(partners["tile"].to_pylist(), lengths):
-            if number not in at:
-                at[number] = sum(sizes)
-                numbers.append(number), sizes.append(n)
-        node = np.concatenate([(np.int64(number) << _ROW_BITS) + np.arange(n) for number, n in zip(numbers, sizes)])
-        # labels order as nodes do, so that the least of a set is the least node
-        place = np.argsort(node, kind="stable")
-        rank = np.empty_like(place)
-        rank[place] = np.arange(len(place))
-        labels, n = np.arange(len(node)), np.zeros(len(node))
-        for i in range(len(lengths)):
-            number, dim, vectors, counts = (partners[c][i].as_py() for c in ("tile", "dim", "vectors", "counts"))
-            b = a if number == a.number else Tile(number, dim, vectors, counts)
-            to = at[number]
-            for p, q in linked(a, b, threshold):
-                n[: len(a.scale)] += np.bincount(p, b.counts[q], len(a.scale))
-                n[to : to + len(b.scale)] += np.bincount(q, a.counts[p], len(b.scale))
-                labels = join_labels(labels, rank[p], rank[q + to])
-        some = np.flatnonzero(n)
-        return pa.table({"node": pa.array(node[some], pa.int64()), "n": pa.array(n[some].astype(np.int64)), "least": pa.array(node[place[labels[rank[some]]]], pa.int64())})
-
-    data = tiles.select("tile", "dim", "vectors", "counts")
-    own = data.select(F.col("tile").alias("o"), *(F.col(c).alias(c) for c in ("dim", "vectors", "counts")))
-    owners = meetings.select(F.col("owner").alias("o"), F.col("part").alias("p")).distinct().join(own, "o")
-    partners = meetings.withColumnRenamed("other", "tile").join(data, "tile").select("owner", "part", "tile", "dim", "vectors", "counts")
-    return owners.groupBy("o", "p").cogroup(partners.groupBy("owner", "part")).applyInArrow(run, "node long, n long, least long")
+            for r in range(batch.num_rows):
+                one, two = ({c: batch.column(f"{side}_{c}")[r] for c in columns} for side in "ab")
+                a = a if a and a.number == one["tile"].as_py() else read(one)
+                b = a if a.number == two["tile"].as_py() else read(two)
+                (at, degree), (to, other) = found[a.number], found[b.number]
+                place = np.concatenate([at + np.arange(len(degree)), to + np.arange(len(other))])
+                near, last = np.arange(len(place)), 0 if a is b else len(degree)
+                for p, q in linked(a, b, threshold):
+                    if len(p):
+                        degree += np.bincount(p, b.counts[q], len(degree))
+                        other += np.bincount(q, a.counts[p], len(other))
+                        near = join_labels(near, p, q + last)
+                moved = np.flatnonzero(near != np.arange(len(near)))
+                if len(moved):
+                    pending.append((place[moved], place[near[moved]]))
+                if len(pending) >= PARTNERS:
+                    labels, pending = join_labels(labels, *(np.concatenate(x) for x in zip(*pending))), []
+        if pending:
+            labels = join_labels(labels, *(np.concatenate(x) for x in zip(*pending)))
+        node = np.concatenate([np.zeros(0, np.int64), *((np.int64(t) << _ROW_BITS) + np.arange(len(n)) for t, (_, n) in found.items())])
+        degree = np.concatenate([np.zeros(0), *(n for _, n in found.values())])
+        some = np.flatnonzero(degree)
+        for k in range(0, len(some), 1 << 16):
+            o = some[k : k + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[o]), pa.array(degree[o].astype(np.int64)), pa.array(node[labels[o]])], names=["node", "n", "least"])
+
+    left, right = (tiles.select(*(F.col(c).alias(f"{side}_{c}") for c in [*columns, "angle", "centre"])) for side in "ab")
+    # either tile may be the first of a pair, so that both halves of two partitions' work are even
+    once = (F.col("a_tile") == F.col("b_tile")) | ((F.col("a_tile") < F.col("b_tile")) == ((F.col("a_tile") + F.col("b_tile")) % 2 == 0))
+    cosine = F.aggregate(F.zip_with("a_centre", "b_centre", lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+    apart = F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine))) - F.col("a_angle") - F.col("b_angle")
+    met = left.join(right.hint("shuffle_replicate_nl"), once & (F.col("a_dim") - F.col("b_dim") == 0) & (apart <= float(np.arccos(threshold)) + 1e-6))
+    return met.select(*(f"{side}_{c}" for side in "ab" for c in columns)).mapInArrow(run, "node long, n long, least long")
+
+
+def _hashes(seed: int) -> list[Column]:
+    return [F.xxhash64(F.lit(2 * seed + k), "v").alias(f"h{k + 1}") for k in range(2)]
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vector_col: str = "embedding", tile_bytes: int = TILE_BYTES) -> DataFrame:
@@ -233,31 +289,36 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
         raise ValueError(f"the threshold must lie between 0 and 1, not {threshold}")
     spark = vectors.sparkSession
     prepare(spark)
-    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null").distinct()
-    fit = usable(F.col("v")) & F.exists("v", lambda x: x != 0)
-    rows = stage(rows.withColumn("fit", F.coalesce(fit, F.lit(False))).withColumns({"h1": F.xxhash64("v"), "h2": F.xxhash64(F.lit(1), "v")}), "vectors")
-    own = rows.where("fit").select("vec_id", "v", "h1", "h2")
-    classes = stage(own.groupBy("v", "h1", "h2").agg(F.min("vec_id").alias("min_id"), F.count("*").alias("count")), "classes")
-    members = own.join(classes.select("v", "h1", "h2", "min_id"), ["h1", "h2", "v"]).select("vec_id", "min_id", "h1", "h2")
-
-    size = classes.agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
-    tiles = _tiles(classes, max(1, min(MOST_PIVOTS, size * 8 // tile_bytes)), tile_bytes)
-    hits = stage(_compare(tiles, _meetings(tiles, threshold), threshold), "hits")
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v")).where("vec_id is not null")
+    fit = F.coalesce(usable(F.col("v")) & F.exists("v", lambda x: x != 0), F.lit(False))
+    size = rows.where(fit).agg(F.sum(F.size("v").cast("long"))).first()[0] or 0
+    pivots = max(1, min(MOST_PIVOTS, size * 8 // tile_bytes))
+    key = ["h1", "h2", "dim", "cell"]
+    for seed in count():  # until no two vectors of a cell have one hash
+        own = rows.where(fit).select("vec_id", "v", *_hashes(seed))
+        by_dim = _pivots(own, pivots)
+        members = stage(_celled(own, by_dim, False).distinct(), "members")
+        classes = stage(members.groupBy(*key).agg(F.min("vec_id").alias("min_id"), F.count("*").alias("count")), "classes")
+        cells = _cells(classes, tile_bytes)
+        classes = classes.join(cells, ["dim", "cell"]).withColumn("tile", F.col("before") + F.pmod("h2", "slots")).drop("slots", "before")
+        tiles = _tiles(_celled(own, by_dim, True), classes, cells)
+        if tiles.where(F.length("keys") == 0).isEmpty():
+            break
+    hits = stage(_compare(tiles, _kind(rows), threshold), "hits")
 
     def nodes(batches):
         for batch in batches:
             for tile, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 k = np.frombuffer(keys, "<i8").reshape(-1, 3)
-                yield pa.RecordBatch.from_arrays([pa.array((np.int64(tile) << _ROW_BITS) + np.arange(len(k)), pa.int64()), *(pa.array(k[:, i]) for i in range(3))], names=["node", "min_id", "h1", "h2"])
+                yield pa.RecordBatch.from_arrays([pa.array((np.int64(tile) << _ROW_BITS) + np.arange(len(k)), pa.int64()), pa.array(np.full(len(k), tile, np.int64)), *(pa.array(k[:, i]) for i in range(3))], names=["node", "tile", "min_id", "h1", "h2"])
 
-    named = tiles.select("tile", "keys").mapInArrow(nodes, "node long, min_id long, h1 long, h2 long")
+    named = tiles.select("tile", "keys").mapInArrow(nodes, "node long, tile long, min_id long, h1 long, h2 long")
     joined = connected_components(hits.select(F.col("node").alias("u"), F.col("least").alias("v"))).withColumnRenamed("id", "node")
     degrees = hits.groupBy("node").agg(F.sum("n").alias("n"))
     found = stage(joined.join(named, "node").join(degrees, "node"), "linked")
     least = found.groupBy("component").agg(F.min("min_id").alias("least"))
-    by_class = found.join(least, "component").select("min_id", "h1", "h2", "n", "least")
-    counts = classes.select("min_id", "h1", "h2", "count")
-    key = ["min_id", "h1", "h2"]
-    out = members.join(counts.join(by_class, key, "left"), key).select("vec_id", (F.col("count") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("least", "min_id").alias("component_id"))
-    alone = rows.where("not fit").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    by_class = found.join(least, "component").select("tile", "h1", "h2", "n", "least")
+    told = classes.join(by_class, ["tile", "h1", "h2"], "left").select(*key, (F.col("count") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("least", "min_id").alias("component_id"))
+    out = members.join(told, key).select("vec_id", "n_links", "component_id")
+    alone = rows.where(~fit).distinct().select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
