@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tidelane import queries
 from tidelane.functions import regimes, seasonal, targets, thresholds
 from tidelane.operators import asof, series
 from tidelane.operators.ranges import ranged as ranged_rows
@@ -27,6 +28,13 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, "site_id string, date date, value double")
 
 
+def sum_plainly(values):
+    total = 0.0  # ``sum`` makes up for what is rounded off
+    for v in values:
+        total += v
+    return total
+
+
 def column(df, name, order="date"):
     return [r[name] for r in df.orderBy(order).collect()]
 
@@ -68,6 +76,19 @@ def test_baseline_is_free_of_summation_order(spark):
     assert found["a"] == math.inf and math.isnan(found["b"])
 
 
+def test_registered_anomalies_add_up_as_their_sql(spark, tmp_path):
+    # by day from 14 to 28 April; the mean is 26415.08, and the sum in SQL's order (last day first) a little above
+    by_day = [23099.49, 21698.59, 23721.14, 21363.51, 16971.96, 23993.73, 23688.38, 37184.68, 7945.13, 29506.23, 36731.25, 5997.32, 42461.32, 28919.52, 52943.95]
+    baseline = sum_plainly(reversed(by_day)) / 15
+    assert 17132.58 - math.fsum(by_day) / 15 == -9282.5 and 17132.58 - baseline < -9282.5
+    rows = [("a", datetime(2001, 4, 14 + i), v) for i, v in enumerate(by_day)] + [("a", datetime(y, 4, 21), v) for y, v in zip(range(1997, 2001), (17132.58, 20000.0, 40000.0, 50000.0))]
+    rows += [("b", *r[1:]) for r in rows]
+    random.Random(3).shuffle(rows)
+    spark.createDataFrame(rows, "o_orderpriority string, o_orderdate timestamp, o_totalprice double").repartition(5).write.parquet(f"{tmp_path}/orders.parquet")
+    found = queries.feature_table(spark, str(tmp_path)).where("feature_name = 'discharge_min' AND date = DATE '1997-04-21'").withColumn("told", F.format_number(F.abs("anomaly"), 0)).collect()
+    assert [(r.anomaly, r.told, r.climatology_n_years) for r in found] == [(17132.58 - baseline, "9,283", 5)] * 2
+
+
 def test_climatology_wraps_at_year_end(spark):
     rows = [("a", date(y, 12, 31), 10.0) for y in range(2000, 2008)] + [("a", date(y, 1, 3), 20.0) for y in range(2000, 2008)]
     out = {r.doy: r for r in seasonal.climatology(frame(spark, rows), ["site_id"]).collect()}

@@ -28,8 +28,8 @@ class Feature:
     level: int = 0
 
 
-def deseasonalized(rows: DataFrame, keys: list[str], min_years: int = MIN_YEARS) -> DataFrame:
-    return anomalies(rows, keys, min_years=min_years)
+def deseasonalized(rows: DataFrame, keys: list[str], min_years: int = MIN_YEARS, exact: bool = True) -> DataFrame:
+    return anomalies(rows, keys, min_years=min_years, exact=exact)
 
 
 def days_below(rows: DataFrame, keys: list[str], levels: dict[str, int]) -> DataFrame:
@@ -41,8 +41,9 @@ def days_below(rows: DataFrame, keys: list[str], levels: dict[str, int]) -> Data
     return runs.select(*keys, "date", each).withColumns({"anomaly": F.lit(None).cast("double"), "climatology_n_years": F.lit(None).cast("int")})
 
 
-def registry(min_years: int = MIN_YEARS) -> tuple[Feature, ...]:
-    seasonal = partial(deseasonalized, min_years=min_years)
+def registry(min_years: int = MIN_YEARS, exact: bool = True) -> tuple[Feature, ...]:
+    """``exact`` as in ``climatology``."""
+    seasonal = partial(deseasonalized, min_years=min_years, exact=exact)
     return (
         Feature("discharge_mean", seasonal, "value_mean", group="discharge"),
         Feature("discharge_min", seasonal, "value_min", group="discharge"),
